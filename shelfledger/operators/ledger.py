@@ -78,7 +78,7 @@ def resolve_voids(events: DataFrame, stored_sales: DataFrame) -> DataFrame:
     )
 
 
-def _openings(products: DataFrame) -> DataFrame:
+def openings(products: DataFrame) -> DataFrame:
     cost = F.col("cost_price").cast("double")
     return products.select(
         F.col("id").alias("product_id"),
@@ -229,7 +229,7 @@ def _final_batch(rows: list[tuple], group: list[str]) -> pa.RecordBatch:
     )
 
 
-def _typed(events: DataFrame) -> DataFrame:
+def typed_events(events: DataFrame) -> DataFrame:
     """The columns the fold reads, in their types; other columns pass through."""
     types = {
         "product_id": "bigint", "kind": "string", "ref": "string", "n": "bigint",
@@ -247,15 +247,15 @@ def ledger_state(
     products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """State of every product after its events."""
-    events = _typed(events).where(F.col("product_id").isNotNull())
+    events = typed_events(events).where(F.col("product_id").isNotNull())
     split = split_hot(events, "product_id", hot_rows)
-    openings = _openings(products)
+    opened = openings(products)
     rows = split.cold.unionByName(
-        split.cold_of(openings, "product_id"), allowMissingColumns=True
+        split.cold_of(opened, "product_id"), allowMissingColumns=True
     )
     final = _fold(rows, order, history=False)
     if split.hot is not None:
-        _, _, ends = _settle_blocks(split, openings, order, hot_rows)
+        _, _, ends = _settle_blocks(split, opened, order, hot_rows)
         last = ends.groupBy("product_id").agg(
             F.max_by(F.struct(*_FINAL_NAMES), BLOCK).alias("_last")
         )
@@ -277,34 +277,35 @@ def ledger_history(
 
     The state is NULL for an event whose product is unknown or NULL.
     """
-    typed = _typed(events)
+    typed = typed_events(events)
     names = typed.columns + HISTORY.names
-    # Sales without a product move no stock; they are kept out of the shuffle.
-    loose = typed.where(F.col("product_id").isNull())
-    for field in HISTORY.fields:
-        loose = loose.withColumn(field.name, F.lit(None).cast(field.dataType))
-    sale = F.col("kind") == "sale"
-    loose = loose.withColumns(
-        {
-            "member_sold": F.when(sale, F.lit(0).cast("bigint")),
-            "owner_sold": F.when(sale, F.col("n")),
-            "applied": F.col("kind") != "void",
-        }
-    )
     split = split_hot(typed.where(F.col("product_id").isNotNull()), "product_id", hot_rows)
-    openings = _openings(products)
+    opened = openings(products)
     rows = split.cold.unionByName(
-        split.cold_of(openings, "product_id"), allowMissingColumns=True
+        split.cold_of(opened, "product_id"), allowMissingColumns=True
     )
-    result = _fold(rows, order, history=True).select(*names).unionByName(loose.select(*names))
+    result = _fold(rows, order, history=True).select(*names).unionByName(loose_history(typed).select(*names))
     if split.hot is not None:
-        blocks, starts, _ = _settle_blocks(split, openings, order, hot_rows)
+        blocks, starts, _ = _settle_blocks(split, opened, order, hot_rows)
         replayed = _fold(_started(blocks, starts), order, history=True)
         # A void keeps the units it was sent with.
         result = result.unionByName(replayed.withColumn("n", F.col("_sent_n")).select(*names))
     return result
 
 
+def loose_history(typed: DataFrame) -> DataFrame:
+    """Events without a product: they move no stock and need no shuffle."""
+    sale = F.col("kind") == "sale"
+    known = {
+        "member_sold": F.when(sale, F.lit(0).cast("bigint")),
+        "owner_sold": F.when(sale, F.col("n")),
+        "applied": F.col("kind") != "void",
+    }
+    return typed.where(F.col("product_id").isNull()).withColumns(
+        {f.name: known.get(f.name, F.lit(None).cast(f.dataType)) for f in HISTORY.fields}
+    )
+
+
 # --- hot products -----------------------------------------------------------------
 
 
@@ -315,7 +316,7 @@ def _started(blocks: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def _settle_blocks(
-    split, openings: DataFrame, order: Sequence[str], hot_rows: int
+    split, opened: DataFrame, order: Sequence[str], hot_rows: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks of the hot products with the states each block starts and ends in.
 
@@ -329,7 +330,7 @@ def _settle_blocks(
     """
     blocks = cut_blocks(split.hot, split.hot_rows, "product_id", order, hot_rows)
     blocks, voided = _link_voids(blocks, order)
-    starts = stage(_first_starts(blocks, split.hot_of(openings, "product_id"), order), "starts")
+    starts = stage(_first_starts(blocks, split.hot_of(opened, "product_id"), order), "starts")
     shares = None
     while True:
         current = _with_shares(blocks, shares)
@@ -425,13 +426,13 @@ def _block_totals(blocks: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
-def _quantity_before(totals: DataFrame, openings: DataFrame) -> DataFrame:
+def _quantity_before(totals: DataFrame, opened: DataFrame) -> DataFrame:
     """Net units, lowest running net and exact quantity in front of each block.
 
     A sale never takes the quantity below zero, so the quantity is the running
     net less its lowest value at a sale so far, if that is negative.
     """
-    opening = openings.select("product_id", F.col(_OPEN).alias("_first"))
+    opening = opened.select("product_id", F.col(_OPEN).alias("_first"))
     earlier = before_here(ordered_window("product_id", [BLOCK]))
     base = F.coalesce(F.col("_first.quantity"), F.lit(0))
     net = base + F.coalesce(F.sum("_units").over(earlier), F.lit(0))
@@ -442,11 +443,11 @@ def _quantity_before(totals: DataFrame, openings: DataFrame) -> DataFrame:
     )
 
 
-def _first_starts(blocks: DataFrame, openings: DataFrame, order: Sequence[str]) -> DataFrame:
-    placed = _quantity_before(_block_totals(blocks, order), openings)
+def _first_starts(blocks: DataFrame, opened: DataFrame, order: Sequence[str]) -> DataFrame:
+    placed = _quantity_before(_block_totals(blocks, order), opened)
     earlier = before_here(ordered_window("product_id", [BLOCK]))
-    opened = F.nullif(F.col("_first.current_member"), F.lit(0))
-    member = F.coalesce(opened, F.first("_member", ignorenulls=True).over(earlier))
+    given = F.nullif(F.col("_first.current_member"), F.lit(0))
+    member = F.coalesce(given, F.first("_member", ignorenulls=True).over(earlier))
     share = F.coalesce(F.col("_first.member_qty"), F.lit(0))
     position = F.row_number().over(ordered_window("product_id", [BLOCK]))
     return placed.select(
@@ -508,29 +509,29 @@ def running_quantity(
 
     Voids count with the units they carry.
     """
-    typed = _typed(events)
+    typed = typed_events(events)
     split = split_hot(typed, "product_id", hot_rows)
-    openings = _openings(products)
+    opened = openings(products)
     names = [*typed.columns, "running_quantity"]
-    opened = F.col("kind") == "open"
-    units = F.when(opened, F.coalesce(F.col(f"{_OPEN}.quantity"), F.lit(0))).otherwise(
+    is_open = F.col("kind") == "open"
+    units = F.when(is_open, F.coalesce(F.col(f"{_OPEN}.quantity"), F.lit(0))).otherwise(
         _signed_units()
     )
     rows = split.cold.unionByName(
-        split.cold_of(openings, "product_id"), allowMissingColumns=True
-    ).withColumn("_later", (~opened).cast("int"))
+        split.cold_of(opened, "product_id"), allowMissingColumns=True
+    ).withColumn("_later", (~is_open).cast("int"))
     window = up_to_here(ordered_window("product_id", ["_later", *order]))
     running = rows.withColumns(
-        {"_net": F.sum(units).over(window), "_known": F.max(opened).over(window)}
+        {"_net": F.sum(units).over(window), "_known": F.max(is_open).over(window)}
     ).withColumn("_low", F.min(F.when(F.col("kind") == "sale", F.col("_net"))).over(window))
     quantity = F.col("_net") - F.least(F.lit(0), F.col("_low"))
-    result = running.where(~opened).select(
+    result = running.where(~is_open).select(
         *typed.columns, F.when(F.col("_known"), quantity).alias("running_quantity")
     )
     if split.hot is None:
         return result
     blocks = cut_blocks(split.hot, split.hot_rows, "product_id", order, hot_rows)
-    hot_openings = split.hot_of(openings, "product_id")
+    hot_openings = split.hot_of(opened, "product_id")
     before = _quantity_before(_block_totals(blocks, order), hot_openings)
     inside = up_to_here(block_window("product_id", order))
     local = blocks.withColumn("_net", F.sum(_signed_units()).over(inside)).withColumn(

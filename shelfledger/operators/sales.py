@@ -55,15 +55,21 @@ def expense_list(expenses: DataFrame, start: Day = None, end: Day = None) -> Dat
     )
 
 
-def expense_breakdown(expenses: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
+def expense_totals_by_category(
+    expenses: DataFrame, start: Day = None, end: Day = None
+) -> DataFrame:
     return (
         expenses.where(in_days("expense_date", start, end))
         .groupBy("category")
         .agg(total(F.col("amount")).alias("total"))
-        .orderBy(F.desc("total"), F.asc("category"))
     )
 
 
+def expense_breakdown(expenses: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
+    totals = expense_totals_by_category(expenses, start, end)
+    return totals.orderBy(F.desc("total"), F.asc("category"))
+
+
 def sales_totals(sales: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
     """One row of range totals, with the all-time own cost, in one scan.
 

@@ -37,7 +37,8 @@ def product_pl(products: DataFrame, sales: DataFrame) -> DataFrame:
 def product_documents(products: DataFrame, sales: DataFrame, restocks: DataFrame) -> DataFrame:
     """Summary, sales and restocks of every product, one JSON entry per row.
 
-    ``section`` names the part of the document and ``at`` orders its entries,
+    ``section`` names the part of the document and ``happened_at`` orders its
+    entries,
     newest first. A product's history stays spread over rows because one
     product may hold a large share of the ledger.
     """
@@ -55,6 +56,6 @@ def _entries(rows: DataFrame, section: str, at) -> DataFrame:
     return rows.select(
         "product_id",
         F.lit(section).alias("section"),
-        at.cast("timestamp_ntz").alias("at"),
+        at.cast("timestamp_ntz").alias("happened_at"),
         row_json(*rows.columns).alias("entry"),
     )

@@ -66,9 +66,12 @@ _LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = star(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'")
-    member = F.when(F.expr("l_partkey % 3 = 0"), F.col("l_partkey") % _member_keys(spark, sf_dir))
-    priced = lines.select(
+    return sales_of(star(spark, sf_dir, "lineitem"), _member_keys(spark, sf_dir))
+
+
+def sales_of(lines: DataFrame, member_keys: Column | int) -> DataFrame:
+    member = F.when(F.expr("l_partkey % 3 = 0"), F.col("l_partkey") % member_keys)
+    priced = lines.where("l_returnflag <> 'R'").select(
         F.expr(_LINE_ID),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
@@ -117,15 +120,15 @@ def restocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        star(spark, sf_dir, "orders")
-        .where("o_orderstatus = 'P'")
-        .selectExpr(
-            "o_orderkey AS id",
-            "o_orderpriority AS category",
-            "CAST(o_totalprice AS DECIMAL(14,2)) AS amount",
-            "CAST(o_orderdate AS DATE) AS expense_date",
-        )
+    return expenses_of(star(spark, sf_dir, "orders"))
+
+
+def expenses_of(orders: DataFrame) -> DataFrame:
+    return orders.where("o_orderstatus = 'P'").selectExpr(
+        "o_orderkey AS id",
+        "o_orderpriority AS category",
+        "CAST(o_totalprice AS DECIMAL(14,2)) AS amount",
+        "CAST(o_orderdate AS DATE) AS expense_date",
     )
 
 
@@ -150,7 +153,7 @@ def slot_events_of(events: DataFrame) -> DataFrame:
     )
 
 
-LEDGER_ORDER = ["at", "order_id", "line_no", "kind_rank"]
+LEDGER_ORDER = ["day", "order_id", "line_no", "kind_rank"]
 
 
 def ledger_events(spark: SparkSession, sf_dir: str, voids: bool = True) -> DataFrame:
@@ -163,20 +166,18 @@ def ledger_events(spark: SparkSession, sf_dir: str, voids: bool = True) -> DataF
 
 
 def ledger_events_of(lines: DataFrame, member_keys: Column | int, voids: bool = True) -> DataFrame:
-    if isinstance(member_keys, int):
-        member_keys = F.lit(member_keys)
     restock = F.col("l_returnflag") == "R"
     voided = F.expr("l_returnflag = 'A' AND l_linestatus = 'O'")
     fronted = restock & F.expr("l_partkey % 4 = 0")
     day = F.col("l_shipdate").cast("date")
     first = F.struct(
         F.when(restock, "restock").otherwise("sale").alias("kind"),
-        day.alias("at"),
+        day.alias("day"),
         F.lit(0).alias("kind_rank"),
     )
     later = F.struct(
         F.lit("void").alias("kind"),
-        F.date_add(day, VOID_DELAY_DAYS).alias("at"),
+        F.date_add(day, VOID_DELAY_DAYS).alias("day"),
         F.lit(1).alias("kind_rank"),
     )
     # A line and its void leave in one pass over the table.
@@ -185,7 +186,7 @@ def ledger_events_of(lines: DataFrame, member_keys: Column | int, voids: bool =
         lines.withColumn("step", F.explode(steps))
         .select(
             F.col("l_partkey").alias("product_id"),
-            F.col("step.at").alias("at"),
+            F.col("step.day").alias("day"),
             F.col("l_orderkey").alias("order_id"),
             F.col("l_linenumber").alias("line_no"),
             F.col("step.kind_rank").alias("kind_rank"),
