@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,6 +27,15 @@ def build_session(app: str = "shelfledger", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+def ship_package() -> None:
+    """Send this package's task functions to the Python workers by value.
+
+    Workers, and the helper process of a stateful stream on the driver, then need
+    no copy of the package. Not needed where it is installed on all machines.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
+
 def staging_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -27,32 +26,30 @@ _SHARE = schema(units="bigint", member_units="bigint", standing="boolean")
 class LedgerProcessor(StatefulProcessor):
     """Applies a micro-batch of events to each product's stock."""
 
-    def __init__(self, order: Sequence[str]):
+    def __init__(self, order: Sequence[str], columns: Sequence[str]):
         self.order = list(order)
+        self.output = Row(*columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.saved = handle.getValueState("stock", STOCK)
         self.shares = handle.getMapState("shares", schema(ref="string"), _SHARE)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
         stock = Stock()
-        stock.open(
-            _int(row["quantity"]), _int(row["member_qty"]), _int(row["current_member"]),
-            _float(row["cost_price"]), row["stock"],
-        )
+        stock.open(*(initialState[name] for name in STOCK.names))
         self._save(stock)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        events = pd.concat(list(rows), ignore_index=True)
-        events = events.sort_values(self.order, ignore_index=True)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         stock = self._load()
-        fields = [events[c].tolist() for c in ["kind", "ref", "n", "member_id", "member_n", "unit_cost"]]
-        moved = [self._apply(stock, *values) for values in zip(*fields)]
+        # Shares of this micro-batch's sales; None for a sale taken back.
+        self.recent = {}
+        for event in sorted(rows, key=lambda row: [row[name] for name in self.order]):
+            yield self.output(*event, *self._apply(stock, event))
         if stock.known:
             self._save(stock)
-        result = pd.DataFrame(moved, columns=HISTORY.names, dtype=object)
-        yield pd.concat([events, result], axis=1)
+        for ref, share in self.recent.items():
+            if share is not None:
+                self.shares.updateValue((ref,), share)
 
     def _load(self) -> Stock:
         stock = Stock()
@@ -65,16 +62,16 @@ class LedgerProcessor(StatefulProcessor):
             (stock.quantity, stock.member_qty, stock.member_id, stock.cost, stock.stock)
         )
 
-    def _apply(self, stock: Stock, kind, ref, n, member_id, member_n, unit_cost) -> tuple:
-        units = _int(n)
+    def _apply(self, stock: Stock, event: Row) -> tuple:
+        kind, ref, units, member_units = event.kind, event.ref, event.n, event.member_n or 0
         member, applied = 0, True
         if kind == "sale":
             member = stock.sell(units or 0)
-            self.shares.updateValue((ref,), (units or 0, member, True))
+            self.recent[ref] = (units or 0, member, True)
         elif kind == "restock":
-            stock.restock(units or 0, _int(member_n) or 0, _int(member_id), _float(unit_cost))
+            stock.restock(units or 0, member_units, event.member_id, event.unit_cost)
         else:
-            member, applied = self._void(stock, ref, units, _int(member_n) or 0)
+            member, applied = self._void(stock, ref, units, member_units)
         known, sale = stock.known, kind == "sale"
         return (
             member if kind != "restock" else None,
@@ -89,28 +86,30 @@ class LedgerProcessor(StatefulProcessor):
         )
 
     def _void(self, stock: Stock, ref, units, member_units) -> tuple[int, bool]:
-        standing = units is not None
-        if self.shares.containsKey((ref,)):
-            units, member_units, standing = self.shares.getValue((ref,))
-        # Kept as taken back, so that a second void has no effect.
-        self.shares.updateValue((ref,), (units or 0, member_units, False))
-        if not standing:
+        """Take back a sale of this stream, or one whose units the void brings along.
+
+        A sale of the stream is forgotten with its void. A void that brings its
+        units leaves a mark, so that a second one has no effect either.
+        """
+        brought = units is not None
+        if ref in self.recent:
+            share, self.recent[ref] = self.recent[ref], None
+        elif self.shares.containsKey((ref,)):
+            share = self.shares.getValue((ref,))
+            self.shares.removeKey((ref,))
+        else:
+            share = (units, member_units, True) if brought else None
+        if brought:
+            self.recent[ref] = (units, member_units, False)
+        if share is None or not share[2]:
             return 0, False
-        stock.void(units, member_units)
-        return member_units, True
+        stock.void(share[0], share[1])
+        return share[1], True
 
     def close(self) -> None:
         pass
 
 
-def _int(value):
-    return None if pd.isna(value) else int(value)
-
-
-def _float(value):
-    return None if pd.isna(value) else float(value)
-
-
 def stream_ledger(products: DataFrame, events: DataFrame, order: Sequence[str]) -> DataFrame:
     """History rows of a stream of events, with the columns of the batch ledger.
 
@@ -123,8 +122,12 @@ def stream_ledger(products: DataFrame, events: DataFrame, order: Sequence[str])
     moved = (
         typed.where(F.col("product_id").isNotNull())
         .groupBy("product_id")
-        .transformWithStateInPandas(
-            LedgerProcessor(order), output, "Append", "None", first.groupBy("product_id")
+        .transformWithState(
+            LedgerProcessor(order, output.names),
+            output,
+            "Append",
+            "None",
+            first.groupBy("product_id"),
         )
     )
     # Sales without a product keep no state and pass by.

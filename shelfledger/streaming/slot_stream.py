@@ -3,47 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from shelfledger.operators.slot import SLOT_SECONDS
-from shelfledger.schemas import schema
 from shelfledger.streaming.runs import use_rocksdb
 
-_MICROS = 1_000_000
-
 
 class SlotProcessor(StatefulProcessor):
     """Age is measured on event times, so a replay gives the same answers."""
 
     def __init__(self, seconds: float):
-        self.seconds = seconds
+        self.limit = timedelta(seconds=seconds)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.slot = handle.getValueState("slot", schema(posted="bigint", payload="string"))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        events = pd.concat(list(rows), ignore_index=True)
-        events = events.sort_values(["ts", "seq"], ignore_index=True)
-        held = self.slot.get() if self.slot.exists() else None
-        answers = []
-        micros = events["ts"].astype("datetime64[us]").astype("int64").tolist()
-        for now, kind, payload in zip(micros, events["kind"].tolist(), events["payload"].tolist()):
-            answer = None
-            if kind == "import":
-                held = (now, payload)
-            elif held is not None and now - held[0] < self.seconds * _MICROS:
-                answer, held = held[1], None
-            answers.append(answer)
+        self.slot = handle.getValueState("slot", "posted timestamp_ntz, payload string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = tuple(self.slot.get()) if self.slot.exists() else None
+        for event in sorted(rows, key=lambda row: (row.ts, row.seq)):
+            if event.kind == "import":
+                held = (event.ts, event.payload)
+                continue
+            payload = None
+            if held is not None and event.ts - held[0] < self.limit:
+                payload, held = held[1], None
+            yield Row(session=event.session, seq=event.seq, ts=event.ts, payload=payload)
         if held is None:
             self.slot.clear()
         else:
             self.slot.update(held)
-        polls = events["kind"] == "poll"
-        yield events[["session", "seq", "ts"]].assign(payload=answers)[polls]
 
     def close(self) -> None:
         pass
@@ -53,6 +45,6 @@ def stream_slot(events: DataFrame, seconds: float = SLOT_SECONDS) -> DataFrame:
     """Each poll of a stream of imports and polls with the payload it receives."""
     use_rocksdb(events.sparkSession)
     output = StructType([events.schema[c] for c in ["session", "seq", "ts", "payload"]])
-    return events.groupBy("session").transformWithStateInPandas(
+    return events.groupBy("session").transformWithState(
         SlotProcessor(seconds), output, "Append", "None"
     )
