@@ -26,7 +26,9 @@ def leading_int(text: Column) -> Column:
     # Longer hex runs do not fit a BIGINT and count as unreadable.
     from_hex = F.when(F.length(hexa) <= 15, F.conv(hexa, 16, 10).try_cast("bigint") * sign)
     decimal = F.regexp_extract(text, _INT, 1).try_cast("bigint")
-    return F.when(hexa != "", from_hex).otherwise(decimal)
+    # The cheap test spares almost every row the hex patterns.
+    maybe_hex = F.lower(text).contains("0x")
+    return F.when(maybe_hex & (hexa != ""), from_hex).otherwise(decimal)
 
 
 def leading_float(text: Column) -> Column:

@@ -31,12 +31,14 @@ from shelfledger.operators.ordered import (
     split_hot,
     up_to_here,
 )
-from shelfledger.schemas import FINAL, HISTORY, STOCK
+from shelfledger.schemas import FINAL, FOLDED, HISTORY, STOCK
 from shelfledger.session import stage
 
 _STATE_NAMES = STOCK.names
 _FINAL_NAMES = FINAL.names
+_BLOCK_KEY = ["product_id", BLOCK]
 _OPEN = "_open"
+_CROSSED = "_crossed"
 _INPUTS = ["kind", "ref", "n", "member_id", "member_n", "unit_cost"]
 
 
@@ -107,16 +109,20 @@ def _fold(rows: DataFrame, order: Sequence[str], history: bool) -> DataFrame:
         kept = [c for c in placed.columns if c != _OPEN]
         schema = StructType([placed.schema[c] for c in kept] + HISTORY.fields)
         return placed.mapInArrow(_history_of(group, kept), schema).where("kind <> 'open'")
-    schema = StructType([placed.schema[c] for c in group] + FINAL.fields)
-    return placed.select(*group, *_INPUTS, _OPEN).mapInArrow(_state_of(group), schema)
+    schema = StructType([placed.schema[c] for c in group] + FOLDED.fields)
+    return placed.select(*_read_columns(group), _OPEN).mapInArrow(_state_of(group), schema)
+
+
+def _read_columns(group: list[str]) -> list[str]:
+    """Columns the fold reads besides the opening state; blocks also mark crossed sales."""
+    return [*group, *_INPUTS, *([_CROSSED] if BLOCK in group else [])]
 
 
 class _Walk:
     """Applies events to the stock of the current product."""
 
-    def __init__(self, make_stock, remember: bool):
+    def __init__(self, make_stock):
         self.make_stock = make_stock
-        self.remember = remember
         self.enter(object())
 
     def enter(self, group):
@@ -129,8 +135,7 @@ class _Walk:
         stock = self.stock
         if kind == "sale":
             sold = stock.sell(n or 0)
-            if self.remember:
-                self.shares[ref] = (n or 0, sold)
+            self.shares[ref] = (n or 0, sold)
             return sold, True
         if kind == "restock":
             stock.restock(n or 0, member_n or 0, member_id, unit_cost)
@@ -147,16 +152,16 @@ class _Walk:
         return 0, True
 
 
-def _columns(batch: pa.RecordBatch, group: list[str]):
-    names = [*group, *_INPUTS, _OPEN]
-    return [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names]
+def _rows(batch: pa.RecordBatch, names: list[str]):
+    columns = [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names]
+    return zip(*columns)
 
 
 def _history_of(group: list[str], kept: list[str]):
     width = len(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = _Walk(Stock, remember=BLOCK not in group)
+        walk = _Walk(Stock)
         types = [
             pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
             pa.float64(), pa.string(), pa.bool_(), pa.bool_(),
@@ -164,7 +169,7 @@ def _history_of(group: list[str], kept: list[str]):
         for batch in batches:
             out = [[] for _ in types]
             push = [column.append for column in out]
-            for row in zip(*_columns(batch, group)):
+            for row in _rows(batch, [*group, *_INPUTS, _OPEN]):
                 if row[:width] != walk.group:
                     walk.enter(row[:width])
                 member, applied = walk.apply(*row[width:])
@@ -192,43 +197,44 @@ def _history_of(group: list[str], kept: list[str]):
 
 
 def _state_of(group: list[str]):
-    width = len(group)
+    width, event = len(group), len(group) + len(_INPUTS)
+    names = [*_read_columns(group), _OPEN]
+    types = [pa.int64(), pa.int32()][:width] + [
+        pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(),
+        pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.string(), pa.int64(),
+    ]
+    no_state = (None,) * len(FINAL)
+
+    def final(walk: _Walk) -> tuple:
+        s = walk.stock
+        state = (s.quantity, s.member_qty, s.member_id, s.cost, s.stock)
+        return (*walk.group, *state, s.known, s.shifted, s.scale, s.offset, None, None)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(types)
+        arrays = [pa.array(column, t) for column, t in zip(columns, types)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*group, *FOLDED.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, started = _Walk(TracedStock, remember=BLOCK not in group), False
+        walk, started = _Walk(TracedStock), False
         for batch in batches:
             done = []
-            for row in zip(*_columns(batch, group)):
+            for row in _rows(batch, names):
                 if row[:width] != walk.group:
                     if started:
-                        done.append(_final(walk))
+                        done.append(final(walk))
                     walk.enter(row[:width])
                     started = True
-                walk.apply(*row[width:])
-            yield _final_batch(done, group)
+                moved, _ = walk.apply(*row[width:event], row[-1])
+                if width == 2 and row[event]:
+                    done.append((*walk.group, *no_state, row[width + 1], moved))
+            yield table(done)
         if started:
-            yield _final_batch([_final(walk)], group)
+            yield table([final(walk)])
 
     return run
 
 
-def _final(walk: _Walk) -> tuple:
-    s = walk.stock
-    state = (s.quantity, s.member_qty, s.member_id, s.cost, s.stock)
-    return (*walk.group, *state, s.known, s.shifted, s.scale, s.offset)
-
-
-def _final_batch(rows: list[tuple], group: list[str]) -> pa.RecordBatch:
-    types = [pa.int64() if g == "product_id" else pa.int32() for g in group] + [
-        pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(),
-        pa.bool_(), pa.bool_(), pa.float64(), pa.float64(),
-    ]
-    columns = list(zip(*rows)) if rows else [[] for _ in types]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(column, t) for column, t in zip(columns, types)], names=[*group, *_FINAL_NAMES]
-    )
-
-
 def typed_events(events: DataFrame) -> DataFrame:
     """The columns the fold reads, in their types; other columns pass through."""
     types = {
@@ -253,7 +259,7 @@ def ledger_state(
     rows = split.cold.unionByName(
         split.cold_of(opened, "product_id"), allowMissingColumns=True
     )
-    final = _fold(rows, order, history=False)
+    final = _fold(rows, order, history=False).select("product_id", *_FINAL_NAMES)
     if split.hot is not None:
         _, _, ends = _settle_blocks(split, opened, order, hot_rows)
         last = ends.groupBy("product_id").agg(
@@ -289,7 +295,8 @@ def ledger_history(
         blocks, starts, _ = _settle_blocks(split, opened, order, hot_rows)
         replayed = _fold(_started(blocks, starts), order, history=True)
         # A void keeps the units it was sent with.
-        result = result.unionByName(replayed.withColumn("n", F.col("_sent_n")).select(*names))
+        sent = {"n": F.col("_sent_n"), "member_n": F.col("_sent_member_n")}
+        result = result.unionByName(replayed.withColumns(sent).select(*names))
     return result
 
 
@@ -322,89 +329,120 @@ def _settle_blocks(
 
     Quantity and member are exact at once, from block totals. Member quantity
     and cost start from a guess; all blocks are folded side by side, and the
-    state each one ends with is handed to the next. This is repeated until no
-    start changes, and then every block has been folded from what the block
-    before it ended with, exactly as in one pass. A block that sells out or is
-    restocked ends the same from any start, so a few rounds are usual; there
-    can be as many as a product has blocks, and never a wrong result.
+    state each one ends with is handed to the next. Blocks whose start was
+    wrong are folded again until none is left, and then every block has been
+    folded from what the block before it ended with, exactly as in one pass.
+    The same goes for the member units that a void takes from another block. A
+    block that sells out or is restocked ends the same from any start, so a few
+    rounds are usual; each settles at least the next block for good.
     """
-    blocks = cut_blocks(split.hot, split.hot_rows, "product_id", order, hot_rows)
-    blocks, voided = _link_voids(blocks, order)
+    cut = cut_blocks(split.hot, split.hot_rows, "product_id", order, hot_rows)
+    blocks, crossing = _link_voids(cut, order)
     starts = stage(_first_starts(blocks, split.hot_of(opened, "product_id"), order), "starts")
-    shares = None
+    shares = stale = results = None
     while True:
         current = _with_shares(blocks, shares)
-        ends = stage(_fold(_started(current, starts), order, history=False), "ends")
+        todo = _started(current, starts)
+        if stale is not None:
+            todo = todo.join(stale, _BLOCK_KEY, "left_semi")
+        folded = stage(_fold(todo, order, history=False), "folded")
+        if stale is not None:
+            kept = results.join(stale, _BLOCK_KEY, "left_anti")
+            folded = stage(kept.unionByName(folded), "folded")
+        results = folded
+        ends = results.where(F.col("ref").isNull())
         passed = stage(_hand_over(starts, ends), "starts")
-        settled = _same(passed, starts, ["product_id", BLOCK], _STATE_NAMES)
-        if voided:
-            moved = _fold(_started(current, starts), order, history=True)
-            taken = moved.where((F.col("kind") == "sale") & F.col("_voided"))
-            found = stage(taken.select("product_id", "ref", "member_sold"), "shares")
-            settled = settled and shares is not None and _same(
-                found, shares, ["product_id", "ref"], ["member_sold"]
-            )
-            shares = found
-        if settled:
+        wrong = _changed(passed, starts, _BLOCK_KEY, _STATE_NAMES)
+        if crossing is not None:
+            found = stage(_shares_of(results), "shares")
+            wrong = wrong.union(_with_wrong_share(crossing, found, shares)).distinct()
+        stale = stage(wrong, "stale")
+        if stale.isEmpty():
             return current, starts, ends
         starts = passed
+        if crossing is not None:
+            shares = found
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> bool:
+def _changed(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Keys whose values differ."""
     other = right.select(*keys, F.struct(*values).alias("_other"))
-    both = left.select(*keys, F.struct(*values).alias("_mine")).join(other, keys, "full")
-    return both.where(~F.col("_mine").eqNullSafe(F.col("_other"))).isEmpty()
+    both = left.select(*keys, F.struct(*values).alias("_mine")).join(other, keys)
+    return both.where(~F.col("_mine").eqNullSafe(F.col("_other"))).select(*keys)
+
 
+def _shares_of(results: DataFrame) -> DataFrame:
+    taken = results.where(F.col("ref").isNotNull())
+    return taken.groupBy("product_id", "ref").agg(F.max("member_sold").alias("_share"))
 
-def _link_voids(blocks: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Find the voids that take effect and give them the units of their sale.
 
-    Effective is the first void after its sale. All others get NULL units, which
-    the fold leaves without effect. ``_voided`` marks sales taken back.
+def _with_wrong_share(crossing: DataFrame, found: DataFrame, used: DataFrame | None) -> DataFrame:
+    """Blocks with a void whose share is not the one it was folded with."""
+    key = ["product_id", "ref"]
+    before = F.lit(0)
+    joined = crossing.join(found, key, "left")
+    if used is not None:
+        joined = joined.join(used.withColumnRenamed("_share", "_used"), key, "left")
+        before = F.coalesce("_used", F.lit(0))
+    return joined.where(F.coalesce("_share", F.lit(0)) != before).select(*_BLOCK_KEY).distinct()
+
+
+def _link_voids(blocks: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Find the voids that take effect, and those whose sale lies in another block.
+
+    Effective is the first void after its sale, or the first of a stored sale.
+    It gets the units of its sale; all others get NULL units, which the fold
+    leaves without effect. Sales and voids meet under (product, sale), which
+    spreads a hot product. The second result is the product, sale and block of
+    the voids that cross blocks, or None without any.
     """
-    blocks = blocks.withColumn("_sent_n", F.col("n"))
+    blocks = blocks.withColumns({"_sent_n": F.col("n"), "_sent_member_n": F.col("member_n")})
+    none = F.lit(False)
     if blocks.where("kind = 'void'").isEmpty():
-        plain = blocks.withColumn("_voided", F.lit(False))
-        return plain.withColumn("_of_sale", F.lit(False)), False
-    place = F.struct(*order)
-    # Keyed by (product, sale), which spreads a hot product.
-    key = ["product_id", "ref"]
-    sold = blocks.where("kind = 'sale'").select(*key, F.col("n").alias("_units"), place.alias("_sold"))
-    tried = blocks.where("kind = 'void'").select(*key, "n", place.alias("_at"))
-    effective = (
+        return blocks.withColumns({_CROSSED: none, "_borrows": none}), None
+    place, key = F.struct(*order), ["product_id", "ref"]
+    sold = blocks.where("kind = 'sale'").select(
+        *key, F.col("n").alias("_units"), place.alias("_sold"), F.col(BLOCK).alias("_from")
+    )
+    tried = blocks.where("kind = 'void'").select(*key, "n", place.alias("_at"), BLOCK)
+    linked = (
         tried.join(sold, key, "left")
         .where(F.col("n").isNotNull() | (F.col("_sold") < F.col("_at")))
         .groupBy(*key)
-        .agg(F.min("_at").alias("_at"), F.max(F.coalesce("n", "_units")).alias("_units"))
-        .withColumn("_effective", F.lit(True))
+        .agg(
+            F.min("_at").alias("_at"),
+            F.min_by(F.struct(F.coalesce("n", "_units"), BLOCK, "_from", "n"), "_at").alias("_link"),
+        )
+        .select(
+            *key,
+            "_at",
+            F.col("_link.col1").alias("_units"),
+            F.col(f"_link.{BLOCK}").alias("_to"),
+            (F.col("_link.n").isNull() & (F.col("_link._from") != F.col(f"_link.{BLOCK}"))).alias(
+                "_apart"
+            ),
+        )
     )
-    linked = blocks.join(effective, key, "left")
+    linked = stage(linked, "links")
+    joined = blocks.join(linked, key, "left")
     void = F.col("kind") == "void"
-    works = F.coalesce(F.col("_effective"), F.lit(False)) & (F.col("_at") == place)
-    return (
-        stage(
-            linked.withColumns(
-                {
-                    "n": F.when(void & ~works, F.lit(None)).otherwise(
-                        F.when(void, F.col("_units")).otherwise(F.col("n"))
-                    ),
-                    "_voided": (F.col("kind") == "sale") & F.col("_effective").isNotNull(),
-                    "_of_sale": void & works & F.col("_sent_n").isNull(),
-                }
-            ).select(*blocks.columns, "_voided", "_of_sale"),
-            "linked",
-        ),
-        True,
-    )
+    works = F.coalesce(void & (F.col("_at") == place), none)
+    apart = F.coalesce("_apart", none)
+    units = F.when(void, F.when(works, F.col("_units"))).otherwise(F.col("n"))
+    crossed = (F.col("kind") == "sale") & apart
+    marked = joined.withColumns({"n": units, _CROSSED: crossed, "_borrows": works & apart})
+    blocks = stage(marked.select(*blocks.columns, _CROSSED, "_borrows"), "linked")
+    crossing = linked.where("_apart").select(*key, F.col("_to").alias(BLOCK))
+    return blocks, crossing
 
 
 def _with_shares(blocks: DataFrame, shares: DataFrame | None) -> DataFrame:
-    """Put the member units found for each sale on its void."""
+    """Put the member units found for a sale on its void in another block."""
     if shares is None:
         return blocks
-    known = shares.withColumnRenamed("member_sold", "_share").withColumn("_of_sale", F.lit(True))
-    joined = blocks.join(known, ["product_id", "ref", "_of_sale"], "left")
-    share = F.when(F.col("_of_sale"), F.col("_share")).otherwise(F.col("member_n"))
+    known = shares.withColumn("_borrows", F.lit(True))
+    joined = blocks.join(known, ["product_id", "ref", "_borrows"], "left")
+    share = F.when(F.col("_borrows"), F.col("_share")).otherwise(F.col("member_n"))
     return joined.withColumn("member_n", share).select(*blocks.columns)
 
 

@@ -113,13 +113,13 @@ def with_shown_shares(rows):
     return sorted(tuple(r) for r in rows)
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_history_matches_walk(spark, seed):
     shelf, events = random_case(seed)
     assert run_history(spark, shelf, events, 10_000) == with_shown_shares(walk(shelf, events)[0])
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(2))
 def test_hot_products_match_walk(spark, seed):
     """Products over 12 events are cut into blocks and folded side by side."""
     shelf, events = random_case(100 + seed, products=3, events=150)
