@@ -12,23 +12,19 @@ from pyspark.sql import functions as F
 # The characters the reference's runtime treats as white space.
 WHITESPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
-_HEX = rf"^[{WHITESPACE}]*[+-]?0[xX]([0-9a-fA-F]+)"
-_INT = rf"^[{WHITESPACE}]*([+-]?\d+)"
+_INT = rf"^[{WHITESPACE}]*([+-]?(?:0[xX][0-9a-fA-F]+|\d+))"
 _FLOAT = rf"^[{WHITESPACE}]*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
-_MINUS = rf"^[{WHITESPACE}]*-"
 
 
 def leading_int(text: Column) -> Column:
     """Integer at the start of the text (decimal or ``0x``), else NULL."""
-    text = text.cast("string")
-    hexa = F.regexp_extract(text, _HEX, 1)
-    sign = F.when(text.rlike(_MINUS), F.lit(-1)).otherwise(F.lit(1))
+    # One pattern finds the token; the rest works on a few characters.
+    token = F.lower(F.regexp_extract(text.cast("string"), _INT, 1))
+    digits = F.substring_index(token, "x", -1)
+    sign = F.when(token.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     # Longer hex runs do not fit a BIGINT and count as unreadable.
-    from_hex = F.when(F.length(hexa) <= 15, F.conv(hexa, 16, 10).try_cast("bigint") * sign)
-    decimal = F.regexp_extract(text, _INT, 1).try_cast("bigint")
-    # The cheap test spares almost every row the hex patterns.
-    maybe_hex = F.lower(text).contains("0x")
-    return F.when(maybe_hex & (hexa != ""), from_hex).otherwise(decimal)
+    from_hex = F.when(F.length(digits) <= 15, F.conv(digits, 16, 10).try_cast("bigint") * sign)
+    return F.when(token.contains("x"), from_hex).otherwise(token.try_cast("bigint"))
 
 
 def leading_float(text: Column) -> Column:
