@@ -74,14 +74,13 @@ def settings_object(settings: DataFrame) -> DataFrame:
     return settings.where(F.col("key") != SECRET_SETTING).select("key", "value")
 
 
-def settings_map(settings: DataFrame) -> DataFrame:
-    """The listed settings as one map: a handful of entries under fixed names.
+def settings_entries(settings: DataFrame) -> DataFrame:
+    """The listed settings as entries of one object, one JSON object of one field each.
 
-    Only for a settings table; keyed business rows go out through
-    :func:`shelfledger.sources.tables.keyed_json`.
+    The object is the union of its entries; no task has to hold it whole.
     """
-    pairs = F.collect_list(F.struct("key", "value"))
-    return settings_object(settings).agg(F.map_from_entries(pairs).alias("settings"))
+    entry = F.to_json(F.create_map("key", "value"))
+    return settings_object(settings).select("key", entry.alias("json"))
 
 
 def setting_or_default(settings: DataFrame, key: str, default: str) -> DataFrame:

@@ -65,19 +65,22 @@ def merge_events(*parts: DataFrame) -> DataFrame:
 
 
 def resolve_voids(events: DataFrame, stored_sales: DataFrame) -> DataFrame:
-    """Give voids of stored sales the units and the member share on the stored row."""
+    """Give voids of stored sales the units and the member share on the stored row.
+
+    Other events pass by without a shuffle, and of the stored ledger only the
+    voided sales go into the join.
+    """
+    void = F.col("kind") == "void"
+    voids = events.where(void)
     stored = stored_sales.select(
         F.col("id").alias("ref"),
-        F.lit("void").alias("kind"),
         F.coalesce("quantity_sold", F.lit(0)).alias("_n"),
         F.coalesce("member_qty_sold", F.lit(0)).alias("_member_n"),
+    ).join(voids.select("ref"), "ref", "left_semi")
+    resolved = voids.join(stored, "ref", "left").withColumns(
+        {"n": F.coalesce("n", "_n"), "member_n": F.coalesce("member_n", "_member_n")}
     )
-    joined = events.join(stored, ["ref", "kind"], "left")
-    return (
-        joined.withColumn("n", F.coalesce("n", "_n"))
-        .withColumn("member_n", F.coalesce("member_n", "_member_n"))
-        .select(*events.columns)
-    )
+    return events.where(~void).unionByName(resolved.select(*events.columns))
 
 
 def openings(products: DataFrame) -> DataFrame:

@@ -75,8 +75,13 @@ def check_extracted(rows: DataFrame) -> DataFrame:
 
 
 def check_existing(changes: DataFrame, existing: DataFrame, key: str, reason: str) -> DataFrame:
-    """Changes whose key is not among the existing rows are rejected."""
-    known = existing.select(key).distinct().withColumn("_known", F.lit(True))
+    """Changes whose key is not among the existing rows are rejected.
+
+    The table is first cut down to the changed keys, so that it is not shuffled
+    for a change set small enough to broadcast.
+    """
+    touched = existing.select(key).join(changes.select(key), key, "left_semi")
+    known = touched.distinct().withColumn("_known", F.lit(True))
     marked = changes.join(known, key, "left")
     return with_reason(marked, F.col("_known").isNotNull(), reason).drop("_known")
 

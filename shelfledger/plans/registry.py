@@ -83,7 +83,9 @@ def settings_object(spark, d):
 
 @query
 def settings_map(spark, d):
-    return catalog.settings_map(_settings(spark, d)).select(F.explode("settings"))
+    """The settings object, read back to keys and values."""
+    entries = catalog.settings_entries(_settings(spark, d))
+    return entries.select(F.explode(F.from_json("json", "map<string, string>")))
 
 
 @query
