@@ -49,8 +49,9 @@ def restock_events(restocks: DataFrame) -> DataFrame:
 
 
 def sale_events(sales: DataFrame) -> DataFrame:
+    """Sales as events; the line's own cost is ``sale_cost`` beside the product's cost."""
     return (
-        sales.withColumnsRenamed({"quantity_sold": "n", "id": "ref"})
+        sales.withColumnsRenamed({"quantity_sold": "n", "id": "ref", "cost_price": "sale_cost"})
         .drop("member_id")
         .withColumn("kind", F.lit("sale"))
     )

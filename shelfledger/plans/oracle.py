@@ -198,24 +198,42 @@ _TABLE = """base AS (SELECT id, name, category, subcategory, description, CAST(p
 _LAST_REQUEST = """last AS (SELECT * FROM product_requests r WHERE name <> '' AND seq = 2)"""
 
 
-def _ledger(voids: bool) -> str:
-    """Event-by-event walk; a void finds its sale's share by position."""
+def _line_events(voids: bool) -> str:
     day = "CAST(l_shipdate AS DATE)"
     void_rows = f"""UNION ALL SELECT l_partkey, {day} + 30, l_orderkey, l_linenumber, 1, 'void',
   concat_ws('-', l_orderkey, l_linenumber, {day}), NULL, NULL, NULL, NULL
-FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'O'""" if voids else ""
-    return f"""WITH RECURSIVE {PRODUCTS},
-happened AS (SELECT l_partkey AS product_id, {day} AS day, l_orderkey AS order_id, l_linenumber AS line_no,
+FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'O'"""
+    return f"""happened AS (SELECT l_partkey AS product_id, {day} AS day, l_orderkey AS order_id, l_linenumber AS line_no,
   0 AS kind_rank, CASE WHEN l_returnflag = 'R' THEN 'restock' ELSE 'sale' END AS kind,
   concat_ws('-', l_orderkey, l_linenumber, {day}) AS ref, CAST(l_quantity AS BIGINT) AS n,
   CASE WHEN l_returnflag = 'R' AND l_partkey % 4 = 0 THEN l_partkey % {_KEYS} END AS who,
   CASE WHEN l_returnflag = 'R' AND l_partkey % 4 = 0 THEN CAST(FLOOR(l_quantity / 2.0) AS BIGINT) END AS member_n,
   CASE WHEN l_returnflag = 'R' AND l_suppkey % 5 <> 0 THEN l_extendedprice END AS unit_cost
-FROM lineitem {void_rows}),
+FROM lineitem {void_rows if voids else ""})"""
+
+
+_REQUEST_EVENTS = f"""{SALE_REQUESTS}, {RESTOCK_REQUESTS},
+placed_lines AS (SELECT {_ID} AS id, CAST(l_shipdate AS DATE) AS day, l_orderkey AS order_id, l_linenumber AS line_no
+FROM lineitem),
+happened AS (SELECT TRY_CAST(NULLIF(product_id, '') AS BIGINT) AS product_id, day, order_id, line_no, 0 AS kind_rank,
+  'sale' AS kind, id AS ref, COALESCE(NULLIF({_leading_int('quantity_sold')}, 0), 1) AS n, CAST(NULL AS BIGINT) AS who,
+  CAST(NULL AS BIGINT) AS member_n, CAST(NULL AS DOUBLE) AS unit_cost
+FROM requests JOIN placed_lines USING (id)
+WHERE product_name <> '' AND quantity_sold <> '' AND sale_price IS NOT NULL AND product_id NOT IN ('', '0')
+UNION ALL SELECT CAST(product_id AS BIGINT), day, order_id, line_no, 1, 'restock', id,
+  COALESCE({_leading_int('quantity_added')}, 0), CASE WHEN member_id <> '' THEN {_leading_int('member_id')} END,
+  COALESCE({_leading_int('member_qty')}, 0), {_leading_float('cost_per_unit')}
+FROM restock_requests JOIN placed_lines USING (id) WHERE product_id <> '' AND quantity_added <> '')"""
+
+
+def _ledger(happened: str) -> str:
+    """Event-by-event walk; a void finds its sale's share by position."""
+    return f"""WITH RECURSIVE {PRODUCTS},
+{happened},
 placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY day, order_id, line_no, kind_rank) AS pos
 FROM happened),
-ev AS (SELECT v.product_id, v.day, v.order_id, v.line_no, v.kind, v.pos, COALESCE(v.n, s.n) AS n, v.who, v.member_n,
-  v.unit_cost, s.pos AS sale_pos FROM placed v LEFT JOIN placed s
+ev AS (SELECT v.product_id, v.day, v.order_id, v.line_no, v.kind, v.ref, v.pos, COALESCE(v.n, s.n) AS n, v.who,
+  v.member_n, v.unit_cost, s.pos AS sale_pos FROM placed v LEFT JOIN placed s
   ON v.kind = 'void' AND s.kind = 'sale' AND s.product_id = v.product_id AND s.ref = v.ref),
 walk AS (
 SELECT id AS product_id, CAST(0 AS BIGINT) AS pos, quantity AS q, COALESCE(member_qty, 0) AS m,
@@ -227,8 +245,9 @@ SELECT product_id, pos, nq,
     ELSE LEAST(nq, m + moved) END,
   COALESCE(who, CASE WHEN kind = 'restock' THEN NULLIF(new_who, 0) END),
   CASE WHEN kind <> 'restock' OR COALESCE(unit_cost, 0) = 0 THEN c
-    WHEN q > 0 AND COALESCE(c, 0) <> 0 THEN ((q * c) + (n * unit_cost)) / nq ELSE unit_cost END,
-  CASE WHEN nq = 0 THEN 'out_stock' WHEN nq <= 5 THEN 'low_stock' ELSE 'in_stock' END,
+    WHEN q > 0 AND COALESCE(c, 0) <> 0
+    THEN CASE WHEN nq <> 0 THEN ((q * c) + (n * unit_cost)) / nq END ELSE unit_cost END,
+  CASE WHEN nq = 0 OR (kind = 'restock' AND nq < 0) THEN 'out_stock' WHEN nq <= 5 THEN 'low_stock' ELSE 'in_stock' END,
   moved, list_append(shares, moved)
 FROM (SELECT e.product_id, e.pos, e.kind, e.n, e.member_n, e.unit_cost, e.who AS new_who, w.q, w.m, w.who, w.c, w.shares,
   CASE e.kind WHEN 'sale' THEN GREATEST(0, w.q - e.n) ELSE w.q + e.n END AS nq,
@@ -238,6 +257,8 @@ FROM (SELECT e.product_id, e.pos, e.kind, e.n, e.member_n, e.unit_cost, e.who AS
 """
 
 
+_LINES, _LINES_AND_VOIDS = _line_events(False), _line_events(True)
+
 _HISTORY = """SELECT e.product_id, e.day, e.order_id, e.line_no, e.kind,
   CASE WHEN e.kind <> 'restock' THEN w.moved END AS member_sold,
   CASE WHEN e.kind = 'sale' THEN e.n - w.moved END AS owner_sold,
@@ -415,10 +436,10 @@ UNION ALL SELECT 'product', CAST(id AS VARCHAR), 'Name required' FROM product_re
 UNION ALL SELECT 'member', CAST(id AS VARCHAR), 'Name required' FROM member_requests WHERE name = ''
 UNION ALL SELECT 'sale edit', id, 'Not found' FROM edits
   WHERE id NOT IN (SELECT id FROM sales WHERE product_id IS NOT NULL)""",
-    "ledger_state": _ledger(False) + _STATE,
-    "ledger_history": _ledger(False) + _HISTORY,
-    "ledger_void": _ledger(True) + _HISTORY,
-    "ledger_void_state": _ledger(True) + _STATE,
+    "ledger_state": _ledger(_LINES) + _STATE,
+    "ledger_history": _ledger(_LINES) + _HISTORY,
+    "ledger_void": _ledger(_LINES_AND_VOIDS) + _HISTORY,
+    "ledger_void_state": _ledger(_LINES_AND_VOIDS) + _STATE,
     "ledger_stored_void": _with(PRODUCTS, SALES)
     + """, back AS (SELECT product_id, SUM(quantity_sold) AS n FROM sales
   WHERE product_id IS NOT NULL AND payment_method IS NULL GROUP BY product_id),
@@ -434,15 +455,30 @@ SELECT p.id AS product_id, CAST(p.quantity + COALESCE(b.n, 0) AS BIGINT) AS quan
   CASE WHEN b.n IS NULL THEN p.stock WHEN p.quantity + b.n = 0 THEN 'out_stock'
     WHEN p.quantity + b.n <= 5 THEN 'low_stock' ELSE 'in_stock' END AS stock
 FROM products p LEFT JOIN back b ON b.product_id = p.id LEFT JOIN slack s ON s.product_id = p.id""",
-    "ledger_running_qty": _ledger(False)
+    "ledger_running_qty": _ledger(_LINES)
     + """SELECT e.product_id, e.day, e.order_id, e.line_no, e.kind, w.q AS running_quantity
 FROM ev e JOIN walk w ON w.product_id = e.product_id AND w.pos = e.pos""",
+    "record_sales": _ledger(_REQUEST_EVENTS)
+    + f""", typed AS (SELECT id, NULLIF(TRY_CAST(NULLIF(product_id, '') AS BIGINT), 0) AS product_id, product_name,
+  COALESCE(NULLIF({_leading_int('quantity_sold')}, 0), 1) AS quantity_sold,
+  CAST(COALESCE({_leading_float('sale_price')}, 0) AS DECIMAL(12,2)) AS sale_price,
+  CAST(COALESCE({_leading_float('cost_price')}, 0) AS DECIMAL(16,4)) AS cost_price,
+  NULLIF(payment_method, '') AS payment_method
+FROM requests WHERE product_name <> '' AND quantity_sold <> '' AND sale_price IS NOT NULL),
+sold AS (SELECT e.ref, w.who, w.moved, w.q FROM ev e JOIN walk w ON w.product_id = e.product_id AND w.pos = e.pos
+WHERE e.kind = 'sale')
+SELECT t.*, CAST((sale_price - cost_price) * quantity_sold AS DOUBLE) AS profit, who AS member_id,
+  COALESCE(moved, 0) AS member_qty_sold, q = 0 AS sold_out FROM typed t LEFT JOIN sold ON sold.ref = t.id""",
+    "record_products": _ledger(_REQUEST_EVENTS)
+    + f"SELECT s.product_id AS id, p.name, s.quantity, s.member_qty, s.member_id, s.cost_price, s.stock "
+    f"FROM ({_STATE}) s JOIN products p ON p.id = s.product_id",
     "import_slot": _SLOT,
     "extract_products": _EXTRACT.format(description="NULL"),
     "extract_products_static": _EXTRACT.format(description="''"),
     "extract_rejects": """SELECT doc_id AS page_id, 'Other' AS source, CAST(NULL AS DOUBLE) AS price,
   'Could not extract product info from this page.' AS reject_reason FROM documents WHERE text NOT LIKE '%<h1%'""",
-    "stream_ledger": _ledger(True) + _HISTORY,
+    "stream_ledger": _ledger(_LINES_AND_VOIDS) + _HISTORY,
+    "stream_extract": _EXTRACT.format(description="NULL"),
     "stream_slot": _SLOT,
     "stream_totals": _with(SALES) + _PRODUCT_SALES,
     "stream_expenses": _with(EXPENSES)

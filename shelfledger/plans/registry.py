@@ -13,7 +13,7 @@ from shelfledger.operators import catalog, ledger, maintenance, members, sales,
 from shelfledger.operators import validation as check
 from shelfledger.operators.extract import RENDERED, STATIC, checked_products
 from shelfledger.operators.filters import lookup_many
-from shelfledger.plans import pnl, product_pl
+from shelfledger.plans import pnl, product_pl, record
 from shelfledger.sources import requests as req
 from shelfledger.sources import retail_views as view
 from shelfledger.sources.tables import json_rows, keyed_json, row_count, seed_if_empty
@@ -377,7 +377,7 @@ def seed_if_empty_table(spark, d):
 @query
 def validate_sales(spark, d):
     valid = check.accepted(check.check_sales(req.sale_requests(spark, d)))
-    typed = check.normal_sales(valid)
+    typed = check.normal_sales(valid).drop("seq")
     return typed.withColumn("profit", F.col("profit").cast("double")).withColumn(
         "sold_at", F.to_date("sold_at")
     )
@@ -386,7 +386,8 @@ def validate_sales(spark, d):
 @query
 def validate_restocks(spark, d):
     valid = check.accepted(check.check_restocks(req.restock_requests(spark, d)))
-    return check.normal_restocks(valid).withColumn("restocked_at", F.to_date("restocked_at"))
+    typed = check.normal_restocks(valid).drop("seq")
+    return typed.withColumn("restocked_at", F.to_date("restocked_at"))
 
 
 @query
@@ -472,6 +473,25 @@ def ledger_running_qty(spark, d):
     return running.select("product_id", "day", "order_id", "line_no", "kind", "running_quantity")
 
 
+def _request_events(spark, d):
+    return record.request_events(req.sale_requests(spark, d), req.restock_requests(spark, d))
+
+
+@query
+def record_sales(spark, d):
+    """Raw sale and restock requests to sale rows."""
+    rows = record.recorded_sales(view.products(spark, d), _request_events(spark, d))
+    return rows.withColumn("profit", F.col("profit").cast("double")).drop("sold_at", "notes")
+
+
+@query
+def record_products(spark, d):
+    """The catalogue after the same requests."""
+    return record.next_products(view.products(spark, d), _request_events(spark, d)).select(
+        "id", "name", "quantity", "member_qty", "member_id", "cost_price", "stock"
+    )
+
+
 # --- import slot and pages ----------------------------------------------------------------
 
 
@@ -524,6 +544,13 @@ def stream_ledger(spark, d):
     return drain(history, "ledger").select(*_HISTORY)
 
 
+@query
+def stream_extract(spark, d):
+    """Pages extracted as they arrive."""
+    found = check.accepted(checked_products(_stream(spark, d, "pages"), RENDERED))
+    return drain(found, "products").drop("images")
+
+
 @query
 def stream_slot(spark, d):
     events = view.slot_events_of(_stream(spark, d, "events"))

@@ -14,9 +14,17 @@ _PRICE = "CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING)"
 _UNITS = "CAST(CAST(l_quantity AS BIGINT) AS STRING)"
 
 
+def _arrival(rank: int) -> str:
+    return (
+        "named_struct('day', CAST(l_shipdate AS DATE), 'order_id', l_orderkey, "
+        f"'line_no', l_linenumber, 'rank', {rank}) AS seq"
+    )
+
+
 def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star(spark, sf_dir, "lineitem").selectExpr(
         _LINE_ID,
+        _arrival(0),
         "CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE CAST(l_partkey AS STRING) END AS product_id",
         "CASE WHEN l_linenumber = 7 THEN '' ELSE concat('Part ', CAST(l_partkey AS STRING)) END"
         " AS product_name",
@@ -35,6 +43,7 @@ def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restock_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star(spark, sf_dir, "lineitem").selectExpr(
         _LINE_ID,
+        _arrival(1),
         "CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE CAST(l_partkey AS STRING) END AS product_id",
         "CASE WHEN l_linenumber <> 7 THEN concat('Part ', CAST(l_partkey AS STRING)) END"
         " AS product_name",
