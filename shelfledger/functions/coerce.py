@@ -1,7 +1,8 @@
 """Request-value coercion: lenient number parsing and the three kinds of default.
 
 All inputs are text columns taken from a request body. Nothing here raises on
-dirty text, whatever the ANSI setting.
+dirty text, whatever the ANSI setting. Empty text is turned to NULL before a
+cast, because a failing cast costs far more than a NULL one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ _FLOAT = rf"^[{WHITESPACE}]*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+
 def leading_int(text: Column) -> Column:
     """Integer at the start of the text (decimal or ``0x``), else NULL."""
     # One pattern finds the token; the rest works on a few characters.
-    token = F.lower(F.regexp_extract(text.cast("string"), _INT, 1))
+    token = empty_to_null(F.lower(F.regexp_extract(text.cast("string"), _INT, 1)))
     digits = F.substring_index(token, "x", -1)
     sign = F.when(token.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     # Longer hex runs do not fit a BIGINT and count as unreadable.
@@ -29,7 +30,7 @@ def leading_int(text: Column) -> Column:
 
 def leading_float(text: Column) -> Column:
     """Floating number at the start of the text, else NULL."""
-    return F.regexp_extract(text.cast("string"), _FLOAT, 1).try_cast("double")
+    return empty_to_null(F.regexp_extract(text.cast("string"), _FLOAT, 1)).try_cast("double")
 
 
 def int_or(text: Column, default: int | None) -> Column:
@@ -69,6 +70,11 @@ def flag(value: Column, kind: str = "string") -> Column:
     return is_truthy(value, kind).cast("int")
 
 
+def plain_number(text: Column, kind: str) -> Column:
+    """The whole text as a number, else NULL."""
+    return empty_to_null(F.trim(text)).try_cast(kind)
+
+
 def as_text(value: Column) -> Column:
     return value.cast("string")
 

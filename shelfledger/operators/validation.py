@@ -14,6 +14,7 @@ from shelfledger.functions.coerce import (
     is_truthy,
     leading_int,
     money,
+    plain_number,
     text_or,
 )
 
@@ -93,7 +94,7 @@ def normal_sales(rows: DataFrame) -> DataFrame:
     cost = float_or(F.col("cost_price"), 0.0)
     typed = rows.select(
         *_kept(rows, "id", "seq"),
-        F.nullif(F.trim("product_id").try_cast("bigint"), F.lit(0)).alias("product_id"),
+        F.nullif(plain_number(F.col("product_id"), "bigint"), F.lit(0)).alias("product_id"),
         "product_name",
         quantity.alias("quantity_sold"),
         money(price).alias("sale_price"),
@@ -110,7 +111,7 @@ def normal_restocks(rows: DataFrame) -> DataFrame:
     quantity = int_or(F.col("quantity_added"), 0)
     return rows.select(
         *_kept(rows, "id", "seq"),
-        F.trim("product_id").try_cast("bigint").alias("product_id"),
+        plain_number(F.col("product_id"), "bigint").alias("product_id"),
         text_or(F.col("product_name"), "").alias("product_name"),
         quantity.alias("quantity_added"),
         float_or(F.col("cost_per_unit"), None).alias("cost_per_unit"),
@@ -144,19 +145,19 @@ def normal_products(rows: DataFrame, now: Column | None = None) -> DataFrame:
         text_or(F.col("category"), "Other").alias("category"),
         empty_to_null(F.col("subcategory")).alias("subcategory"),
         empty_to_null(F.col("description")).alias("description"),
-        money(F.trim("price")).alias("price"),
+        plain_number(F.col("price"), "decimal(12,2)").alias("price"),
         text_or(F.col("price_unit"), "each").alias("price_unit"),
         empty_to_null(F.col("sku")).alias("sku"),
         text_or(F.col("source"), "Other").alias("source"),
         text_or(F.col("stock"), "in_stock").alias("stock"),
         F.coalesce(F.col("images"), F.array().cast("array<string>")).alias("images"),
         flag(F.col("featured")).alias("featured"),
-        F.coalesce(F.trim("sort_order").try_cast("int"), F.lit(0)).alias("sort_order"),
+        F.coalesce(plain_number(F.col("sort_order"), "int"), F.lit(0)).alias("sort_order"),
         int_or(F.col("quantity"), 0).alias("quantity"),
         empty_to_null(F.col("source_url")).alias("source_url"),
-        F.trim("cost_price").try_cast("double").alias("cost_price"),
-        F.trim("coverage_sqft").try_cast("double").alias("coverage_sqft"),
-        F.trim("member_id").try_cast("bigint").alias("member_id"),
+        plain_number(F.col("cost_price"), "double").alias("cost_price"),
+        plain_number(F.col("coverage_sqft"), "double").alias("coverage_sqft"),
+        plain_number(F.col("member_id"), "bigint").alias("member_id"),
         int_or(F.col("member_qty"), 0).alias("member_qty"),
         stamp.alias("updated_at"),
     )
