@@ -38,9 +38,8 @@ def product_documents(products: DataFrame, sales: DataFrame, restocks: DataFrame
     """Summary, sales and restocks of every product, one JSON entry per row.
 
     ``section`` names the part of the document and ``happened_at`` orders its
-    entries,
-    newest first. A product's history stays spread over rows because one
-    product may hold a large share of the ledger.
+    entries, newest first. A product's history stays spread over rows because
+    one product may hold a large share of the ledger.
     """
     no_time = F.lit(None).cast("timestamp_ntz")
     summary = product_pl(products, sales)

@@ -112,7 +112,7 @@ def settings_upsert(spark, d):
     )
     first = maintenance.latest(writes.where("event_type = 'signup'"), "key", ["ts", "seq"])
     rest = writes.where("event_type IN ('purchase', 'error')")
-    later = check.normal_settings(rest).withColumn("key", F.col("key"))
+    later = check.normal_settings(rest)
     return maintenance.upsert(first.select("key", "value"), later, "key", ["seq"])
 
 

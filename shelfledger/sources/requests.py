@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfledger.sources.retail_views import _LINE_ID, star
+from shelfledger.sources.retail_views import LINE_ID, star
 
 _PRICE = "CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS STRING)"
 _UNITS = "CAST(CAST(l_quantity AS BIGINT) AS STRING)"
@@ -23,7 +23,7 @@ def _arrival(rank: int) -> str:
 
 def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star(spark, sf_dir, "lineitem").selectExpr(
-        _LINE_ID,
+        LINE_ID,
         _arrival(0),
         "CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE CAST(l_partkey AS STRING) END AS product_id",
         "CASE WHEN l_linenumber = 7 THEN '' ELSE concat('Part ', CAST(l_partkey AS STRING)) END"
@@ -42,7 +42,7 @@ def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def restock_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star(spark, sf_dir, "lineitem").selectExpr(
-        _LINE_ID,
+        LINE_ID,
         _arrival(1),
         "CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE CAST(l_partkey AS STRING) END AS product_id",
         "CASE WHEN l_linenumber <> 7 THEN concat('Part ', CAST(l_partkey AS STRING)) END"
@@ -110,7 +110,7 @@ def sale_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*", "explode(CASE WHEN l_linenumber > 3 THEN array(1L, 2L) ELSE array(1L) END) AS seq"
     )
     return sent.selectExpr(
-        _LINE_ID,
+        LINE_ID,
         "seq",
         "CASE WHEN seq = 2 THEN CASE WHEN l_linenumber = 4 THEN '0' ELSE '99.5 each' END "
         f"ELSE {_PRICE} END AS sale_price",

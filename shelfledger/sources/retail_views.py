@@ -62,7 +62,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE)) AS id"
+LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE)) AS id"
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sales_of(lines: DataFrame, member_keys: Column | int) -> DataFrame:
     member = F.when(F.expr("l_partkey % 3 = 0"), F.col("l_partkey") % member_keys)
     priced = lines.where("l_returnflag <> 'R'").select(
-        F.expr(_LINE_ID),
+        F.expr(LINE_ID),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
         F.expr("CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE l_partkey END").alias("product_id"),
@@ -103,7 +103,7 @@ def restocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = star(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     member = F.when(F.expr("l_partkey % 4 = 0"), F.col("l_partkey") % _member_keys(spark, sf_dir))
     return lines.select(
-        F.expr(_LINE_ID),
+        F.expr(LINE_ID),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("product_id"),
