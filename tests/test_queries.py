@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from compare import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import ORACLE, QUERIES, entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -17,14 +17,14 @@ def sql():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry_has_rows(spark):
     assert not entry(spark).isEmpty()
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_")])
 def test_query(spark, sql, name):
-    extra, missing, _ = compare(spark, sql, queries()[name], oracle_sql()[name], SF)
+    extra, missing, _ = compare(spark, sql, QUERIES[name], ORACLE[name], SF)
     assert not extra and not missing
