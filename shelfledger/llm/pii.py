@@ -249,9 +249,8 @@ def listed(spans: Column) -> Column:
 
 def personal_report(docs: DataFrame) -> DataFrame:
     """Counts per kind and digests of the base spans, with all spans listed."""
-    counts = [
-        F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)
-    ]
+    of_kind = lambda i: lambda s: s["kind"] == i
+    counts = [F.size(F.filter("base", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return find_personal(docs).select(
         "doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
     )
