@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +56,8 @@ def _constant(text: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
 def assemble(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Turn offsets, bytes, and the byte range of every turn's text."""
     n = len(roles)
-    role = pa.compute.replace_substring(pa.compute.fill_null(roles.cast(pa.string()), ""), "\\", "\\\\")
-    role = pa.compute.replace_substring(pa.compute.replace_substring(role, "<", "\\<"), "\n", "\\n")
+    role = pc.replace_substring(pc.fill_null(roles.cast(pa.string()), ""), "\\", "\\\\")
+    role = pc.replace_substring(pc.replace_substring(role, "<", "\\<"), "\n", "\\n")
     segments = [_constant(OPEN, n), bytes_of(role), _constant(BREAK, n), _escaped(*bytes_of(texts)), _constant(CLOSE, n)]
     lengths = np.stack([np.diff(o) for o, _ in segments])
     ends = np.concatenate([[0], np.cumsum(lengths.sum(axis=0))])
