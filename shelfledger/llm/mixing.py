@@ -113,7 +113,7 @@ def _repetitions(place: Column) -> Column:
 def mix_report(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken."""
     measured = stage(measure(docs, seed), "mix-sizes")
-    sources = plan(measured, weights, max_epochs).withColumnRenamed("source", "of")
+    sources = stage(plan(measured, weights, max_epochs), "mix-plan").withColumnRenamed("source", "of")
     return measured.join(sources, F.col("source").eqNullSafe(F.col("of"))).select(
         "doc_id", "size", "source_size", "target", (_repetitions(F.col("place")) * F.col("size")).alias("taken")
     )
