@@ -1,12 +1,12 @@
 """Byte-level BPE with every distinct word encoded once.
 
 Texts are cut into pre-tokens in blocks of whole documents. A block lists its
-distinct words and, for every document, the word at each position. Words are
-dealt out over the cluster by word, each distinct one is encoded once, and its
-ids return to the blocks that asked for it, where documents are put together by
-position. A frequent word thus travels once per block and not once per
-occurrence. The dealt-out blocks feed both the words and the reassembly; Spark
-computes that exchange once.
+distinct words, dealt into buckets by a hash, and for every document the word at
+each position. One exchange brings a bucket's words from all blocks together,
+where each distinct one is encoded once, and takes the positions to where their
+block is put together; a second one brings the ids back to the blocks. A
+frequent word thus travels once per block and not once per occurrence, and lists
+of words, ids and positions travel packed.
 
 Decoding joins ids with the table of token bytes. That table has one row per
 token of the vocabulary, about 50,000, so it goes to the tasks as two arrays.
@@ -22,6 +22,8 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 #: A block is closed at so many distinct words or pre-tokens.
 BLOCK_WORDS, BLOCK_TOKENS = 250_000, 4_000_000
-BLOCKS = "block long, words array<string>, doc_ids array<long>, codes array<binary>"
-IDS = "block long, word int, ids array<int>"
+#: Rows of the first exchange: the positions of a block, or its words in one bucket.
+POSITIONS, WORDS = 0, 1
+DEALT = "to long, kind int, block long, bucket int, payload binary, uses binary, doc_ids array<long>, sizes array<long>"
+IDS = "to long, bucket int, payload binary"
 ENCODED = "doc_id long, n_tokens long, ids array<int>"
 
 
@@ -78,10 +82,10 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _packed(codes: np.ndarray) -> bytes:
+def _packed(numbers: np.ndarray) -> bytes:
     """Small numbers in few bytes: the bytes of one place together, then compressed."""
-    places = codes.astype("<i4").view(np.uint8).reshape(-1, 4).T
-    return len(codes).to_bytes(8, "little") + pa.compress(places.tobytes(), codec="zstd", asbytes=True)
+    places = numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T
+    return len(numbers).to_bytes(8, "little") + pa.compress(places.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -90,97 +94,138 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(places.T).view("<i4").ravel()
 
 
-def _cut(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[pa.RecordBatch]:
+def _packed_words(words: list[bytes]) -> bytes:
+    lengths = _packed(np.array([len(w) for w in words], np.int32))
+    return len(lengths).to_bytes(8, "little") + lengths + pa.compress(b"".join(words), codec="zstd", asbytes=True)
+
+
+def _unpacked_words(data: bytes) -> list[bytes]:
+    n = int.from_bytes(data[:8], "little")
+    ends = np.cumsum(_unpacked(data[8 : 8 + n]), dtype=np.int64).tolist()
+    joined = pa.decompress(data[8 + n :], ends[-1] if ends else 0, codec="zstd", asbytes=True)
+    return [joined[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _packed_lists(lists: list[list[int]]) -> bytes:
+    lengths = _packed(np.array([len(x) for x in lists], np.int32))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32)
+    return len(lengths).to_bytes(8, "little") + lengths + _packed(flat)
+
+
+def _unpacked_lists(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    return _unpacked(data[8 : 8 + n]), _unpacked(data[8 + n :])
+
+
+class _Block:
+    """Documents that are packed together."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.doc_ids: list[int | None] = []
+        self.codes: list[np.ndarray] = []
+        self.tokens = 0
+
+    def add(self, doc_id: int | None, found: list[str]) -> None:
+        known = self.known
+        self.codes.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
+        self.doc_ids.append(doc_id)
+        self.tokens += len(found)
+
+    def full(self) -> bool:
+        return self.tokens >= BLOCK_TOKENS or len(self.known) >= BLOCK_WORDS
+
+    def rows(self, place: tuple, buckets: int) -> Iterator[tuple]:
+        """The DEALT rows. Words are in the order of (bucket, word); a position holds
+        the rank of its word by frequency, which packs well."""
+        words = [w.encode() for w in self.known]
+        bucket = [crc32(w) % buckets for w in words]
+        order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
+        codes = np.concatenate([*self.codes, np.empty(0, np.int32)])
+        uses = np.bincount(codes, minlength=len(words))[order] if len(words) else np.empty(0, np.int64)
+        rank = np.empty(len(words), np.int32)
+        rank[order[np.argsort(-uses, kind="stable")]] = np.arange(len(words), dtype=np.int32)
+        payload = _packed(rank[codes] if len(words) else codes)
+        mark = hashlib.blake2b(repr((place, self.doc_ids[:1], self.doc_ids[-1:], self.tokens)).encode() + payload, digest_size=8)
+        # Blocks take the numbers below 0 and buckets those from 0.
+        block = int.from_bytes(mark.digest(), "little") % (1 << 63) - (1 << 63)
+        yield block, POSITIONS, block, 0, payload, _packed(uses), self.doc_ids, [len(c) for c in self.codes]
+        in_order = [words[i] for i in order]
+        held = np.array(bucket, np.int64)[order] if words else np.empty(0, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(held)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                yield int(held[a]), WORDS, block, int(held[a]), _packed_words(in_order[a:b]), None, None, None
+
+
+def _cut(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Iterator[pa.RecordBatch]:
     find = regex.compile(pattern).findall
     schema = pa.schema(
-        [("block", pa.int64()), ("words", pa.list_(pa.string())), ("doc_ids", pa.list_(pa.int64())), ("codes", pa.list_(pa.binary()))]
-    )
-    known: dict[str, int] = {}
-    doc_ids: list = []
-    codes: list[np.ndarray] = []
-    tokens, made = 0, 0
+        [("to", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()),
+         ("uses", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
+    )
+    block, made = _Block(), 0
 
     def closed() -> pa.RecordBatch:
-        nonlocal known, doc_ids, codes, tokens, made
-        # Frequent words get small numbers, which pack well.
-        uses = np.bincount(np.concatenate([*codes, np.empty(0, np.int32)]), minlength=len(known))
-        order = np.argsort(-uses, kind="stable")
-        number = np.empty(len(order), np.int32)
-        number[order] = np.arange(len(order), dtype=np.int32)
-        texts = list(known)
-        words = [texts[i] for i in order]
-        mark = hashlib.blake2b(repr((made, doc_ids[:1], doc_ids[-1:], tokens, words[:8], words[-8:])).encode(), digest_size=8)
-        row = [int.from_bytes(mark.digest(), "little", signed=True)], [words], [doc_ids], [[_packed(number[c]) for c in codes]]
-        known, doc_ids, codes, tokens, made = {}, [], [], 0, made + 1
-        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+        columns = zip(*block.rows((made,), buckets), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = find(text.as_py() or "")
-            codes.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found)))
-            doc_ids.append(doc_id)
-            tokens += len(found)
-            if tokens >= BLOCK_TOKENS or len(known) >= BLOCK_WORDS:
+            block.add(doc_id, find(text.as_py() or ""))
+            if block.full():
                 yield closed()
-    if doc_ids:
+                block, made = _Block(), made + 1
+    if block.doc_ids:
         yield closed()
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, block, word) of the words that blocks list."""
-    for batch in batches:
-        words = batch.column(1)
-        counts = np.diff(words.offsets.to_numpy())
-        text = words.flatten()
-        block = np.repeat(batch.column(0).to_numpy(), counts)
-        number = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-        yield pa.RecordBatch.from_arrays(
-            [text, pa.array(block), pa.array(number.astype(np.int32))], names=["text", "block", "word"]
-        )
-
-
 def _encode_words(batches: Iterator[pa.RecordBatch], ranks_path: str) -> Iterator[pa.RecordBatch]:
-    """Ids for words that come sorted; equal ones are encoded once."""
+    """Ids for the words of each bucket; rows come sorted by bucket, and an equal word is encoded once."""
     ranks = read_ranks(ranks_path)
-    last, ids = None, None
+    bucket, known = None, {}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        texts = batch.column(0).dictionary_encode()
-        by_word = []
-        for word in texts.dictionary.to_pylist():
-            if word != last:
-                last, ids = word, merge(word.encode(), ranks)
-            by_word.append(ids)
-        values = pa.array(by_word, pa.list_(pa.int32())).take(texts.indices)
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), values], names=["block", "word", "ids"])
+        out: tuple[list, list, list] = ([], [], [])
+        rows = zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("kind", "block", "bucket", "payload")), strict=True)
+        for kind, block, own, payload in rows:
+            if kind.as_py() != WORDS:
+                continue
+            if own.as_py() != bucket:
+                bucket, known = own.as_py(), {}
+            lists = []
+            for word in _unpacked_words(payload.as_py()):
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = merge(word, ranks)
+                lists.append(ids)
+            for column, value in zip(out, (block.as_py(), bucket, _packed_lists(lists)), strict=True):
+                column.append(value)
+        types = (pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["to", "bucket", "payload"])
 
 
 def _assemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
     """Documents of one block from the ids of its words."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    held = words.combine_chunks()
-    number = held.column("word").to_numpy()
-    lists = held.column("ids").combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
-    flat, lengths = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    lists = [_unpacked_lists(p) for p in words.sort_by("bucket").column("payload").to_pylist()]
+    lengths = np.concatenate([*(n for n, _ in lists), np.empty(0, np.int32)]).astype(np.int64)
+    flat = np.concatenate([*(f for _, f in lists), np.empty(0, np.int32)])
     starts = np.cumsum(lengths) - lengths
-    place = np.empty(len(number), np.int64)
-    place[number] = np.arange(len(number))
-
-    doc_ids, sizes, out = [], [], []
-    for ids, codes in zip(blocks.column("doc_ids").to_pylist(), blocks.column("codes"), strict=True):
-        for doc_id, packed in zip(ids, codes.values, strict=True):
-            at = place[_unpacked(packed.as_py())]
-            n = lengths[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(flat[np.arange(total) + np.repeat(starts[at] - (ends - n), n)])
-            doc_ids.append(doc_id)
-            sizes.append(total)
-    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32)
-    values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*out, np.empty(0, np.int32)])))
-    return pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(sizes, pa.int64()), values], schema=schema)
+    tables = []
+    for payload, uses, doc_ids, sizes in zip(
+        *(blocks.column(n).to_pylist() for n in ("payload", "uses", "doc_ids", "sizes")), strict=True
+    ):
+        by_rank = np.argsort(-_unpacked(uses), kind="stable")
+        if len(by_rank) != len(lengths):
+            raise ValueError("a block and its words do not belong together")
+        at = by_rank[_unpacked(payload)]
+        n = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(ends[-1]) + np.repeat(starts[at] - ends[:-1], n)]
+        offsets = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+        listed = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+        tables.append(pa.Table.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.diff(offsets)), listed], schema=schema))
+    return pa.concat_tables(tables) if tables else schema.empty_table()
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -190,11 +235,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = rows.mapInArrow(partial(_cut, pattern=pattern), BLOCKS).repartition(parts, "block")
-    words = blocks.mapInArrow(_words, "text string, block long, word int")
-    dealt = words.repartition(parts, "text").sortWithinPartitions("text")
-    ids = dealt.mapInArrow(partial(_encode_words, ranks_path=ranks_path), IDS)
-    return blocks.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_assemble, ENCODED)
+    dealt = rows.mapInArrow(partial(_cut, pattern=pattern, buckets=parts), DEALT).repartition(parts, "to")
+    encode_words = partial(_encode_words, ranks_path=ranks_path)
+    ids = dealt.sortWithinPartitions("to").mapInArrow(encode_words, IDS)
+    # Spark computes the exchange once for both its readers if neither pushes a
+    # filter below it, hence a condition that is not deterministic in form.
+    blocks = dealt.where(F.expr(f"kind + CAST(rand() AS INT) = {POSITIONS}"))
+    return blocks.groupBy("to").cogroup(ids.groupBy("to")).applyInArrow(_assemble, ENCODED)
 
 
 def token_bytes(ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
