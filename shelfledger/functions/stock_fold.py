@@ -70,6 +70,9 @@ class Stock:
         else:
             self.cost = unit_cost
 
+    def hangs_on_start(self) -> None:
+        """Called where what follows depends on the first state in a way that is not traced."""
+
     def void(self, units: int, member_units: int) -> None:
         if not self.known:
             return
@@ -81,26 +84,49 @@ class Stock:
 class TracedStock(Stock):
     """Stock that also records how its result hangs on the state it started from.
 
-    ``shifted`` stays true while the member quantity only moved by amounts that
-    do not depend on it; the final cost is ``scale * first cost + offset``.
+    While ``exact``, the final member quantity is ``min(first + added, cap)`` for
+    any first one between 0 and the quantity; the final cost is ``scale * first
+    cost + offset``. ``touched`` says whether any event wrote the stock band.
     """
 
-    __slots__ = ("shifted", "scale", "offset")
+    __slots__ = ("added", "cap", "exact", "touched", "scale", "offset")
+
+    _FREE = 1 << 62
 
     def __init__(self):
         super().__init__()
-        self.shifted, self.scale, self.offset = True, 1.0, 0.0
+        self.added, self.cap, self.exact, self.touched = 0, self._FREE, True, False
+        self.scale, self.offset = 1.0, 0.0
+
+    def hangs_on_start(self):
+        self.exact = False
+
+    def _add(self, member_units: int) -> None:
+        self.added += member_units
+        if self.cap != self._FREE:
+            self.cap += member_units
 
     def sell(self, units):
-        before = self.member_qty
+        if not 0 <= self.member_qty <= self.quantity:
+            self.exact = False
         member_units = super().sell(units)
-        if self.member_qty != before:
-            self.shifted = False
+        if self.known:
+            self.touched = True
+            if self.member_id:
+                # Own units go first, so the member keeps what the rest leaves room for.
+                self.cap = min(self.cap, self.quantity)
         return member_units
 
     def restock(self, units, member_units, member_id, unit_cost):
         before, averaged = self.quantity, bool(self.cost)
         super().restock(units, member_units, member_id, unit_cost)
+        if not self.known:
+            return
+        self.touched = True
+        added = min(member_units, units)
+        if added < 0:
+            self.exact = False
+        self._add(added)
         if unit_cost and before > 0 and averaged and self.quantity:
             kept = before / self.quantity
             self.scale *= kept
@@ -109,7 +135,8 @@ class TracedStock(Stock):
             self.scale, self.offset = 0.0, self.cost or 0.0
 
     def void(self, units, member_units):
-        expected = self.member_qty + member_units
         super().void(units, member_units)
-        if self.member_qty != expected:
-            self.shifted = False
+        if self.known:
+            self.touched = True
+            self._add(member_units)
+            self.cap = min(self.cap, self.quantity)

@@ -5,6 +5,9 @@ Events: ``product_id``, the order columns, ``kind`` (sale, restock, void),
 ``member_id``/``member_n``/``unit_cost`` of a restock. A void of a sale from an
 earlier batch carries that sale's ``n`` and ``member_n`` (see
 :func:`resolve_voids`); a void of a sale in the same batch leaves ``n`` NULL.
+Which voids take effect is settled by :func:`link_voids` before anything is
+split, so products of any size follow the same rule. Unit costs are given out
+at :data:`COST_STEP`.
 
 The product's row joins its events as an opening event, so one shuffle on the
 product brings together all that the fold needs, and products without events and
@@ -16,9 +19,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from shelfledger.functions.stock_fold import Stock, TracedStock
 from shelfledger.operators.ordered import (
@@ -26,8 +29,10 @@ from shelfledger.operators.ordered import (
     HOT_ROWS,
     before_here,
     block_window,
+    count_keys,
     cut_blocks,
     ordered_window,
+    split_counted,
     split_hot,
     up_to_here,
 )
@@ -38,8 +43,14 @@ _STATE_NAMES = STOCK.names
 _FINAL_NAMES = FINAL.names
 _BLOCK_KEY = ["product_id", BLOCK]
 _OPEN = "_open"
-_CROSSED = "_crossed"
-_INPUTS = ["kind", "ref", "n", "member_id", "member_n", "unit_cost"]
+_LINK = "_link"
+# What a void takes back: the units, whether the member share is that of a sale
+# in the same group, and the share otherwise.
+_TAKEN = {"_takes": "bigint", "_borrows": "boolean", "_share": "bigint"}
+_INPUTS = ["kind", "ref", "n", "member_id", "member_n", "unit_cost", *_TAKEN]
+# The average cost depends on the order of its roundings below this step.
+COST_STEP = 1e-6
+_STEPPED_BELOW = 1e9
 
 
 def restock_events(restocks: DataFrame) -> DataFrame:
@@ -84,6 +95,44 @@ def resolve_voids(events: DataFrame, stored_sales: DataFrame) -> DataFrame:
     return events.where(~void).unionByName(resolved.select(*events.columns))
 
 
+def link_voids(typed: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Adds what each void takes back; NULL ``_takes`` for one without effect.
+
+    Voids and sales meet by (product, ref), of the sales only those that a void
+    names. After a sale its first void takes effect, with the sale's units;
+    before any sale the first void that carries units does, with those. All
+    later voids of the same sale, and voids that name no sale, have no effect.
+    """
+    key = ["product_id", "ref"]
+    void, named = F.col("kind") == "void", F.col("product_id").isNotNull() & F.col("ref").isNotNull()
+    nothing = {name: F.lit(None).cast(kind) for name, kind in _TAKEN.items()}
+    voids = typed.where(void & named)
+    sold = typed.where("kind = 'sale'").join(voids.select(*key), key, "left_semi").select(*typed.columns)
+    here = up_to_here(Window.partitionBy(*key).orderBy(*order))
+    units = F.when(F.col("kind") == "sale", F.coalesce("n", F.lit(0)))
+    met = voids.unionByName(sold).withColumns(
+        {"_sales": F.count(units).over(here), "_units": F.last(units, ignorenulls=True).over(here)}
+    )
+    usable = void & ((F.col("_sales") > 0) | F.col("n").isNotNull())
+    turn = up_to_here(Window.partitionBy(*key, "_sales").orderBy(*order))
+    first = usable & (F.count_if(usable).over(turn) == 1)
+    linked = met.withColumn("_first", first).where(void).withColumns(
+        {
+            "_takes": F.when(F.col("_first"), F.coalesce("_units", "n")),
+            "_borrows": F.col("_first") & (F.col("_sales") > 0),
+            "_share": F.when(F.col("_first") & (F.col("_sales") == 0), F.coalesce("member_n", F.lit(0))),
+        }
+    )
+    rest = typed.where(~F.coalesce(void & named, F.lit(False))).withColumns(nothing)
+    return rest.unionByName(linked.select(*rest.columns))
+
+
+def shown_cost(cost: Column) -> Column:
+    """A unit cost at :data:`COST_STEP`; larger ones have no digits below it worth keeping."""
+    stepped = F.floor(cost / COST_STEP + 0.5) * COST_STEP
+    return F.when(F.abs(cost) < _STEPPED_BELOW, stepped).otherwise(cost)
+
+
 def openings(products: DataFrame) -> DataFrame:
     cost = F.col("cost_price").cast("double")
     return products.select(
@@ -118,8 +167,8 @@ def _fold(rows: DataFrame, order: Sequence[str], history: bool) -> DataFrame:
 
 
 def _read_columns(group: list[str]) -> list[str]:
-    """Columns the fold reads besides the opening state; blocks also mark crossed sales."""
-    return [*group, *_INPUTS, *([_CROSSED] if BLOCK in group else [])]
+    """Columns the fold reads besides the opening state; blocks also mark linked sales."""
+    return [*group, *_INPUTS, *([_LINK] if BLOCK in group else [])]
 
 
 class _Walk:
@@ -134,24 +183,23 @@ class _Walk:
         self.stock = self.make_stock()
         self.shares = {}
 
-    def apply(self, kind, ref, n, member_id, member_n, unit_cost, opening):
+    def apply(self, kind, ref, n, member_id, member_n, unit_cost, takes, borrows, share, opening):
         """Member units moved and whether the event took effect."""
         stock = self.stock
         if kind == "sale":
-            sold = stock.sell(n or 0)
-            self.shares[ref] = (n or 0, sold)
+            sold = self.shares[ref] = stock.sell(n or 0)
             return sold, True
         if kind == "restock":
             stock.restock(n or 0, member_n or 0, member_id, unit_cost)
             return 0, True
         if kind == "void":
-            given = (n, member_n or 0) if n is not None else None
-            taken = self.shares.get(ref, given)
-            self.shares[ref] = None
-            if taken is None:
+            if takes is None:
                 return 0, False
-            stock.void(*taken)
-            return taken[1], True
+            if borrows:
+                share = self.shares.get(ref, 0)
+                stock.hangs_on_start()
+            stock.void(takes, share)
+            return share, True
         stock.open(*opening.values())
         return 0, True
 
@@ -204,7 +252,7 @@ def _state_of(group: list[str]):
     width, event = len(group), len(group) + len(_INPUTS)
     names = [*_read_columns(group), _OPEN]
     types = [pa.int64(), pa.int32()][:width] + [
-        pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(),
+        pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(),
         pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.string(), pa.int64(),
     ]
     no_state = (None,) * len(FINAL)
@@ -212,7 +260,8 @@ def _state_of(group: list[str]):
     def final(walk: _Walk) -> tuple:
         s = walk.stock
         state = (s.quantity, s.member_qty, s.member_id, s.cost, s.stock)
-        return (*walk.group, *state, s.known, s.shifted, s.scale, s.offset, None, None)
+        traced = (s.known, s.added, s.cap, s.exact, s.touched, s.scale, s.offset)
+        return (*walk.group, *state, *traced, None, None)
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [[]] * len(types)
@@ -230,8 +279,9 @@ def _state_of(group: list[str]):
                     walk.enter(row[:width])
                     started = True
                 moved, _ = walk.apply(*row[width:event], row[-1])
-                if width == 2 and row[event]:
-                    done.append((*walk.group, *no_state, row[width + 1], moved))
+                if width == 2 and row[event] and row[width] == "sale":
+                    walk.stock.hangs_on_start()
+                    done.append((*walk.group, *no_state, row[event], moved))
             yield table(done)
         if started:
             yield table([final(walk)])
@@ -253,29 +303,37 @@ def typed_events(events: DataFrame) -> DataFrame:
     return events.select(*read, *passed)
 
 
+def _split(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int):
+    """Typed events with their voids linked, split into ordinary and hot products, and the openings."""
+    typed = typed_events(events)
+    owned = typed.where(F.col("product_id").isNotNull())
+    counts = count_keys(owned, "product_id", hot_rows, F.col("kind") == "void")
+    if counts.marked:
+        owned = link_voids(owned, order)
+    else:
+        owned = owned.withColumns({name: F.lit(None).cast(kind) for name, kind in _TAKEN.items()})
+    return typed, split_counted(owned, "product_id", counts), openings(products)
+
+
 def ledger_state(
     products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """State of every product after its events."""
-    events = typed_events(events).where(F.col("product_id").isNotNull())
-    split = split_hot(events, "product_id", hot_rows)
-    opened = openings(products)
+    _, split, opened = _split(products, events, order, hot_rows)
     rows = split.cold.unionByName(
         split.cold_of(opened, "product_id"), allowMissingColumns=True
     )
     final = _fold(rows, order, history=False).select("product_id", *_FINAL_NAMES)
     if split.hot is not None:
-        _, _, ends = _settle_blocks(split, opened, order, hot_rows)
-        last = ends.groupBy("product_id").agg(
-            F.max_by(F.struct(*_FINAL_NAMES), BLOCK).alias("_last")
-        )
+        _, settled = _settle_blocks(split, opened, order, hot_rows)
+        last = settled.groupBy("product_id").agg(F.max_by("_end", BLOCK).alias("_last"))
         final = final.unionByName(last.select("product_id", "_last.*"))
     return final.where("known").select(
         "product_id",
         "quantity",
         "member_qty",
         F.col("current_member").alias("member_id"),
-        "cost_price",
+        shown_cost(F.col("cost_price")).alias("cost_price"),
         "stock",
     )
 
@@ -287,21 +345,16 @@ def ledger_history(
 
     The state is NULL for an event whose product is unknown or NULL.
     """
-    typed = typed_events(events)
+    typed, split, opened = _split(products, events, order, hot_rows)
     names = typed.columns + HISTORY.names
-    split = split_hot(typed.where(F.col("product_id").isNotNull()), "product_id", hot_rows)
-    opened = openings(products)
     rows = split.cold.unionByName(
         split.cold_of(opened, "product_id"), allowMissingColumns=True
     )
     result = _fold(rows, order, history=True).select(*names).unionByName(loose_history(typed).select(*names))
     if split.hot is not None:
-        blocks, starts, _ = _settle_blocks(split, opened, order, hot_rows)
-        replayed = _fold(_started(blocks, starts), order, history=True)
-        # A void keeps the units it was sent with.
-        sent = {"n": F.col("_sent_n"), "member_n": F.col("_sent_member_n")}
-        result = result.unionByName(replayed.withColumns(sent).select(*names))
-    return result
+        blocks, settled = _settle_blocks(split, opened, order, hot_rows)
+        result = result.unionByName(_fold(_started(blocks, settled), order, history=True).select(*names))
+    return result.withColumn("cost_price", shown_cost(F.col("cost_price")))
 
 
 def loose_history(typed: DataFrame) -> DataFrame:
@@ -328,20 +381,20 @@ def _started(blocks: DataFrame, starts: DataFrame) -> DataFrame:
 
 def _settle_blocks(
     split, opened: DataFrame, order: Sequence[str], hot_rows: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Blocks of the hot products with the states each block starts and ends in.
+) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the hot products, and the state each block starts and ends in.
 
     Quantity and member are exact at once, from block totals. Member quantity
-    and cost start from a guess; all blocks are folded side by side, and the
-    state each one ends with is handed to the next. Blocks whose start was
-    wrong are folded again until none is left, and then every block has been
-    folded from what the block before it ended with, exactly as in one pass.
-    The same goes for the member units that a void takes from another block. A
-    block that sells out or is restocked ends the same from any start, so a few
-    rounds are usual; each settles at least the next block for good.
+    and cost start from a guess, and all blocks are folded side by side. The
+    fold also finds how a block's end hangs on its start: the member quantity
+    as ``min(start + added, cap)``, the cost as ``scale * start + offset``. One
+    walk over these, a small row per block, gives every start; no block is
+    folded again for a wrong guess. Only a block that takes back sales folds
+    again when its start or a share from another block has changed, since a
+    share is no such function; that is repeated until nothing changes.
     """
     cut = cut_blocks(split.hot, split.hot_rows, "product_id", order, hot_rows)
-    blocks, crossing = _link_voids(cut, order)
+    blocks, crossing = _link_blocks(cut, order)
     starts = stage(_first_starts(blocks, split.hot_of(opened, "product_id"), order), "starts")
     shares = stale = results = None
     while True:
@@ -354,105 +407,89 @@ def _settle_blocks(
             kept = results.join(stale, _BLOCK_KEY, "left_anti")
             folded = stage(kept.unionByName(folded), "folded")
         results = folded
-        ends = results.where(F.col("ref").isNull())
-        passed = stage(_hand_over(starts, ends), "starts")
-        wrong = _changed(passed, starts, _BLOCK_KEY, _STATE_NAMES)
+        settled = stage(_hand_over(starts, results.where(F.col(_LINK).isNull())), "settled")
+        wrong = settled.where("_again").select(*_BLOCK_KEY)
         if crossing is not None:
             found = stage(_shares_of(results), "shares")
             wrong = wrong.union(_with_wrong_share(crossing, found, shares)).distinct()
         stale = stage(wrong, "stale")
         if stale.isEmpty():
-            return current, starts, ends
-        starts = passed
+            return current, settled
+        # Starts of the blocks that stay are those they were folded from.
+        starts = _next_starts(starts, settled, stale)
         if crossing is not None:
             shares = found
 
 
-def _changed(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """Keys whose values differ."""
-    other = right.select(*keys, F.struct(*values).alias("_other"))
-    both = left.select(*keys, F.struct(*values).alias("_mine")).join(other, keys)
-    return both.where(~F.col("_mine").eqNullSafe(F.col("_other"))).select(*keys)
+def _next_starts(starts: DataFrame, settled: DataFrame, stale: DataFrame) -> DataFrame:
+    kept = starts.join(stale, _BLOCK_KEY, "left_anti")
+    again = settled.join(stale, _BLOCK_KEY, "left_semi").select(*starts.columns)
+    return stage(kept.unionByName(again), "starts")
 
 
 def _shares_of(results: DataFrame) -> DataFrame:
-    taken = results.where(F.col("ref").isNotNull())
-    return taken.groupBy("product_id", "ref").agg(F.max("member_sold").alias("_share"))
+    taken = results.where(F.col(_LINK).isNotNull())
+    return taken.select("product_id", _LINK, F.col("member_sold").alias("_found"))
 
 
 def _with_wrong_share(crossing: DataFrame, found: DataFrame, used: DataFrame | None) -> DataFrame:
     """Blocks with a void whose share is not the one it was folded with."""
-    key = ["product_id", "ref"]
-    before = F.lit(0)
+    key, before = ["product_id", _LINK], F.lit(0)
     joined = crossing.join(found, key, "left")
     if used is not None:
-        joined = joined.join(used.withColumnRenamed("_share", "_used"), key, "left")
+        joined = joined.join(used.withColumnRenamed("_found", "_used"), key, "left")
         before = F.coalesce("_used", F.lit(0))
-    return joined.where(F.coalesce("_share", F.lit(0)) != before).select(*_BLOCK_KEY).distinct()
+    return joined.where(F.coalesce("_found", F.lit(0)) != before).select(*_BLOCK_KEY).distinct()
 
 
-def _link_voids(blocks: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Find the voids that take effect, and those whose sale lies in another block.
+def _link_blocks(blocks: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Name the sales whose void lies in another block, on both rows.
 
-    Effective is the first void after its sale, or the first of a stored sale.
-    It gets the units of its sale; all others get NULL units, which the fold
-    leaves without effect. Sales and voids meet under (product, sale), which
-    spreads a hot product. The second result is the product, sale and block of
-    the voids that cross blocks, or None without any.
+    The second result is the product, link and block of those voids, or None
+    without any. Sales and voids meet under (product, ref), which spreads a hot
+    product.
     """
-    blocks = blocks.withColumns({"_sent_n": F.col("n"), "_sent_member_n": F.col("member_n")})
-    none = F.lit(False)
-    if blocks.where("kind = 'void'").isEmpty():
-        return blocks.withColumns({_CROSSED: none, "_borrows": none}), None
-    place, key = F.struct(*order), ["product_id", "ref"]
-    sold = blocks.where("kind = 'sale'").select(
-        *key, F.col("n").alias("_units"), place.alias("_sold"), F.col(BLOCK).alias("_from")
+    unlinked = F.lit(None).cast("string")
+    if blocks.where("_borrows").isEmpty():
+        return blocks.withColumn(_LINK, unlinked), None
+    key, place = ["product_id", "ref"], F.struct(*order)
+    named = blocks.where("_borrows").select(*key)
+    here = up_to_here(Window.partitionBy(*key).orderBy(*order))
+    sale = F.when(F.col("kind") == "sale", F.struct(place.alias("at"), F.col(BLOCK).alias("block")))
+    apart = (
+        blocks.where("kind = 'sale' OR _borrows")
+        .join(named, key, "left_semi")
+        .withColumn("_sale", F.last(sale, ignorenulls=True).over(here))
+        .where(F.col("_borrows") & (F.col("_sale.block") != F.col(BLOCK)))
+        .select(*key, place.alias("_at"), "_sale", BLOCK, F.to_json(F.struct("ref", "_sale.at")).alias(_LINK))
     )
-    tried = blocks.where("kind = 'void'").select(*key, "n", place.alias("_at"), BLOCK)
-    linked = (
-        tried.join(sold, key, "left")
-        .where(F.col("n").isNotNull() | (F.col("_sold") < F.col("_at")))
-        .groupBy(*key)
-        .agg(
-            F.min("_at").alias("_at"),
-            F.min_by(F.struct(F.coalesce("n", "_units"), BLOCK, "_from", "n"), "_at").alias("_link"),
-        )
-        .select(
-            *key,
-            "_at",
-            F.col("_link.col1").alias("_units"),
-            F.col(f"_link.{BLOCK}").alias("_to"),
-            (F.col("_link.n").isNull() & (F.col("_link._from") != F.col(f"_link.{BLOCK}"))).alias(
-                "_apart"
-            ),
-        )
-    )
-    linked = stage(linked, "links")
-    joined = blocks.join(linked, key, "left")
-    void = F.col("kind") == "void"
-    works = F.coalesce(void & (F.col("_at") == place), none)
-    apart = F.coalesce("_apart", none)
-    units = F.when(void, F.when(works, F.col("_units"))).otherwise(F.col("n"))
-    crossed = (F.col("kind") == "sale") & apart
-    marked = joined.withColumns({"n": units, _CROSSED: crossed, "_borrows": works & apart})
-    blocks = stage(marked.select(*blocks.columns, _CROSSED, "_borrows"), "linked")
-    crossing = linked.where("_apart").select(*key, F.col("_to").alias(BLOCK))
-    return blocks, crossing
+    apart = stage(apart, "links")
+    ends = F.explode(F.array("_at", "_sale.at"))
+    marks = apart.select(*key, _LINK, ends.alias("_place"))
+    marked = blocks.withColumn("_place", place).join(marks, [*key, "_place"], "left")
+    own = F.coalesce(F.col("_borrows") & F.col(_LINK).isNull(), F.lit(False))
+    linked = stage(marked.withColumn("_borrows", own).select(*blocks.columns, _LINK), "linked")
+    return linked, apart.select("product_id", _LINK, BLOCK)
 
 
 def _with_shares(blocks: DataFrame, shares: DataFrame | None) -> DataFrame:
     """Put the member units found for a sale on its void in another block."""
+    linked_void = F.col(_LINK).isNotNull() & (F.col("kind") == "void")
     if shares is None:
-        return blocks
-    known = shares.withColumn("_borrows", F.lit(True))
-    joined = blocks.join(known, ["product_id", "ref", "_borrows"], "left")
-    share = F.when(F.col("_borrows"), F.col("_share")).otherwise(F.col("member_n"))
-    return joined.withColumn("member_n", share).select(*blocks.columns)
+        return blocks.withColumn("_share", F.when(linked_void, F.lit(0)).otherwise(F.col("_share")))
+    joined = blocks.join(shares, ["product_id", _LINK], "left")
+    share = F.when(linked_void, F.coalesce("_found", F.lit(0))).otherwise(F.col("_share"))
+    return joined.withColumn("_share", share).select(*blocks.columns)
 
 
 def _signed_units():
+    """Units that an event adds; a void adds what it takes back."""
     units = F.coalesce("n", F.lit(0))
-    return F.when(F.col("kind") == "sale", -units).otherwise(units)
+    return (
+        F.when(F.col("kind") == "sale", -units)
+        .when(F.col("kind") == "void", F.coalesce("_takes", F.lit(0)))
+        .otherwise(units)
+    )
 
 
 def _block_totals(blocks: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -506,39 +543,51 @@ def _first_starts(blocks: DataFrame, opened: DataFrame, order: Sequence[str]) ->
 
 
 def _hand_over(starts: DataFrame, ends: DataFrame) -> DataFrame:
-    """Next starts: one small row per block, walked in order within a product."""
+    """Start and end of every block, one small row per block, walked in order within a product.
+
+    ``_again`` marks a block whose end its map does not give for this start.
+    """
     end = ends.select("product_id", BLOCK, F.struct(*_FINAL_NAMES).alias("_end"))
     rows = starts.join(end, ["product_id", BLOCK]).select(
         "product_id", BLOCK, *_STATE_NAMES, "_end"
     )
-
-    schema = StructType([starts.schema[c] for c in ["product_id", BLOCK, *_STATE_NAMES]])
+    again = StructField("_again", BooleanType())
+    schema, names = StructType([*rows.schema.fields, again]), rows.columns
 
     def walk(group: pa.Table) -> pa.Table:
         carried, out = None, []
         for row in group.sort_by(BLOCK).to_pylist():
             used = {name: row[name] for name in _STATE_NAMES}
-            start = used if carried is None else carried
-            out.append({"product_id": row["product_id"], BLOCK: row[BLOCK], **start})
-            carried = _expected_end(row["_end"], used, start)
-        types = [group.schema.field(name) for name in schema.names]
-        return pa.Table.from_pylist(out, schema=pa.schema(types))
+            # Quantity and member of the first guess are exact.
+            start = used if carried is None else {**used, **carried}
+            end, again = _expected_end(row["_end"], used, start)
+            out.append({**row, **start, "_end": end, "_again": again})
+            carried = {name: end[name] for name in ("member_qty", "cost_price", "stock")}
+        fields = [group.schema.field(name) for name in names]
+        return pa.Table.from_pylist(out, schema=pa.schema([*fields, ("_again", pa.bool_())]))
 
     return rows.groupBy("product_id").applyInArrow(walk, schema)
 
 
-def _expected_end(end, used: dict, start: dict) -> dict:
-    """End of a block folded from ``used``, corrected for the start it really has."""
-    expected = {name: end[name] for name in _STATE_NAMES}
-    if end["shifted"] and start["member_qty"] != used["member_qty"]:
-        expected["member_qty"] += start["member_qty"] - used["member_qty"]
-    if start["cost_price"] != used["cost_price"] and end["scale"]:
-        untouched = end["scale"] == 1.0
-        first = start["cost_price"]
-        expected["cost_price"] = (
-            first if untouched else end["scale"] * (first or 0.0) + end["offset"]
-        )
-    return expected
+def _expected_end(end: dict, used: dict, start: dict) -> tuple[dict, bool]:
+    """End of a block folded from ``used`` for the start it really has, and whether to fold again."""
+    expected, again = dict(end), False
+    if start["member_qty"] != used["member_qty"]:
+        normal = 0 <= start["member_qty"] <= start["quantity"]
+        again = not (end["exact"] and normal)
+        expected["member_qty"] = min(start["member_qty"] + end["added"], end["cap"])
+    if start["cost_price"] != used["cost_price"]:
+        untouched = end["scale"] == 1.0 and end["offset"] == 0.0
+        # A product without a cost takes the next one whole instead of averaging.
+        again = again or (end["scale"] != 0.0 and not untouched and not (start["cost_price"] and used["cost_price"]))
+        again = again or (end["scale"] == 0.0 and bool(start["cost_price"]) != bool(used["cost_price"]))
+        if untouched:
+            expected["cost_price"] = start["cost_price"]
+        elif end["scale"]:
+            expected["cost_price"] = end["scale"] * (start["cost_price"] or 0.0) + end["offset"]
+    if not end["touched"]:
+        expected["stock"] = start["stock"]
+    return expected, again
 
 
 # --- running quantity -------------------------------------------------------------
@@ -551,10 +600,11 @@ def running_quantity(
 
     Voids count with the units they carry.
     """
-    typed = typed_events(events)
+    carried = F.when(F.col("kind") == "void", F.col("n"))
+    typed = typed_events(events).withColumn("_takes", carried)
     split = split_hot(typed, "product_id", hot_rows)
     opened = openings(products)
-    names = [*typed.columns, "running_quantity"]
+    names = [*[c for c in typed.columns if c != "_takes"], "running_quantity"]
     is_open = F.col("kind") == "open"
     units = F.when(is_open, F.coalesce(F.col(f"{_OPEN}.quantity"), F.lit(0))).otherwise(
         _signed_units()
@@ -567,9 +617,8 @@ def running_quantity(
         {"_net": F.sum(units).over(window), "_known": F.max(is_open).over(window)}
     ).withColumn("_low", F.min(F.when(F.col("kind") == "sale", F.col("_net"))).over(window))
     quantity = F.col("_net") - F.least(F.lit(0), F.col("_low"))
-    result = running.where(~is_open).select(
-        *typed.columns, F.when(F.col("_known"), quantity).alias("running_quantity")
-    )
+    shown = F.when(F.col("_known"), quantity).alias("running_quantity")
+    result = running.where(~is_open).select(*names[:-1], shown)
     if split.hot is None:
         return result
     blocks = cut_blocks(split.hot, split.hot_rows, "product_id", order, hot_rows)

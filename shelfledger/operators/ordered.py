@@ -13,7 +13,7 @@ import math
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfledger.session import stage
@@ -38,22 +38,42 @@ class Split(NamedTuple):
         return _on_keys(df, self.keys, key, "left_semi")
 
 
-def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> Split:
-    """Rows of ordinary keys and, if there are any, rows of hot keys."""
-    hot_keys = (
+class Counts(NamedTuple):
+    """Keys with more than the limit of rows, how many rows they hold, and the marked rows of all keys."""
+
+    keys: DataFrame
+    n_keys: int
+    rows: int
+    marked: int
+
+
+def count_keys(df: DataFrame, key: str, hot_rows: int, mark: Column | None = None) -> Counts:
+    """One pass over ``df``; its outcome is staged, so that all readers agree on it."""
+    marked = F.count_if(mark) if mark is not None else F.lit(0)
+    counted = (
         df.groupBy(F.col(key).alias("_key"))
-        .agg(F.count("*").alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
+        .agg(F.count("*").alias("_rows"), marked.cast("bigint").alias("_marked"))
+        .where((F.col("_rows") > hot_rows) | (F.col("_marked") > 0))
     )
-    found = hot_keys.agg(F.count("*"), F.sum("_rows")).first()
-    if not found[0]:
+    counted = stage(counted, "key-counts")
+    hot = F.col("_rows") > hot_rows
+    n_keys, rows, marks = counted.agg(
+        F.count_if(hot), F.sum(F.when(hot, F.col("_rows"))), F.sum("_marked")
+    ).first()
+    return Counts(counted.where(hot).select("_key"), n_keys, rows or 0, marks or 0)
+
+
+def split_counted(df: DataFrame, key: str, counts: Counts) -> Split:
+    """Rows of ordinary keys and, if there are any, rows of hot keys."""
+    if not counts.n_keys:
         return Split(df, None, 0, None)
-    # Staged, so that both sides below agree on the list.
-    keys = stage(hot_keys.select("_key"), "hot-keys")
-    if found[0] <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+    keys = F.broadcast(counts.keys) if counts.n_keys <= BROADCAST_KEYS else counts.keys
     cold, hot = _on_keys(df, keys, key, "left_anti"), _on_keys(df, keys, key, "left_semi")
-    return Split(cold, hot, found[1], keys)
+    return Split(cold, hot, counts.rows, keys)
+
+
+def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> Split:
+    return split_counted(df, key, count_keys(df, key, hot_rows))
 
 
 def _on_keys(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:

@@ -82,10 +82,16 @@ HISTORY = StructType(
     ]
 )
 FINAL = StructType(
-    [*STOCK, *schema(known="boolean", shifted="boolean", scale="double", offset="double")]
+    [
+        *STOCK,
+        *schema(
+            known="boolean", added="bigint", cap="bigint", exact="boolean", touched="boolean",
+            scale="double", offset="double",
+        ),
+    ]
 )
-# What a fold gives: the last state of a group, or the member units of a marked sale.
-FOLDED = StructType([*FINAL, *schema(ref="string", member_sold="bigint")])
+# What a fold gives: the last state of a group, or the member units of a linked sale.
+FOLDED = StructType([*FINAL, *schema(_link="string", member_sold="bigint")])
 
 TABLES = {
     "products": PRODUCTS,

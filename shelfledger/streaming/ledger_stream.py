@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from shelfledger.functions.stock_fold import Stock
-from shelfledger.operators.ledger import loose_history, openings, typed_events
+from shelfledger.operators.ledger import loose_history, openings, shown_cost, typed_events
 from shelfledger.schemas import HISTORY, STOCK, schema
 from shelfledger.streaming.runs import use_rocksdb
 
@@ -131,7 +131,8 @@ def stream_ledger(products: DataFrame, events: DataFrame, order: Sequence[str])
         )
     )
     # Sales without a product keep no state and pass by.
-    return moved.unionByName(loose_history(typed))
+    rows = moved.unionByName(loose_history(typed))
+    return rows.withColumn("cost_price", shown_cost(F.col("cost_price")))
 
 
 def latest_state(history: DataFrame, order: Sequence[str]) -> DataFrame:
