@@ -6,15 +6,17 @@ Every permutation is evaluated once and gives two signature values, its minimum
 and its maximum, so ``BANDS * ROWS`` values need half as many evaluations. Bands
 of the signature put classes into buckets.
 
-Links are confirmed on full sets, without comparing all pairs of a bucket. First
-every member meets the smallest id of its bucket. The links found join classes
-into components. Pairs that share a bucket but not a component are still open;
-of those, the ones whose one-bit sketches do not rule out the similarity are
-confirmed as well. A large group of near copies is thus joined by its stars, and
-only its stragglers are compared with the rest.
+Links are confirmed on full sets, without comparing all pairs of a bucket. The
+links found join classes into components, and only buckets with several
+components are open. For ``TURNS`` turns every member of an open bucket meets one
+pivot, so a turn confirms no more pairs than there are documents, and a large
+group of near copies grows together. Pairs that then still share a bucket but not
+a component are confirmed as well, unless their sketches or the number of
+shingles that they share with any document at all rule the similarity out: only
+stragglers are compared with the rest of a bucket.
 
 At a similarity of 0.8 a pair misses all buckets with probability 1.2e-6, and a
-sketch hides it with 3e-7. Shingles are compared by 64-bit hashes.
+sketch hides it with 4e-6. Shingles are compared by 64-bit hashes.
 
 A null or empty text has no shingles and is linked with nothing. Rows with a
 null id are linked with nothing either: their component is null and they are
@@ -24,11 +26,11 @@ kept. Rows sharing an id count as one document.
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfledger.llm.columns import bytes_of, numbered, pieces, word_spans
@@ -38,9 +40,13 @@ WIDTH = 4
 PERCENT = 80
 BANDS, ROWS = 45, 6
 SEED = 7
-#: Bits that two sketches of BANDS * ROWS bits may differ in: five standard deviations above the mean at 0.8.
+#: Turns in which a member meets one pivot before open pairs are listed.
+TURNS = 3
+#: A sketch holds PLANES bits of every signature value. Two sketches may differ in so many
+#: of the BANDS * ROWS values: 4.5 standard deviations above the mean at a similarity of 0.8.
+PLANES = 4
 SKETCH_WORDS = (BANDS * ROWS + 63) // 64
-MOST_DIFFERENT = 52
+MOST_DIFFERENT = 79
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 _SETS = "doc_id long, shingles binary"
@@ -94,7 +100,7 @@ def shingle_sets(texts: pa.Array, words: int = WIDTH) -> tuple[np.ndarray, np.nd
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes and one-bit sketches of the non-empty sets."""
+    """Band hashes and sketches of the non-empty sets."""
     full = np.flatnonzero(np.diff(offsets))
     begins = offsets[:-1][full]
     half = BANDS * ROWS // 2
@@ -114,9 +120,11 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         for r in range(ROWS):
             key = _mixed(key * np.uint64(3) + mixed[b * ROWS + r])
         bands[:, b] = key
-    bits = np.zeros((len(full), SKETCH_WORDS * 64), np.uint8)
-    bits[:, : BANDS * ROWS] = (mixed & np.uint64(1)).T
-    return bands.view(np.int64), np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+    bits = np.zeros((len(full), PLANES, SKETCH_WORDS * 64), np.uint8)
+    for p in range(PLANES):
+        bits[:, p, : BANDS * ROWS] = ((mixed >> np.uint64(p)) & np.uint64(1)).T
+    packed = np.packbits(bits.reshape(len(full), -1), axis=1, bitorder="little")
+    return bands.view(np.int64), packed.view(np.int64)
 
 
 def _lists(rows: np.ndarray, full: np.ndarray, n: int) -> pa.Array:
@@ -161,6 +169,14 @@ def _sets(batches, width: int):
             yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
 
+def _singles(batches):
+    for batch in batches:
+        sets = [np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()]
+        ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+        flat = np.concatenate([*sets, np.empty(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids)], names=["shingle", "doc_id"])
+
+
 def _confirm(batches, percent: int):
     """Pairs (a, b) whose sets are similar enough."""
     for batch in batches:
@@ -208,6 +224,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """The rows (doc_id, bucket, own, component) of buckets with more than one component."""
+    held = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", "bucket", "own", F.coalesce("component", "doc_id").alias("component")
+    )
+    bucket = Window.partitionBy("bucket")
+    spans = held.select("*", F.min("component").over(bucket).alias("low"), F.max("component").over(bucket).alias("high"))
+    return spans.where("low < high").select("doc_id", "bucket", "own", "component")
+
+
+def _one_pivot_each(open_: DataFrame, turn: int, tested: DataFrame | None) -> DataFrame:
+    """At most one pair (a, b) for each member of an open bucket.
+
+    A bucket's pivot is a member of its smallest component, one of those with the
+    fewest shingles of their own and another one every turn; members of other
+    components meet the pivot of one of their buckets.
+    """
+    mixed = F.xxhash64(F.lit(turn), "doc_id").alias("mixed")
+    pivot = F.min(F.struct("component", "own", mixed, "doc_id")).over(Window.partitionBy("bucket"))
+    met = open_.withColumn("pivot", pivot).where("component <> pivot.component")
+    chosen = met.groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
+    pairs = chosen.select(
+        F.least("doc_id", "pivot.doc_id").alias("a"), F.greatest("doc_id", "pivot.doc_id").alias("b")
+    ).distinct()
+    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+
+
 def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -225,49 +268,68 @@ def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
     spread = single.select("doc_id", F.explode("bands").alias("bucket"))
     bucket = Window.partitionBy("bucket")
     shared = stage(
-        spread.select("doc_id", "bucket", F.min("doc_id").over(bucket).alias("a"), F.max("doc_id").over(bucket).alias("top"))
-        .where("a < top")
-        .select("doc_id", "bucket", "a"),
+        spread.select("doc_id", "bucket", F.min("doc_id").over(bucket).alias("low"), F.max("doc_id").over(bucket).alias("high"))
+        .where("low < high")
+        .select("doc_id", "bucket"),
         "near-buckets",
     )
 
     needed = shared.select("doc_id").distinct()
     sets = stage(rows.join(needed, "doc_id", "left_semi").mapInArrow(partial(_sets, width=width), _SETS).dropDuplicates(["doc_id"]), "near-sets")
+    # A set shares no shingle that no other has, which bounds its similarity with any other.
+    alone = (
+        sets.mapInArrow(_singles, "shingle long, doc_id long")
+        .groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
+        .where("n = 1")
+        .groupBy("doc_id")
+        .agg(F.count(F.lit(1)).alias("alone"))
+    )
+    sizes = sets.select("doc_id", (F.octet_length("shingles") / 8).cast("long").alias("size")).join(alone, "doc_id", "left")
+    sizes = stage(sizes.select("doc_id", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")), "near-sizes")
+    able_to = sizes.where(100 * F.col("common") >= percent * F.col("size"))
+    own = (F.lit(32) * (F.col("size") - F.col("common")) / F.col("size")).cast("int").alias("own")
+    shared = stage(shared.join(able_to.select("doc_id", own), "doc_id"), "near-able")
     # Rows sharing an id are one document: their classes are linked.
     same = heads.groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("b")).where("a < b").select("a", "b")
-    stars = shared.where("a < doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    found = stage(_confirmed(stars, sets, percent).unionAll(same), "near-stars")
-    label = components(found)
-
-    held = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "bucket", F.coalesce("component", "doc_id").alias("component")
-    )
-    open_ = (
-        held.select("*", F.min("component").over(bucket).alias("low"), F.max("component").over(bucket).alias("high"))
-        .where("low < high")
-        .select("doc_id", "bucket", "component")
-    )
+    found = stage(same, "near-same")
+    tested = None
+    for turn in range(TURNS):
+        label = components(found)
+        open_ = stage(_open(shared, label), "near-open")
+        pairs = stage(_one_pivot_each(open_, turn, tested), "near-pairs")
+        if pairs.isEmpty():
+            break
+        found = stage(found.unionAll(_confirmed(pairs, sets, percent)), "near-found")
+        tested = pairs if tested is None else tested.unionAll(pairs)
+    open_ = _open(shared, components(found))
     sketches = signed.where("sketch is not null").select(F.col("doc_id").alias("of"), "sketch").dropDuplicates(["of"])
-    bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)]
-    open_ = stage(open_.join(sketches, F.col("doc_id") == F.col("of")).select("doc_id", "bucket", "component", *bits), "near-open")
+    bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(PLANES * SKETCH_WORDS)]
+    open_ = open_.join(sizes, "doc_id").join(sketches, F.col("doc_id") == F.col("of"))
+    open_ = stage(open_.select("doc_id", "bucket", "component", "size", "common", *bits), "near-open")
     # Within a bucket, the members of all components but the largest meet the others.
-    sizes = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("major"))
+    counts = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("major"))
     lesser = open_.join(largest, "bucket").where("component <> major")
     l, r = lesser.alias("l"), open_.join(largest, "bucket").alias("r")
-    apart = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    planes = [[F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}")) for i in range(w, PLANES * SKETCH_WORDS, SKETCH_WORDS)] for w in range(SKETCH_WORDS)]
+    apart = sum((F.bit_count(reduce(Column.bitwiseOR, word)) for word in planes), F.lit(0))
+    most = F.least("l.common", "r.common")
     pairs = (
         l.join(
             r,
             (F.col("l.bucket") == F.col("r.bucket"))
             & (F.col("l.component") != F.col("r.component"))
             & ((F.col("r.component") == F.col("r.major")) | (F.col("l.doc_id") < F.col("r.doc_id")))
+            & ((100 + percent) * most >= percent * (F.col("l.size") + F.col("r.size")))
             & (apart <= MOST_DIFFERENT),
         )
         .select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"))
         .distinct()
     )
-    late = stage(_confirmed(pairs.join(stars, ["a", "b"], "left_anti"), sets, percent), "near-late")
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    late = stage(_confirmed(pairs, sets, percent), "near-late")
     label = components(found.unionAll(late))
 
     of_class = heads.join(label.withColumnRenamed("node", "head"), "head", "left").select(
