@@ -86,8 +86,9 @@ def test_signature_is_unbiased():
     b = np.concatenate([a[:400], rng.integers(0, 1 << 63, 20, dtype=np.uint64)])
     values = np.concatenate([np.sort(a), np.sort(b)])
     _, sketch = near_dedup.signatures(values, np.array([0, 500, 920]))
-    apart = sum(int(x).bit_count() for x in (sketch[0] ^ sketch[1]).view(np.uint64))
-    assert abs(1 - 2 * apart / (near_dedup.BANDS * near_dedup.ROWS) - 400 / 520) < 0.15
+    planes = (sketch[0] ^ sketch[1]).view(np.uint64).reshape(near_dedup.PLANES, -1)
+    apart = sum(int(x).bit_count() for x in np.bitwise_or.reduce(planes, axis=0))
+    assert abs(1 - 16 / 15 * apart / (near_dedup.BANDS * near_dedup.ROWS) - 400 / 520) < 0.12
 
 
 def test_near_odd_rows(spark, odd_docs, no_docs):
