@@ -7,25 +7,32 @@ cast, because a failing cast costs far more than a NULL one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters the reference's runtime treats as white space.
 WHITESPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
+_BIGGEST = (1 << 63) - 1
 _INT = rf"^[{WHITESPACE}]*([+-]?(?:0[xX][0-9a-fA-F]+|\d+))"
 _FLOAT = rf"^[{WHITESPACE}]*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 
 
 def leading_int(text: Column) -> Column:
-    """Integer at the start of the text (decimal or ``0x``), else NULL."""
+    """Integer at the start of the text (decimal or ``0x``), else NULL.
+
+    A number that no BIGINT holds gives the nearest one, never NULL, so that it
+    cannot pass for a missing one.
+    """
     # One pattern finds the token; the rest works on a few characters.
     token = empty_to_null(F.lower(F.regexp_extract(text.cast("string"), _INT, 1)))
     digits = F.substring_index(token, "x", -1)
     sign = F.when(token.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    # Longer hex runs do not fit a BIGINT and count as unreadable.
-    from_hex = F.when(F.length(digits) <= 15, F.conv(digits, 16, 10).try_cast("bigint") * sign)
-    return F.when(token.contains("x"), from_hex).otherwise(token.try_cast("bigint"))
+    nearest = F.when(sign < 0, F.lit(-_BIGGEST - 1)).otherwise(F.lit(_BIGGEST))
+    short = F.length(F.ltrim(digits, F.lit("0"))) <= 15
+    from_hex = F.when(short, F.conv(digits, 16, 10).try_cast("bigint") * sign).otherwise(nearest)
+    decimal = F.coalesce(token.try_cast("bigint"), nearest)
+    return F.when(token.contains("x"), from_hex).when(token.isNotNull(), decimal)
 
 
 def leading_float(text: Column) -> Column:
@@ -50,12 +57,6 @@ def text_or(text: Column, default: str | Column | None) -> Column:
     return F.coalesce(empty_to_null(text), fallback)
 
 
-def number_or(number: Column, default) -> Column:
-    """Missing or zero number gives the default."""
-    fallback = default if isinstance(default, Column) else F.lit(default)
-    return F.when(number.isNull() | (number == 0), fallback).otherwise(number)
-
-
 def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -66,8 +67,23 @@ def is_truthy(value: Column, kind: str = "string") -> Column:
     return F.coalesce(value != blank, F.lit(False))
 
 
-def flag(value: Column, kind: str = "string") -> Column:
-    return is_truthy(value, kind).cast("int")
+def given(rows: DataFrame, name: str) -> Column:
+    """Whether a request value counts as given.
+
+    A column ``<name>_type`` names the JSON type of the value (``string``,
+    ``number`` or ``boolean``): the number 0 and false count as missing, the texts
+    ``0`` and ``false`` do not. Without that column all values are text.
+    """
+    value = F.col(name)
+    if f"{name}_type" not in rows.columns:
+        return is_truthy(value)
+    kind, number = F.col(f"{name}_type"), plain_number(value, "double")
+    typed = (
+        F.when(kind == "number", (number != 0) & ~F.isnan(number))
+        .when(kind == "boolean", value == "true")
+        .otherwise(value != "")
+    )
+    return F.coalesce(typed, F.lit(False))
 
 
 def plain_number(text: Column, kind: str) -> Column:
@@ -84,10 +100,6 @@ def array_json(values: Column) -> Column:
     return F.to_json(F.coalesce(values, F.array().cast("array<string>")))
 
 
-def json_array(text: Column) -> Column:
-    """Inverse of :func:`array_json`; unreadable text is an empty array."""
-    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
-
-
-def money(value: Column, precision: int = 12, scale: int = 2) -> Column:
-    return value.try_cast(f"decimal({precision},{scale})")
+def at_most(number: Column, limit: float) -> Column:
+    """Whether a number is missing or its size is within ``limit``; NaN is not."""
+    return F.coalesce(number.between(-limit, limit), F.lit(True))

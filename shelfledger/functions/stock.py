@@ -22,10 +22,6 @@ def band_after_restock(quantity: Column) -> Column:
     return F.when(quantity > LOW_LIMIT, IN).when(quantity > 0, LOW).otherwise(OUT)
 
 
-def at_least_zero(value: Column) -> Column:
-    return F.greatest(F.lit(0), F.coalesce(value, F.lit(0)))
-
-
 def zero_if_null(value: Column) -> Column:
     return F.coalesce(value, F.lit(0))
 
@@ -53,8 +49,8 @@ def line_own_cogs() -> Column:
 
 
 def total(measure: Column) -> Column:
-    """Exact decimal sum, zero over no rows, given out as DOUBLE."""
-    return F.coalesce(F.sum(measure), F.lit(0)).cast("double")
+    """Exact decimal sum at six decimals, zero over no rows, given out as DOUBLE."""
+    return F.coalesce(F.sum(measure.cast("decimal(38,6)")), F.lit(0)).cast("double")
 
 
 def count_total(measure: Column) -> Column:

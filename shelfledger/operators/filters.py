@@ -59,7 +59,8 @@ def in_stock(quantity: str = "quantity") -> Column:
 
 
 def of_product(product_id: int | None) -> Column:
-    return F.col("product_id") == product_id if product_id else F.lit(True)
+    """No filter only without an id; 0 is an id."""
+    return F.col("product_id") == product_id if product_id is not None else F.lit(True)
 
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:

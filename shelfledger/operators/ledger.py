@@ -319,22 +319,39 @@ def ledger_state(
     products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """State of every product after its events."""
+    return _final_states(products, events, order, hot_rows).where("known").drop("known", "touched")
+
+
+def changed_products(
+    products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """State of the products that an event moved."""
+    moved = _final_states(products, events, order, hot_rows).where("known AND touched")
+    return moved.drop("known", "touched")
+
+
+def _final_states(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int) -> DataFrame:
     _, split, opened = _split(products, events, order, hot_rows)
     rows = split.cold.unionByName(
         split.cold_of(opened, "product_id"), allowMissingColumns=True
     )
-    final = _fold(rows, order, history=False).select("product_id", *_FINAL_NAMES)
+    names = [*_STATE_NAMES, "known", "touched"]
+    final = _fold(rows, order, history=False).select("product_id", *names)
     if split.hot is not None:
         _, settled = _settle_blocks(split, opened, order, hot_rows)
-        last = settled.groupBy("product_id").agg(F.max_by("_end", BLOCK).alias("_last"))
-        final = final.unionByName(last.select("product_id", "_last.*"))
-    return final.where("known").select(
+        touched = F.bool_or("_end.touched").alias("touched")
+        last = settled.groupBy("product_id").agg(F.max_by("_end", BLOCK).alias("_last"), touched)
+        kept = [F.col("_last")[c].alias(c) for c in names[:-1]]
+        final = final.unionByName(last.select("product_id", *kept, "touched"))
+    return final.select(
         "product_id",
         "quantity",
         "member_qty",
         F.col("current_member").alias("member_id"),
         shown_cost(F.col("cost_price")).alias("cost_price"),
         "stock",
+        "known",
+        "touched",
     )
 
 
@@ -363,6 +380,7 @@ def loose_history(typed: DataFrame) -> DataFrame:
     known = {
         "member_sold": F.when(sale, F.lit(0).cast("bigint")),
         "owner_sold": F.when(sale, F.col("n")),
+        "sold_out": F.when(sale, F.lit(False)),
         "applied": F.col("kind") != "void",
     }
     return typed.where(F.col("product_id").isNull()).withColumns(

@@ -61,6 +61,12 @@ def append(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows.select(*table.columns))
 
 
+def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """Add rows to a table; columns that they do not have stay NULL, further ones are left out."""
+    kept = [c for c in table.columns if c in rows.columns]
+    return table.unionByName(rows.select(*kept), allowMissingColumns=True)
+
+
 def delete(table: DataFrame, removed: DataFrame, key: str = "id") -> DataFrame:
     """Drop the rows whose key occurs in ``removed``; ledgers keep their dangling ids."""
     return table.join(removed.select(key), key, "left_anti").select(*table.columns)
@@ -106,17 +112,17 @@ def edit_sales(sales: DataFrame, edits: DataFrame, order: Sequence[str] = ("seq"
         F.lit(True).alias("_hit"),
     )
     joined = sales.join(last, "id", "left")
-    new_price = F.coalesce(F.col("_price").cast("decimal(12,2)"), F.col("sale_price"))
-    cost = F.coalesce(F.col("cost_price"), F.lit(0)) * F.col("quantity_sold")
-    line = (new_price - F.coalesce(F.col("cost_price"), F.lit(0))) * F.col("quantity_sold")
+    new_price = F.coalesce("_price", F.col("sale_price").cast("double"))
+    unit_cost = F.coalesce(F.col("cost_price").cast("double"), F.lit(0.0))
+    line = (new_price - unit_cost) * F.col("quantity_sold")
     edited = {
         "sale_price": new_price,
-        "profit": F.when(F.col("_hit").isNotNull(), (new_price - cost).cast("decimal(24,4)"))
-        .otherwise(F.col("profit")),
+        "profit": F.when(F.col("_hit").isNotNull(), new_price - unit_cost * F.col("quantity_sold"))
+        .otherwise(F.col("profit").cast("double")),
         "payment_method": F.coalesce(F.col("_payment"), F.col("payment_method")),
         "notes": F.coalesce(F.col("_notes"), F.col("notes")),
     }
     return joined.select(
         *[edited[c].alias(c) if c in edited else F.col(c) for c in sales.columns],
-        line.cast("decimal(24,4)").alias("profit_line"),
+        line.alias("profit_line"),
     )

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfledger.functions.coerce import (
     as_text,
+    at_most,
     empty_to_null,
-    flag,
     float_or,
+    given,
     int_or,
     is_truthy,
+    leading_float,
     leading_int,
-    money,
     plain_number,
     text_or,
 )
@@ -28,8 +31,12 @@ AMOUNT_REQUIRED = "Amount required"
 URL_REQUIRED = "URL required"
 SALE_NOT_FOUND = "Sale not found"
 NOT_FOUND = "Not found"
+OUT_OF_RANGE = "Number out of range"
 NO_PRODUCT_ON_PAGE = "Could not extract product info from this page."
 
+# Products of a price and a number of units, and exact sums of them, hold up to these sizes.
+MOST_UNITS, MOST_MONEY = 10**12, 10.0**15
+
 
 def with_reason(rows: DataFrame, valid: Column, reason: str) -> DataFrame:
     return rows.withColumn(REASON, F.when(valid, F.lit(None).cast("string")).otherwise(reason))
@@ -43,32 +50,80 @@ def rejected(checked: DataFrame) -> DataFrame:
     return checked.where(F.col(REASON).isNotNull())
 
 
+def in_range(rows: DataFrame, units: tuple[str, ...] = (), money: tuple[str, ...] = ()) -> Column:
+    """Whether the numbers that the columns present start with are of a size that rows can hold."""
+    fits = [at_most(leading_int(F.col(c)), MOST_UNITS) for c in units if c in rows.columns]
+    fits += [at_most(leading_float(F.col(c)), MOST_MONEY) for c in money if c in rows.columns]
+    return reduce(lambda a, b: a & b, fits, F.lit(True))
+
+
+def with_range(checked: DataFrame, fits: Column) -> DataFrame:
+    """Adds the reason for numbers out of range where there is none yet."""
+    late = F.when(~fits, F.lit(OUT_OF_RANGE))
+    return checked.withColumn(REASON, F.coalesce(F.col(REASON), late))
+
+
 def check_named(rows: DataFrame) -> DataFrame:
     """Products and members need a name."""
-    return with_reason(rows, is_truthy(F.col("name")), NAME_REQUIRED)
+    checked = with_reason(rows, given(rows, "name"), NAME_REQUIRED)
+    return with_range(checked, in_range(rows, ("quantity", "member_qty"), ("price", "cost_price")))
 
 
 def check_sales(rows: DataFrame) -> DataFrame:
     """A sale needs a name, a quantity and a price; the price may be 0 or empty."""
     complete = (
-        is_truthy(F.col("product_name"))
-        & is_truthy(F.col("quantity_sold"))
-        & F.col("sale_price").isNotNull()
+        given(rows, "product_name") & given(rows, "quantity_sold") & F.col("sale_price").isNotNull()
     )
-    return with_reason(rows, complete, MISSING_REQUIRED)
+    checked = with_reason(rows, complete, MISSING_REQUIRED)
+    return with_range(checked, in_range(rows, ("quantity_sold",), ("sale_price", "cost_price")))
 
 
 def check_restocks(rows: DataFrame) -> DataFrame:
-    complete = is_truthy(F.col("product_id")) & is_truthy(F.col("quantity_added"))
-    return with_reason(rows, complete, MISSING_FIELDS)
+    complete = given(rows, "product_id") & given(rows, "quantity_added")
+    checked = with_reason(rows, complete, MISSING_FIELDS)
+    return with_range(checked, in_range(rows, ("quantity_added", "member_qty"), ("cost_per_unit",)))
 
 
 def check_expenses(rows: DataFrame) -> DataFrame:
-    return with_reason(rows, is_truthy(F.col("amount")), AMOUNT_REQUIRED)
+    checked = with_reason(rows, given(rows, "amount"), AMOUNT_REQUIRED)
+    return with_range(checked, in_range(rows, money=("amount",)))
+
+
+def check_edits(rows: DataFrame, sales: DataFrame) -> DataFrame:
+    """An edit needs an existing sale and a price that rows can hold."""
+    return with_range(check_existing(rows, sales, "id", NOT_FOUND), in_range(rows, money=("sale_price",)))
+
+
+def check_voids(voids: DataFrame, recorded: DataFrame, stored: DataFrame) -> DataFrame:
+    """A void takes back a stored sale or one recorded before it, once.
+
+    Adds the reason and the sale's ``product_id``, and for a stored sale its ``n``
+    and ``member_n``. ``voids`` has id, seq and sale_id; ``recorded`` are the sales
+    of the same batch with their ``seq``.
+    """
+    nothing = F.lit(None).cast("bigint")
+    now = recorded.select(
+        F.col("id").alias("sale_id"), "product_id", nothing.alias("n"), nothing.alias("member_n"),
+        F.col("seq").alias("_since"), F.lit(False).alias("_stored"),
+    )
+    before = stored.select(
+        F.col("id").alias("sale_id"), "product_id", F.col("quantity_sold").alias("n"),
+        F.coalesce("member_qty_sold", F.lit(0)).alias("member_n"),
+        F.lit(None).cast(recorded.schema["seq"].dataType).alias("_since"), F.lit(True).alias("_stored"),
+    )
+    wanted = voids.select("sale_id")
+    found = now.join(wanted, "sale_id", "left_semi").unionByName(before.join(wanted, "sale_id", "left_semi"))
+    met = voids.join(found, "sale_id", "left")
+    usable = F.coalesce(F.col("_stored") | (F.col("_since") < F.col("seq")), F.lit(False))
+    first = met.where(usable).groupBy("sale_id").agg(F.min("seq").alias("_first"))
+    marked = met.join(first, "sale_id", "left")
+    valid = F.coalesce(usable & (F.col("seq") == F.col("_first")), F.lit(False))
+    return with_reason(marked, valid, SALE_NOT_FOUND).drop("_since", "_stored", "_first")
 
 
 def check_imports(rows: DataFrame) -> DataFrame:
-    return with_reason(rows, is_truthy(F.col("url")), URL_REQUIRED)
+    """An import needs a URL."""
+    return with_reason(rows, given(rows, "url"), URL_REQUIRED)
 
 
 def check_extracted(rows: DataFrame) -> DataFrame:
@@ -87,27 +142,30 @@ def check_existing(changes: DataFrame, existing: DataFrame, key: str, reason: st
     return with_reason(marked, F.col("_known").isNotNull(), reason).drop("_known")
 
 
-def normal_sales(rows: DataFrame) -> DataFrame:
+def _moment(text: Column, now: Column | None) -> Column:
+    """A given time, NULL if unreadable; a missing one is ``now``."""
+    stamp = now if now is not None else F.current_timestamp()
+    return F.when(is_truthy(text), empty_to_null(text).try_cast("timestamp")).otherwise(stamp.cast("timestamp"))
+
+
+def normal_sales(rows: DataFrame, now: Column | None = None) -> DataFrame:
     """Typed sale events from raw request text."""
-    quantity = int_or(F.col("quantity_sold"), 1)
-    price = float_or(F.col("sale_price"), 0.0)
-    cost = float_or(F.col("cost_price"), 0.0)
     typed = rows.select(
         *_kept(rows, "id", "seq"),
-        F.nullif(plain_number(F.col("product_id"), "bigint"), F.lit(0)).alias("product_id"),
+        F.when(given(rows, "product_id"), plain_number(F.col("product_id"), "bigint")).alias("product_id"),
         "product_name",
-        quantity.alias("quantity_sold"),
-        money(price).alias("sale_price"),
-        money(cost, 16, 4).alias("cost_price"),
+        int_or(F.col("quantity_sold"), 1).alias("quantity_sold"),
+        float_or(F.col("sale_price"), 0.0).alias("sale_price"),
+        float_or(F.col("cost_price"), 0.0).alias("cost_price"),
         empty_to_null(F.col("notes")).alias("notes"),
         empty_to_null(F.col("payment_method")).alias("payment_method"),
-        empty_to_null(F.col("sold_at")).try_cast("timestamp").alias("sold_at"),
+        _moment(F.col("sold_at"), now).alias("sold_at"),
     )
     margin = F.col("sale_price") - F.col("cost_price")
-    return typed.withColumn("profit", (margin * F.col("quantity_sold")).cast("decimal(24,4)"))
+    return typed.withColumn("profit", margin * F.col("quantity_sold"))
 
 
-def normal_restocks(rows: DataFrame) -> DataFrame:
+def normal_restocks(rows: DataFrame, now: Column | None = None) -> DataFrame:
     quantity = int_or(F.col("quantity_added"), 0)
     return rows.select(
         *_kept(rows, "id", "seq"),
@@ -116,23 +174,22 @@ def normal_restocks(rows: DataFrame) -> DataFrame:
         quantity.alias("quantity_added"),
         float_or(F.col("cost_per_unit"), None).alias("cost_per_unit"),
         empty_to_null(F.col("notes")).alias("notes"),
-        F.when(is_truthy(F.col("member_id")), leading_int(F.col("member_id"))).alias("member_id"),
+        F.when(given(rows, "member_id"), leading_int(F.col("member_id"))).alias("member_id"),
         F.least(int_or(F.col("member_qty"), 0), quantity).alias("member_qty"),
-        empty_to_null(F.col("restocked_at")).try_cast("timestamp").alias("restocked_at"),
+        _moment(F.col("restocked_at"), now).alias("restocked_at"),
     )
 
 
 def normal_expenses(rows: DataFrame, today: Column | None = None) -> DataFrame:
     """Typed expenses; the category, the payment method and the day have defaults."""
     day = empty_to_null(F.col("expense_date")).try_cast("date")
-    given = is_truthy(F.col("expense_date"))
     return rows.select(
         *_kept(rows, "id", "seq"),
         text_or(F.col("category"), "Other").alias("category"),
-        money(float_or(F.col("amount"), 0.0), 14).alias("amount"),
+        float_or(F.col("amount"), 0.0).alias("amount"),
         text_or(F.col("payment_method"), "Cash").alias("payment_method"),
         empty_to_null(F.col("notes")).alias("notes"),
-        F.when(given, day).otherwise(_today(today)).alias("expense_date"),
+        F.when(is_truthy(F.col("expense_date")), day).otherwise(_today(today)).alias("expense_date"),
     )
 
 
@@ -145,13 +202,13 @@ def normal_products(rows: DataFrame, now: Column | None = None) -> DataFrame:
         text_or(F.col("category"), "Other").alias("category"),
         empty_to_null(F.col("subcategory")).alias("subcategory"),
         empty_to_null(F.col("description")).alias("description"),
-        plain_number(F.col("price"), "decimal(12,2)").alias("price"),
+        plain_number(F.col("price"), "double").alias("price"),
         text_or(F.col("price_unit"), "each").alias("price_unit"),
         empty_to_null(F.col("sku")).alias("sku"),
         text_or(F.col("source"), "Other").alias("source"),
         text_or(F.col("stock"), "in_stock").alias("stock"),
         F.coalesce(F.col("images"), F.array().cast("array<string>")).alias("images"),
-        flag(F.col("featured")).alias("featured"),
+        given(rows, "featured").cast("int").alias("featured"),
         F.coalesce(plain_number(F.col("sort_order"), "int"), F.lit(0)).alias("sort_order"),
         int_or(F.col("quantity"), 0).alias("quantity"),
         empty_to_null(F.col("source_url")).alias("source_url"),
@@ -159,16 +216,19 @@ def normal_products(rows: DataFrame, now: Column | None = None) -> DataFrame:
         plain_number(F.col("coverage_sqft"), "double").alias("coverage_sqft"),
         plain_number(F.col("member_id"), "bigint").alias("member_id"),
         int_or(F.col("member_qty"), 0).alias("member_qty"),
+        stamp.alias("created_at"),
         stamp.alias("updated_at"),
     )
 
 
-def normal_members(rows: DataFrame) -> DataFrame:
+def normal_members(rows: DataFrame, now: Column | None = None) -> DataFrame:
+    stamp = now if now is not None else F.current_timestamp()
     return rows.select(
         *_kept(rows, "id", "seq"),
         "name",
         empty_to_null(F.col("phone")).alias("phone"),
         empty_to_null(F.col("notes")).alias("notes"),
+        stamp.alias("created_at"),
     )
 
 

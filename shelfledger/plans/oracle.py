@@ -49,7 +49,7 @@ FROM lineitem WHERE l_returnflag = 'R')"""
 
 EXPENSES = """expenses AS (SELECT o_orderkey AS id, o_orderpriority AS category,
   CAST(o_totalprice AS DECIMAL(14,2)) AS amount, CAST(o_orderdate AS DATE) AS expense_date
-FROM orders WHERE o_orderstatus = 'P')"""
+FROM orders)"""
 
 SETTINGS = """settings AS (SELECT key, value FROM (SELECT CAST(user_id AS VARCHAR) AS key, props AS value,
   ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) x WHERE rn = 1)"""
@@ -59,10 +59,14 @@ _UNITS = "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)"
 
 SALE_REQUESTS = f"""requests AS (SELECT {_ID} AS id,
   CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS product_id,
+  l_suppkey % 2 = 0 AS id_is_number,
   CASE WHEN l_linenumber = 7 THEN '' ELSE concat('Part ', CAST(l_partkey AS VARCHAR)) END AS product_name,
-  CASE l_linenumber WHEN 1 THEN concat(' ', {_UNITS}, ' pcs') WHEN 2 THEN '0'
-    WHEN 3 THEN concat({_UNITS}, '.7') WHEN 4 THEN 'many' ELSE {_UNITS} END AS quantity_sold,
-  CASE WHEN l_linenumber = 5 THEN '' WHEN l_returnflag = 'R' THEN NULL
+  CASE WHEN l_linenumber = 6 AND l_suppkey % 17 = 0 THEN '99999999999999999999'
+    WHEN l_linenumber = 1 THEN concat(' ', {_UNITS}, ' pcs') WHEN l_linenumber = 2 THEN '0'
+    WHEN l_linenumber = 3 THEN concat({_UNITS}, '.7') WHEN l_linenumber = 4 THEN 'many' ELSE {_UNITS} END AS quantity_sold,
+  l_linenumber = 2 AND l_suppkey % 3 = 0 AS quantity_is_number,
+  CASE WHEN l_linenumber = 4 AND l_suppkey % 19 = 1 THEN '20000000000.125'
+    WHEN l_linenumber = 4 AND l_suppkey % 19 = 2 THEN '1e40' WHEN l_linenumber = 5 THEN '' WHEN l_returnflag = 'R' THEN NULL
     WHEN l_linenumber = 6 THEN concat({_MONEY}, ' USD') ELSE {_MONEY} END AS sale_price,
   CASE WHEN l_linestatus = 'F' THEN {_MONEY} END AS cost_price,
   CASE WHEN l_tax > 0 THEN 'taxed' ELSE '' END AS notes,
@@ -73,34 +77,36 @@ FROM lineitem)"""
 RESTOCK_REQUESTS = f"""restock_requests AS (SELECT {_ID} AS id,
   CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE CAST(l_partkey AS VARCHAR) END AS product_id,
   CASE WHEN l_linenumber <> 7 THEN concat('Part ', CAST(l_partkey AS VARCHAR)) END AS product_name,
+  l_suppkey % 2 = 0 AS id_is_number, l_linenumber = 2 AND l_suppkey % 3 = 0 AS quantity_is_number,
   CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN '0' WHEN 3 THEN concat('-', {_UNITS}) ELSE {_UNITS} END AS quantity_added,
   CASE WHEN l_linestatus = 'F' THEN {_MONEY} ELSE '0' END AS cost_per_unit,
   CASE WHEN l_tax > 0 THEN 'taxed' ELSE '' END AS notes,
   CASE WHEN l_linenumber = 4 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END AS member_id,
   CASE WHEN l_linenumber = 5 THEN 'all' ELSE '12' END AS member_qty,
-  CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS restocked_at
+  CASE WHEN l_linenumber = 6 THEN '' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS restocked_at
 FROM lineitem)"""
 
-EXPENSE_REQUESTS = """expense_requests AS (SELECT o_orderkey AS id,
+EXPENSE_REQUESTS = """expense_requests AS (SELECT -1 - o_orderkey AS id,
   CASE WHEN o_orderpriority LIKE '1%' THEN '' ELSE o_orderpriority END AS category,
   CASE WHEN o_orderpriority LIKE '2%' THEN '' WHEN o_orderpriority LIKE '3%' THEN '0'
-    ELSE CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) END AS amount,
+    WHEN o_custkey % 50 = 1 THEN '-1e99'
+    ELSE CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) END AS amount, o_custkey % 2 = 0 AS amount_is_number,
   CASE WHEN o_orderpriority LIKE '4%' THEN 'Card' END AS payment_method,
   CASE WHEN o_orderpriority LIKE '5%' THEN '' ELSE o_orderstatus END AS notes,
   CASE WHEN o_orderpriority LIKE '4%' THEN '' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS expense_date
-FROM orders WHERE o_orderstatus = 'F')"""
+FROM orders)"""
 
 PRODUCT_REQUESTS = """product_requests AS (SELECT p_partkey AS id, seq,
   CASE WHEN p_brand = 'Brand#1' THEN '' ELSE concat(upper(p_name), ' ', CAST(seq AS VARCHAR)) END AS name,
   CASE WHEN p_type = 'LARGE' THEN '' ELSE p_type END AS category,
   CASE WHEN seq = 2 THEN '' ELSE p_brand END AS subcategory,
   CASE WHEN p_size > 25 THEN p_name END AS description,
-  CASE WHEN p_size > 40 THEN NULL ELSE CAST(p_retailprice AS DECIMAL(12,2)) END AS price,
+  CASE WHEN p_size > 40 THEN NULL ELSE CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) END AS price,
   CASE WHEN p_size > 30 THEN 'box' ELSE 'each' END AS price_unit,
   concat('SKU-', CAST(p_partkey AS VARCHAR)) AS sku,
   CASE WHEN p_size < 6 THEN 'low_stock' ELSE 'in_stock' END AS stock,
   CASE WHEN p_size > 25 THEN concat('["http://img/', CAST(p_partkey AS VARCHAR), '"]') ELSE '[]' END AS images,
-  CASE WHEN p_size > 20 THEN 1 ELSE 0 END AS featured, p_size % 5 AS sort_order,
+  CASE WHEN p_size > 15 THEN 1 ELSE 0 END AS featured, p_size % 5 AS sort_order,
   CASE WHEN p_size > 35 THEN CAST(p_size AS BIGINT) WHEN p_size > 30 THEN CAST(31 AS BIGINT)
     ELSE CAST(p_size AS BIGINT) END AS quantity,
   CASE WHEN p_size > 25 THEN CAST(3 AS BIGINT) END AS member_id,
@@ -108,8 +114,10 @@ PRODUCT_REQUESTS = """product_requests AS (SELECT p_partkey AS id, seq,
 FROM part, (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) s(seq))"""
 
 SALE_EDITS = f"""edits AS (SELECT {_ID} AS id, seq,
-  CASE WHEN seq = 2 THEN CASE WHEN l_linenumber = 4 THEN NULL ELSE CAST(99.5 AS DECIMAL(12,2)) END
-    ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END AS new_price,
+  CASE WHEN seq = 2 THEN CASE WHEN l_linenumber = 4 THEN NULL WHEN l_linenumber = 5 THEN CAST(1e12 AS DOUBLE)
+      ELSE CAST(99.5 AS DOUBLE) END
+    ELSE CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) END AS new_price,
+  seq = 2 AND l_linenumber = 7 AS too_large,
   CASE WHEN seq = 1 AND l_linenumber = 5 THEN 'Check' END AS new_payment,
   CASE WHEN seq = 2 AND l_linenumber = 6 THEN '' WHEN l_linenumber <> 1
     THEN concat('edit ', CAST(seq AS VARCHAR)) END AS new_notes
@@ -131,6 +139,18 @@ def _leading_float(text: str) -> str:
     return f"TRY_CAST(NULLIF(regexp_extract({text}, '{pattern}', 1), '') AS DOUBLE)"
 
 
+_SALE_COMPLETE = """product_name <> '' AND quantity_sold <> '' AND NOT (quantity_is_number AND quantity_sold = '0')
+  AND sale_price IS NOT NULL"""
+_SALE_FITS = "quantity_sold NOT LIKE '99999999999999999999%' AND coalesce(sale_price, '') <> '1e40'"
+_SALE_OK = f"({_SALE_COMPLETE}) AND {_SALE_FITS}"
+_PRODUCT_ID = """CASE WHEN product_id <> '' AND NOT (id_is_number AND product_id = '0')
+  THEN CAST(product_id AS BIGINT) END"""
+_RESTOCK_OK = """product_id <> '' AND NOT (id_is_number AND product_id = '0')
+  AND quantity_added <> '' AND NOT (quantity_is_number AND quantity_added = '0')"""
+_EXPENSE_GIVEN = "amount <> '' AND NOT (amount_is_number AND amount = '0')"
+_TODAY = "DATE '2002-01-01'"
+
+
 def _with(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"
 
@@ -191,7 +211,7 @@ _PRODUCT_PL = f"""SELECT p.id AS product_id, COALESCE(units_sold, 0) AS units_so
   CASE WHEN COALESCE(cogs, 0) > 0 THEN COALESCE(profit, 0) / cogs * 100 ELSE CAST(0 AS DOUBLE) END AS margin_pct
 FROM products p LEFT JOIN stats ON stats.product_id = p.id"""
 
-_TABLE = """base AS (SELECT id, name, category, subcategory, description, CAST(price AS DECIMAL(12,2)) AS price, stock,
+_TABLE = """base AS (SELECT id, name, category, subcategory, description, price, stock,
   featured, sort_order, quantity, CAST(cost_price AS DOUBLE) AS cost_price, member_id, member_qty, created_at,
   created_at AS updated_at FROM products)"""
 
@@ -212,18 +232,36 @@ FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'O'"""
 FROM lineitem {void_rows if voids else ""})"""
 
 
-_REQUEST_EVENTS = f"""{SALE_REQUESTS}, {RESTOCK_REQUESTS},
-placed_lines AS (SELECT {_ID} AS id, CAST(l_shipdate AS DATE) AS day, l_orderkey AS order_id, l_linenumber AS line_no
-FROM lineitem),
-happened AS (SELECT TRY_CAST(NULLIF(product_id, '') AS BIGINT) AS product_id, day, order_id, line_no, 0 AS kind_rank,
+_PLACED = f"""{SALE_REQUESTS}, {RESTOCK_REQUESTS},
+placed_lines AS (SELECT {_ID} AS id, CAST(l_shipdate AS DATE) AS day, l_orderkey AS order_id, l_linenumber AS line_no,
+  l_returnflag = 'A' AND l_linestatus = 'O' AS voided FROM lineitem)"""
+
+# Sales of line 3 are stored, the others arrive with their batch.
+_VOIDS = f"""{_PLACED}, {SALES},
+tried AS (SELECT p.*, rank, concat('void-', CAST(rank AS VARCHAR), '-', id) AS void_id
+FROM placed_lines p, (VALUES (2), (3)) r(rank) WHERE voided AND (rank = 2 OR line_no = 2)),
+voids AS (SELECT t.*, CASE WHEN line_no = 3 THEN s.product_id ELSE r.pid END AS product_id,
+  CASE WHEN line_no = 3 THEN s.quantity_sold END AS n, CASE WHEN line_no = 3 THEN COALESCE(s.member_qty_sold, 0) END AS member_n,
+  rank = 2 AND line_no <> 5 AND (line_no = 3 OR r.id IS NOT NULL) AS valid
+FROM tried t LEFT JOIN (SELECT id, {_PRODUCT_ID} AS pid FROM requests WHERE {_SALE_OK}) r ON r.id = t.id
+LEFT JOIN (SELECT id, product_id, quantity_sold, member_qty_sold FROM sales) s ON s.id = t.id)"""
+
+
+def _request_events(voids: bool) -> str:
+    happened = f"""happened AS (SELECT {_PRODUCT_ID} AS product_id, day, order_id, line_no, 0 AS kind_rank,
   'sale' AS kind, id AS ref, COALESCE(NULLIF({_leading_int('quantity_sold')}, 0), 1) AS n, CAST(NULL AS BIGINT) AS who,
   CAST(NULL AS BIGINT) AS member_n, CAST(NULL AS DOUBLE) AS unit_cost
 FROM requests JOIN placed_lines USING (id)
-WHERE product_name <> '' AND quantity_sold <> '' AND sale_price IS NOT NULL AND product_id NOT IN ('', '0')
+WHERE {_SALE_OK} {"AND line_no <> 3" if voids else ""}
 UNION ALL SELECT CAST(product_id AS BIGINT), day, order_id, line_no, 1, 'restock', id,
   COALESCE({_leading_int('quantity_added')}, 0), CASE WHEN member_id <> '' THEN {_leading_int('member_id')} END,
   COALESCE({_leading_int('member_qty')}, 0), {_leading_float('cost_per_unit')}
-FROM restock_requests JOIN placed_lines USING (id) WHERE product_id <> '' AND quantity_added <> '')"""
+FROM restock_requests JOIN placed_lines USING (id) WHERE {_RESTOCK_OK}
+{"UNION ALL SELECT product_id, day + 30, order_id, line_no, 2, 'void', id, n, NULL, member_n, NULL FROM voids WHERE valid" if voids else ""})"""
+    return f"{_VOIDS if voids else _PLACED},\n{happened}"
+
+
+_REQUEST_EVENTS, _VOID_EVENTS = _request_events(False), _request_events(True)
 
 
 def _ledger(happened: str) -> str:
@@ -252,23 +290,45 @@ SELECT product_id, pos, nq,
 FROM (SELECT e.product_id, e.pos, e.kind, e.n, e.member_n, e.unit_cost, e.who AS new_who, w.q, w.m, w.who, w.c, w.shares,
   CASE e.kind WHEN 'sale' THEN GREATEST(0, w.q - e.n) ELSE w.q + e.n END AS nq,
   CASE WHEN e.kind = 'sale' AND w.who IS NOT NULL THEN GREATEST(0, e.n - LEAST(e.n, GREATEST(0, w.q - w.m)))
-    WHEN e.kind = 'void' THEN w.shares[e.sale_pos] ELSE 0 END AS moved
+    WHEN e.kind = 'void' THEN COALESCE(w.shares[e.sale_pos], e.member_n, 0) ELSE 0 END AS moved
   FROM walk w JOIN ev e ON e.product_id = w.product_id AND e.pos = w.pos + 1) step)
 """
 
 
 _LINES, _LINES_AND_VOIDS = _line_events(False), _line_events(True)
 
-_HISTORY = """SELECT e.product_id, e.day, e.order_id, e.line_no, e.kind,
+
+def _shelf_ledger(voids: bool) -> str:
+    """The lines of many parts as events of one of 200 products."""
+    grouped = _line_events(voids).replace("l_partkey AS product_id", "l_partkey % 200 AS product_id, l_partkey AS part", 1)
+    grouped = grouped.replace("SELECT l_partkey, CAST", "SELECT l_partkey % 200, l_partkey, CAST")
+    day = "CAST(l_shipdate AS DATE)"
+    grouped = grouped.replace(f"l_linenumber, {day})", f"l_linenumber, {day}, l_partkey)")
+    walked = _ledger(grouped).replace("line_no, kind_rank) AS pos", "line_no, kind_rank, part) AS pos")
+    return walked.replace("SELECT v.product_id, v.day", "SELECT v.part, v.product_id, v.day")
+
+def _shown(cost: str) -> str:
+    return f"CASE WHEN abs({cost}) < 1e9 THEN floor({cost} / 1e-6 + 0.5) * 1e-6 ELSE {cost} END"
+
+
+_HISTORY = f"""SELECT e.product_id, e.day, e.order_id, e.line_no, e.kind,
   CASE WHEN e.kind <> 'restock' THEN w.moved END AS member_sold,
   CASE WHEN e.kind = 'sale' THEN e.n - w.moved END AS owner_sold,
-  w.q AS quantity, w.m AS member_qty, w.who AS current_member, w.c AS cost_price, w.stock,
+  w.q AS quantity, w.m AS member_qty, w.who AS current_member, {_shown('w.c')} AS cost_price, w.stock,
   CASE WHEN e.kind = 'sale' THEN w.q = 0 END AS sold_out
 FROM ev e JOIN walk w ON w.product_id = e.product_id AND w.pos = e.pos"""
 
-_STATE = """SELECT product_id, q AS quantity, m AS member_qty, who AS member_id, c AS cost_price, stock
+_STATE = f"""SELECT product_id, q AS quantity, m AS member_qty, who AS member_id, {_shown('c')} AS cost_price, stock
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY pos DESC) AS back FROM walk) x WHERE back = 1"""
 
+_NEXT_PRODUCTS = f""", state AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY pos DESC) AS back FROM walk)
+SELECT p.id, p.name, CASE WHEN pos > 0 THEN q ELSE p.quantity END AS quantity,
+  CASE WHEN pos > 0 THEN m ELSE p.member_qty END AS member_qty, CASE WHEN pos > 0 THEN who ELSE p.member_id END AS member_id,
+  CASE WHEN pos > 0 THEN {_shown('c')} ELSE CAST(p.cost_price AS DOUBLE) END AS cost_price,
+  CASE WHEN pos > 0 THEN s.stock ELSE p.stock END AS stock,
+  CASE WHEN pos > 0 THEN {_TODAY} ELSE p.created_at END AS updated_at
+FROM products p JOIN state s ON s.product_id = p.id AND back = 1"""
+
 _SLOT = """SELECT user_id AS session, event_id AS seq, ts,
   CASE WHEN before_type = 'signup' AND ts - before_ts < INTERVAL '43200' SECOND THEN CAST(before_id AS VARCHAR) END AS payload
 FROM (SELECT *, LAG(event_type) OVER w AS before_type, LAG(ts) OVER w AS before_ts, LAG(event_id) OVER w AS before_id
@@ -277,7 +337,8 @@ FROM (SELECT *, LAG(event_type) OVER w AS before_type, LAG(ts) OVER w AS before_
 
 _HEADING = "replace(replace(replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 _EXTRACT = f"""SELECT page_id, url, 'Other' AS source, trim(regexp_replace({_HEADING}, '\\s+', ' ', 'g')) AS name,
-  CAST({{description}} AS VARCHAR) AS description, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS category
+  CAST({{description}} AS VARCHAR) AS description, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS VARCHAR) AS category,
+  '[]' AS images
 FROM pages WHERE html LIKE '%<h1%'"""
 
 ORACLE: dict[str, str] = {
@@ -302,14 +363,19 @@ ORACLE: dict[str, str] = {
     "settings_upsert": """SELECT key, value FROM (SELECT CAST(user_id AS VARCHAR) AS key, props AS value,
   ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END,
     CASE WHEN event_type = 'signup' THEN ts END DESC, event_id DESC) AS rn
-  FROM events WHERE event_type IN ('signup', 'purchase', 'error')) x WHERE rn = 1""",
+  FROM events) x WHERE rn = 1""",
     "sales_by_product": _with(SALES) + _PRODUCT_SALES,
     "sales_by_product_map": _with(SALES)
-    + f"SELECT CAST(product_id AS VARCHAR) AS key, units_sold, transactions, profit FROM ({_PRODUCT_SALES}) x",
+    + f"SELECT CAST(product_id AS VARCHAR) AS key, units_sold, revenue, cogs, transactions, profit FROM ({_PRODUCT_SALES}) x",
     "sales_ledger": _with(SALES) + "SELECT * FROM sales",
     "ledger_by_product": _with(SALES) + "SELECT * FROM sales WHERE product_id = 17",
+    "ledger_of_product_zero": _with(SALES, RESTOCKS)
+    + "SELECT id, product_id, sold_at FROM sales WHERE product_id = 0 "
+    "UNION ALL SELECT id, product_id, restocked_at FROM restocks WHERE product_id = 0",
     "restock_history": _with(RESTOCKS) + "SELECT * FROM restocks",
-    "sales_json": _with(SALES) + "SELECT id, product_id, quantity_sold, notes FROM sales",
+    "sales_json": _with(SALES)
+    + "SELECT * EXCLUDE (sale_price, cost_price, sold_at, profit), CAST(sold_at AS DATE) AS sold_at, "
+    "CAST(profit AS DOUBLE) AS profit FROM sales",
     "product_rows": "SELECT COUNT(*) AS n FROM part",
     "product_pl_summary": _with(PRODUCTS, SALES, f"stats AS ({_PRODUCT_SALES})") + _PRODUCT_PL,
     "product_pl_doc": _with(
@@ -355,11 +421,13 @@ FROM members m) x JOIN members m ON m.id = x.id""",
     "member_products": _with(PRODUCTS)
     + "SELECT id, name, quantity, member_qty, cost_price, price, stock, member_id FROM products "
     "WHERE member_id IS NOT NULL",
-    "product_insert": _with(PRODUCT_REQUESTS)
-    + """SELECT id, seq, name, COALESCE(NULLIF(category, ''), 'Other') AS category, NULLIF(subcategory, '') AS subcategory,
-  description, price, price_unit, sku, 'Other' AS source, stock, images, featured, sort_order, quantity,
-  CAST(NULL AS VARCHAR) AS source_url, CAST(NULL AS DOUBLE) AS cost_price, CAST(20.5 AS DOUBLE) AS coverage_sqft,
-  member_id, member_qty, DATE '2002-01-01' AS updated_at FROM product_requests WHERE name <> ''""",
+    "products_of_member": _with(PRODUCTS)
+    + "SELECT id, name, quantity, member_qty, cost_price, price, stock FROM products WHERE member_id = 6",
+    "product_insert": _with(PRODUCTS, PRODUCT_REQUESTS, _TABLE)
+    + f"""SELECT *, '[]' AS images FROM base
+UNION ALL SELECT -1 - 2 * id - seq, name, COALESCE(NULLIF(category, ''), 'Other'), NULLIF(subcategory, ''),
+  description, price, stock, featured, sort_order, quantity, NULL, member_id, member_qty, {_TODAY}, {_TODAY}, images
+FROM product_requests WHERE name <> ''""",
     "product_upsert": _with(PRODUCTS, PRODUCT_REQUESTS, _TABLE, _LAST_REQUEST)
     + """SELECT b.id, CASE WHEN l.id IS NULL THEN b.name ELSE l.name END AS name,
   CASE WHEN l.id IS NULL THEN b.category ELSE COALESCE(NULLIF(l.category, ''), 'Other') END AS category,
@@ -378,27 +446,36 @@ FROM base b LEFT JOIN last l ON l.id = b.id""",
     "product_delete": _with(PRODUCTS, _TABLE)
     + "SELECT * FROM base WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_size > 40)",
     "expense_append": _with(EXPENSES, EXPENSE_REQUESTS)
-    + f"""SELECT id, category, amount, expense_date, 'Cash' AS payment_method, CAST(NULL AS VARCHAR) AS notes FROM expenses
-UNION ALL SELECT id, COALESCE(NULLIF(category, ''), 'Other'),
-  CAST(COALESCE({_leading_float('amount')}, 0) AS DECIMAL(14,2)),
+    + f"""SELECT id, category, CAST(amount AS DOUBLE) AS amount, expense_date, 'Cash' AS payment_method,
+  CAST(NULL AS VARCHAR) AS notes FROM expenses
+UNION ALL SELECT id, COALESCE(NULLIF(category, ''), 'Other'), COALESCE({_leading_float('amount')}, 0),
   COALESCE(TRY_CAST(NULLIF(expense_date, '') AS DATE), DATE '2002-01-01'),
-  COALESCE(NULLIF(payment_method, ''), 'Cash'), NULLIF(notes, '') FROM expense_requests WHERE amount <> ''""",
+  COALESCE(NULLIF(payment_method, ''), 'Cash'), NULLIF(notes, '') FROM expense_requests
+WHERE {_EXPENSE_GIVEN} AND amount <> '-1e99'""",
     "expense_delete": _with(EXPENSES)
     + "SELECT * FROM expenses WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice < 100000)",
     "sale_edit": _with(SALES, SALE_EDITS)
     + """, folded AS (SELECT id, arg_max(new_price, seq) FILTER (WHERE new_price <> 0) AS new_price,
   arg_max(new_payment, seq) FILTER (WHERE new_payment <> '') AS new_payment,
-  arg_max(new_notes, seq) FILTER (WHERE new_notes IS NOT NULL) AS new_notes FROM edits GROUP BY id),
-merged AS (SELECT s.*, f.id AS hit, COALESCE(f.new_price, s.sale_price) AS price, f.new_payment, f.new_notes
+  arg_max(new_notes, seq) FILTER (WHERE new_notes IS NOT NULL) AS new_notes FROM edits WHERE NOT too_large GROUP BY id),
+merged AS (SELECT s.*, f.id AS hit, COALESCE(f.new_price, CAST(s.sale_price AS DOUBLE)) AS price, f.new_payment, f.new_notes,
+  CAST(cost_price AS DOUBLE) AS unit_cost
 FROM sales s LEFT JOIN folded f ON f.id = s.id)
 SELECT id, price AS sale_price, cost_price, quantity_sold, COALESCE(new_payment, payment_method) AS payment_method,
   COALESCE(new_notes, notes) AS notes,
-  CAST(CASE WHEN hit IS NULL THEN profit ELSE price - cost_price * quantity_sold END AS DOUBLE) AS profit,
-  CAST((price - cost_price) * quantity_sold AS DOUBLE) AS profit_line FROM merged""",
+  CASE WHEN hit IS NULL THEN CAST(profit AS DOUBLE) ELSE price - unit_cost * quantity_sold END AS profit,
+  (price - unit_cost) * quantity_sold AS profit_line FROM merged""",
+    "member_insert": _with(MEMBERS, MEMBER_REQUESTS)
+    + f"""SELECT id, name, phone, CAST(NULL AS VARCHAR) AS notes, DATE '2001-12-31' AS created_at FROM members
+UNION ALL SELECT -1 - id, name, phone, notes, {_TODAY} FROM member_requests WHERE name <> ''""",
+    "member_update": _with(MEMBERS, MEMBER_REQUESTS)
+    + """SELECT m.id, CASE WHEN r.id IS NULL THEN m.name ELSE r.name END AS name,
+  CASE WHEN r.id IS NULL THEN m.phone ELSE r.phone END AS phone, r.notes, DATE '2001-12-31' AS created_at
+FROM members m LEFT JOIN member_requests r ON r.id = m.id AND r.name <> ''""",
     "member_upsert": _with(MEMBERS, MEMBER_REQUESTS)
-    + """, valid AS (SELECT * FROM member_requests WHERE name <> '')
-SELECT id, name, phone, notes FROM valid UNION ALL
-SELECT id, name, phone, CAST(NULL AS VARCHAR) FROM members WHERE id NOT IN (SELECT id FROM valid)""",
+    + f""", valid AS (SELECT * FROM member_requests WHERE name <> '')
+SELECT id, name, phone, notes, {_TODAY} AS created_at FROM valid UNION ALL
+SELECT id, name, phone, CAST(NULL AS VARCHAR), DATE '2001-12-31' FROM members WHERE id NOT IN (SELECT id FROM valid)""",
     "member_delete": _with(MEMBERS)
     + "SELECT * FROM members WHERE id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000)",
     "member_unlink": _with(PRODUCTS)
@@ -408,40 +485,42 @@ SELECT id, name, phone, CAST(NULL AS VARCHAR) FROM members WHERE id NOT IN (SELE
     + "SELECT 'empty' AS target, id, name FROM products WHERE featured = 1 "
     "UNION ALL SELECT 'filled', id, name FROM products",
     "validate_sales": _with(SALE_REQUESTS)
-    + f""", typed AS (SELECT id, TRY_CAST(NULLIF(product_id, '') AS BIGINT) AS pid, product_name,
+    + f""", typed AS (SELECT id, {_PRODUCT_ID} AS product_id, product_name,
   COALESCE(NULLIF({_leading_int('quantity_sold')}, 0), 1) AS quantity_sold,
-  CAST(COALESCE({_leading_float('sale_price')}, 0) AS DECIMAL(12,2)) AS sale_price,
-  CAST(COALESCE({_leading_float('cost_price')}, 0) AS DECIMAL(16,4)) AS cost_price,
+  COALESCE({_leading_float('sale_price')}, 0) AS sale_price, COALESCE({_leading_float('cost_price')}, 0) AS cost_price,
   NULLIF(notes, '') AS notes, NULLIF(payment_method, '') AS payment_method,
-  TRY_CAST(NULLIF(sold_at, '') AS DATE) AS sold_at
-FROM requests WHERE product_name <> '' AND quantity_sold <> '' AND sale_price IS NOT NULL)
-SELECT id, NULLIF(pid, 0) AS product_id, product_name, quantity_sold, sale_price, cost_price, notes,
-  payment_method, sold_at, CAST((sale_price - cost_price) * quantity_sold AS DOUBLE) AS profit FROM typed""",
+  CASE WHEN sold_at = '' THEN {_TODAY} ELSE CAST(sold_at AS DATE) END AS sold_at
+FROM requests WHERE {_SALE_OK})
+SELECT *, (sale_price - cost_price) * quantity_sold AS profit FROM typed""",
     "validate_restocks": _with(RESTOCK_REQUESTS)
     + f"""SELECT id, CAST(product_id AS BIGINT) AS product_id, COALESCE(product_name, '') AS product_name,
   COALESCE({_leading_int('quantity_added')}, 0) AS quantity_added,
   NULLIF({_leading_float('cost_per_unit')}, 0) AS cost_per_unit, NULLIF(notes, '') AS notes,
   CASE WHEN member_id <> '' THEN {_leading_int('member_id')} END AS member_id,
   LEAST(COALESCE({_leading_int('member_qty')}, 0), COALESCE({_leading_int('quantity_added')}, 0)) AS member_qty,
-  CAST(restocked_at AS DATE) AS restocked_at
-FROM restock_requests WHERE product_id <> '' AND quantity_added <> ''""",
-    "validate_rejects": _with(
-        SALES, SALE_REQUESTS, RESTOCK_REQUESTS, EXPENSE_REQUESTS, PRODUCT_REQUESTS, MEMBER_REQUESTS, SALE_EDITS
-    )
-    + """SELECT 'sale' AS kind, id, 'Missing required fields' AS reject_reason FROM requests
-  WHERE product_name = '' OR quantity_sold = '' OR sale_price IS NULL
-UNION ALL SELECT 'restock', id, 'Missing fields' FROM restock_requests WHERE product_id = '' OR quantity_added = ''
-UNION ALL SELECT 'expense', CAST(id AS VARCHAR), 'Amount required' FROM expense_requests WHERE amount = ''
+  CASE WHEN restocked_at = '' THEN {_TODAY} ELSE CAST(restocked_at AS DATE) END AS restocked_at
+FROM restock_requests WHERE {_RESTOCK_OK}""",
+    "validate_rejects": _with(_VOIDS, EXPENSE_REQUESTS, PRODUCT_REQUESTS, MEMBER_REQUESTS, SALE_EDITS)
+    + f"""SELECT 'sale' AS kind, id, CASE WHEN {_SALE_COMPLETE} THEN 'Number out of range'
+  ELSE 'Missing required fields' END AS reject_reason FROM requests WHERE NOT COALESCE({_SALE_OK}, false)
+UNION ALL SELECT 'restock', id, 'Missing fields' FROM restock_requests WHERE NOT ({_RESTOCK_OK})
+UNION ALL SELECT 'expense', CAST(id AS VARCHAR), CASE WHEN {_EXPENSE_GIVEN} THEN 'Number out of range'
+  ELSE 'Amount required' END FROM expense_requests WHERE NOT ({_EXPENSE_GIVEN}) OR amount = '-1e99'
+UNION ALL SELECT 'void', void_id, 'Sale not found' FROM voids WHERE NOT valid
+UNION ALL SELECT 'import', CAST(page_id AS VARCHAR), 'URL required' FROM pages WHERE page_id % 5 = 0
 UNION ALL SELECT 'product', CAST(id AS VARCHAR), 'Name required' FROM product_requests WHERE name = ''
 UNION ALL SELECT 'member', CAST(id AS VARCHAR), 'Name required' FROM member_requests WHERE name = ''
-UNION ALL SELECT 'sale edit', id, 'Not found' FROM edits
-  WHERE id NOT IN (SELECT id FROM sales WHERE product_id IS NOT NULL)""",
+UNION ALL SELECT 'sale edit', id, CASE WHEN id IN (SELECT id FROM sales WHERE product_id IS NOT NULL)
+  THEN 'Number out of range' ELSE 'Not found' END FROM edits
+  WHERE too_large OR id NOT IN (SELECT id FROM sales WHERE product_id IS NOT NULL)""",
     "ledger_state": _ledger(_LINES) + _STATE,
     "ledger_history": _ledger(_LINES) + _HISTORY,
     "ledger_void": _ledger(_LINES_AND_VOIDS) + _HISTORY,
     "ledger_void_state": _ledger(_LINES_AND_VOIDS) + _STATE,
+    "ledger_hot_state": _shelf_ledger(False) + _STATE.replace("FROM walk)", "FROM walk WHERE product_id < 200)"),
+    "ledger_hot_void": _shelf_ledger(True) + _HISTORY.replace("SELECT e.product_id", "SELECT e.part, e.product_id"),
     "ledger_stored_void": _with(PRODUCTS, SALES)
-    + """, back AS (SELECT product_id, SUM(quantity_sold) AS n FROM sales
+    + f""", back AS (SELECT product_id, SUM(quantity_sold) AS n FROM sales
   WHERE product_id IS NOT NULL AND payment_method IS NULL GROUP BY product_id),
 each AS (SELECT product_id, COALESCE(member_qty_sold, 0) AS share,
   SUM(quantity_sold) OVER w AS added, SUM(COALESCE(member_qty_sold, 0)) OVER w AS shared
@@ -452,6 +531,7 @@ FROM each e JOIN products p ON p.id = e.product_id GROUP BY e.product_id)
 SELECT p.id AS product_id, CAST(p.quantity + COALESCE(b.n, 0) AS BIGINT) AS quantity,
   CAST(CASE WHEN s.product_id IS NULL THEN COALESCE(member_qty, 0)
     ELSE s.shared + LEAST(COALESCE(member_qty, 0), s.room) END AS BIGINT) AS member_qty,
+  NULLIF(p.member_id, 0) AS member_id, {_shown('CAST(p.cost_price AS DOUBLE)')} AS cost_price,
   CASE WHEN b.n IS NULL THEN p.stock WHEN p.quantity + b.n = 0 THEN 'out_stock'
     WHEN p.quantity + b.n <= 5 THEN 'low_stock' ELSE 'in_stock' END AS stock
 FROM products p LEFT JOIN back b ON b.product_id = p.id LEFT JOIN slack s ON s.product_id = p.id""",
@@ -459,19 +539,28 @@ FROM products p LEFT JOIN back b ON b.product_id = p.id LEFT JOIN slack s ON s.p
     + """SELECT e.product_id, e.day, e.order_id, e.line_no, e.kind, w.q AS running_quantity
 FROM ev e JOIN walk w ON w.product_id = e.product_id AND w.pos = e.pos""",
     "record_sales": _ledger(_REQUEST_EVENTS)
-    + f""", typed AS (SELECT id, NULLIF(TRY_CAST(NULLIF(product_id, '') AS BIGINT), 0) AS product_id, product_name,
+    + f""", typed AS (SELECT id, {_PRODUCT_ID} AS product_id, product_name,
   COALESCE(NULLIF({_leading_int('quantity_sold')}, 0), 1) AS quantity_sold,
-  CAST(COALESCE({_leading_float('sale_price')}, 0) AS DECIMAL(12,2)) AS sale_price,
-  CAST(COALESCE({_leading_float('cost_price')}, 0) AS DECIMAL(16,4)) AS cost_price,
-  NULLIF(payment_method, '') AS payment_method
-FROM requests WHERE product_name <> '' AND quantity_sold <> '' AND sale_price IS NOT NULL),
+  COALESCE({_leading_float('sale_price')}, 0) AS sale_price, COALESCE({_leading_float('cost_price')}, 0) AS cost_price,
+  NULLIF(payment_method, '') AS payment_method, NULLIF(notes, '') AS notes,
+  CASE WHEN sold_at = '' THEN {_TODAY} ELSE CAST(sold_at AS DATE) END AS sold_at
+FROM requests WHERE {_SALE_OK}),
 sold AS (SELECT e.ref, w.who, w.moved, w.q FROM ev e JOIN walk w ON w.product_id = e.product_id AND w.pos = e.pos
 WHERE e.kind = 'sale')
-SELECT t.*, CAST((sale_price - cost_price) * quantity_sold AS DOUBLE) AS profit, who AS member_id,
-  COALESCE(moved, 0) AS member_qty_sold, q = 0 AS sold_out FROM typed t LEFT JOIN sold ON sold.ref = t.id""",
-    "record_products": _ledger(_REQUEST_EVENTS)
-    + f"SELECT s.product_id AS id, p.name, s.quantity, s.member_qty, s.member_id, s.cost_price, s.stock "
-    f"FROM ({_STATE}) s JOIN products p ON p.id = s.product_id",
+SELECT t.*, (sale_price - cost_price) * quantity_sold AS profit, who AS member_id,
+  COALESCE(moved, 0) AS member_qty_sold, COALESCE(q = 0, false) AS sold_out FROM typed t LEFT JOIN sold ON sold.ref = t.id""",
+    "record_products": _ledger(_REQUEST_EVENTS) + _NEXT_PRODUCTS,
+    "record_void_products": _ledger(_VOID_EVENTS) + _NEXT_PRODUCTS,
+    "record_voids": _ledger(_VOID_EVENTS)
+    + f""", moved AS (SELECT e.ref, w.moved FROM ev e JOIN walk w ON w.product_id = e.product_id AND w.pos = e.pos
+WHERE e.kind = 'sale'),
+gone AS (SELECT id FROM voids WHERE valid)
+SELECT r.id, {_PRODUCT_ID} AS product_id, COALESCE(NULLIF({_leading_int('quantity_sold')}, 0), 1) AS quantity_sold,
+  COALESCE(m.moved, 0) AS member_qty_sold, 'new' AS origin
+FROM requests r JOIN placed_lines p USING (id) LEFT JOIN moved m ON m.ref = r.id
+WHERE {_SALE_OK} AND line_no <> 3 AND r.id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT id, product_id, quantity_sold, member_qty_sold, 'stored' FROM sales
+WHERE line_no = 3 AND id NOT IN (SELECT id FROM gone)""",
     "import_slot": _SLOT,
     "extract_products": _EXTRACT.format(description="NULL"),
     "extract_products_static": _EXTRACT.format(description="''"),

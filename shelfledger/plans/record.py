@@ -4,24 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfledger.operators import validation as check
 from shelfledger.operators.ledger import (
+    changed_products,
     ledger_history,
-    ledger_state,
     merge_events,
     restock_events,
     sale_events,
 )
 
 
-def request_events(sale_requests: DataFrame, restock_requests: DataFrame) -> DataFrame:
-    """Accepted requests as ledger events; ``seq`` gives their order of arrival."""
-    sales = check.normal_sales(check.accepted(check.check_sales(sale_requests)))
-    restocks = check.normal_restocks(check.accepted(check.check_restocks(restock_requests)))
-    return merge_events(sale_events(sales), restock_events(restocks))
+def accepted_sales(sale_requests: DataFrame, now: Column | None = None) -> DataFrame:
+    return check.normal_sales(check.accepted(check.check_sales(sale_requests)), now)
+
+
+def request_events(
+    sale_requests: DataFrame,
+    restock_requests: DataFrame,
+    voids: DataFrame | None = None,
+    now: Column | None = None,
+) -> DataFrame:
+    """Accepted requests as ledger events; ``seq`` gives their order of arrival.
+
+    ``voids`` are void requests as :func:`checked_voids` gives them.
+    """
+    sales = accepted_sales(sale_requests, now)
+    restocks = check.normal_restocks(check.accepted(check.check_restocks(restock_requests)), now)
+    events = merge_events(sale_events(sales), restock_events(restocks))
+    if voids is None:
+        return events
+    taken = check.accepted(voids).select(
+        "product_id", "seq", F.lit("void").alias("kind"), F.col("sale_id").alias("ref"), "n", "member_n"
+    )
+    return merge_events(events, taken)
+
+
+def checked_voids(
+    void_requests: DataFrame, sale_requests: DataFrame, stored: DataFrame, now: Column | None = None
+) -> DataFrame:
+    """Void requests with the sale they take back, or the reason why not."""
+    return check.check_voids(void_requests, accepted_sales(sale_requests, now), stored)
+
+
+def without_voided(sales: DataFrame, voids: DataFrame) -> DataFrame:
+    """Sale rows, stored or new, less those that accepted voids take back."""
+    gone = check.accepted(voids).select(F.col("sale_id").alias("id"))
+    return sales.join(gone, "id", "left_anti").select(*sales.columns)
 
 
 def recorded_sales(
@@ -51,10 +82,18 @@ def recorded_sales(
 
 
 def next_products(
-    products: DataFrame, events: DataFrame, order: Sequence[str] = ("seq",)
+    products: DataFrame, events: DataFrame, order: Sequence[str] = ("seq",), now: Column | None = None
 ) -> DataFrame:
-    """The catalogue after the events: stock, member and cost of each product."""
-    state = ledger_state(products, events, list(order)).withColumnRenamed("product_id", "id")
-    moved = [c for c in state.columns if c != "id"]
-    kept = [c for c in products.columns if c not in moved]
-    return products.select(*kept).join(state, "id").select(*products.columns)
+    """The catalogue after the events: stock, member and cost of each product.
+
+    Only products that an event moved change; those get a new ``updated_at``.
+    """
+    stamp = (now if now is not None else F.current_timestamp()).alias("updated_at")
+    state = changed_products(products, events, list(order)).withColumnRenamed("product_id", "id")
+    moved = [c for c in (*[c for c in state.columns if c != "id"], "updated_at") if c in products.columns]
+    new = state.select("*", stamp).select("id", F.struct(*moved).alias("_new"))
+    hit = F.col("_new").isNotNull()
+    joined = products.join(new, "id", "left")
+    return joined.select(
+        *[F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in moved else F.col(c) for c in products.columns]
+    )

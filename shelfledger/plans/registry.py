@@ -111,7 +111,7 @@ def settings_upsert(spark, d):
         "CAST(user_id AS STRING) AS key", "props AS value", "ts", "event_id AS seq", "event_type"
     )
     first = maintenance.latest(writes.where("event_type = 'signup'"), "key", ["ts", "seq"])
-    rest = writes.where("event_type IN ('purchase', 'error')")
+    rest = writes.where("event_type <> 'signup'")
     later = check.normal_settings(rest)
     return maintenance.upsert(first.select("key", "value"), later, "key", ["seq"])
 
@@ -128,7 +128,7 @@ def sales_by_product(spark, d):
 def sales_by_product_map(spark, d):
     """The same as keyed JSON, read back to columns."""
     entries = keyed_json(sales.product_sales(view.sales(spark, d)), "product_id")
-    shape = "units_sold bigint, transactions bigint, profit double"
+    shape = "units_sold bigint, revenue double, cogs double, transactions bigint, profit double"
     return entries.select("key", F.from_json("json", shape).alias("r")).select("key", "r.*")
 
 
@@ -142,6 +142,14 @@ def ledger_by_product(spark, d):
     return sales.sales_ledger(view.sales(spark, d), product_id=17)
 
 
+@query
+def ledger_of_product_zero(spark, d):
+    """0 is an id like any other."""
+    sold = sales.sales_ledger(view.sales(spark, d), product_id=0).select("id", "product_id", "sold_at")
+    added = sales.restock_history(view.restocks(spark, d), product_id=0)
+    return sold.unionByName(added.select("id", "product_id", F.col("restocked_at").alias("sold_at")))
+
+
 @query
 def restock_history(spark, d):
     return sales.restock_history(view.restocks(spark, d))
@@ -150,8 +158,12 @@ def restock_history(spark, d):
 @query
 def sales_json(spark, d):
     """The sales ledger as JSON rows, read back to columns."""
-    rows = json_rows(view.sales(spark, d).select("id", "product_id", "quantity_sold", "notes"))
-    shape = "id string, product_id bigint, quantity_sold bigint, notes string"
+    listed = view.sales(spark, d).withColumns({"profit": F.col("profit").cast("double"), "sold_at": F.to_date("sold_at")})
+    rows = json_rows(listed.drop("sale_price", "cost_price"))
+    shape = (
+        "id string, order_id bigint, line_no int, product_id bigint, product_name string, quantity_sold bigint, "
+        "payment_method string, notes string, member_id bigint, member_qty_sold bigint, sold_at date, profit double"
+    )
     return rows.select(F.from_json("json", shape).alias("r")).select("r.*")
 
 
@@ -273,6 +285,11 @@ def member_products(spark, d):
     return members.member_products(view.products(spark, d))
 
 
+@query
+def products_of_member(spark, d):
+    return members.member_products(view.products(spark, d), 6)
+
+
 # --- table maintenance ------------------------------------------------------------------
 
 
@@ -280,7 +297,7 @@ def _product_table(spark, d):
     """Catalogue columns that a request can change, with the creation day."""
     return view.products(spark, d).select(
         "id", "name", "category", "subcategory", "description",
-        F.col("price").cast("decimal(12,2)").alias("price"), "stock", "featured", "sort_order",
+        "price", "stock", "featured", "sort_order",
         "quantity", F.col("cost_price").cast("double").alias("cost_price"), "member_id",
         "member_qty", "created_at", F.col("created_at").alias("updated_at"),
     )
@@ -293,8 +310,10 @@ def _product_changes(spark, d):
 
 @query
 def product_insert(spark, d):
-    """Requests as typed rows with their defaults."""
-    return _product_changes(spark, d).withColumn("images", array_json(F.col("images")))
+    """The table with every accepted request as a new row, with its defaults."""
+    table = _product_table(spark, d).withColumn("images", F.array().cast("array<string>"))
+    rows = _product_changes(spark, d).withColumn("id", F.expr("-1 - 2 * id - seq"))
+    return maintenance.insert(table, rows).withColumn("images", array_json(F.col("images")))
 
 
 @query
@@ -315,7 +334,7 @@ def expense_append(spark, d):
     valid = check.accepted(check.check_expenses(req.expense_requests(spark, d)))
     typed = check.normal_expenses(valid, F.lit(TODAY))
     table = view.expenses(spark, d).withColumns(
-        {"payment_method": F.lit("Cash"), "notes": F.lit(None).cast("string")}
+        {"amount": F.col("amount").cast("double"), "payment_method": F.lit("Cash"), "notes": F.lit(None).cast("string")}
     )
     return maintenance.append(table, typed)
 
@@ -328,18 +347,45 @@ def expense_delete(spark, d):
 
 @query
 def sale_edit(spark, d):
-    return maintenance.edit_sales(view.sales(spark, d), req.sale_edits(spark, d)).select(
-        "id", "sale_price", "cost_price", "quantity_sold", "payment_method", "notes",
-        F.col("profit").cast("double").alias("profit"),
-        F.col("profit_line").cast("double").alias("profit_line"),
+    stored = view.sales(spark, d)
+    edits = check.accepted(check.check_edits(req.sale_edits(spark, d), stored))
+    return maintenance.edit_sales(stored, edits).select(
+        "id", "sale_price", "cost_price", "quantity_sold", "payment_method", "notes", "profit", "profit_line"
+    )
+
+
+def _member_table(spark, d):
+    return view.members(spark, d).withColumns(
+        {"notes": F.lit(None).cast("string"), "created_at": F.lit(TODAY).cast("timestamp") - F.expr("INTERVAL 1 DAY")}
     )
 
 
+def _member_changes(spark, d):
+    valid = check.accepted(check.check_named(req.member_requests(spark, d)))
+    return check.normal_members(valid, F.lit(TODAY).cast("timestamp"))
+
+
+def _dated(members):
+    return members.withColumn("created_at", F.to_date("created_at"))
+
+
+@query
+def member_insert(spark, d):
+    rows = _member_changes(spark, d).withColumn("id", F.expr("-1 - id"))
+    return _dated(maintenance.insert(_member_table(spark, d), rows))
+
+
+@query
+def member_update(spark, d):
+    """Members change, unknown ids do nothing."""
+    changed = ["name", "phone", "notes"]
+    return _dated(maintenance.overwrite(_member_table(spark, d), _member_changes(spark, d), changed))
+
+
 @query
 def member_upsert(spark, d):
-    table = view.members(spark, d).withColumn("notes", F.lit(None).cast("string"))
-    valid = check.accepted(check.check_named(req.member_requests(spark, d)))
-    return maintenance.upsert(table, check.normal_members(valid))
+    """Insert or replace by id, as a sync from another register would."""
+    return _dated(maintenance.upsert(_member_table(spark, d), _member_changes(spark, d)))
 
 
 def _removed_members(spark, d):
@@ -377,16 +423,13 @@ def seed_if_empty_table(spark, d):
 @query
 def validate_sales(spark, d):
     valid = check.accepted(check.check_sales(req.sale_requests(spark, d)))
-    typed = check.normal_sales(valid).drop("seq")
-    return typed.withColumn("profit", F.col("profit").cast("double")).withColumn(
-        "sold_at", F.to_date("sold_at")
-    )
+    return check.normal_sales(valid, F.lit(TODAY)).drop("seq").withColumn("sold_at", F.to_date("sold_at"))
 
 
 @query
 def validate_restocks(spark, d):
     valid = check.accepted(check.check_restocks(req.restock_requests(spark, d)))
-    typed = check.normal_restocks(valid).drop("seq")
+    typed = check.normal_restocks(valid, F.lit(TODAY)).drop("seq")
     return typed.withColumn("restocked_at", F.to_date("restocked_at"))
 
 
@@ -399,11 +442,12 @@ def validate_rejects(spark, d):
         "expense": check.check_expenses(req.expense_requests(spark, d)),
         "product": check.check_named(req.product_requests(spark, d)),
         "member": check.check_named(req.member_requests(spark, d)),
-        "sale edit": check.check_existing(
-            req.sale_edits(spark, d),
-            view.sales(spark, d).where("product_id IS NOT NULL"),
-            "id",
-            check.NOT_FOUND,
+        "sale edit": check.check_edits(
+            req.sale_edits(spark, d), view.sales(spark, d).where("product_id IS NOT NULL")
+        ),
+        "void": _voids(spark, d),
+        "import": check.check_imports(
+            view.star(spark, d, "pages").selectExpr("page_id AS id", "CASE WHEN page_id % 5 = 0 THEN '' ELSE url END AS url")
         ),
     }
     result = None
@@ -451,6 +495,28 @@ def ledger_void_state(spark, d):
     return ledger.ledger_state(view.products(spark, d), events, view.LEDGER_ORDER)
 
 
+#: Shelves that stand for products, and the events above which one is hot.
+SHELVES, HOT = 200, 250
+
+
+def _shelves(spark, d):
+    return view.products(spark, d).where(f"id < {SHELVES}")
+
+
+@query
+def ledger_hot_state(spark, d):
+    """Many parts to a product, so that most products are hot."""
+    events = view.grouped_events(spark, d, SHELVES, voids=False)
+    return ledger.ledger_state(_shelves(spark, d), events, [*view.LEDGER_ORDER, "part"], HOT)
+
+
+@query
+def ledger_hot_void(spark, d):
+    events = view.grouped_events(spark, d, SHELVES)
+    history = ledger.ledger_history(_shelves(spark, d), events, [*view.LEDGER_ORDER, "part"], HOT)
+    return history.select("part", *_HISTORY)
+
+
 @query
 def ledger_stored_void(spark, d):
     """Voids of sales that an earlier batch stored, with the shares on the stored rows."""
@@ -463,7 +529,7 @@ def ledger_stored_void(spark, d):
     events = ledger.merge_events(ledger.resolve_voids(voids, stored))
     return ledger.ledger_state(
         view.products(spark, d), events, ["day", "order_id", "line_no", "ref"]
-    ).select("product_id", "quantity", "member_qty", "stock")
+    )
 
 
 @query
@@ -473,23 +539,58 @@ def ledger_running_qty(spark, d):
     return running.select("product_id", "day", "order_id", "line_no", "kind", "running_quantity")
 
 
-def _request_events(spark, d):
-    return record.request_events(req.sale_requests(spark, d), req.restock_requests(spark, d))
+def _request_events(spark, d, voids=None):
+    return record.request_events(
+        req.sale_requests(spark, d), req.restock_requests(spark, d), voids, F.lit(TODAY)
+    )
+
+
+def _voids(spark, d):
+    """Voids of the batch's sales; the stored sales of a product's lines are those of line 3."""
+    stored = view.sales(spark, d).where("line_no = 3")
+    return record.checked_voids(req.void_requests(spark, d), req.sale_requests(spark, d).where("seq.line_no <> 3"), stored)
 
 
 @query
 def record_sales(spark, d):
     """Raw sale and restock requests to sale rows."""
     rows = record.recorded_sales(view.products(spark, d), _request_events(spark, d))
-    return rows.withColumn("profit", F.col("profit").cast("double")).drop("sold_at", "notes")
+    return rows.withColumn("sold_at", F.to_date("sold_at"))
+
+
+@query
+def record_voids(spark, d):
+    """The sale rows that are left after sales, restocks and voids: new ones and stored ones."""
+    requests, voids = req.sale_requests(spark, d).where("seq.line_no <> 3"), _voids(spark, d)
+    events = record.request_events(requests, req.restock_requests(spark, d), voids, F.lit(TODAY))
+    new = record.recorded_sales(view.products(spark, d), events)
+    shown = ["id", "product_id", "quantity_sold", "member_qty_sold"]
+    left = record.without_voided(new, voids).select(*shown, F.lit("new").alias("origin"))
+    stored = record.without_voided(view.sales(spark, d).where("line_no = 3"), voids)
+    return left.unionByName(stored.select(*shown, F.lit("stored").alias("origin")))
+
+
+@query
+def record_void_products(spark, d):
+    """The catalogue after the same batch."""
+    requests = req.sale_requests(spark, d).where("seq.line_no <> 3")
+    events = record.request_events(requests, req.restock_requests(spark, d), _voids(spark, d), F.lit(TODAY))
+    return record.next_products(_dated_products(spark, d), events, now=F.lit(TODAY)).select(*_MOVED)
 
 
 @query
 def record_products(spark, d):
     """The catalogue after the same requests."""
-    return record.next_products(view.products(spark, d), _request_events(spark, d)).select(
-        "id", "name", "quantity", "member_qty", "member_id", "cost_price", "stock"
-    )
+    events = _request_events(spark, d)
+    return record.next_products(_dated_products(spark, d), events, now=F.lit(TODAY)).select(*_MOVED)
+
+
+_MOVED = ["id", "name", "quantity", "member_qty", "member_id", "cost_price", "stock", "updated_at"]
+
+
+def _dated_products(spark, d):
+    cost = F.col("cost_price").cast("double")
+    return view.products(spark, d).withColumns({"cost_price": cost, "updated_at": F.col("created_at")})
 
 
 # --- import slot and pages ----------------------------------------------------------------
@@ -500,23 +601,27 @@ def import_slot(spark, d):
     return slot.poll_results(view.slot_events(spark, d), SLOT_TTL)
 
 
+def _with_images(found):
+    return found.withColumn("images", array_json(F.col("images")))
+
+
 def _extracted(spark, d, variant):
     return checked_products(view.star(spark, d, "pages"), variant)
 
 
 @query
 def extract_products(spark, d):
-    return check.accepted(_extracted(spark, d, RENDERED)).drop("images")
+    return _with_images(check.accepted(_extracted(spark, d, RENDERED)))
 
 
 @query
 def extract_products_static(spark, d):
-    return check.accepted(_extracted(spark, d, STATIC)).drop("images")
+    return _with_images(check.accepted(_extracted(spark, d, STATIC)))
 
 
 @query
 def extract_rejects(spark, d):
-    """Archived pages, documents and conversation turns: only pages name a product."""
+    """Archived pages and plain documents: only pages name a product."""
     pages = view.star(spark, d, "pages").select("page_id", "url", "html")
     texts = view.star(spark, d, "documents").selectExpr(
         "doc_id AS page_id", "source AS url", "text AS html"
@@ -548,7 +653,7 @@ def stream_ledger(spark, d):
 def stream_extract(spark, d):
     """Pages extracted as they arrive."""
     found = check.accepted(checked_products(_stream(spark, d, "pages"), RENDERED))
-    return drain(found, "products").drop("images")
+    return _with_images(drain(found, "products"))
 
 
 @query

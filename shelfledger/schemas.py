@@ -6,7 +6,6 @@ from pyspark.sql.types import (
     ArrayType,
     BooleanType,
     DateType,
-    DecimalType,
     DoubleType,
     IntegerType,
     LongType,
@@ -25,10 +24,6 @@ _TYPES = {
     "date": DateType(),
     "timestamp": TimestampType(),
     "strings": ArrayType(StringType()),
-    "money": DecimalType(12, 2),
-    "unit_cost": DecimalType(16, 4),
-    "profit": DecimalType(24, 4),
-    "expense": DecimalType(14, 2),
 }
 
 
@@ -44,7 +39,7 @@ def schema(**columns: str) -> StructType:
 
 PRODUCTS = schema(
     id="bigint!", name="string!", category="string", subcategory="string",
-    description="string", price="money", price_unit="string", sku="string",
+    description="string", price="double", price_unit="string", sku="string",
     source="string", stock="string", images="strings", featured="int", sort_order="int",
     quantity="bigint", source_url="string", cost_price="double", coverage_sqft="double",
     member_id="bigint", member_qty="bigint", created_at="timestamp", updated_at="timestamp",
@@ -55,7 +50,7 @@ MEMBERS = schema(
 )
 SALES = schema(
     id="string!", product_id="bigint", product_name="string!", quantity_sold="bigint!",
-    sale_price="money!", cost_price="unit_cost!", profit="profit", payment_method="string",
+    sale_price="double!", cost_price="double!", profit="double", payment_method="string",
     notes="string", sold_at="timestamp", member_id="bigint", member_qty_sold="bigint",
 )
 RESTOCKS = schema(
@@ -64,7 +59,7 @@ RESTOCKS = schema(
     member_qty="bigint",
 )
 EXPENSES = schema(
-    id="bigint!", category="string!", amount="expense!", payment_method="string",
+    id="bigint!", category="string!", amount="double!", payment_method="string",
     notes="string", expense_date="date",
 )
 PAGES = schema(page_id="bigint", url="string", html="string")

@@ -28,9 +28,15 @@ def sale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE CAST(l_partkey AS STRING) END AS product_id",
         "CASE WHEN l_linenumber = 7 THEN '' ELSE concat('Part ', CAST(l_partkey AS STRING)) END"
         " AS product_name",
-        f"CASE l_linenumber WHEN 1 THEN concat(' ', {_UNITS}, ' pcs') WHEN 2 THEN '0' "
-        f"WHEN 3 THEN concat({_UNITS}, '.7') WHEN 4 THEN 'many' ELSE {_UNITS} END AS quantity_sold",
-        f"CASE WHEN l_linenumber = 5 THEN '' WHEN l_returnflag = 'R' THEN NULL "
+        "CASE WHEN l_suppkey % 2 = 0 THEN 'number' ELSE 'string' END AS product_id_type",
+        "CASE WHEN l_linenumber = 6 AND l_suppkey % 17 = 0 THEN '99999999999999999999' "
+        f"WHEN l_linenumber = 1 THEN concat(' ', {_UNITS}, ' pcs') WHEN l_linenumber = 2 THEN '0' "
+        f"WHEN l_linenumber = 3 THEN concat({_UNITS}, '.7') WHEN l_linenumber = 4 THEN 'many' "
+        f"ELSE {_UNITS} END AS quantity_sold",
+        "CASE WHEN l_linenumber = 2 AND l_suppkey % 3 = 0 THEN 'number' ELSE 'string' END AS quantity_sold_type",
+        "CASE WHEN l_linenumber = 4 AND l_suppkey % 19 = 1 THEN '20000000000.125' "
+        "WHEN l_linenumber = 4 AND l_suppkey % 19 = 2 THEN '1e40' "
+        f"WHEN l_linenumber = 5 THEN '' WHEN l_returnflag = 'R' THEN NULL "
         f"WHEN l_linenumber = 6 THEN concat({_PRICE}, ' USD') ELSE {_PRICE} END AS sale_price",
         f"CASE WHEN l_linestatus = 'F' THEN {_PRICE} END AS cost_price",
         "CASE WHEN l_tax > 0 THEN 'taxed' ELSE '' END AS notes",
@@ -47,25 +53,42 @@ def restock_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_suppkey % 13 = 0 THEN '' ELSE CAST(l_partkey AS STRING) END AS product_id",
         "CASE WHEN l_linenumber <> 7 THEN concat('Part ', CAST(l_partkey AS STRING)) END"
         " AS product_name",
+        "CASE WHEN l_suppkey % 2 = 0 THEN 'number' ELSE 'string' END AS product_id_type",
         f"CASE l_linenumber WHEN 1 THEN '' WHEN 2 THEN '0' WHEN 3 THEN concat('-', {_UNITS}) "
         f"ELSE {_UNITS} END AS quantity_added",
+        "CASE WHEN l_linenumber = 2 AND l_suppkey % 3 = 0 THEN 'number' ELSE 'string' END AS quantity_added_type",
         f"CASE WHEN l_linestatus = 'F' THEN {_PRICE} ELSE '0' END AS cost_per_unit",
         "CASE WHEN l_tax > 0 THEN 'taxed' ELSE '' END AS notes",
         "CASE WHEN l_linenumber = 4 THEN '' ELSE CAST(l_suppkey AS STRING) END AS member_id",
         "CASE WHEN l_linenumber = 5 THEN 'all' ELSE '12' END AS member_qty",
-        "CAST(CAST(l_shipdate AS DATE) AS STRING) AS restocked_at",
+        "CASE WHEN l_linenumber = 6 THEN '' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END AS restocked_at",
+    )
+
+
+def void_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voids of the lines with flag A and status O, 30 days later; some come twice or name no sale."""
+    lines = star(spark, sf_dir, "lineitem").where("l_returnflag = 'A' AND l_linestatus = 'O'")
+    sent = lines.selectExpr(
+        "*", "explode(CASE WHEN l_linenumber = 2 THEN array(2, 3) ELSE array(2) END) AS rank"
+    )
+    return sent.selectExpr(
+        "concat('void-', rank, '-', " + LINE_ID.removesuffix(" AS id") + ") AS id",
+        "named_struct('day', date_add(CAST(l_shipdate AS DATE), 30), 'order_id', l_orderkey, "
+        "'line_no', l_linenumber, 'rank', rank) AS seq",
+        "CASE WHEN l_linenumber = 5 THEN 'none' ELSE " + LINE_ID.removesuffix(" AS id") + " END AS sale_id",
     )
 
 
 def expense_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         star(spark, sf_dir, "orders")
-        .where("o_orderstatus = 'F'")
         .selectExpr(
-            "o_orderkey AS id",
+            "-1 - o_orderkey AS id",
             "CASE WHEN o_orderpriority LIKE '1%' THEN '' ELSE o_orderpriority END AS category",
             "CASE WHEN o_orderpriority LIKE '2%' THEN '' WHEN o_orderpriority LIKE '3%' THEN '0' "
+            "WHEN o_custkey % 50 = 1 THEN '-1e99' "
             "ELSE CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS STRING) END AS amount",
+            "CASE WHEN o_custkey % 2 = 0 THEN 'number' ELSE 'string' END AS amount_type",
             "CASE WHEN o_orderpriority LIKE '4%' THEN 'Card' END AS payment_method",
             "CASE WHEN o_orderpriority LIKE '5%' THEN '' ELSE o_orderstatus END AS notes",
             "CASE WHEN o_orderpriority LIKE '4%' THEN '' "
@@ -91,7 +114,8 @@ def product_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'' AS source",
         "CASE WHEN p_size < 6 THEN 'low_stock' ELSE '' END AS stock",
         "CASE WHEN p_size > 25 THEN array(concat('http://img/', CAST(p_partkey AS STRING))) END AS images",
-        "CASE WHEN p_size > 20 THEN 'yes' ELSE '' END AS featured",
+        "CASE WHEN p_size > 20 THEN 'yes' WHEN p_size > 10 THEN 'false' ELSE '' END AS featured",
+        "CASE WHEN p_size > 15 THEN 'string' ELSE 'boolean' END AS featured_type",
         "CAST(p_size % 5 AS STRING) AS sort_order",
         "CASE WHEN p_size > 35 THEN concat(CAST(p_size AS STRING), ' left') "
         "WHEN p_size > 30 THEN '0x1F' ELSE CAST(p_size AS STRING) END AS quantity",
@@ -112,7 +136,8 @@ def sale_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.selectExpr(
         LINE_ID,
         "seq",
-        "CASE WHEN seq = 2 THEN CASE WHEN l_linenumber = 4 THEN '0' ELSE '99.5 each' END "
+        "CASE WHEN seq = 2 THEN CASE WHEN l_linenumber = 4 THEN '0' WHEN l_linenumber = 5 THEN '1e12' "
+        "WHEN l_linenumber = 7 THEN '1e300' ELSE '99.5 each' END "
         f"ELSE {_PRICE} END AS sale_price",
         "CASE WHEN seq = 2 THEN '' WHEN l_linenumber = 5 THEN 'Check' END AS payment_method",
         "CASE WHEN seq = 2 AND l_linenumber = 6 THEN '' WHEN l_linenumber <> 1 "

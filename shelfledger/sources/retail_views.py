@@ -1,7 +1,7 @@
 """The retail tables seen through a star schema (part, supplier, lineitem, orders, events).
 
 parts are products, suppliers are members, returned line items are restocks,
-the other line items are sales, part-shipped orders are expenses, and the event
+the other line items are sales, orders are expenses, and the event
 log stands for settings writes and for the import slot.
 """
 
@@ -124,7 +124,7 @@ def expenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expenses_of(orders: DataFrame) -> DataFrame:
-    return orders.where("o_orderstatus = 'P'").selectExpr(
+    return orders.selectExpr(
         "o_orderkey AS id",
         "o_orderpriority AS category",
         "CAST(o_totalprice AS DECIMAL(14,2)) AS amount",
@@ -156,6 +156,13 @@ def slot_events_of(events: DataFrame) -> DataFrame:
 LEDGER_ORDER = ["day", "order_id", "line_no", "kind_rank"]
 
 
+def grouped_events(spark: SparkSession, sf_dir: str, shelves: int, voids: bool = True) -> DataFrame:
+    """The same with many parts to a product, in the order ``[*LEDGER_ORDER, "part"]``."""
+    events = ledger_events(spark, sf_dir, voids).withColumnRenamed("product_id", "part")
+    shelf, ref = F.col("part") % shelves, F.concat_ws("-", "ref", "part")
+    return events.withColumns({"product_id": shelf, "ref": ref})
+
+
 def ledger_events(spark: SparkSession, sf_dir: str, voids: bool = True) -> DataFrame:
     """Sales, restocks and voids of one product each, in arrival order ``LEDGER_ORDER``.
 

@@ -17,10 +17,6 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
 
-def read_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.readStream.schema(TABLES[name]).parquet(f"{root}/{name}")
-
-
 def append_rows(rows: DataFrame, path: str, month_of: str | None = None) -> None:
     """Append ledger or register rows, by month of ``month_of`` when given."""
     writer = rows
@@ -60,7 +56,3 @@ def keyed_json(df: DataFrame, key: str, name: str = "json") -> DataFrame:
     One entry per row keeps the map distributed, however many keys there are.
     """
     return df.select(F.col(key).cast("string").alias("key"), row_json(*df.columns).alias(name))
-
-
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
