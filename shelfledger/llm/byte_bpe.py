@@ -238,9 +238,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     dealt = rows.mapInArrow(partial(_cut, pattern=pattern, buckets=parts), DEALT).repartition(parts, "to")
     encode_words = partial(_encode_words, ranks_path=ranks_path)
     ids = dealt.sortWithinPartitions("to").mapInArrow(encode_words, IDS)
-    # Spark computes the exchange once for both its readers if neither pushes a
-    # filter below it, hence a condition that is not deterministic in form.
-    blocks = dealt.where(F.expr(f"kind + CAST(rand() AS INT) = {POSITIONS}"))
+    # Spark computes the exchange once for both its readers if neither pushes a filter
+    # below it, hence a condition that is not deterministic in form and implies nothing.
+    blocks = dealt.where(F.expr(f"coalesce(kind, -1) + CAST(rand() AS INT) = {POSITIONS}"))
     return blocks.groupBy("to").cogroup(ids.groupBy("to")).applyInArrow(_assemble, ENCODED)
 
 
