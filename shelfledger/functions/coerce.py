@@ -100,6 +100,13 @@ def array_json(values: Column) -> Column:
     return F.to_json(F.coalesce(values, F.array().cast("array<string>")))
 
 
-def at_most(number: Column, limit: float) -> Column:
-    """Whether a number is missing or its size is within ``limit``; NaN is not."""
-    return F.coalesce(number.between(-limit, limit), F.lit(True))
+def starts_within(text: Column, limit: float) -> Column:
+    """Whether the number that the text starts with, if any, has a size within ``limit``."""
+    size = F.abs(leading_float(text))
+    long_hex = text.cast("string").rlike(rf"^[{WHITESPACE}]*[+-]?0[xX]0*[0-9a-fA-F]{{{_hex_digits(limit)},}}")
+    return F.coalesce(size <= limit, F.lit(True)) & ~F.coalesce(long_hex, F.lit(False))
+
+
+def _hex_digits(limit: float) -> int:
+    """Digits from which on a hexadecimal number is above ``limit``."""
+    return len(f"{int(limit):x}") + 1

@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 
 from shelfledger.functions.coerce import (
     as_text,
-    at_most,
     empty_to_null,
     float_or,
     given,
     int_or,
     is_truthy,
-    leading_float,
     leading_int,
     plain_number,
+    starts_within,
     text_or,
 )
 
@@ -52,8 +51,8 @@ def rejected(checked: DataFrame) -> DataFrame:
 
 def in_range(rows: DataFrame, units: tuple[str, ...] = (), money: tuple[str, ...] = ()) -> Column:
     """Whether the numbers that the columns present start with are of a size that rows can hold."""
-    fits = [at_most(leading_int(F.col(c)), MOST_UNITS) for c in units if c in rows.columns]
-    fits += [at_most(leading_float(F.col(c)), MOST_MONEY) for c in money if c in rows.columns]
+    fits = [starts_within(F.col(c), MOST_UNITS) for c in units if c in rows.columns]
+    fits += [starts_within(F.col(c), MOST_MONEY) for c in money if c in rows.columns]
     return reduce(lambda a, b: a & b, fits, F.lit(True))
 
 

@@ -15,6 +15,7 @@ from shelfledger.operators.ledger import (
     restock_events,
     sale_events,
 )
+from shelfledger.session import stage
 
 
 def accepted_sales(sale_requests: DataFrame, now: Column | None = None) -> DataFrame:
@@ -45,8 +46,11 @@ def request_events(
 def checked_voids(
     void_requests: DataFrame, sale_requests: DataFrame, stored: DataFrame, now: Column | None = None
 ) -> DataFrame:
-    """Void requests with the sale they take back, or the reason why not."""
-    return check.check_voids(void_requests, accepted_sales(sale_requests, now), stored)
+    """Void requests with the sale they take back, or the reason why not.
+
+    Staged, since the events, the sale rows and the rejects all read it.
+    """
+    return stage(check.check_voids(void_requests, accepted_sales(sale_requests, now), stored), "voids")
 
 
 def without_voided(sales: DataFrame, voids: DataFrame) -> DataFrame:
