@@ -41,14 +41,14 @@ class LedgerProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         stock = self._load()
-        # Shares of this micro-batch's sales; None for a sale taken back.
+        # Shares of this micro-batch's sales and voids.
         self.recent = {}
         for event in sorted(rows, key=lambda row: [row[name] for name in self.order]):
             yield self.output(*event, *self._apply(stock, event))
         if stock.known:
             self._save(stock)
         for ref, share in self.recent.items():
-            if share is not None:
+            if ref is not None:
                 self.shares.updateValue((ref,), share)
 
     def _load(self) -> Stock:
@@ -88,21 +88,19 @@ class LedgerProcessor(StatefulProcessor):
     def _void(self, stock: Stock, ref, units, member_units) -> tuple[int, bool]:
         """Take back a sale of this stream, or one whose units the void brings along.
 
-        A sale of the stream is forgotten with its void. A void that brings its
-        units leaves a mark, so that a second one has no effect either.
+        A sale taken back leaves a mark, so that a second void has no effect; a void
+        that names no sale has none either.
         """
-        brought = units is not None
+        share = None
         if ref in self.recent:
-            share, self.recent[ref] = self.recent[ref], None
-        elif self.shares.containsKey((ref,)):
+            share = self.recent[ref]
+        elif ref is not None and self.shares.containsKey((ref,)):
             share = self.shares.getValue((ref,))
-            self.shares.removeKey((ref,))
-        else:
-            share = (units, member_units, True) if brought else None
-        if brought:
-            self.recent[ref] = (units, member_units, False)
-        if share is None or not share[2]:
+        elif ref is not None and units is not None:
+            share = (units, member_units, True)
+        if share is None or not share[2] or ref is None:
             return 0, False
+        self.recent[ref] = (share[0], share[1], False)
         stock.void(share[0], share[1])
         return share[1], True
 

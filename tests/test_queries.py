@@ -24,7 +24,7 @@ def test_entry_has_rows(spark):
     assert not entry(spark).isEmpty()
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sql, name):
     extra, missing, _ = compare(spark, sql, QUERIES[name], ORACLE[name], SF)
     assert not extra and not missing
