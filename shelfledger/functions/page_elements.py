@@ -97,10 +97,9 @@ class PageElements(HTMLParser):
             uses.append((self.h1, 0))
         if tag == "meta":
             content = values.get("content", "")
-            if "property" in values:
-                self.meta.setdefault(values["property"], content)
-            if values.get("name") == "description":
-                self.meta.setdefault("description", content)
+            for kind in ("property", "name"):
+                if kind in values:
+                    self.meta.setdefault((kind, values[kind]), content)
         if self.static_price is None and _has_part(values, STATIC_PRICE):
             self.static_price = [""]
             uses.append((self.static_price, 0))
@@ -145,10 +144,10 @@ def page_elements(html: str | None) -> dict:
     return {
         "json_ld": page.json_ld,
         "h1": _only(page.h1),
-        "og_title": page.meta.get("og:title"),
-        "og_description": page.meta.get("og:description"),
-        "og_image": page.meta.get("og:image"),
-        "description": page.meta.get("description"),
+        "og_title": page.meta.get(("property", "og:title")),
+        "og_description": page.meta.get(("property", "og:description")),
+        "og_image": page.meta.get(("property", "og:image")),
+        "description": page.meta.get(("name", "description")),
         "static_price": _only(page.static_price),
         "rendered_price": _only(page.rendered_price),
         "rendered_price_content": page.rendered_price_content,

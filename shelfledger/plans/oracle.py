@@ -341,6 +341,39 @@ _EXTRACT = f"""SELECT page_id, url, 'Other' AS source, trim(regexp_replace({_HEA
   '[]' AS images
 FROM pages WHERE html LIKE '%<h1%'"""
 
+
+
+def _shop(rendered: bool) -> str:
+    """What each of the ten kinds of shop page says, from the columns that it was made from."""
+    lists = {
+        0: """'["http://img/' || p_partkey || '.png"]'""", 1: """'["http://a/1","http://a/2","http://a/3","4","5","6"]'""",
+        4: """'["http://og/' || p_partkey || '"]'""",
+    }
+    name = {0: "p_name || ' big'", 4: "p_name || ' | Shop'", 5: "p_name || ' new'", 8: "''"}
+    text = {0: "p_name || ' here'", 2: "'d'", 3: "'a page'", 4: "'og text'"}
+    price = {0: "CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE)", 1: "12.5", 2: "1299.0", 4: "1234.0"}
+    if rendered:
+        six = ",".join(f'"http://c/{i}"' for i in range(6))
+        lists |= {5: """'["http://g/1","http://g/2"]'""", 9: f"'[{six}]'"}
+        name |= {4: "p_name", 8: "NULL"}
+        text[3] = "'a  page'"
+        price[5] = "45.5"
+        del price[4]
+    else:
+        text |= {i: "''" for i in (1, 5, 6, 7, 8, 9)}
+
+    def pick(values: dict, other: str) -> str:
+        return "CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+
+    return f"""SELECT p_partkey AS page_id, 'https://' || host || '/p/' || p_partkey AS url, source,
+  {pick(name, "p_name")} AS name, {pick(text, "NULL")} AS description, CAST({pick(price, "NULL")} AS DOUBLE) AS price,
+  CASE WHEN p_partkey % 10 = 6 THEN CASE p_size % 3 WHEN 0 THEN 'Other' WHEN 1 THEN 'Flooring' ELSE 'Vanity' END END AS category,
+  {pick(lists, "'[]'")} AS images,
+  CASE WHEN p_partkey % 10 = 8 THEN 'Could not extract product info from this page.' END AS reject_reason
+FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'www.homedepot.com' WHEN 1 THEN 'www.lowes.com' ELSE 'example.org' END AS host,
+  CASE p_partkey % 3 WHEN 0 THEN 'Home Depot' WHEN 1 THEN 'Lowe''s' ELSE 'Other' END AS source FROM part) p"""
+
+
 ORACLE: dict[str, str] = {
     "catalog_search": _with(PRODUCTS, MEMBERS) + _CATALOG + f"({_search('ring')})",
     "catalog_category": _with(PRODUCTS, MEMBERS)
@@ -564,6 +597,8 @@ WHERE line_no = 3 AND id NOT IN (SELECT id FROM gone)""",
     "import_slot": _SLOT,
     "extract_products": _EXTRACT.format(description="NULL"),
     "extract_products_static": _EXTRACT.format(description="''"),
+    "extract_structured": _shop(True),
+    "extract_structured_static": _shop(False),
     "extract_rejects": """SELECT doc_id AS page_id, 'Other' AS source, CAST(NULL AS DOUBLE) AS price,
   'Could not extract product info from this page.' AS reject_reason FROM documents WHERE text NOT LIKE '%<h1%'""",
     "stream_ledger": _ledger(_LINES_AND_VOIDS) + _HISTORY,

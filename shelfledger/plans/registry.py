@@ -619,6 +619,18 @@ def extract_products_static(spark, d):
     return _with_images(check.accepted(_extracted(spark, d, STATIC)))
 
 
+@query
+def extract_structured(spark, d):
+    """Shop pages with structured data, fallbacks, galleries and breadcrumbs, as a browser shows them."""
+    return _with_images(checked_products(req.shop_pages(spark, d), RENDERED))
+
+
+@query
+def extract_structured_static(spark, d):
+    """The same pages as delivered."""
+    return _with_images(checked_products(req.shop_pages(spark, d), STATIC))
+
+
 @query
 def extract_rejects(spark, d):
     """Archived pages and plain documents: only pages name a product."""

@@ -7,6 +7,7 @@ the given tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfledger.sources.retail_views import LINE_ID, star
 
@@ -154,3 +155,42 @@ def member_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN c_nationkey > 10 THEN '' ELSE CAST(c_nationkey AS STRING) END AS phone",
         "CAST(NULL AS STRING) AS notes",
     )
+
+
+_LD = '<script type="application/ld+json">'
+# One kind of shop page each; `{name}`, `{price}` and `{id}` are columns of the part.
+_SHOP_PAGES = (
+    _LD + '{"@type":"Product","name":"  {name}   big ","description":"<b>{name}</b>  here","offers":{"price":{price}},'
+    '"image":"http://img/{id}.png"}</script>',
+    _LD + '[{"@type":"Organization","name":"Org"},{"@type":"Product","name":"{name}","offers":[{"price":"12.50 USD"},{"price":99}],'
+    '"image":["http://a/1","http://a/2",7,"http://a/3","4","5","6","7"]}]</script>',
+    _LD + '{"@graph":[{"@type":"WebPage"},{"@type":"Product","name":"{name}","description":"d","offers":{"price":0},'
+    '"image":{"url":"x"}}]}</script><span class="price__value">$1,299.00</span>',
+    '<meta property="description" content="trap"><meta name="description" content="a  page">' + _LD
+    + '{"@type": broken</script>' + _LD + '{"@type":"Product","name":"{name}"}</script>',
+    '<meta property="og:title" content="{name} | Shop"><meta property="og:description" content="og text">'
+    '<meta property="og:image" content="http://og/{id}"><b class="Price">now 1,234,567</b>',
+    '<h1>{name} <i>new</i></h1><meta itemprop="price" content="45.5"><div class="media"><img src="http://g/1">'
+    '<img src="http://g/placeholder"><img data-src="http://g/2"><img src="data:x"></div>',
+    '<nav class="breadcrumb"><a>Home</a> <a>{crumb}</a></nav><h1>{name}</h1>',
+    _LD + '{"@type":"Product","name":""}</script>' + _LD
+    + '{"@type":"Product","name":"{name}","offers":{"price":true}}</script><i data-testid="price">Call us</i>',
+    "<p>{name}</p>",
+    '<h1>{name}</h1><ul class="carousel">' + "".join(f'<img src="http://c/{i}">' for i in range(8)) + "</ul>",
+)
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a shop for every part, of ten kinds and three stores."""
+    html = F.element_at(F.array(*map(F.lit, _SHOP_PAGES)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    crumb = F.element_at(F.array(*map(F.lit, ("Garden", "Vinyl Plank", "Bath & Sinks"))), F.col("p_size") % 3 + 1)
+    values = {
+        "{name}": F.col("p_name"), "{price}": F.col("p_retailprice").cast("decimal(12,2)").cast("string"),
+        "{id}": F.col("p_partkey").cast("string"), "{crumb}": crumb,
+    }
+    for mark, value in values.items():
+        html = F.replace(html, F.lit(mark), value)
+    host = F.element_at(F.array(*map(F.lit, ("www.homedepot.com", "www.lowes.com", "example.org"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return star(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://"), host, F.lit("/p/"), "p_partkey").alias("url"), html.alias("html")
+    )

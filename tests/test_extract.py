@@ -88,3 +88,8 @@ def test_reject_without_name(spark):
     checked = checked_products(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
     assert [r.page_id for r in accepted(checked).collect()] == [8]
     assert [r.page_id for r in rejected(checked).collect()] == [16]
+
+
+def test_property_and_name_are_told_apart():
+    page = page_elements('<meta property="description" content="p"><meta name="og:title" content="n">')
+    assert page["description"] is None and page["og_title"] is None
