@@ -306,7 +306,8 @@ def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
     sketches = signed.where("sketch is not null").select(F.col("doc_id").alias("of"), "sketch").dropDuplicates(["of"])
     bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(PLANES * SKETCH_WORDS)]
     open_ = open_.join(sizes, "doc_id").join(sketches, F.col("doc_id") == F.col("of"))
-    open_ = stage(open_.select("doc_id", "bucket", "component", "size", "common", *bits), "near-open")
+    mine = F.collect_set("bucket").over(Window.partitionBy("doc_id")).alias("mine")
+    open_ = stage(open_.select("doc_id", "bucket", "component", "size", "common", mine, *bits), "near-open")
     # Within a bucket, the members of all components but the largest meet the others.
     counts = open_.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("most")).select("bucket", F.col("most.component").alias("major"))
@@ -322,7 +323,9 @@ def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
             & (F.col("l.component") != F.col("r.component"))
             & ((F.col("r.component") == F.col("r.major")) | (F.col("l.doc_id") < F.col("r.doc_id")))
             & ((100 + percent) * most >= percent * (F.col("l.size") + F.col("r.size")))
-            & (apart <= MOST_DIFFERENT),
+            & (apart <= MOST_DIFFERENT)
+            # A pair that shares several buckets is listed in one of them.
+            & (F.array_min(F.array_intersect("l.mine", "r.mine")) == F.col("l.bucket")),
         )
         .select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"))
         .distinct()
