@@ -48,8 +48,13 @@ def line_own_cogs() -> Column:
     )
 
 
+def exact_total(measure: Column) -> Column:
+    """Decimal sum at six decimals, which no order of rows changes; zero over no rows."""
+    return F.coalesce(F.sum(measure.cast("decimal(38,6)")), F.lit(0)).cast("decimal(38,4)")
+
+
 def total(measure: Column) -> Column:
-    """Exact decimal sum at six decimals, zero over no rows, given out as DOUBLE."""
+    """The same at full length, given out as DOUBLE."""
     return F.coalesce(F.sum(measure.cast("decimal(38,6)")), F.lit(0)).cast("double")
 
 

@@ -21,7 +21,7 @@ def member_stock(products: DataFrame) -> DataFrame:
         products.where(F.col("member_id").isNotNull())
         .groupBy("member_id")
         .agg(
-            F.sum(F.when(stocked, worth)).cast("decimal(38,4)").alias("stock_value"),
+            F.sum(F.when(stocked, worth).cast("decimal(38,6)")).cast("decimal(38,4)").alias("stock_value"),
             F.count(F.when(stocked, 1)).alias("active_products"),
             F.count("*").alias("total_products"),
         )
@@ -34,8 +34,8 @@ def member_sold(sales: DataFrame) -> DataFrame:
         sales.where(F.col("member_id").isNotNull())
         .groupBy("member_id")
         .agg(
-            F.sum(line_member_cogs()).cast("decimal(38,4)").alias("sold_cost"),
-            F.sum(line_member_revenue()).cast("decimal(38,4)").alias("sold_revenue"),
+            F.sum(line_member_cogs().cast("decimal(38,6)")).cast("decimal(38,4)").alias("sold_cost"),
+            F.sum(line_member_revenue().cast("decimal(38,6)")).cast("decimal(38,4)").alias("sold_revenue"),
         )
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfledger.functions.stock import (
     count_total,
+    exact_total,
     line_cogs,
     line_member_cogs,
     line_own_cogs,
@@ -89,20 +90,17 @@ def sales_totals(sales: DataFrame, start: Day = None, end: Day = None) -> DataFr
         total(ranged(line_member_cogs())).alias("member_cogs"),
         total(line_own_cogs()).alias("all_time_my_cogs"),
         # The derived figures stay decimal until the end, so that they are exact.
-        F.coalesce(F.sum(ranged(line_revenue())), F.lit(0)).cast("decimal(38,4)").alias("_revenue"),
-        F.coalesce(F.sum(ranged(line_cogs())), F.lit(0)).cast("decimal(38,4)").alias("_cogs"),
-        F.coalesce(F.sum(ranged(line_member_cogs())), F.lit(0))
-        .cast("decimal(38,4)")
-        .alias("_member_cogs"),
-        F.coalesce(F.sum(line_own_cogs()), F.lit(0)).cast("decimal(38,4)").alias("_own_cogs"),
+        exact_total(ranged(line_revenue())).alias("_revenue"),
+        exact_total(ranged(line_cogs())).alias("_cogs"),
+        exact_total(ranged(line_member_cogs())).alias("_member_cogs"),
+        exact_total(line_own_cogs()).alias("_own_cogs"),
     )
 
 
 def expense_total(expenses: DataFrame, start: Day = None, end: Day = None) -> DataFrame:
-    spent = F.coalesce(F.sum("amount"), F.lit(0))
     return expenses.where(in_days("expense_date", start, end)).agg(
-        spent.cast("double").alias("total_expenses"),
-        spent.cast("decimal(38,4)").alias("_expenses"),
+        total(F.col("amount")).alias("total_expenses"),
+        exact_total(F.col("amount")).alias("_expenses"),
     )
 
 
@@ -114,7 +112,7 @@ def inventory_value(products: DataFrame) -> DataFrame:
     return products.where(in_stock()).agg(
         total(own).alias("inventory_value"),
         total(every).alias("inventory_value_all"),
-        F.coalesce(F.sum(own), F.lit(0)).cast("decimal(38,4)").alias("_own_value"),
+        exact_total(own).alias("_own_value"),
     )
 
 
