@@ -415,10 +415,14 @@ ORACLE: dict[str, str] = {
         PRODUCTS, SALES, RESTOCKS, f"stats AS ({_PRODUCT_SALES})", f"summary AS ({_PRODUCT_PL})"
     )
     + """SELECT product_id, 'summary' AS section, CAST(NULL AS TIMESTAMP) AS happened_at, units_sold AS units,
-  gross_profit AS profit, inventory_value AS cost FROM summary
-UNION ALL SELECT product_id, 'sale', sold_at, quantity_sold, CAST(profit AS DOUBLE), NULL FROM sales
+  gross_profit AS profit, inventory_value AS cost, CAST(NULL AS VARCHAR) AS id, revenue, cogs, transactions, margin_pct,
+  CAST(NULL AS VARCHAR) AS product_name, CAST(NULL AS VARCHAR) AS payment_method, CAST(NULL AS VARCHAR) AS notes,
+  CAST(NULL AS BIGINT) AS member_id, CAST(NULL AS DOUBLE) AS sale_price, CAST(NULL AS BIGINT) AS member_units FROM summary
+UNION ALL SELECT product_id, 'sale', sold_at, quantity_sold, CAST(profit AS DOUBLE), NULL, id, NULL, NULL, NULL, NULL,
+  product_name, payment_method, notes, member_id, CAST(sale_price AS DOUBLE), member_qty_sold FROM sales
   WHERE product_id IS NOT NULL
-UNION ALL SELECT product_id, 'restock', restocked_at, quantity_added, NULL, cost_per_unit FROM restocks""",
+UNION ALL SELECT product_id, 'restock', restocked_at, quantity_added, NULL, cost_per_unit, id, NULL, NULL, NULL, NULL,
+  product_name, NULL, NULL, member_id, NULL, member_qty FROM restocks""",
     "expenses_list": _with(EXPENSES) + f"SELECT * FROM expenses WHERE {_EXPENSE_RANGE}",
     "expense_breakdown": _with(EXPENSES)
     + f"SELECT category, {_sum('amount', 'total')} FROM expenses WHERE {_EXPENSE_RANGE} GROUP BY category",

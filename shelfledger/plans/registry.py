@@ -185,7 +185,9 @@ def product_pl_doc(spark, d):
     )
     shape = (
         "units_sold bigint, quantity_sold bigint, quantity_added bigint, "
-        "gross_profit double, profit double, cost_per_unit double, inventory_value double"
+        "gross_profit double, profit double, cost_per_unit double, inventory_value double, revenue double, "
+        "cogs double, transactions bigint, margin_pct double, product_name string, payment_method string, "
+        "notes string, member_id bigint, member_qty_sold bigint, member_qty bigint, id string, sale_price double"
     )
     return entries.withColumn("e", F.from_json("entry", shape)).select(
         "product_id",
@@ -194,6 +196,9 @@ def product_pl_doc(spark, d):
         F.coalesce("e.units_sold", "e.quantity_sold", "e.quantity_added").alias("units"),
         F.coalesce("e.gross_profit", "e.profit").alias("profit"),
         F.coalesce("e.cost_per_unit", "e.inventory_value").alias("cost"),
+        *[F.col("e")[c].alias(c) for c in ("id", "revenue", "cogs", "transactions", "margin_pct", "product_name")],
+        *[F.col("e")[c].alias(c) for c in ("payment_method", "notes", "member_id", "sale_price")],
+        F.coalesce("e.member_qty_sold", "e.member_qty").alias("member_units"),
     )
 
 
