@@ -1,14 +1,16 @@
 """Resharding by minimum-cost flow.
 
 Rows belong to blocks by a digest of their text, so equal texts share a block and
-a shard; a block above ``SPLIT`` of a shard's capacity is cut into sub-blocks by
-id. Old shard sizes and new capacities make a transport problem: keeping bytes
-costs nothing, moving a byte costs one, and successive shortest paths give the
-flow that moves the fewest bytes. Each flow is then carried out with whole
-blocks, and only files of shards that give or take a block are written again.
-
-The driver sees one row per block and sub-block, a number set by ``BLOCKS``,
-``SPLIT`` and ``CUTS`` and not by the data.
+a shard. A block above ``SPLIT`` of a shard's capacity is cut into sub-blocks by
+more of the same digest. Only a text whose own copies weigh more than ``WHOLE`` of
+a capacity is dealt out by id; every other group of equal texts has one shard. Old
+shard sizes and new capacities make a transport problem: keeping bytes costs
+nothing, moving a byte costs one, and successive shortest paths give the flow that
+moves the fewest bytes. Each flow is then carried out with whole blocks, and only
+files of shards that give or take a block are written again.
+
+The driver sees one row per block, sub-block and piece of a heavy text, a number
+set by ``BLOCKS``, ``SPLIT``, ``WHOLE`` and ``CUTS`` and not by the data.
 """
 
 from __future__ import annotations
@@ -23,19 +25,46 @@ from pyspark.sql import functions as F
 BLOCKS = 4096
 #: A block above this part of the new capacity is cut into CUTS sub-blocks.
 SPLIT = 1 / 64
+#: A text whose copies exceed this part of the new capacity is cut into CUTS pieces.
+WHOLE = 1 / 2
 CUTS = 1024
+#: What is placed as one: a block, a sub-block, or a piece of a heavy text.
+UNIT = ["block", "sub", "part"]
 OLD_SHARDS, NEW_SHARDS = 12, 16
 
 
+def _size() -> Column:
+    """UTF-8 bytes + 1, null: 1."""
+    return (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
+
+
+def _digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _block(digest: Column) -> Column:
+    return F.pmod(digest, F.lit(BLOCKS)).cast("int")
+
+
+def _cut(digest: Column) -> Column:
+    """Sub-block by bits of the digest that do not choose the block."""
+    return F.pmod(F.shiftright(digest, BLOCKS.bit_length() - 1), F.lit(CUTS)).cast("int")
+
+
+def _piece() -> Column:
+    return F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.lit(CUTS)).cast("int")
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, size (UTF-8 bytes + 1, null: 1), text_crc32, block and piece of every row."""
-    text = F.coalesce("text", F.lit(""))
+    """doc_id, size (UTF-8 bytes + 1, null: 1), text_crc32, digest, block, cut and piece of every row."""
     return docs.select(
         "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(BLOCKS)).cast("int").alias("block"),
-        F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.lit(CUTS)).cast("int").alias("piece"),
+        _size().alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        _digest().alias("digest"),
+        _block(_digest()).alias("block"),
+        _cut(_digest()).alias("cut"),
+        _piece().alias("piece"),
     )
 
 
@@ -137,37 +166,71 @@ def assign_blocks(sizes: dict, old: dict, n_new: int) -> dict:
     return new
 
 
-def _assigned(docs: DataFrame, old_shards: int, new_shards: int) -> DataFrame:
-    """The measured rows with sub (-1: block not cut), old_shard and shard."""
+def _layout(docs: DataFrame, old_shards: int, new_shards: int) -> tuple[dict[str, Column], DataFrame]:
+    """How rows with block, cut, piece and digest find their unit, and the shards of every unit.
+
+    The first holds the columns of ``UNIT`` and ``lane``, which spreads the rows of
+    a large unit over tasks; the second UNIT, old_shard and shard.
+    """
     spark = docs.sparkSession
     rows = measured(docs)
     blocks = {r.block: r.size for r in rows.groupBy("block").agg(F.sum("size").alias("size")).collect()}
-    limit = max(1, sum(blocks.values()) / new_shards * SPLIT)
+    capacity = sum(blocks.values()) / new_shards
+    limit = max(1, capacity * SPLIT)
     cut = sorted(b for b, s in blocks.items() if s > limit)
-    sub: Column = F.lit(-1)
-    sizes = {(b, -1): s for b, s in blocks.items() if b not in set(cut)}
+    place = F.col("block").cast("long") * CUTS + F.col("cut")
+
+    def among(column: Column, values: list[int]) -> Column:
+        return column.isin(values) if values else F.lit(False)
+
+    sizes = {(b, -1, -1): s for b, s in blocks.items() if s <= limit}
+    heavy: list[int] = []
     if cut:
-        sub = F.when(F.col("block").isin(cut), F.col("piece")).otherwise(-1)
-        pieces = rows.where(F.col("block").isin(cut)).groupBy("block", "piece").agg(F.sum("size").alias("size"))
-        sizes |= {(r.block, r.piece): r.size for r in pieces.collect()}
+        in_cut = rows.where(among(F.col("block"), cut)).groupBy("block", "cut").agg(F.sum("size").alias("size"))
+        sizes |= {(r.block, r.cut, -1): r.size for r in in_cut.collect()}
+    # A heavy text lies in a heavy sub-block, and there are no more than new_shards / WHOLE of those.
+    doubtful = sorted(b * CUTS + c for (b, c, _), s in sizes.items() if c >= 0 and s > capacity * WHOLE)
+    if doubtful:
+        texts = rows.where(among(place, doubtful)).groupBy("digest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        heavy = sorted(r.digest for r in texts.where((F.col("size") > capacity * WHOLE) & (F.col("n") > 1)).collect())
+    if heavy:
+        pieces = rows.where(among(F.col("digest"), heavy)).groupBy("block", "cut", "piece").agg(F.sum("size").alias("size"))
+        for r in pieces.collect():
+            sizes[r.block, r.cut, r.piece] = r.size
+            sizes[r.block, r.cut, -1] -= r.size
+    sizes = {key: s for key, s in sizes.items() if s}
+    large = sorted(b * CUTS + c for (b, c, p), s in sizes.items() if c >= 0 and p < 0 and s > limit)
+    is_heavy = among(F.col("digest"), heavy)
+    columns = {
+        "sub": F.when(among(F.col("block"), cut), F.col("cut")).otherwise(-1),
+        "part": F.when(is_heavy, F.col("piece")).otherwise(-1),
+        "lane": F.when(~is_heavy & among(place, large), F.col("piece")).otherwise(-1),
+    }
     old = {key: key[0] % old_shards for key in sizes}
     new = assign_blocks(sizes, old, new_shards)
-    table = [(b, s, old[b, s], new[b, s]) for b, s in sizes] or [(-1, -1, 0, 0)]
-    target = spark.createDataFrame(table, "block int, sub int, old_shard int, shard int")
-    return rows.withColumn("sub", sub).join(target, ["block", "sub"])
+    table = [(*key, old[key], new[key]) for key in sizes] or [(-1, -1, -1, 0, 0)]
+    return columns, F.broadcast(spark.createDataFrame(table, "block int, sub int, part int, old_shard int, shard int"))
+
+
+def _assigned(docs: DataFrame, old_shards: int, new_shards: int) -> DataFrame:
+    """The measured rows with sub (-1: block not cut), part (-1: text not cut), lane, old_shard and shard."""
+    columns, target = _layout(docs, old_shards, new_shards)
+    return measured(docs).withColumns(columns).join(target, UNIT)
 
 
 def reshard(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard.
 
-    Sizes of the new shards differ by at most about one small block; the law is
-    ``bytes``. Slots count from 0 in each shard, block by block. An empty table
-    gives no rows; null texts weigh one byte; repeated rows get slots of their own.
+    Rows of equal texts share a shard unless they exceed ``WHOLE`` of its capacity.
+    Sizes of the new shards differ by at most about one small block where the groups
+    allow it; the law is ``bytes``. Slots count from 0 in each shard, block by block.
+    An empty table gives no rows; null texts weigh one byte; repeated rows get slots
+    of their own.
     """
     rows = _assigned(docs, old_shards, new_shards)
-    key = ["shard", "block", "sub"]
+    key = ["shard", *UNIT, "lane"]
     counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("block", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("shard").orderBy(*UNIT, "lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = Window.partitionBy(*key).orderBy("doc_id", "size", "text_crc32")
     return (
@@ -187,19 +250,15 @@ def rewrite(docs: DataFrame, folder: str, old_shards: int = OLD_SHARDS, new_shar
     A shard's rows are spread over its blocks' tasks, so no task writes a whole
     shard; shards that neither give nor take a block keep their files.
     """
-    placed = _assigned(docs, old_shards, new_shards)
-    moves = placed.groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes"))
+    columns, target = _layout(docs, old_shards, new_shards)
+    moves = measured(docs).withColumns(columns).join(target, UNIT).groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes"))
     changed = {s for r in moves.collect() if r.old_shard != r.shard for s in (r.old_shard, r.shard)}
-    shard_of = placed.select("block", "sub", F.col("shard").alias("_shard")).distinct()
-    text = F.coalesce("text", F.lit(""))
-    block = F.pmod(F.xxhash64(text), F.lit(BLOCKS)).cast("int")
-    cut = [r.block for r in shard_of.where("sub >= 0").select("block").distinct().collect()]
-    piece = F.pmod(F.xxhash64(F.lit("piece"), "doc_id"), F.lit(CUTS)).cast("int")
     keyed = docs.select(
-        F.struct("*").alias("row"), block.alias("block"),
-        F.when(block.isin(cut) if cut else F.lit(False), piece).otherwise(-1).alias("sub"),
+        F.struct("*").alias("row"), _digest().alias("digest"), _block(_digest()).alias("block"),
+        _cut(_digest()).alias("cut"), _piece().alias("piece"),
     )
-    out = keyed.join(shard_of, ["block", "sub"]).where(F.col("_shard").isin(sorted(changed)) if changed else F.lit(False))
+    out = keyed.withColumns(columns).join(target.withColumnRenamed("shard", "_shard"), UNIT)
+    out = out.where(F.col("_shard").isin(sorted(changed)) if changed else F.lit(False))
     out.select("row.*", F.col("_shard").alias("shard")).write.partitionBy("shard").option(
         "partitionOverwriteMode", "dynamic"
     ).mode("overwrite").parquet(folder)

@@ -1,8 +1,10 @@
 import random
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shelfledger.llm import sharding
 from shelfledger.llm.entries import op6_resharding
@@ -73,6 +75,35 @@ def test_query(spark):
     assert all(len(h) == 1 for h in homes.values())
 
 
+def homes_of_groups(rows, spark, docs):
+    """(bytes, shards) of every group of equal texts, found by the text itself."""
+    placed = spark.createDataFrame([(r.doc_id, r.shard) for r in rows], "doc_id long, shard int")
+    grouped = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(placed, "doc_id").groupBy("text")
+    size = F.sum(F.octet_length("text") + 1).alias("size")
+    return [(r.size, r.shards) for r in grouped.agg(size, F.collect_set("shard").alias("shards")).collect()]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_groups_below_half_a_shard_have_one_shard(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = op6_resharding(spark, f"/root/testdata/{sf}").collect()
+    groups = homes_of_groups(rows, spark, docs)
+    half = sum(s for s, _ in groups) / 16 / 2
+    assert not [g for g in groups if len(g[1]) > 1 and g[0] <= half]
+
+
+def test_groups_next_to_hot_and_long_texts_stay_whole(spark):
+    """A hot text is dealt out; groups of 2 % and pairs, whatever block they share with it, are not."""
+    text = "CASE WHEN id < 3000 THEN 'hot text' WHEN id < 3100 THEN 'group of one hundred' WHEN id = 3100 THEN repeat('long ', 800) ELSE concat('pair ', id div 2) END"
+    docs = spark.range(9000).selectExpr("id AS doc_id", f"{text} AS text")
+    rows = sharding.reshard(docs).collect()
+    check(rows, docs.collect())
+    torn = [g for g in homes_of_groups(rows, spark, docs) if len(g[1]) > 1]
+    assert [len(shards) > 4 for _, shards in torn] == [True]
+    load = [sum(r.size for r in rows if r.shard == j) for j in range(16)]
+    assert max(load) / (sum(load) / 16) < 1.01
+
+
 def test_rewrite_touches_changed_shards_only(spark, odd_docs, tmp_path):
     moves = sharding.rewrite(odd_docs, str(tmp_path / "shards"), 4, 6).collect()
     changed = {s for r in moves if r.old_shard != r.shard for s in (r.old_shard, r.shard)}
