@@ -28,6 +28,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,7 +138,8 @@ class _Block:
 
     def rows(self, place: tuple, buckets: int) -> Iterator[tuple]:
         """The DEALT rows. Words are in the order of (bucket, word); a position holds
-        the rank of its word by frequency, which packs well."""
+        the rank of its word by frequency, which packs well. ``place`` tells blocks of
+        equal content apart and is the same when a task is run again."""
         words = [w.encode() for w in self.known]
         bucket = [crc32(w) % buckets for w in words]
         order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
@@ -146,11 +148,13 @@ class _Block:
         rank = np.empty(len(words), np.int32)
         rank[order[np.argsort(-uses, kind="stable")]] = np.arange(len(words), dtype=np.int32)
         payload = _packed(rank[codes] if len(words) else codes)
+        in_order = [words[i] for i in order]
         mark = hashlib.blake2b(repr((place, self.doc_ids[:1], self.doc_ids[-1:], self.tokens)).encode() + payload, digest_size=8)
+        for word in in_order:
+            mark.update(len(word).to_bytes(8, "little") + word)
         # Blocks take the numbers below 0 and buckets those from 0.
         block = int.from_bytes(mark.digest(), "little") % (1 << 63) - (1 << 63)
         yield block, POSITIONS, block, 0, payload, _packed(uses), self.doc_ids, [len(c) for c in self.codes]
-        in_order = [words[i] for i in order]
         held = np.array(bucket, np.int64)[order] if words else np.empty(0, np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(held)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -164,10 +168,10 @@ def _cut(batches: Iterator[pa.RecordBatch], pattern: str, buckets: int) -> Itera
         [("to", pa.int64()), ("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()),
          ("uses", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))]
     )
-    block, made = _Block(), 0
+    block, made, partition = _Block(), 0, TaskContext.get().partitionId()
 
     def closed() -> pa.RecordBatch:
-        columns = zip(*block.rows((made,), buckets), strict=True)
+        columns = zip(*block.rows((partition, made), buckets), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:

@@ -58,6 +58,22 @@ def test_small_blocks_give_the_same(spark, odd_docs, monkeypatch):
     assert found == {(r.doc_id, tuple(OWN.encode_ordinary(r.text or ""))) for r in odd_docs.collect()}
 
 
+def test_tasks_with_equal_content(spark, odd_docs):
+    """A table delivered twice, and equal rows that fill one partition each."""
+    docs = odd_docs.select("doc_id", "text")
+    found = sorted(str((r.doc_id, r.ids)) for r in byte_bpe.encode(docs.union(docs), RANKS, PATTERN).collect())
+    assert found == sorted(2 * [str((r.doc_id, OWN.encode_ordinary(r.text or ""))) for r in docs.collect()])
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(1, "a b")] * 3, 3), "doc_id long, text string")
+    assert [tuple(r.ids) for r in byte_bpe.encode(rows, RANKS, PATTERN).collect()] == [tuple(OWN.encode_ordinary("a b"))] * 3
+
+
+def test_null_ids_of_equal_shape(spark):
+    texts = ["a b", "c d", "e f", "a b"]
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(None, t) for t in texts], 4), "doc_id long, text string")
+    found = sorted(tuple(r.ids) for r in byte_bpe.encode(rows, RANKS, PATTERN).collect())
+    assert found == sorted(tuple(OWN.encode_ordinary(t)) for t in texts)
+
+
 def test_empty_table(spark, no_docs):
     assert byte_bpe.round_trip(no_docs, RANKS, PATTERN).count() == 0
 
