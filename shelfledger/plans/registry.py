@@ -652,9 +652,12 @@ def extract_rejects(spark, d):
 
 
 def _stream(spark, d, name):
-    schema = view.star(spark, d, name).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return files.parquet(d)
+    """A table as a stream, be it one file or a folder of part files.
+
+    A stream takes a single file only by a pattern; this one matches the table's name alone.
+    """
+    files = spark.readStream.schema(view.star(spark, d, name).schema).option("basePath", d)
+    return files.parquet(f"{d}/{name}.parque[t]")
 
 
 @query

@@ -38,10 +38,12 @@ def drain_latest(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame
     """Process all available input of an aggregate and read back its last rows.
 
     Each micro-batch writes the rows it changed to a folder of its own, over
-    what a failed attempt may have left there.
+    what a failed attempt may have left there. Input without a file gives no rows.
     """
     spark = stream.sparkSession
     path = staging_path(spark, name)
+    # The folder exists even if no micro-batch writes to it.
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch=-1")
 
     def save(changed: DataFrame, batch: int) -> None:
         changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
@@ -54,7 +56,7 @@ def drain_latest(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame
         .start()
     )
     query.awaitTermination()
-    rows = spark.read.option("basePath", path).parquet(path)
+    rows = spark.read.schema(f"{stream.schema.toDDL()}, batch BIGINT").option("basePath", path).parquet(path)
     values = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
-    return last.select(*keys, "_last.*").select(*stream.columns)
+    return last.where("_last IS NOT NULL").select(*keys, "_last.*").select(*stream.columns)

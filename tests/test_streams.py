@@ -2,12 +2,14 @@
 
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from test_ledger import EVENTS, PRODUCTS, random_case, walk
 
 from shelfledger.operators.ordered import split_hot
 from shelfledger.operators.slot import poll_results
+from shelfledger.plans.registry import QUERIES, _stream
 from shelfledger.session import ship_package
 from shelfledger.streaming.ledger_stream import latest_state, stream_ledger
 from shelfledger.streaming.runs import drain, drain_latest
@@ -90,6 +92,34 @@ def test_totals_stream(spark, tmp_path):
     assert dict(map(tuple, got)) == {"a": 2.0, "b": 2.0}
 
 
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("stream_")])
+def test_tables_of_several_part_files(spark, tmp_path, name):
+    """A table as a folder of part files gives what the single file gives."""
+    ship_package()
+    whole = Path("/root/testdata/sf0.001")
+    for table in ("lineitem", "orders", "events", "pages", "supplier", "part"):
+        rows = spark.read.parquet(str(whole / f"{table}.parquet"))
+        rows.repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    wanted = QUERIES[name](spark, str(whole)).collect()
+    found = QUERIES[name](spark, str(tmp_path)).collect()
+    assert wanted and sorted(map(str, found)) == sorted(map(str, wanted))
+
+
+def test_partitioned_table(spark, tmp_path):
+    rows = spark.range(6).selectExpr("id", "CAST(id % 2 AS INT) AS month")
+    rows.write.partitionBy("month").parquet(str(tmp_path / "sales.parquet"))
+    rows.write.parquet(str(tmp_path / "sales.parquet2"))
+    found = drain(_stream(spark, str(tmp_path), "sales"), "parts").select("id", "month").collect()
+    assert sorted(map(tuple, found)) == [(i, i % 2) for i in range(6)]
+
+
+def test_totals_of_no_input(spark, tmp_path):
+    schema = "category string, amount double, expense_date date"
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "none"))
+    assert drain_latest(stream_expenses(stream), "expenses", ["category"]).collect() == []
+
+
 def test_split_keeps_every_row(spark):
     df = spark.createDataFrame([(k, i) for k in (None, 1, 2) for i in range(3 if k == 2 else 6)], "k int, i int")
     split = split_hot(df, "k", 5)
