@@ -248,7 +248,8 @@ def rewrite(docs: DataFrame, folder: str, old_shards: int = OLD_SHARDS, new_shar
     """Writes the shards that change into ``folder`` (shard=N) and returns the moves: old_shard, shard, bytes.
 
     A shard's rows are spread over its blocks' tasks, so no task writes a whole
-    shard; shards that neither give nor take a block keep their files.
+    shard; shards that neither give nor take a block keep their files. A shard that
+    gives all its blocks away is left as an empty table over its old files.
     """
     columns, target = _layout(docs, old_shards, new_shards)
     moves = measured(docs).withColumns(columns).join(target, UNIT).groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes"))
@@ -262,4 +263,10 @@ def rewrite(docs: DataFrame, folder: str, old_shards: int = OLD_SHARDS, new_shar
     out.select("row.*", F.col("_shard").alias("shard")).write.partitionBy("shard").option(
         "partitionOverwriteMode", "dynamic"
     ).mode("overwrite").parquet(folder)
+    # The overwrite is of the partitions that it writes; what others held is elsewhere now.
+    spark = docs.sparkSession
+    held = spark.read.schema("shard int").parquet(folder)
+    emptied = changed - {r.shard for r in moves.collect()}
+    for r in held.where(F.col("shard").isin(sorted(emptied)) if emptied else F.lit(False)).select("shard").distinct().collect():
+        spark.createDataFrame([], docs.schema).write.mode("overwrite").parquet(f"{folder}/shard={r.shard}")
     return moves

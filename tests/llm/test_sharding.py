@@ -112,3 +112,17 @@ def test_rewrite_touches_changed_shards_only(spark, odd_docs, tmp_path):
     assert written == changed & placed
     rows = spark.read.parquet(str(tmp_path / "shards"))
     assert set(odd_docs.columns) < set(rows.columns)
+
+
+@pytest.mark.parametrize("new_shards", [1, 12, 20])
+def test_rewrite_over_an_existing_layout(spark, tmp_path, new_shards):
+    """Old files of shards that are no more, or hold no row any more, do not stay."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    old = docs.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(sharding.BLOCKS)).cast("int") % 16)
+    folder = str(tmp_path / "shards")
+    old.write.partitionBy("shard").parquet(folder)
+    sharding.rewrite(docs, folder, 16, new_shards)
+    found = spark.read.parquet(folder).select("doc_id", "text", "shard").collect()
+    assert sorted((r.doc_id, r.text) for r in found) == sorted(map(tuple, docs.collect()))
+    placed = {r.doc_id: r.shard for r in sharding.reshard(docs, 16, new_shards).collect()}
+    assert {r.doc_id: r.shard for r in found} == placed
