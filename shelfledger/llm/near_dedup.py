@@ -282,7 +282,9 @@ def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
     )
 
     needed = shared.select("doc_id").distinct()
-    sets = stage(rows.join(needed, "doc_id", "left_semi").mapInArrow(partial(_sets, width=width), _SETS).dropDuplicates(["doc_id"]), "near-sets")
+    listed = rows.join(needed, "doc_id", "left_semi").mapInArrow(partial(_sets, width=width), _SETS)
+    # An empty text under the id of another one has no set to compare.
+    sets = stage(listed.where(F.octet_length("shingles") > 0).dropDuplicates(["doc_id"]), "near-sets")
     # A set shares no shingle that no other has, which bounds its similarity with any other.
     alone = (
         sets.mapInArrow(_singles, "shingle long, doc_id long")

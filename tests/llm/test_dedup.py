@@ -126,3 +126,12 @@ def test_near_query_against_all_pairs(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in op5_near_dedup(spark, SF).collect()}
     assert found == brute_force(docs)
+
+
+def test_empty_texts_under_the_id_of_another(spark):
+    """Such a row has no shingles; the id's other text finds its near copies all the same."""
+    near = [(2 * i + k, " ".join(f"w{i}x{j}" for j in range(60)) + " end" * k) for i in range(15) for k in (0, 1)]
+    empty = [(2 * i, t) for i in range(15) for t in ("", None, " ")]
+    docs = spark.createDataFrame(empty + near, "doc_id long, text string").coalesce(1)
+    found = {(r.doc_id, r.component_id) for r in near_dedup.cluster(docs).collect() if r.n_shingles}
+    assert found == {(2 * i + k, 2 * i) for i in range(15) for k in (0, 1)}
