@@ -11,18 +11,23 @@ from pyspark.sql import functions as F
 from shelfledger.llm import (
     byte_bpe,
     chat_format,
+    divergence,
     exact_dedup,
+    fill_in_middle,
     mixing,
     near_dedup,
     pii,
     quality_classifier,
     quality_rules,
     sharding,
+    token_files,
     url_filter,
 )
+from shelfledger.session import staging_path
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
 #: A conversation whose texts hold the marks of common templates.
 PROBE = r"\### Assistant: </turn> ok"
@@ -79,6 +84,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_conversations(chat_format.format_conversations(turns.unionByName(more)))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.file_report(table(spark, sf_dir, "documents"), staging_path(spark, "token-files"), TOKENIZER)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.sample_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_quality_rules, op3_quality_classifier, op4_url_filter, op5_near_dedup, op6_resharding,
-        op7_exact_dedup, op8_pii, op9_mixing, op10_chat_format, pipeline,
+        op7_exact_dedup, op8_pii, op9_mixing, op10_chat_format, op11_divergence, op12_token_files,
+        op13_fill_in_middle, pipeline,
     )
 }
 
@@ -156,4 +174,59 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
   CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id""",
+    "op11_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+w AS (SELECT row, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+e AS (
+  SELECT g.lang, g.source, kept.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n
+  FROM g JOIN kept ON g.lang = kept.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+p AS (
+  SELECT *, 1 + 1000000000 * (n + 5) // (sum(n) OVER s + 5 * count(*) OVER s) AS p
+  FROM e WINDOW s AS (PARTITION BY lang, source)),
+t AS (SELECT lang, term, sum(n) AS n FROM e GROUP BY lang, term),
+q AS (
+  SELECT lang, term, 1 + 1000000000 * (n + 5) // (sum(n) OVER s + 5 * count(*) OVER s) AS q
+  FROM t WINDOW s AS (PARTITION BY lang)),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(f.value, 0) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+  UNION ALL
+  SELECT p.lang, source, 'term', p.term, CAST(p - q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term
+  WHERE n > 0 AND p > q),
+k AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT * FROM k WHERE part = 'pair' OR rank <= 50""",
+    "op13_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+h AS (
+  SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS x,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS y,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+        OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) - least(x, y) AS m, substr(text, 1, least(x, y)) AS pre,
+    substr(text, least(x, y) + 1, greatest(x, y) - least(x, y)) AS mid, substr(text, greatest(x, y) + 1) AS suf
+  FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c""",
 }

@@ -78,5 +78,5 @@ def test_pipeline(spark):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES][:10] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES][:13] == [f"op{i}" for i in range(1, 14)]
     assert Path("/root/testdata").exists()
