@@ -221,14 +221,16 @@ def divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int =
     shard = dealt.select("lang", "term", F.col("held.at").alias("at"), F.col("held.n").alias("n"), "sources", "totals", "v")
     found = stage(shard.mapInArrow(partial(_compare, top=top_terms), FOUND), "divergence-found")
 
-    # Every pair is listed, also where no term is kept, from either side.
+    # Every pair is listed from either side, also where no term is kept.
     here = languages.select("lang", "sources", F.explode("sources").alias("source"))
     every = here.select("lang", "source", F.explode("sources").alias("item")).where("source <> item")
-    sums = found.where("part = 'pair'").select("lang", "value", F.inline(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item")))))
     zero = F.lit(0).cast("long").alias("value")
+    sums = found.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    turned = sums.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
     pairs = (
         every.select("lang", "source", "item", zero)
         .unionByName(sums)
+        .unionByName(turned)
         .groupBy("lang", "source", "item")
         .agg(F.sum("value").alias("value"))
         .select("lang", "source", F.lit("pair").alias("part"), "item", "value")
