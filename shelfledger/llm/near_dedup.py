@@ -8,13 +8,18 @@ of the signature put classes into buckets.
 
 Links are confirmed on full sets, without comparing all pairs of a bucket. The
 links found join classes into components, and only buckets with several
-components are open. For ``TURNS`` turns every member of an open bucket meets one
-pivot, so a turn confirms no more pairs than there are documents, and a large
-group of near copies grows together. Pairs that then still share a bucket but not
-a component are confirmed as well, unless their sketches, the number of shingles
-that they share with any document at all, or their counts of shingles by part of
-the hash space rule the similarity out: only stragglers are compared with the
-rest of a bucket. The two counts are bounds, so they lose nothing.
+components are open. Turn by turn, every member of an open bucket outside its
+pivot's component meets one pivot, so a turn confirms no more pairs than there
+are documents. The first pivots are members with few shingles that no other set
+has, which lie in the middle of a group of near copies; later ones are drawn by
+hash, so that a large component offers most of them and no bad pivot stays. Turns
+go on while they join a fair share of what they compare, at most ``TURNS`` times.
+Pairs that then still share a bucket but not a component are all confirmed,
+unless their sketches, the number of shingles that they share with any document
+at all, or their counts of shingles by part of the hash space rule the similarity
+out. The two counts are bounds, so they lose nothing; shingles of one set alone
+are left out of the latter. After every turn only the
+links between the components of the turn before are followed, never those inside.
 
 At a similarity of 0.8 a pair misses all buckets with probability 1.2e-6, and a
 sketch hides it with 4e-6. Shingles are compared by 64-bit hashes.
@@ -41,8 +46,9 @@ WIDTH = 4
 PERCENT = 80
 BANDS, ROWS = 45, 6
 SEED = 7
-#: Turns in which a member meets one pivot before open pairs are listed.
-TURNS = 2
+#: Turns in which a member meets one pivot before open pairs are listed: the first ones in the
+#: middle of groups, at least LEAST_TURNS, then others while one pair in FAIR is a link.
+TURNS, LEAST_TURNS, FAIR = 8, 3, 50
 #: A sketch holds PLANES bits of every signature value. Two sketches may differ in so many
 #: of the BANDS * ROWS values: 4.5 standard deviations above the mean at a similarity of 0.8.
 PLANES = 4
@@ -50,8 +56,9 @@ SKETCH_WORDS = (BANDS * ROWS + 63) // 64
 MOST_DIFFERENT = 79
 
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
-_SETS = "doc_id long, shingles binary, parts array<smallint>"
-#: Parts of the hash space in which a set's shingles are counted, and the size up to which the counts hold.
+_SETS = "doc_id long, shingles binary"
+_SIZES = "doc_id long, size long, common long, parts array<smallint>"
+#: Parts of the hash space in which a set's common shingles are counted, and the size up to which the counts hold.
 PARTS, COUNTED = 256, 4_000_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -169,11 +176,26 @@ def _sets(batches, width: int):
             values, offsets = shingle_sets(texts, width)
             raw = values.tobytes()
             sets = [raw[8 * a : 8 * b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            n = len(ids)
-            part = np.repeat(np.arange(n) * PARTS, np.diff(offsets)) + (values % np.uint64(PARTS)).astype(np.int64)
-            counts = np.minimum(np.bincount(part, minlength=n * PARTS), 32767).astype(np.int16)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PARTS), pa.array(counts))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary()), listed], names=["doc_id", "shingles", "parts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+
+def _sizes(batches):
+    """Sizes of sets, and how many of their shingles other sets hold too, in all and by part."""
+    for batch in batches:
+        sizes, common, parts = [], [], []
+        for held, alone in zip(batch.column(1), batch.column(2), strict=True):
+            values = np.frombuffer(held.as_py(), "<u8")
+            own = np.array(alone.as_py() or [], np.int64).view(np.uint64)
+            counts = np.bincount((values % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+            counts -= np.bincount((own % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+            sizes.append(len(values))
+            common.append(len(values) - len(own))
+            parts.append(np.minimum(counts, 32767).astype(np.int16))
+        offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * PARTS)
+        listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*parts, np.empty(0, np.int16)])))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), listed], names=["doc_id", "size", "common", "parts"]
+        )
 
 
 def _singles(batches):
@@ -185,7 +207,7 @@ def _singles(batches):
 
 
 def _confirm(batches, percent: int):
-    """Pairs (a, b) whose sets are similar enough."""
+    """Components (of_a, of_b) of pairs whose sets are similar enough."""
     for batch in batches:
         similar = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -194,14 +216,14 @@ def _confirm(batches, percent: int):
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
             similar.append(100 * shared >= percent * (len(both) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(similar, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["of_a", "of_b"]).filter(pa.array(similar, pa.bool_()))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two"))
-    met = pairs.join(two, "b").join(one, "a").select("a", "b", "one", "two")
-    return met.mapInArrow(partial(_confirm, percent=percent), "a long, b long")
+    met = pairs.join(two, "b").join(one, "a").select("of_a", "of_b", "one", "two")
+    return met.mapInArrow(partial(_confirm, percent=percent), "of_a long, of_b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -231,31 +253,42 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _open(shared: DataFrame, label: DataFrame) -> DataFrame:
+def _open(shared: DataFrame, label: DataFrame | None) -> DataFrame:
     """The rows (doc_id, bucket, own, component) of buckets with more than one component."""
-    held = shared.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", "bucket", "own", F.coalesce("component", "doc_id").alias("component")
-    )
-    bucket = Window.partitionBy("bucket")
-    spans = held.select("*", F.min("component").over(bucket).alias("low"), F.max("component").over(bucket).alias("high"))
-    return spans.where("low < high").select("doc_id", "bucket", "own", "component")
+    if label is None:
+        return shared.withColumn("component", F.col("doc_id"))
+    named = label.withColumnRenamed("node", "doc_id")
+    held = shared.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    several = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return held.join(several.select("bucket"), "bucket", "left_semi")
 
 
-def _one_pivot_each(open_: DataFrame, turn: int, tested: DataFrame | None) -> DataFrame:
-    """At most one pair (a, b) for each member of an open bucket.
+def _one_pivot_each(open_: DataFrame, turn: int) -> DataFrame:
+    """At most one pair (a, b) for each member of an open bucket, with the two components in order.
 
-    A bucket's pivot is a member of its smallest component, one of those with the
-    fewest shingles of their own and another one every turn; members of other
-    components meet the pivot of one of their buckets.
+    Members meet the pivot of one of their buckets that is in another component.
     """
-    mixed = F.xxhash64(F.lit(turn), "doc_id").alias("mixed")
-    pivot = F.min(F.struct("component", "own", mixed, "doc_id")).over(Window.partitionBy("bucket"))
-    met = open_.withColumn("pivot", pivot).where("component <> pivot.component")
-    chosen = met.groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
-    pairs = chosen.select(
-        F.least("doc_id", "pivot.doc_id").alias("a"), F.greatest("doc_id", "pivot.doc_id").alias("b")
-    ).distinct()
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    middle = F.col("own") if turn < LEAST_TURNS - 1 else F.lit(0)
+    rank = F.struct(middle.alias("own"), F.xxhash64(F.lit(turn), "doc_id").alias("mixed"), "doc_id", "component")
+    pivots = open_.groupBy("bucket").agg(F.min(rank).alias("pivot"))
+    met = open_.join(pivots, "bucket").where("component <> pivot.component")
+    chosen = met.groupBy("doc_id", "component").agg(F.min("pivot").alias("pivot"))
+    return chosen.select(
+        F.least("doc_id", "pivot.doc_id").alias("a"), F.greatest("doc_id", "pivot.doc_id").alias("b"),
+        F.least("component", "pivot.component").alias("of_a"), F.greatest("component", "pivot.component").alias("of_b"),
+    ).distinct()
+
+
+def _joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after ``links`` (of_a, of_b) between components; every label is a smallest id."""
+    merged = components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    if label is None:
+        return merged
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    kept = label.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    # A component of one document has no label so far.
+    alone = merged.join(label, "node", "left_anti")
+    return stage(kept.unionByName(alone), "near-joined")
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
@@ -273,13 +306,8 @@ def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
     # One signature per class: that of its smallest id.
     single = able.join(classes, ["digest"]).where("doc_id = head").select("doc_id", "bands").dropDuplicates(["doc_id"])
     spread = single.select("doc_id", F.explode("bands").alias("bucket"))
-    bucket = Window.partitionBy("bucket")
-    shared = stage(
-        spread.select("doc_id", "bucket", F.min("doc_id").over(bucket).alias("low"), F.max("doc_id").over(bucket).alias("high"))
-        .where("low < high")
-        .select("doc_id", "bucket"),
-        "near-buckets",
-    )
+    several = spread.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    shared = stage(spread.join(several.select("bucket"), "bucket", "left_semi"), "near-buckets")
 
     needed = shared.select("doc_id").distinct()
     listed = rows.join(needed, "doc_id", "left_semi").mapInArrow(partial(_sets, width=width), _SETS)
@@ -292,27 +320,29 @@ def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
         .agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"))
         .where("n = 1")
         .groupBy("doc_id")
-        .agg(F.count(F.lit(1)).alias("alone"))
+        .agg(F.collect_list("shingle").alias("alone"))
     )
-    sizes = sets.select("doc_id", (F.octet_length("shingles") / 8).cast("long").alias("size"), "parts").join(alone, "doc_id", "left")
-    common = (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common")
-    sizes = stage(sizes.select("doc_id", "size", common, "parts"), "near-sizes")
+    met = sets.join(alone, "doc_id", "left").select("doc_id", "shingles", "alone")
+    sizes = stage(met.mapInArrow(_sizes, _SIZES), "near-sizes")
     able_to = sizes.where(100 * F.col("common") >= percent * F.col("size"))
     own = (F.lit(32) * (F.col("size") - F.col("common")) / F.col("size")).cast("int").alias("own")
     shared = stage(shared.join(able_to.select("doc_id", own), "doc_id"), "near-able")
     # Rows sharing an id are one document: their classes are linked.
-    same = heads.groupBy("doc_id").agg(F.min("head").alias("a"), F.max("head").alias("b")).where("a < b").select("a", "b")
-    found = stage(same, "near-same")
-    tested = None
+    several = heads.groupBy("doc_id").agg(F.min("head").alias("of_a"), F.max("head").alias("last")).where("of_a < last")
+    same = heads.join(several, "doc_id").where("of_a < head").select("of_a", F.col("head").alias("of_b")).distinct()
+    same = stage(same, "near-same")
+    label = None if same.isEmpty() else _joined(None, same)
     for turn in range(TURNS):
-        label = found.select(F.col("a").alias("node"), F.col("b").alias("component")) if found.isEmpty() else components(found)
         open_ = stage(_open(shared, label), "near-open")
-        pairs = stage(_one_pivot_each(open_, turn, tested), "near-pairs")
-        if pairs.isEmpty():
+        pairs = stage(_one_pivot_each(open_, turn), "near-pairs")
+        found = stage(_confirmed(pairs, sets, percent), "near-found")
+        compared, linked = pairs.count(), found.count()
+        if linked:
+            label = _joined(label, found.distinct())
+        shared = open_.drop("component")  # what is closed stays closed
+        if not compared or (turn + 1 >= LEAST_TURNS and linked * FAIR < compared):
             break
-        found = stage(found.unionAll(_confirmed(pairs, sets, percent)), "near-found")
-        tested = pairs if tested is None else tested.unionAll(pairs)
-    open_ = _open(shared, components(found))
+    open_ = _open(shared, label)
     sketches = signed.where("sketch is not null").select(F.col("doc_id").alias("of"), "sketch").dropDuplicates(["of"])
     bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(PLANES * SKETCH_WORDS)]
     open_ = open_.join(sizes, "doc_id").join(sketches, F.col("doc_id") == F.col("of"))
@@ -326,7 +356,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
     planes = [[F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}")) for i in range(w, PLANES * SKETCH_WORDS, SKETCH_WORDS)] for w in range(SKETCH_WORDS)]
     apart = sum((F.bit_count(reduce(Column.bitwiseOR, word)) for word in planes), F.lit(0))
     most = F.least("l.common", "r.common")
-    # Part by part, two sets share no more shingles than the smaller count.
+    # Part by part, two sets share no more shingles than the smaller count of common ones.
     overlap = F.aggregate(F.zip_with("l.parts", "r.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     pairs = (
         l.join(
@@ -340,13 +370,17 @@ def cluster(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> Data
             & (F.array_min(F.array_intersect("l.mine", "r.mine")) == F.col("l.bucket"))
             & ((F.greatest("l.size", "r.size") > COUNTED) | ((100 + percent) * overlap >= percent * (F.col("l.size") + F.col("r.size")))),
         )
-        .select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"))
+        .select(
+            F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b"),
+            F.least("l.component", "r.component").alias("of_a"), F.greatest("l.component", "r.component").alias("of_b"),
+        )
         .distinct()
-    )
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    )
     late = stage(_confirmed(pairs, sets, percent), "near-late")
-    label = components(found.unionAll(late))
+    if not late.isEmpty():
+        label = _joined(label, late.distinct())
+    if label is None:
+        label = signed.sparkSession.createDataFrame([], "node long, component long")
 
     of_class = heads.join(label.withColumnRenamed("node", "head"), "head", "left").select(
         "doc_id", "digest", F.coalesce("component", "head").alias("component_id")

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,27 @@ def brute_force(docs):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def brute_force_of_many(docs):
+    """Smallest id reachable, from the overlaps of all pairs as one matrix product."""
+    ids = sorted(docs)
+    sets = [shingles(docs[i]) for i in ids]
+    times = Counter(e for s in sets for e in s)
+    column = {e: k for k, e in enumerate(e for e, n in times.items() if n > 1)}
+    held = np.zeros((len(ids), len(column)), np.float32)
+    for row, s in enumerate(sets):
+        held[row, [column[e] for e in s if e in column]] = 1
+    sizes = np.array([len(s) for s in sets])
+    shared = (held @ held.T).astype(np.int64)
+    near = 100 * shared >= 80 * (sizes[:, None] + sizes - shared)
+    np.fill_diagonal(near, True)
+    label = np.arange(len(ids))
+    while True:
+        low = np.array([label[row].min() for row in near])
+        if (low == label).all():
+            return {i: ids[k] for i, k in zip(ids, label, strict=True)}
+        label = low
+
+
 def test_exact_marks_odd_rows(spark, odd_docs, no_docs):
     rows = odd_docs.collect()
     groups = {}
@@ -135,3 +157,35 @@ def test_empty_texts_under_the_id_of_another(spark):
     docs = spark.createDataFrame(empty + near, "doc_id long, text string").coalesce(1)
     found = {(r.doc_id, r.component_id) for r in near_dedup.cluster(docs).collect() if r.n_shingles}
     assert found == {(2 * i + k, 2 * i) for i in range(15) for k in (0, 1)}
+
+
+@pytest.mark.parametrize(("copies", "with_base"), [(1000, False), (2000, True), (4000, False)])
+def test_pairs_of_a_large_group_grow_with_its_size(spark, monkeypatch, copies, with_base):
+    """Near copies of one text, with similarities on both sides of the limit."""
+    rng = random.Random(copies)
+    base = [f"b{rng.randint(0, 10**6)}" for _ in range(200)]
+    rows = [(0, " ".join(base))] * with_base
+    for i in range(1, copies):
+        copy = list(base)
+        for k in rng.sample(range(200), rng.randint(1, 24)):
+            copy[k] = f"n{rng.randint(0, 10**6)}"
+        rows.append(((i * 7919) % 100_003 + 1, " ".join(copy)))
+    confirm, compared = near_dedup._confirmed, []
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counted)
+    found = near_dedup.cluster(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    print(compared)
+    assert sum(compared) <= 5 * copies
+    assert {r.doc_id: r.component_id for r in found} == brute_force_of_many(dict(rows))
+
+
+def test_one_id_with_three_texts(spark):
+    """The classes of all its texts are one component."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(3)]
+    rows = [(k + 1, t) for k, t in enumerate(texts)] + [(9, t) for t in texts] + [(20, "quite another text than these")]
+    found = {r.doc_id: r.component_id for r in near_dedup.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 9: 1, 20: 20}
