@@ -51,34 +51,63 @@ ENDINGS = ("com", "org", "net", "edu", "gov", "io", "info", "eu", "uk", "de", "f
 CONTEXT = 24
 
 
-def _spans(text: Column, pattern: str, kind: str, loose: bool) -> Column:
-    """All matches as structs (start, kind, end, body, ahead, loose), leftmost first and non-overlapping."""
-    bodies = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-
-    def step(acc: Column, i: Column) -> Column:
-        body = F.element_at(bodies, i)
-        start = acc["at"] + F.length(F.element_at(gaps, i))
-        end = start + F.length(body)
-        begin = F.greatest(start - CONTEXT, F.lit(0))
-        span = F.struct(
-            start.alias("start"),
-            F.lit(KINDS.index(kind)).alias("kind"),
-            end.alias("end"),
-            body.alias("body"),
-            F.substring(text, begin + 1, start - begin).alias("ahead"),
-            F.lit(loose).alias("loose"),
-        )
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found"))
-
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,body:string,ahead:string,loose:boolean>>")
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.size(bodies)),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        step,
-        lambda acc: acc["found"],
+def _running(values: Column, merge) -> Column:
+    """Every value merged with all before it, by doubling: n log n steps for n values."""
+
+    def step(held: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2), k).cast("int")
+        earlier = F.concat(F.array_repeat(F.lit(None).cast("int"), back), F.slice(held, F.lit(1), F.size(held) - back))
+        return F.zip_with(held, earlier, lambda x, y: F.when(y.isNull(), x).otherwise(merge(x, y)))
+
+    rounds = F.ceil(F.log2(F.size(values))).cast("int")
+    return F.when(F.size(values) > 1, F.aggregate(F.sequence(F.lit(0), rounds - 1), values, step)).otherwise(values)
+
+
+#: So many matches and what lies before each fill the context: a match has five characters or more.
+BACK = 5
+
+
+def _spans(rows: DataFrame, patterns: dict[str, tuple[str, str, bool]]) -> DataFrame:
+    """All matches per pattern as structs (start, kind, end, body, ahead, loose), leftmost first and non-overlapping.
+
+    ``patterns`` gives pattern, kind and whether it is loose. Starts are running
+    lengths of the matches and of what lies between them, and the context is cut
+    from these pieces, so that many matches in a text cost little more than in
+    proportion. Every step is a column of its own: none is worked out once a match.
+    """
+    col, names = F.col, list(patterns)
+    bodies = [F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"{k}_bodies") for k, (p, _, _) in patterns.items()]
+    gaps = [F.split("text", p, -1).alias(f"{k}_gaps") for k, (p, _, _) in patterns.items()]
+    cut = rows.select("doc_id", *bodies, *gaps)
+    before = lambda k: F.slice(F.concat(F.array(F.lit("")), f"{k}_bodies"), F.lit(1), F.size(f"{k}_bodies"))
+    between = lambda k: F.slice(f"{k}_gaps", F.lit(1), F.size(f"{k}_bodies"))
+    tail = lambda b, g: F.right(F.concat(F.right(b, F.lit(CONTEXT)), g), F.lit(CONTEXT))
+    stepped = cut.select(
+        "doc_id",
+        *[f"{k}_bodies" for k in names],
+        *[F.zip_with(before(k), between(k), lambda b, g: F.length(b) + F.length(g)).alias(f"{k}_steps") for k in names],
+        *[F.zip_with(before(k), between(k), tail).alias(f"{k}_tails") for k in names],
     )
-    return F.when(F.size(bodies) > 0, folded).otherwise(empty)
+    kept = [f"{k}_{part}" for k in names for part in ("bodies", "tails")]
+    started = stepped.select("doc_id", *kept, *[_running(col(f"{k}_steps"), lambda x, y: x + y).alias(f"{k}_starts") for k in names])
+
+    def span(name: str, kind: str, loose: bool):
+        def at(i: Column) -> Column:
+            start, body = F.get(f"{name}_starts", i), F.get(f"{name}_bodies", i)
+            ahead = F.concat_ws("", *[F.get(f"{name}_tails", i - k) for k in reversed(range(BACK))])
+            return F.struct(
+                start.alias("start"),
+                F.lit(KINDS.index(kind)).alias("kind"),
+                (start + F.length(body)).alias("end"),
+                body.alias("body"),
+                F.right(ahead, F.lit(CONTEXT)).alias("ahead"),
+                F.lit(loose).alias("loose"),
+            )
+
+        some = F.size(f"{name}_bodies") > 0
+        return F.transform(F.when(some, F.sequence(F.lit(0), F.size(f"{name}_bodies") - 1)).otherwise(F.array().cast("array<int>")), at)
+
+    return started.select("doc_id", *[span(k, kind, loose).alias(k) for k, (_, kind, loose) in patterns.items()])
 
 
 def _digits(body: Column) -> Column:
@@ -134,14 +163,10 @@ def _cued(span: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and spans (start, kind, end, loose, form, known, cued, shape) of every row."""
-    text = F.coalesce("text", F.lit(""))
     strict = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-    found = docs.select("doc_id", text.alias("text")).select(
-        "doc_id",
-        *[_spans(F.col("text"), p, k, False).alias(k) for k, p in strict.items()],
-        _spans(F.col("text"), LOOSE_EMAIL, "email", True).alias("loose_email"),
-        _spans(F.col("text"), LOOSE_PHONE, "phone", True).alias("loose_phone"),
-    )
+    patterns = {k: (p, k, False) for k, p in strict.items()}
+    patterns |= {"loose_email": (LOOSE_EMAIL, "email", True), "loose_phone": (LOOSE_PHONE, "phone", True)}
+    found = _spans(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), patterns)
 
     def judged(s: Column) -> Column:
         digits = F.length(_digits(s["body"]))
@@ -151,7 +176,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             F.least(digits, F.lit(20)).alias("digits"), s["body"].rlike("[^0-9A-Za-z]").alias("parted"),
         )
 
-    every = F.concat(*strict, "loose_email", "loose_phone")
+    every = F.concat(*patterns)
     return found.select("doc_id", F.transform(every, judged).alias("spans"))
 
 
@@ -237,8 +262,17 @@ def find_personal(docs: DataFrame, threshold: float = 2.0) -> DataFrame:
     base = F.array_sort(F.transform(F.filter("spans", lambda s: ~s["loose"] & s["sound"]), plain))
     more = F.array_sort(F.transform(F.filter("spans", wanted), plain))
     split = held.select("doc_id", base.alias("base"), more.alias("more"))
-    clear = F.filter("more", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return split.select("doc_id", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
+    # Base spans by start and added ones by end, in one order: the base spans before an
+    # added one begin before it ends, and it is clear of them if all end by its start.
+    of = lambda at, added: lambda s: F.struct(s[at].alias("at"), F.lit(added).alias("base"), s.alias("span"))
+    merged = F.array_sort(F.concat(F.transform("base", of("start", 1)), F.transform("more", of("end", 0))))
+    both = (F.size("base") > 0) & (F.size("more") > 0)
+    lined = split.select("*", F.when(both, merged).alias("line"))
+    ends = F.transform("line", lambda c: F.when(c["base"] == 1, c["span"]["end"]))
+    reached = lined.select("*", ends.alias("ends")).select("*", _running(F.col("ends"), lambda x, y: F.greatest(x, y)).alias("reach"))
+    judged = F.zip_with("line", "reach", lambda c, r: F.when((c["base"] == 0) & (F.coalesce(r, F.lit(0)) <= c["span"]["start"]), c["span"]))
+    clear = F.when(both, F.filter(judged, lambda s: s.isNotNull())).otherwise(F.col("more"))
+    return reached.select("doc_id", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
 
 
 def listed(spans: Column) -> Column:

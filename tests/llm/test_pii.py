@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from shelfledger.llm import pii
 from shelfledger.llm.entries import op8_pii
@@ -84,3 +86,49 @@ def test_labelers_are_learnt_and_spans_added(spark):
 def test_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     check(op8_pii(spark, SF).collect(), docs)
+
+
+def test_contexts_and_starts(spark):
+    """Every span has its place and up to 24 characters before it, over earlier matches too."""
+    texts = [t for t in ODD if t and len(t) < 2000] + ["a@b.co" * 9, "a@b.cc " * 9, "🙂a@b.co,c@d.ee tel 1.2.3.4.5.6.7.8.9.1.2.3", "+12345+12345+123456"]
+    patterns = {"email": (pii.EMAIL, "email", False), "ip": (pii.IP, "ip", False), "phone": (pii.PHONE, "phone", False)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii._spans(docs, patterns).collect():
+        text = texts[r.doc_id]
+        for kind in ("email", "ip", "phone"):
+            found = [m.span() for m in re.finditer(BASE[kind], text)]
+            assert [(s.start, s.end) for s in r[kind]] == found or kind == "ip"
+            for s in r[kind]:
+                assert s.body == text[s.start : s.end] and s.ahead == text[max(0, s.start - 24) : s.start]
+
+
+def test_added_spans_keep_clear_of_base_spans(spark, monkeypatch):
+    """Against the plain rule over all pairs, with every loose candidate wanted."""
+    rng = random.Random(2)
+    words = ["a@b.co", "a(at)b.co", "030 1234567", "+49 30 1234567", "1.2.3.4", "x", "(030) 4111 1111", "4111111111111111", "tel", "a (at) b (dot) c.d@e.ff"]
+    texts = [rng.choice(["", " "]).join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(pii, "train", lambda held: {(k, True, a, c, d, p): 9.0 for k in (0, 3) for a in (-1, 1) for c in (0, 1) for d in range(21) for p in (False, True)})
+    some = 0
+    spans = {r.doc_id: r.spans for r in pii.candidates(docs).collect()}
+    for r in pii.find_personal(docs).collect():
+        key = lambda s: (s.start, s.kind, s.end)
+        base = [key(s) for s in spans[r.doc_id] if s.sound and not s.loose]
+        more = [key(s) for s in spans[r.doc_id] if s.sound and s.loose]
+        clear = [m for m in more if not any(b[0] < m[2] and m[0] < b[2] for b in base)]
+        some += len(clear) != len(more)
+        assert [tuple(s) for s in r.base] == sorted(base) and [tuple(s) for s in r.spans] == sorted(base + clear)
+    assert some > 20
+
+
+def test_many_matches_in_one_text(spark):
+    """An access log of 0.5 MB: the time grows about in proportion to the matches."""
+    took = []
+    for n in (1000, 5000, 20_000):
+        lines = [f"1.2.{i // 250 % 250}.{i % 250} GET /x" for i in range(n)]
+        docs = spark.createDataFrame([(1, "\n".join(lines)), (2, " ".join(["tel 030 1234567"] * n)), (3, "+49 30 1234567," * n)], "doc_id long, text string")
+        begun = time.perf_counter()
+        found = {r.doc_id: r for r in pii.personal_report(docs).collect()}
+        took.append(time.perf_counter() - begun)
+        assert found[1].n_ip == n and found[3].n_phone == n
+    assert took[2] < 60 and took[2] < 4 * max(took[1], 4), took
