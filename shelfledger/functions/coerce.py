@@ -16,6 +16,9 @@ WHITESPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 _BIGGEST = (1 << 63) - 1
 _INT = rf"^[{WHITESPACE}]*([+-]?(?:0[xX][0-9a-fA-F]+|\d+))"
 _FLOAT = rf"^[{WHITESPACE}]*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
+# Whole texts that are numbers as they stand.
+_PLAIN_INT = "^[0-9]{1,15}$"
+_PLAIN_FLOAT = r"^[0-9]{1,15}(?:\.[0-9]{1,15})?$"
 
 
 def leading_int(text: Column) -> Column:
@@ -24,20 +27,24 @@ def leading_int(text: Column) -> Column:
     A number that no BIGINT holds gives the nearest one, never NULL, so that it
     cannot pass for a missing one.
     """
-    # One pattern finds the token; the rest works on a few characters.
-    token = empty_to_null(F.lower(F.regexp_extract(text.cast("string"), _INT, 1)))
+    # Most numbers are plain; one pattern finds the token of others, and the rest works on a few characters.
+    text = text.cast("string")
+    token = empty_to_null(F.lower(F.regexp_extract(text, _INT, 1)))
     digits = F.substring_index(token, "x", -1)
     sign = F.when(token.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     nearest = F.when(sign < 0, F.lit(-_BIGGEST - 1)).otherwise(F.lit(_BIGGEST))
     short = F.length(F.ltrim(digits, F.lit("0"))) <= 15
     from_hex = F.when(short, F.conv(digits, 16, 10).try_cast("bigint") * sign).otherwise(nearest)
     decimal = F.coalesce(token.try_cast("bigint"), nearest)
-    return F.when(token.contains("x"), from_hex).when(token.isNotNull(), decimal)
+    plain = F.when(text.rlike(_PLAIN_INT), text.try_cast("bigint"))
+    return F.coalesce(plain, F.when(token.contains("x"), from_hex).when(token.isNotNull(), decimal))
 
 
 def leading_float(text: Column) -> Column:
     """Floating number at the start of the text, else NULL."""
-    return empty_to_null(F.regexp_extract(text.cast("string"), _FLOAT, 1)).try_cast("double")
+    text = text.cast("string")
+    plain = F.when(text.rlike(_PLAIN_FLOAT), text.try_cast("double"))
+    return F.coalesce(plain, empty_to_null(F.regexp_extract(text, _FLOAT, 1)).try_cast("double"))
 
 
 def int_or(text: Column, default: int | None) -> Column:
@@ -102,9 +109,15 @@ def array_json(values: Column) -> Column:
 
 def starts_within(text: Column, limit: float) -> Column:
     """Whether the number that the text starts with, if any, has a size within ``limit``."""
+    text = text.cast("string")
+    # A short text without exponent, hexadecimal mark or the word for no limit is within any limit of more digits.
+    short = F.length(text) < len(str(int(limit)))
+    for mark in "eExXI":
+        short = short & ~text.contains(mark)
     size = F.abs(leading_float(text))
-    long_hex = text.cast("string").rlike(rf"^[{WHITESPACE}]*[+-]?0[xX]0*[0-9a-fA-F]{{{_hex_digits(limit)},}}")
-    return F.coalesce(size <= limit, F.lit(True)) & ~F.coalesce(long_hex, F.lit(False))
+    long_hex = text.rlike(rf"^[{WHITESPACE}]*[+-]?0[xX]0*[0-9a-fA-F]{{{_hex_digits(limit)},}}")
+    within = F.coalesce(size <= limit, F.lit(True)) & ~F.coalesce(long_hex, F.lit(False))
+    return F.when(text.isNull() | short, F.lit(True)).otherwise(within)
 
 
 def _hex_digits(limit: float) -> int:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from shelfledger.functions.coerce import leading_float
+from shelfledger.functions.json_blocks import read_block
 from shelfledger.functions.page_elements import page_elements
 from shelfledger.functions.text import (
     MAX_IMAGES,
@@ -37,7 +38,7 @@ _TEXTS = [
     "h1", "og_title", "og_description", "og_image", "description",
     "static_price", "rendered_price", "rendered_price_content",
 ]
-_LISTS = ["json_ld", "gallery", "crumbs"]
+_LISTS = ["json_ld", "broken_ld", "gallery", "crumbs"]
 ELEMENTS = StructType(
     [StructField(name, StringType()) for name in _TEXTS]
     + [StructField(name, ArrayType(StringType())) for name in _LISTS]
@@ -61,6 +62,9 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page["gallery"] = [
                 _resolve(url, src) if src else lazy for src, lazy in page["gallery"]
             ]
+            blocks = [read_block(text) for text in page["json_ld"]]
+            page["json_ld"] = [block for block, _ in blocks]
+            page["broken_ld"] = [f"block {i}: {why}" for i, (_, why) in enumerate(blocks, 1) if why]
             found.append(page)
         columns = [
             pa.array([page[name] for page in found], kind)
@@ -207,7 +211,10 @@ def _take_item(found: Column, item: Column) -> Column:
 
 
 def structured_product(blocks: Column) -> Column:
-    """Fields from the structured-data blocks in order, up to the first that names a product."""
+    """Fields from the structured-data blocks in order, up to the first that names a product.
+
+    Blocks come as :mod:`json_blocks` cuts them down; a NULL one could not be read.
+    """
 
     def take_block(found: Column, block: Column) -> Column:
         value = F.try_parse_json(block)
@@ -277,6 +284,11 @@ def extract_products(pages: DataFrame, variant: str = RENDERED) -> DataFrame:
     )
 
 
+def broken_blocks(pages: DataFrame) -> DataFrame:
+    """Structured data that is no JSON: a row per such block with the reason."""
+    return find_elements(pages).select("page_id", "url", F.explode("broken_ld").alias("reason"))
+
+
 def checked_products(pages: DataFrame, variant: str = RENDERED) -> DataFrame:
     """Extracted products with a reject reason where the page gave no name."""
     return check_extracted(extract_products(pages, variant))

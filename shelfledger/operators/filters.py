@@ -38,11 +38,11 @@ def featured_is(flag: str | None) -> Column | None:
 
 
 def on_or_after(column: str, day: str | date | None) -> Column | None:
-    return F.to_date(column) >= _day(day) if day else None
+    return F.to_date(column) >= as_day(day) if day else None
 
 
 def on_or_before(column: str, day: str | date | None) -> Column | None:
-    return F.to_date(column) <= _day(day) if day else None
+    return F.to_date(column) <= as_day(day) if day else None
 
 
 def in_days(column: str, start: str | date | None, end: str | date | None) -> Column:
@@ -50,7 +50,7 @@ def in_days(column: str, start: str | date | None, end: str | date | None) -> Co
     return all_of([on_or_after(column, start), on_or_before(column, end)])
 
 
-def _day(day: str | date) -> Column:
+def as_day(day: str | date) -> Column:
     return F.lit(day).try_cast("date") if isinstance(day, str) else F.lit(day)
 
 

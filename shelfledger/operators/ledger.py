@@ -10,13 +10,16 @@ split, so products of any size follow the same rule. Unit costs are given out
 at :data:`COST_STEP`.
 
 The product's row joins its events as an opening event, so one shuffle on the
-product brings together all that the fold needs, and products without events and
-events without a product need no special case.
+product brings together all that is needed, and products without events and
+events without a product need no special case. Regular products are scanned by
+windows (:mod:`stock_scan`); only the others are folded event by event.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,13 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from shelfledger.functions.stock_fold import Stock, TracedStock
+from shelfledger.operators import stock_scan
 from shelfledger.operators.ordered import (
     BLOCK,
     HOT_ROWS,
+    Counts,
     before_here,
     block_window,
-    count_keys,
     cut_blocks,
+    of_keys,
     ordered_window,
     split_counted,
     split_hot,
@@ -42,7 +47,7 @@ from shelfledger.session import stage
 _STATE_NAMES = STOCK.names
 _FINAL_NAMES = FINAL.names
 _BLOCK_KEY = ["product_id", BLOCK]
-_OPEN = "_open"
+_OPEN = stock_scan.OPEN
 _LINK = "_link"
 # What a void takes back: the units, whether the member share is that of a sale
 # in the same group, and the share otherwise.
@@ -51,6 +56,9 @@ _INPUTS = ["kind", "ref", "n", "member_id", "member_n", "unit_cost", *_TAKEN]
 # The average cost depends on the order of its roundings below this step.
 COST_STEP = 1e-6
 _STEPPED_BELOW = 1e9
+# One event in so many of a product that needs the fold, and all are folded: a
+# second way beside it would cost more than it saves.
+MOSTLY_FOLDED = 4
 
 
 def restock_events(restocks: DataFrame) -> DataFrame:
@@ -127,6 +135,27 @@ def link_voids(typed: DataFrame, order: Sequence[str]) -> DataFrame:
     return rest.unionByName(linked.select(*rest.columns))
 
 
+def link_voids_here(dealt: DataFrame, order: Sequence[str]) -> DataFrame:
+    """:func:`link_voids` for rows that are dealt by product already: no further shuffle."""
+    named = F.col("product_id").isNotNull() & F.col("ref").isNotNull()
+    sale, void = F.col("kind") == "sale", F.col("kind") == "void"
+    here = up_to_here(Window.partitionBy("product_id", "ref").orderBy(*order))
+    units = F.when(sale, F.coalesce("n", F.lit(0)))
+    met = dealt.withColumns({"_sales": F.count(units).over(here), "_units": F.last(units, ignorenulls=True).over(here)})
+    usable = F.coalesce(void & named & ((F.col("_sales") > 0) | F.col("n").isNotNull()), F.lit(False))
+    turns = met.withColumn("_turns", F.count_if(usable).over(here))
+    # Voids since the last sale: only the first takes effect.
+    spent = F.coalesce(F.last(F.when(sale, F.col("_turns")), ignorenulls=True).over(here), F.lit(0))
+    first = turns.withColumn("_first", usable & (F.col("_turns") - spent == 1))
+    return first.withColumns(
+        {
+            "_takes": F.when(F.col("_first"), F.coalesce("_units", "n")),
+            "_borrows": F.when(void & named, F.col("_first") & (F.col("_sales") > 0)),
+            "_share": F.when(F.col("_first") & (F.col("_sales") == 0), F.coalesce("member_n", F.lit(0))),
+        }
+    ).drop("_sales", "_units", "_turns", "_first")
+
+
 def shown_cost(cost: Column) -> Column:
     """A unit cost at :data:`COST_STEP`; larger ones have no digits below it worth keeping."""
     stepped = F.floor(cost / COST_STEP + 0.5) * COST_STEP
@@ -151,13 +180,15 @@ def openings(products: DataFrame) -> DataFrame:
 def _fold(rows: DataFrame, order: Sequence[str], history: bool) -> DataFrame:
     """Stream each sorted partition through the fold, one Arrow batch at a time.
 
+    Rows of whole products come dealt by product, those of blocks are dealt here.
     No product's events are gathered in one place: the sort spills, and the fold
     holds one state and, for voids of the same batch, the shares of the sales.
     Products are hot beyond ``HOT_ROWS`` events, which bounds the latter.
     """
     group = ["product_id", BLOCK] if BLOCK in rows.columns else ["product_id"]
     first = (F.col("kind") != "open").cast("int")
-    placed = rows.repartition(*group).sortWithinPartitions(*group, first, *order)
+    dealt = rows.repartition(*group) if BLOCK in rows.columns else rows
+    placed = dealt.sortWithinPartitions(*group, first, *order)
     if history:
         kept = [c for c in placed.columns if c != _OPEN]
         schema = StructType([placed.schema[c] for c in kept] + HISTORY.fields)
@@ -303,16 +334,84 @@ def typed_events(events: DataFrame) -> DataFrame:
     return events.select(*read, *passed)
 
 
-def _split(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int):
-    """Typed events with their voids linked, split into ordinary and hot products, and the openings."""
-    typed = typed_events(events)
+class _Side(NamedTuple):
+    """Events and openings of ordinary products, dealt by product; events and openings of hot ones."""
+
+    cold: DataFrame
+    hot: DataFrame | None
+    hot_opened: DataFrame | None
+    hot_rows: int
+
+
+class _Parts(NamedTuple):
+    """Typed events, and those of regular products and of those that are folded.
+
+    ``largest`` bounds the rows, and the restocks with a cost, of an ordinary product.
+    """
+
+    typed: DataFrame
+    regular: _Side | None
+    folded: _Side | None
+    largest: tuple[int, int]
+
+
+def _split(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int) -> _Parts:
+    """Events with their voids linked, dealt by what can be done with their product."""
+    typed, opened = typed_events(events), openings(products)
     owned = typed.where(F.col("product_id").isNotNull())
-    counts = count_keys(owned, "product_id", hot_rows, F.col("kind") == "void")
-    if counts.marked:
-        owned = link_voids(owned, order)
-    else:
-        owned = owned.withColumns({name: F.lit(None).cast(kind) for name, kind in _TAKEN.items()})
-    return typed, split_counted(owned, "product_id", counts), openings(products)
+    read = ["product_id", "kind", "n", "member_id", "member_n", "unit_cost"]
+    every = opened.unionByName(owned.select(*read), allowMissingColumns=True)
+    event = F.col("kind") != "open"
+    counted = every.groupBy(F.col("product_id").alias("_key")).agg(
+        F.count_if(event).alias("_rows"),
+        F.count_if(F.col("kind") == "void").alias("_voids"),
+        F.count_if((F.col("kind") == "restock") & (F.col("unit_cost") != 0)).alias("_costs"),
+        (stock_scan.irregular() | (F.count_if(~event) > 1)).alias("_folded"),
+    )
+    counted = stage(counted, "key-counts")
+    hot, folded = F.col("_rows") > hot_rows, F.col("_folded")
+    void = lambda of: F.sum(F.when(of, F.col("_voids")))
+    totals = counted.agg(
+        F.count_if(hot & ~folded), F.sum(F.when(hot & ~folded, F.col("_rows"))), void(~folded),
+        F.count_if(hot & folded), F.sum(F.when(hot & folded, F.col("_rows"))), void(folded),
+        F.count_if(folded), F.max(F.when(~hot, F.col("_rows"))),
+        F.sum("_rows"), F.sum(F.when(folded, F.col("_rows"))), F.max(F.when(~hot, F.col("_costs"))),
+    ).first()
+    totals = [x or 0 for x in totals]
+    regular, to_fold, (n_folded, rows, n_rows, n_to_fold, costs) = totals[:3], totals[3:6], totals[6:]
+    largest = (rows + 1, costs)
+
+    def split(rows: DataFrame, opened: DataFrame, wanted: Column, n_hot: int, n_rows: int, voids: int) -> _Side:
+        parted = split_counted(rows, "product_id", Counts(counted.where(hot & wanted).select("_key"), n_hot, n_rows))
+        nothing = {name: F.lit(None).cast(kind) for name, kind in _TAKEN.items()}
+        # A shuffle on the product serves the links of voids and the fold or scan.
+        dealt = parted.cold.unionByName(parted.cold_of(opened, "product_id"), allowMissingColumns=True).repartition("product_id")
+        cold = link_voids_here(dealt, order) if voids else dealt.withColumns(nothing)
+        if parted.hot is None:
+            return _Side(cold, None, None, 0)
+        linked = link_voids(parted.hot, order) if voids else parted.hot.withColumns(nothing)
+        return _Side(cold, linked, parted.hot_of(opened, "product_id"), n_rows)
+
+    if not n_folded:
+        return _Parts(typed, split(owned, opened, ~folded, *regular), None, largest)
+    if n_to_fold * MOSTLY_FOLDED > n_rows:
+        every = [a + b for a, b in zip(regular, to_fold, strict=True)]
+        return _Parts(typed, None, split(owned, opened, F.lit(True), *every), largest)
+    odd = of_keys(Counts(counted.where(folded).select("_key"), n_folded, 0))
+    both = [[odd(rows, "product_id", how) for rows in (owned, opened)] for how in ("left_anti", "left_semi")]
+    return _Parts(typed, split(*both[0], ~folded, *regular), split(*both[1], folded, *to_fold), largest)
+
+
+def _scanned(parts: _Parts, order: Sequence[str]) -> DataFrame:
+    """Running maps of the ordinary regular products, each with the start it follows."""
+    return stock_scan.scan_products(parts.regular.cold, order, *parts.largest)
+
+
+def _scanned_blocks(parts: _Parts, order: Sequence[str], hot_rows: int) -> DataFrame:
+    """The same for the blocks of hot products."""
+    blocks = cut_blocks(parts.regular.hot, parts.regular.hot_rows, "product_id", order, hot_rows)
+    starts = _first_starts(blocks, parts.regular.hot_opened, order, guess=False)
+    return stock_scan.scan_blocks(blocks, starts, order)
 
 
 def ledger_state(
@@ -331,19 +430,24 @@ def changed_products(
 
 
 def _final_states(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int) -> DataFrame:
-    _, split, opened = _split(products, events, order, hot_rows)
-    rows = split.cold.unionByName(
-        split.cold_of(opened, "product_id"), allowMissingColumns=True
-    )
+    parts = _split(products, events, order, hot_rows)
     names = [*_STATE_NAMES, "known", "touched"]
-    final = _fold(rows, order, history=False).select("product_id", *names)
-    if split.hot is not None:
-        _, settled = _settle_blocks(split, opened, order, hot_rows)
-        touched = F.bool_or("_end.touched").alias("touched")
-        last = settled.groupBy("product_id").agg(F.max_by("_end", BLOCK).alias("_last"), touched)
-        kept = [F.col("_last")[c].alias(c) for c in names[:-1]]
-        final = final.unionByName(last.select("product_id", *kept, "touched"))
-    return final.select(
+    start = F.col("_start")
+
+    def states(maps: DataFrame) -> DataFrame:
+        shown = maps.withColumns(stock_scan.after_start(start))
+        return shown.withColumns({"known": F.col("_known"), "touched": stock_scan.touched(start)})
+
+    found = []
+    if parts.regular is not None:
+        found.append(states(stock_scan.last_of(_scanned(parts, order), ["product_id"], order)))
+        if parts.regular.hot is not None:
+            ends = states(stock_scan.last_of(_scanned_blocks(parts, order, hot_rows), _BLOCK_KEY, order))
+            last = ends.groupBy("product_id").agg(F.max_by(F.struct(*names), BLOCK).alias("_last"))
+            found.append(last.select("product_id", "_last.*"))
+    if parts.folded is not None:
+        found.append(_folded_states(parts, order, hot_rows))
+    return _union(found, ["product_id", *names]).select(
         "product_id",
         "quantity",
         "member_qty",
@@ -355,6 +459,18 @@ def _final_states(products: DataFrame, events: DataFrame, order: Sequence[str],
     )
 
 
+def _folded_states(parts: _Parts, order: Sequence[str], hot_rows: int) -> DataFrame:
+    names = [*_STATE_NAMES, "known", "touched"]
+    final = _fold(parts.folded.cold, order, history=False).select("product_id", *names)
+    if parts.folded.hot is None:
+        return final
+    _, settled = _settle_blocks(parts.folded, order, hot_rows)
+    touched = F.bool_or("_end.touched").alias("touched")
+    last = settled.groupBy("product_id").agg(F.max_by("_end", BLOCK).alias("_last"), touched)
+    kept = [F.col("_last")[c].alias(c) for c in names[:-1]]
+    return final.unionByName(last.select("product_id", *kept, "touched"))
+
+
 def ledger_history(
     products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -362,16 +478,31 @@ def ledger_history(
 
     The state is NULL for an event whose product is unknown or NULL.
     """
-    typed, split, opened = _split(products, events, order, hot_rows)
-    names = typed.columns + HISTORY.names
-    rows = split.cold.unionByName(
-        split.cold_of(opened, "product_id"), allowMissingColumns=True
-    )
-    result = _fold(rows, order, history=True).select(*names).unionByName(loose_history(typed).select(*names))
-    if split.hot is not None:
-        blocks, settled = _settle_blocks(split, opened, order, hot_rows)
-        result = result.unionByName(_fold(_started(blocks, settled), order, history=True).select(*names))
-    return result.withColumn("cost_price", shown_cost(F.col("cost_price")))
+    history = raw_history(products, events, order, hot_rows)
+    return history.withColumn("cost_price", shown_cost(F.col("cost_price")))
+
+
+def raw_history(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same with unit costs as they were carried on."""
+    parts = _split(products, events, order, hot_rows)
+    names = parts.typed.columns + HISTORY.names
+    moved = stock_scan.after_start(F.col("_start"))
+    found = [loose_history(parts.typed)]
+    if parts.regular is not None:
+        maps = [_scanned(parts, order)]
+        if parts.regular.hot is not None:
+            maps.append(_scanned_blocks(parts, order, hot_rows))
+        found += [m.where("kind <> 'open'").withColumns(moved) for m in maps]
+    if parts.folded is not None:
+        found.append(_fold(parts.folded.cold, order, history=True))
+        if parts.folded.hot is not None:
+            blocks, settled = _settle_blocks(parts.folded, order, hot_rows)
+            found.append(_fold(_started(blocks, settled), order, history=True))
+    return _union(found, names)
+
+
+def _union(frames: Sequence[DataFrame], names: Sequence[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [f.select(*names) for f in frames])
 
 
 def loose_history(typed: DataFrame) -> DataFrame:
@@ -397,9 +528,7 @@ def _started(blocks: DataFrame, starts: DataFrame) -> DataFrame:
     return blocks.unionByName(opened, allowMissingColumns=True)
 
 
-def _settle_blocks(
-    split, opened: DataFrame, order: Sequence[str], hot_rows: int
-) -> tuple[DataFrame, DataFrame]:
+def _settle_blocks(side: _Side, order: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
     """Blocks of the hot products, and the state each block starts and ends in.
 
     Quantity and member are exact at once, from block totals. Member quantity
@@ -411,9 +540,9 @@ def _settle_blocks(
     again when its start or a share from another block has changed, since a
     share is no such function; that is repeated until nothing changes.
     """
-    cut = cut_blocks(split.hot, split.hot_rows, "product_id", order, hot_rows)
+    cut = cut_blocks(side.hot, side.hot_rows, "product_id", order, hot_rows)
     blocks, crossing = _link_blocks(cut, order)
-    starts = stage(_first_starts(blocks, split.hot_of(opened, "product_id"), order), "starts")
+    starts = stage(_first_starts(blocks, side.hot_opened, order), "starts")
     shares = stale = results = None
     while True:
         current = _with_shares(blocks, shares)
@@ -540,7 +669,11 @@ def _quantity_before(totals: DataFrame, opened: DataFrame) -> DataFrame:
     )
 
 
-def _first_starts(blocks: DataFrame, opened: DataFrame, order: Sequence[str]) -> DataFrame:
+def _first_starts(blocks: DataFrame, opened: DataFrame, order: Sequence[str], guess: bool = True) -> DataFrame:
+    """Opening state per block with the quantity and the member in front of it.
+
+    The member quantity is the opening's, as a ``guess`` cut down to the quantity.
+    """
     placed = _quantity_before(_block_totals(blocks, order), opened)
     earlier = before_here(ordered_window("product_id", [BLOCK]))
     given = F.nullif(F.col("_first.current_member"), F.lit(0))
@@ -551,7 +684,7 @@ def _first_starts(blocks: DataFrame, opened: DataFrame, order: Sequence[str]) ->
         "product_id",
         BLOCK,
         F.col("_quantity_before").alias("quantity"),
-        F.when(position == 1, share)
+        F.when((position == 1) | F.lit(not guess), share)
         .otherwise(F.least(share, F.col("_quantity_before")))
         .alias("member_qty"),
         member.alias("current_member"),

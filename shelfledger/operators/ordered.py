@@ -39,39 +39,40 @@ class Split(NamedTuple):
 
 
 class Counts(NamedTuple):
-    """Keys with more than the limit of rows, how many rows they hold, and the marked rows of all keys."""
+    """Keys with more than the limit of rows, how many there are, and how many rows they hold."""
 
     keys: DataFrame
     n_keys: int
     rows: int
-    marked: int
 
 
-def count_keys(df: DataFrame, key: str, hot_rows: int, mark: Column | None = None) -> Counts:
+def count_keys(df: DataFrame, key: str, hot_rows: int) -> Counts:
     """One pass over ``df``; its outcome is staged, so that all readers agree on it."""
-    marked = F.count_if(mark) if mark is not None else F.lit(0)
-    counted = (
-        df.groupBy(F.col(key).alias("_key"))
-        .agg(F.count("*").alias("_rows"), marked.cast("bigint").alias("_marked"))
-        .where((F.col("_rows") > hot_rows) | (F.col("_marked") > 0))
-    )
+    counted = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows)
     counted = stage(counted, "key-counts")
-    hot = F.col("_rows") > hot_rows
-    n_keys, rows, marks = counted.agg(
-        F.count_if(hot), F.sum(F.when(hot, F.col("_rows"))), F.sum("_marked")
-    ).first()
-    return Counts(counted.where(hot).select("_key"), n_keys, rows or 0, marks or 0)
+    n_keys, rows = counted.agg(F.count("*"), F.sum("_rows")).first()
+    return Counts(counted.select("_key"), n_keys, rows or 0)
 
 
 def split_counted(df: DataFrame, key: str, counts: Counts) -> Split:
     """Rows of ordinary keys and, if there are any, rows of hot keys."""
     if not counts.n_keys:
         return Split(df, None, 0, None)
-    keys = F.broadcast(counts.keys) if counts.n_keys <= BROADCAST_KEYS else counts.keys
+    keys = _sized(counts)
     cold, hot = _on_keys(df, keys, key, "left_anti"), _on_keys(df, keys, key, "left_semi")
     return Split(cold, hot, counts.rows, keys)
 
 
+def _sized(counts: Counts) -> DataFrame:
+    return F.broadcast(counts.keys) if counts.n_keys <= BROADCAST_KEYS else counts.keys
+
+
+def of_keys(counts: Counts):
+    """A join (semi or anti) with the counted keys: ``join(df, key, how)``."""
+    keys = _sized(counts)
+    return lambda df, key, how: _on_keys(df, keys, key, how)
+
+
 def split_hot(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> Split:
     return split_counted(df, key, count_keys(df, key, hot_rows))
 

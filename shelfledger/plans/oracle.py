@@ -428,6 +428,13 @@ UNION ALL SELECT product_id, 'restock', restocked_at, quantity_added, NULL, cost
     + f"SELECT category, {_sum('amount', 'total')} FROM expenses WHERE {_EXPENSE_RANGE} GROUP BY category",
     "inventory_value": _with(PRODUCTS, SALES, EXPENSES, _pl_parts(False))
     + "SELECT inventory_value, inventory_value_all FROM pl",
+    "ledger_append": _with(SALES, RESTOCKS)
+    + """SELECT 'sale' AS kind, id, product_id, member_id, quantity_sold AS units, sold_at AS at FROM sales
+WHERE CAST(sold_at AS DATE) BETWEEN DATE '1996-02-20' AND DATE '1996-09-10'
+UNION ALL SELECT 'restock', id, product_id, member_id, quantity_added, restocked_at FROM restocks
+WHERE CAST(restocked_at AS DATE) BETWEEN DATE '1996-02-20' AND DATE '1996-09-10'""",
+    "ledger_append_batches": _with(SALES)
+    + "SELECT concat('orders-', order_id % 4) AS batch, count(*) AS n_rows FROM sales GROUP BY 1",
     "pl_summary": _with(PRODUCTS, SALES, EXPENSES, _pl_parts(True)) + "SELECT * FROM pl",
     "pl_all_time": _with(PRODUCTS, SALES, EXPENSES, _pl_parts(False)) + "SELECT * FROM pl",
     "pl_top_products": _with(SALES) + _TOP,
@@ -603,6 +610,12 @@ WHERE line_no = 3 AND id NOT IN (SELECT id FROM gone)""",
     "extract_products_static": _EXTRACT.format(description="''"),
     "extract_structured": _shop(True),
     "extract_structured_static": _shop(False),
+    "extract_repeated_names": """SELECT p_partkey AS page_id,
+  CASE p_partkey % 5 WHEN 1 THEN p_name || ' ok' ELSE p_name END AS name,
+  CASE WHEN p_partkey % 5 IN (0, 4) THEN CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DOUBLE) END AS price,
+  CASE p_partkey % 5 WHEN 2 THEN '["i2"]' ELSE '[]' END AS images FROM part""",
+    "extract_broken_blocks": """SELECT p_partkey AS page_id, CASE p_partkey % 5 WHEN 1 THEN 1 ELSE 2 END AS blocks
+FROM part WHERE p_partkey % 5 IN (1, 3)""",
     "extract_rejects": """SELECT doc_id AS page_id, 'Other' AS source, CAST(NULL AS DOUBLE) AS price,
   'Could not extract product info from this page.' AS reject_reason FROM documents WHERE text NOT LIKE '%<h1%'""",
     "stream_ledger": _ledger(_LINES_AND_VOIDS) + _HISTORY,
@@ -616,3 +629,7 @@ WHERE line_no = 3 AND id NOT IN (SELECT id FROM gone)""",
   CAST(s.stored_profit AS DOUBLE) AS stored_profit, s.transactions, CAST(s.member_cogs AS DOUBLE) AS member_cogs,
   CAST(ever.own AS DOUBLE) AS all_time_my_cogs FROM s, ever""",
 }
+
+# Stored tables give what their snapshots give.
+ORACLE |= {f"{name}_stored": ORACLE[name] for name in ("product_upsert", "product_delete", "sale_edit", "member_upsert")}
+ORACLE |= {name: ORACLE["pl_summary"] for name in ("pl_summary_from_days", "stream_pl_summary")}

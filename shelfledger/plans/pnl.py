@@ -41,6 +41,11 @@ def pl_summary(
         expense_total(expenses, start, end),
         inventory_value(products),
     )
+    return summary_of(totals)
+
+
+def summary_of(totals: DataFrame) -> DataFrame:
+    """The summary's figures of one row of totals."""
     my_cogs = F.col("_cogs") - F.col("_member_cogs")
     my_gross = F.col("_revenue") - my_cogs
     return totals.select(

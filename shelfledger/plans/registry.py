@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from shelfledger.functions.coerce import array_json
 from shelfledger.operators import catalog, ledger, maintenance, members, sales, slot
 from shelfledger.operators import validation as check
-from shelfledger.operators.extract import RENDERED, STATIC, checked_products
+from shelfledger.operators.extract import RENDERED, STATIC, broken_blocks, checked_products
 from shelfledger.operators.filters import lookup_many
-from shelfledger.plans import pnl, product_pl, record
+from shelfledger.plans import day_cube, pnl, product_pl, record
+from shelfledger.session import stage, staging_path
+from shelfledger.sources import append_ledger
 from shelfledger.sources import requests as req
 from shelfledger.sources import retail_views as view
+from shelfledger.sources.keyed_table import KeyedTable
 from shelfledger.sources.tables import json_rows, keyed_json, row_count, seed_if_empty
 from shelfledger.streaming import ledger_stream, slot_stream, totals_stream
 from shelfledger.streaming.runs import drain, drain_latest
@@ -224,6 +227,30 @@ def pl_summary(spark, d):
     )
 
 
+def _cube(days, name):
+    """Daily sums with their prefixes, as a stored table."""
+    return stage(day_cube.with_prefixes(days), name)
+
+
+@query
+def pl_summary_from_days(spark, d):
+    """The summary of the range, of stored daily totals."""
+    sold = _cube(day_cube.sale_days(view.sales(spark, d)), "sale-days")
+    spent = _cube(day_cube.expense_days(view.expenses(spark, d)), "expense-days")
+    return day_cube.pl_summary_from_days(sold, spent, view.products(spark, d), START, END)
+
+
+@query
+def stream_pl_summary(spark, d):
+    """The same of daily totals that streams of sales and expenses add up."""
+    keys = view.star(spark, d, "supplier").count() + 2
+    sold = day_cube.stream_days(view.sales_of(_stream(spark, d, "lineitem"), keys), day_cube.sale_days, "sale-days")
+    spent = day_cube.stream_days(view.expenses_of(_stream(spark, d, "orders")), day_cube.expense_days, "expense-days")
+    return day_cube.pl_summary_from_days(
+        _cube(sold, "sale-days"), _cube(spent, "expense-days"), view.products(spark, d), START, END
+    )
+
+
 @query
 def pl_all_time(spark, d):
     return pnl.pl_summary(view.sales(spark, d), view.expenses(spark, d), view.products(spark, d))
@@ -328,6 +355,52 @@ def product_upsert(spark, d):
     return maintenance.overwrite(table, _product_changes(spark, d), changed)
 
 
+#: Files of a stored table.
+STORED = 16
+
+
+def _stored(rows, name):
+    table = KeyedTable(rows.sparkSession, staging_path(rows.sparkSession, name), rows.schema)
+    table.create(rows, STORED)
+    return table
+
+
+@query
+def product_upsert_stored(spark, d):
+    """The same on a stored table, where files without a changed key stay."""
+    table = _stored(_product_table(spark, d), "products")
+    changed = [c for c in table.schema.names if c not in ("id", "created_at")]
+    table.overwrite(stage(_product_changes(spark, d), "product-changes"), changed)
+    return table.read()
+
+
+@query
+def product_delete_stored(spark, d):
+    table = _stored(_product_table(spark, d), "products")
+    table.delete(view.star(spark, d, "part").where("p_size > 40").selectExpr("p_partkey AS id"))
+    return table.read()
+
+
+@query
+def sale_edit_stored(spark, d):
+    """Edits of stored sales rewrite the files that hold them."""
+    stored = view.sales(spark, d)
+    edits = stage(check.accepted(check.check_edits(req.sale_edits(spark, d), stored)), "edits")
+    # The table has the types and the column that an edit gives.
+    table = _stored(maintenance.edit_sales(stored, edits.where("false")), "sales")
+    table.rewrite(edits.select("id"), lambda rows: maintenance.edit_sales(rows.drop("profit_line"), edits))
+    return table.read().select(
+        "id", "sale_price", "cost_price", "quantity_sold", "payment_method", "notes", "profit", "profit_line"
+    )
+
+
+@query
+def member_upsert_stored(spark, d):
+    table = _stored(_member_table(spark, d), "members")
+    table.upsert(_member_changes(spark, d))
+    return _dated(table.read())
+
+
 @query
 def product_delete(spark, d):
     removed = view.star(spark, d, "part").where("p_size > 40").selectExpr("p_partkey AS id")
@@ -537,6 +610,39 @@ def ledger_stored_void(spark, d):
     )
 
 
+#: Every batch comes twice, as a sender does that got no answer.
+APPENDS = [*range(4), *range(4)]
+FROM, TO = "1996-02-20", "1996-09-10"
+
+
+@query
+def ledger_append(spark, d):
+    """All lines appended to stored ledgers in batches, each sent twice, and a range of days read back."""
+    found = []
+    for kind, rows, time, units in (
+        ("sale", view.sales(spark, d), "sold_at", "quantity_sold"),
+        ("restock", view.restocks(spark, d), "restocked_at", "quantity_added"),
+    ):
+        path = staging_path(spark, f"ledger-{kind}")
+        for batch in APPENDS:
+            part = rows.where(F.col("order_id") % len(set(APPENDS)) == batch)
+            append_ledger.append_batch(part, path, f"orders-{batch}", time)
+        stored = append_ledger.read_ledger(spark, path, rows.schema, time, FROM, TO)
+        found.append(
+            stored.select(F.lit(kind).alias("kind"), "id", "product_id", "member_id", F.col(units).alias("units"), F.col(time).alias("at"))
+        )
+    return found[0].unionByName(found[1])
+
+
+@query
+def ledger_append_batches(spark, d):
+    """Rows that each batch added, after every batch was sent twice."""
+    rows, path = view.sales(spark, d), staging_path(spark, "ledger-batches")
+    for batch in APPENDS:
+        append_ledger.append_batch(rows.where(F.col("order_id") % len(set(APPENDS)) == batch), path, f"orders-{batch}", "sold_at")
+    return append_ledger.batches(spark, path)
+
+
 @query
 def ledger_running_qty(spark, d):
     events = view.ledger_events(spark, d, voids=False)
@@ -636,6 +742,20 @@ def extract_structured_static(spark, d):
     return _with_images(checked_products(req.shop_pages(spark, d), STATIC))
 
 
+@query
+def extract_repeated_names(spark, d):
+    """Structured data with repeated names, broken text and long values."""
+    found = checked_products(req.block_pages(spark, d), RENDERED)
+    return _with_images(found.select("page_id", "name", "price", "images"))
+
+
+@query
+def extract_broken_blocks(spark, d):
+    """How many blocks of a page are no JSON."""
+    broken = broken_blocks(req.block_pages(spark, d))
+    return broken.where(F.col("reason").startswith("block ")).groupBy("page_id").agg(F.count("*").alias("blocks"))
+
+
 @query
 def extract_rejects(spark, d):
     """Archived pages and plain documents: only pages name a product."""
@@ -651,22 +771,41 @@ def extract_rejects(spark, d):
 # --- streams ------------------------------------------------------------------------------
 
 
+#: Files of a micro-batch at most.
+FILES = 1000
+
+
 def _stream(spark, d, name):
     """A table as a stream, be it one file or a folder of part files.
 
     A stream takes a single file only by a pattern; this one matches the table's name alone.
     """
-    files = spark.readStream.schema(view.star(spark, d, name).schema).option("basePath", d)
+    files = spark.readStream.schema(view.star(spark, d, name).schema).options(basePath=d, maxFilesPerTrigger=FILES)
     return files.parquet(f"{d}/{name}.parque[t]")
 
 
+#: Parts of the time line that arrive one after the other.
+TURNS = 4
+
+
+def _in_turns(spark, rows, time, name, run):
+    """Runs a stream once for each part of ``rows`` in order of ``time``; every run goes on where the last ended."""
+    at, path = F.unix_timestamp(F.col(time).cast("timestamp")), staging_path(spark, f"{name}-arrivals")
+    held = stage(rows, f"{name}-rows")
+    bounds = held.agg(F.percentile_approx(at, [k / TURNS for k in range(1, TURNS)])).first()[0] or [0] * (TURNS - 1)
+    turn = sum((F.when(at > bound, 1).otherwise(0) for bound in bounds), F.lit(0))
+    for k in range(TURNS):
+        held.where(turn == k).write.mode("append").parquet(path)
+        found = run(spark.readStream.schema(held.schema).option("maxFilesPerTrigger", FILES).parquet(path))
+    return found
+
+
 @query
 def stream_ledger(spark, d):
-    events = view.ledger_events_of(
-        _stream(spark, d, "lineitem"), view.star(spark, d, "supplier").count() + 2
-    )
-    history = ledger_stream.stream_ledger(view.products(spark, d), events, view.LEDGER_ORDER)
-    return drain(history, "ledger").select(*_HISTORY)
+    """Events as they arrive over time, in several micro-batches."""
+    path = staging_path(spark, "ledger")
+    run = lambda events: ledger_stream.stream_ledger(view.products(spark, d), events, view.LEDGER_ORDER, path=path)
+    return _in_turns(spark, view.ledger_events(spark, d), "day", "ledger", run).select(*_HISTORY)
 
 
 @query
@@ -678,8 +817,9 @@ def stream_extract(spark, d):
 
 @query
 def stream_slot(spark, d):
-    events = view.slot_events_of(_stream(spark, d, "events"))
-    return drain(slot_stream.stream_slot(events, SLOT_TTL), "slot")
+    path = staging_path(spark, "slot")
+    run = lambda events: slot_stream.stream_slot(events, SLOT_TTL, path=path)
+    return _in_turns(spark, view.slot_events(spark, d), "ts", "slot", run)
 
 
 @query

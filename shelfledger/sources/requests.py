@@ -194,3 +194,27 @@ def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://"), host, F.lit("/p/"), "p_partkey").alias("url"), html.alias("html")
     )
+
+
+# Blocks with repeated names, broken text, and more text than a value of a column may have.
+_BLOCK_PAGES = (
+    _LD + '{"@type":"Thing","name":"wrong","offers":{"price":1,"price":"{price}"},"@type":"Product","name":"{name}"}</script>',
+    _LD + '{"@type":"Product","name":"{name}",}</script>' + _LD + '{"@type":"Product","name":"{name} ok"}</script>',
+    _LD + '[1,{"@type":"Product","@type":"Other","name":"x"},{"@type":"Product","name":"a","image":["i1"],"name":"{name}","image":"i2"}]</script>',
+    "<h1>{name}</h1>" + _LD + '{"@type":"Product","name":"x","offers":{"price":NaN}}</script>' + _LD + "not {even</script>",
+    _LD + '{"@type":"Product","reviews":[{"text":"{long}"}],"offers":[{"price":{price},"more":{"a":[1,2]}}],"name":"{name}"}</script>',
+)
+
+
+def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for every part, of five kinds, with structured data that is hard to read."""
+    html = F.element_at(F.array(*map(F.lit, _BLOCK_PAGES)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    values = {
+        "{name}": F.col("p_name"), "{price}": F.col("p_retailprice").cast("decimal(12,2)").cast("string"),
+        "{long}": F.repeat(F.lit("so long "), F.lit(500)),
+    }
+    for mark, value in values.items():
+        html = F.replace(html, F.lit(mark), value)
+    return star(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://example.org/"), "p_partkey").alias("url"), html.alias("html")
+    )

@@ -1,22 +1,24 @@
-"""Running a stream to the end of its input, and the settings it needs."""
+"""Running a stream to the end of its input."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfledger.session import staging_path
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep stream state in RocksDB: on disk, saved with each micro-batch."""
-    if "RocksDB" not in spark.conf.get(_PROVIDER, ""):
-        spark.conf.set(_PROVIDER, _ROCKSDB)
+def run_to_end(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Hand all available input to ``step``, micro-batch by micro-batch."""
+    query = (
+        stream.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
 
 
 def drain(stream: DataFrame, name: str, **options: str) -> DataFrame:

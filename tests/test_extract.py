@@ -1,7 +1,11 @@
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
+from shelfledger.functions.json_blocks import read_block
 from shelfledger.functions.page_elements import page_elements
-from shelfledger.operators.extract import RENDERED, STATIC, checked_products, extract_products
+from shelfledger.operators.extract import RENDERED, STATIC, broken_blocks, checked_products, extract_products, structured_product
 from shelfledger.operators.validation import accepted, rejected
 
 NBSP = " "
@@ -94,3 +98,42 @@ def test_reject_without_name(spark):
 def test_property_and_name_are_told_apart():
     page = page_elements('<meta property="description" content="p"><meta name="og:title" content="n">')
     assert page["description"] is None and page["og_title"] is None
+
+
+@pytest.mark.parametrize(
+    ("text", "name", "price", "images"),
+    [
+        ('{"@type":"Product","name":"a","name":"b"}', "b", None, None),
+        ('{"name":"a","@type":"Product","@type":"Thing"}', None, None, None),
+        ('{"@type":"Product","name":"a","offers":[{"price":1}],"offers":{"price":2}}', "a", 2.0, None),
+        ('{"@graph":[{"@type":"Product","name":"x"}],"@graph":[{"@type":"Product","name":"y"}]}', "y", None, None),
+        ('{"@graph":[],"@type":"Product","name":"no"}', None, None, None),
+        ('{"@graph":"text","@type":"Product","name":"no"}', None, None, None),
+        ('{"@graph":0,"@type":"Product","name":"yes"}', "yes", None, None),
+        ('\u00a0\ufeff {"@type":"Product","name":"t"} \u3000', "t", None, None),
+        ('[{"@type":"Product","name":"a"},null,{"@type":"Product","name":"b"}]', "a", None, None),
+        ('[[], 1, "x", true, {"@type":"Product","name":"c","image":[1,"p",{},"q"]}]', "c", None, ["p", "q"]),
+        ('{"@type":"Product","name":"n","offers":{"price":' + "9" * 400 + "}}", "n", 1.7976931348623157e308, None),
+        ('{"@type":"Product","name":"n","offers":"free"}', "n", None, None),
+        ('{"@type":["Product"],"name":"n"}', None, None, None),
+        ('{"@type":"Product","name":"half \\ud800 pair \\ud83d\\ude42"}', "half \ufffd pair 🙂", None, None),
+        ('{"@type":"Product","name":"big","x":"' + "y" * 20_000_000 + '","offers":{"price":"3"}}', "big", 3.0, None),
+    ],
+)
+def test_blocks_of_structured_data(spark, text, name, price, images):
+    block, why = read_block(text)
+    assert why is None and len(block) < 500
+    found = spark.createDataFrame([([block],)], "b array<string>").select(structured_product(F.col("b")).alias("p")).first().p
+    assert (found.name or None, found.price, found.images or None) == (name, price, images)
+
+
+@pytest.mark.parametrize("text", ["", "{", '{"a":1,}', '{"a":NaN}', "[Infinity]", "{'a':1}", '"\x01"', "[1] 2", "\u00a0", "[" * 200_000])
+def test_broken_blocks_have_a_reason(text):
+    block, why = read_block(text)
+    assert block is None and why
+
+
+def test_broken_blocks_are_listed(spark):
+    html = '<script type="application/ld+json">{"a":}</script><script type="application/ld+json">{}</script>'
+    rows = spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "<p>")], "page_id bigint, url string, html string")
+    assert [tuple(r) for r in broken_blocks(rows).collect()] == [(1, "u", "block 1: Expecting value at 5")]
