@@ -1,7 +1,9 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
 Documents are dealt by ranges of their id and sorted, encoded a few MB of text at
-a time, and closed into segments of whole documents. A segment is one file:
+a time, and closed into segments of whole documents. Texts are cut where the
+tokenizer never joins both sides, and a task has the library encode each distinct
+piece once. A segment is one file:
 
 * magic and, as big-endian 64-bit numbers, shard, number in the shard, documents,
   ids, blocks, exceptions, bytes of packed values
@@ -29,7 +31,9 @@ A text longer than a segment makes a longer one.
 from __future__ import annotations
 
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import partial
 from zlib import crc32
@@ -40,18 +44,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfledger.llm.columns import pieces
+from shelfledger.llm.columns import bytes_of, pieces
 
 MAGIC = b"PFORIDS1"
-HEADER = struct.Struct(">8s7q")
+HEADER = ">8s7q"
 BLOCK = 256
 PERCENTILE = 0.9
 #: A segment is closed at so many ids.
-SEGMENT_IDS = 16_000_000
+SEGMENT_IDS = 8_000_000
 END_ID = 0
+#: Bytes of text that are encoded at a time.
+PIECE = 8 << 20
 #: Blocks that are packed or unpacked at a time.
 STEP = 2048
-DOCUMENTS = "shard long, segment long, place long, doc_id long, before long, n_tokens long, ids binary"
+DOCUMENTS = "shard long, segment long, doc_id long, before long, n_tokens long, ids"
 
 
 # --- blocks ---------------------------------------------------------------------------------
@@ -60,12 +66,16 @@ DOCUMENTS = "shard long, segment long, place long, doc_id long, before long, n_t
 def _to_bits(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values packed at ``width`` bits each."""
     rows, n = values.shape
+    if width in (8, 16, 32):
+        return values.astype(f">u{width // 8}").view(np.uint8).reshape(rows, n * width // 8)
     bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(rows, n, 4), axis=2)
     return np.packbits(bits[:, :, 32 - width :].reshape(rows, n * width), axis=1)
 
 
 def _from_bits(packed: np.ndarray, width: int, n: int) -> np.ndarray:
     rows = len(packed)
+    if width in (8, 16, 32):
+        return packed.view(f">u{width // 8}").astype(np.uint32)
     bits = np.zeros((rows, n, 32), np.uint8)
     bits[:, :, 32 - width :] = np.unpackbits(packed, axis=1).reshape(rows, n, width)
     return np.packbits(bits, axis=2).reshape(rows, n * 4).view(">u4").astype(np.uint32)
@@ -149,7 +159,7 @@ def segment_bytes(shard: int, number: int, doc_ids: list, starts: np.ndarray, id
     blocks = Blocks.pack(ids, percentile)
     null = np.array([d is None for d in doc_ids], np.uint8)
     named = np.array([d or 0 for d in doc_ids], "<i8")
-    header = HEADER.pack(MAGIC, shard, number, len(doc_ids), len(ids), len(blocks.base), len(blocks.value), len(blocks.packed))
+    header = struct.pack(HEADER, MAGIC, shard, number, len(doc_ids), len(ids), len(blocks.base), len(blocks.value), len(blocks.packed))
     arrays = [
         named, null, starts.astype("<i8"), blocks.base.astype("<u4"), blocks.width, blocks.starts.astype("<i8"),
         blocks.first.astype("<i8"), blocks.place.astype("<u2"), blocks.value.astype("<u4"), blocks.packed,
@@ -162,10 +172,10 @@ class Segment:
     """A segment read back."""
 
     def __init__(self, raw: bytes):
-        magic, self.shard, self.number, n_docs, self.n_ids, n_blocks, n_out, n_packed = HEADER.unpack_from(raw)
+        magic, self.shard, self.number, n_docs, self.n_ids, n_blocks, n_out, n_packed = struct.unpack_from(HEADER, raw)
         if magic != MAGIC:
             raise ValueError("not a file of token ids")
-        at = HEADER.size
+        at = struct.calcsize(HEADER)
 
         def array(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -187,40 +197,180 @@ class Segment:
         return self.blocks.read(int(self.starts[document]), int(self.starts[document + 1]))
 
 
+# --- words ----------------------------------------------------------------------------------
+
+_LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _LINE = range(1, 7)
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[ord("0") : ord("9") + 1] = _DIGIT
+_CLASS[ord("A") : ord("Z") + 1] = _CLASS[ord("a") : ord("z") + 1] = _LETTER
+_CLASS[ord("'")], _CLASS[0x20], _CLASS[0x0A] = _QUOTE, _SPACE, _LINE
+
+
+def _parted(left: int, right: int) -> bool:
+    if not _LETTER <= left <= _QUOTE:
+        return False
+    if right in (_SPACE, _LINE):
+        return True
+    return _LETTER <= right <= _QUOTE and left != right and left != _QUOTE and (left, right) != (_MARK, _QUOTE)
+
+
+#: Whether two neighbours are parted, by 8 * kind + kind.
+_PARTED = np.array([_parted(k >> 3, k & 7) for k in range(64)])
+
+
+def safe_cuts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Places where the tokenizer never joins what lies on both sides, text starts among them.
+
+    Its pieces are runs of letters, of digits or of other marks, with one space
+    before them, contractions such as ``'s``, and runs of white space whose last
+    character may go to the next piece. So a visible character and white space, or
+    visible characters of two kinds, are parted, unless a quote comes first, and so
+    are a single line break and what follows it. Elsewhere, as beside most
+    characters outside ASCII, nothing is cut; that only makes longer pieces.
+    """
+    kind = _CLASS[data]
+    high = np.flatnonzero(data >= 0xC3)
+    lead, at = data[high], high[(data[high] == 0xC3) & (high + 1 < len(data))]
+    at = at[(data[at + 1] != 0x97) & (data[at + 1] != 0xB7)]
+    kind[at] = kind[at + 1] = _LETTER  # U+00C0 to U+00FF
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _PARTED[(kind[:-1] << 3) | kind[1:]]
+    lines = np.flatnonzero(kind[1:-1] == _LINE) + 1
+    seen = (kind[lines - 1] - 1 < _QUOTE) & (kind[lines + 1] - 1 < _QUOTE)  # kinds from 1 on: 0 wraps round
+    cut[lines[seen] + 1] = True
+    # Characters of two or three bytes that are no white space, before a space.
+    for length, last in ((2, 0xDF), (3, 0xEF)):
+        after = high[(lead <= last) & ((lead >= 0xE4) | (length == 2))] + length
+        after = after[after < len(data)]
+        cut[after[kind[after] == _SPACE]] = True
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut)
+
+
+#: Pieces that are one word to the tokenizer: a space at most, then characters of one kind.
+_ONE_WORD = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[^\x97\xb7])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: How a byte-level model writes bytes: those that cannot be seen come after the others.
+_SEEN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+_WRITTEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+_SPACE_MARK = chr(_WRITTEN[0x20])
+
+
+class Encoder:
+    """The library's ids of whole texts, with a piece between safe cuts encoded once."""
+
+    #: Pieces that are remembered; then memory starts afresh.
+    HELD = 600_000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
+        import tokenizers
+
+        self.path = path
+        self.library = tokenizers.Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.library.model
+        self.known: dict[bytes, bytes] = {}
+
+    @classmethod
+    def of_worker(cls, path: str) -> Encoder:
+        """The one of this Python worker, which goes from task to task."""
+        held = cls.__dict__.get("_held")
+        if held is None or held.path != path:
+            held = cls._held = cls(path)
+        return held
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Remembers the ids of pieces as packed 32-bit numbers.
+
+        A piece of one word goes to the library's model at once, others through
+        the whole tokenizer.
+        """
+        whole, tokenize = [], self.model.tokenize
+        for word in words:
+            spaced = word[:1] == b" "
+            if (word[1:] if spaced else word).isalpha():  # letters of ASCII are written as they are
+                found = tokenize(_SPACE_MARK + word[1:].decode() if spaced else word.decode())
+            elif _ONE_WORD.fullmatch(word):
+                found = tokenize(word.decode("latin-1").translate(_WRITTEN))
+            else:
+                whole.append(word)
+                continue
+            self.known[word] = array("I", [t.id for t in found]).tobytes()
+        encoded = self.library.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
+        for word, found in zip(whole, encoded, strict=True):
+            self.known[word] = array("I", found.ids).tobytes()
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end_id``, and how many each has."""
+        offsets, data = bytes_of(texts)
+        starts = safe_cuts(offsets, data)
+        # The pieces lie one behind the other, from the first byte to the last.
+        bounds = pa.py_buffer(np.append(starts, len(data)).astype(np.int64) if len(starts) else np.zeros(1, np.int64))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+        words, number = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) > self.HELD:
+            self.known.clear()
+        lists = list(map(self.known.get, words))
+        new = [k for k, held in enumerate(lists) if held is None]
+        self._learn([words[k] for k in new])
+        for k in new:
+            lists[k] = self.known[words[k]]
+        # The end id is one more piece, which follows the last one of every text.
+        ends = np.searchsorted(starts, offsets)
+        number = np.insert(number, ends[1:], len(lists))
+        lists.append(array("I", [end_id]).tobytes())
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) >> 2
+        flat = np.frombuffer(b"".join(lists), np.uint32)
+        begins, n = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        upto = np.cumsum(n)
+        step = np.ones(int(upto[-1]) if len(upto) else 0, np.int64)
+        if len(step):  # from one id to the next: by one inside a piece, to the begin of the next after it
+            step[0] = begins[0]
+            full = n > 0
+            piece = np.flatnonzero(full)
+            step[upto[piece[:-1]]] = begins[piece[1:]] - (begins[piece[:-1]] + n[piece[:-1]]) + 1
+        ids = flat[np.cumsum(step)]
+        passed = np.concatenate([[0], upto])[ends + np.arange(len(ends))]
+        return ids, np.diff(passed)
+
+
 # --- jobs -----------------------------------------------------------------------------------
 
 
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit: int, percentile: float) -> Iterator[pa.RecordBatch]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
-    import tokenizers
-
-    tokenizer = tokenizers.Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    shard, number, held = TaskContext.get().partitionId(), 0, 0
+    encoder, shard, number, held = Encoder.of_worker(path), TaskContext.get().partitionId(), 0, 0
     doc_ids: list = []
     parts: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
 
     def closed() -> pa.RecordBatch:
         nonlocal number, held
-        starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         raw = segment_bytes(shard, number, doc_ids, starts, np.concatenate(parts), percentile)
         number, held = number + 1, 0
-        doc_ids.clear()
-        parts.clear()
+        for filled in (doc_ids, parts, sizes):
+            filled.clear()
         return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["value"])
 
     for batch in batches:
         at = 0
-        for texts in pieces(batch.column(1)):
-            ids = batch.column(0).slice(at, len(texts)).to_pylist()
+        for texts in pieces(batch.column(1), PIECE):
+            names = batch.column(0).slice(at, len(texts)).to_pylist()
             at += len(texts)
-            encoded = tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
-            for doc_id, one in zip(ids, encoded, strict=True):
-                doc_ids.append(doc_id)
-                parts.append(np.array([*one.ids, end_id], np.uint32))
+            ids, counts = encoder.encode(texts, end_id)
+            ends = np.cumsum(counts)
+            a = 0
+            while a < len(names):  # up to the document that fills the segment
+                passed = int(ends[a - 1]) if a else 0
+                b = min(len(names), int(np.searchsorted(ends, passed + limit - held, "left")) + 1)
+                doc_ids += names[a:b]
+                parts.append(ids[passed : ends[b - 1]])
+                sizes.append(counts[a:b])
                 held += len(parts[-1])
                 if held >= limit:
                     yield closed()
+                a = b
     if doc_ids:
         yield closed()
 
@@ -264,25 +414,35 @@ def _headers(spark: SparkSession, folder: str) -> DataFrame:
     return heads.select("*", inside.alias("inside")).join(shards, "shard").select(*names, "path", (F.col("ahead") + F.col("inside")).alias("before"))
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans_of(segment: Segment, ids: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of documents of about so many ids: first, last, their ids, and where each begins in these."""
+    a, n = 0, len(segment.starts) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(segment.starts, segment.starts[a] + ids, "right")) - 1)
+        found = segment.blocks.read(int(segment.starts[a]), int(segment.starts[b])).astype("<u4")
+        yield a, b, found, segment.starts[a : b + 1] - segment.starts[a]
+        a = b
+
+
+def _documents(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             segment = Segment(content.as_py())
-            sizes = np.diff(segment.starts)
-            a, n = 0, len(sizes)
-            while a < n:  # documents of about a million ids at a time
-                b = max(a + 1, int(np.searchsorted(segment.starts, segment.starts[a] + 1_000_000, "right")) - 1)
-                ids = segment.blocks.read(int(segment.starts[a]), int(segment.starts[b])).astype("<u4")
-                ends = segment.starts[a : b + 1] - segment.starts[a]
-                lists = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((ends * 4).astype(np.int64)), pa.py_buffer(ids.tobytes())])
+            for a, b, ids, ends in _spans_of(segment):
+                raw = pa.py_buffer(ids)
+                if digest:
+                    view = memoryview(raw)
+                    bounds = (ends * 4).tolist()
+                    last = pa.array([crc32(view[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)], pa.int64())
+                else:
+                    last = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((ends * 4).astype(np.int64)), raw]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(b - a, segment.shard)), pa.array(np.full(b - a, segment.number)), pa.array(np.arange(a, b)),
-                        segment.doc_ids.slice(a, b - a), pa.array(segment.starts[a:b]), pa.array(sizes[a:b]), lists.cast(pa.binary()),
+                        pa.array(np.full(b - a, segment.shard)), pa.array(np.full(b - a, segment.number)),
+                        segment.doc_ids.slice(a, b - a), pa.array(segment.starts[a:b]), pa.array(np.diff(ends)), last,
                     ],
-                    names=["shard", "segment", "place", "doc_id", "before", "n_tokens", "ids"],
+                    names=["shard", "segment", "doc_id", "before", "n_tokens", "ids"],
                 )
-                a = b
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -290,8 +450,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     ``ids`` are little-endian unsigned 32-bit integers, the end id among them.
     """
+    return _placed(spark, folder, digest=False)
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with ``ids_crc32`` instead of the ids, which then need not leave the tasks that read them."""
+    return _placed(spark, folder, digest=True).withColumnRenamed("ids", "ids_crc32")
+
+
+def _placed(spark: SparkSession, folder: str, digest: bool) -> DataFrame:
     manifest = spark.read.parquet(f"{folder}/manifest").select("shard", "segment", F.col("before").alias("ahead"))
-    found = _files(spark, folder).select("content").mapInArrow(_documents, DOCUMENTS)
+    form = DOCUMENTS + (" long" if digest else " binary")
+    found = _files(spark, folder).select("content").mapInArrow(partial(_documents, digest=digest), form)
     start = (F.col("ahead") + F.col("before")).alias("start")
     return found.join(manifest, ["shard", "segment"]).select("doc_id", start, "n_tokens", "ids")
 
@@ -299,4 +469,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def file_report(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Writes the files and gives, read back, where each document lies and a CRC of its ids."""
     write(docs, folder, tokenizer)
-    return read(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return digests(docs.sparkSession, folder)

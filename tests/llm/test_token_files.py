@@ -3,6 +3,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 
@@ -104,3 +105,24 @@ def test_documents_by_place_and_damage():
             token_files.Segment(bytes(bad))
     with pytest.raises(ValueError):
         token_files.Segment(b"x" * 100)
+
+
+def test_safe_cuts_change_no_id(monkeypatch):
+    """Pieces put together are what the library gives for whole texts."""
+    library = tokenizers.Tokenizer.from_file(PATH)
+    library.encode_special_tokens = True
+    rng = np.random.default_rng(8)
+    parts = [
+        "it", "'s", "'", "'t", "''", "the", "The", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\x85", "12", "3.5", "½",
+        "é", "ß", "×", "÷", "ñandú", "漢字", "🙂", "e\u0301", "-", "...", "(", "\"", "<|endoftext|>", "_", "\x00", "\x1c", "я", "א", "'ll", "'LL", "a'b",
+    ]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(3000)] + [" ", "", "'", "\n"]
+    texts += [a + b + c for a in parts for b in parts for c in ("x", " ", "'s", "\n", "é")]
+    wanted = [[*library.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    monkeypatch.setattr(token_files.Encoder, "HELD", 500)
+    encoder = token_files.Encoder(PATH)
+    for a in range(0, len(texts), 700):
+        ids, sizes = encoder.encode(pa.array(texts[a : a + 700]), 0)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == wanted[a : a + 700]
+    ids, sizes = encoder.encode(pa.array([None, "a", None], pa.string()), 7)
+    assert sizes.tolist() == [1, 2, 1] and ids.tolist() == [7, library.encode("a").ids[0], 7, 7]
