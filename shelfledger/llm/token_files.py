@@ -33,9 +33,12 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
+from types import ModuleType
 from zlib import crc32
 
 import numpy as np
@@ -45,6 +48,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfledger.llm.columns import bytes_of, pieces
+from shelfledger.session import stage
 
 MAGIC = b"PFORIDS1"
 HEADER = ">8s7q"
@@ -54,7 +58,7 @@ PERCENTILE = 0.9
 SEGMENT_IDS = 8_000_000
 END_ID = 0
 #: Bytes of text that are encoded at a time.
-PIECE = 8 << 20
+PIECE = 4 << 20
 #: Blocks that are packed or unpacked at a time.
 STEP = 2048
 DOCUMENTS = "shard long, segment long, doc_id long, before long, n_tokens long, ids"
@@ -99,17 +103,9 @@ class Blocks:
 
     @classmethod
     def pack(cls, ids: np.ndarray, percentile: float = PERCENTILE) -> Blocks:
-        n_blocks = -(-len(ids) // BLOCK)
-        parts = [cls._pack_some(ids[a * BLOCK : (a + STEP) * BLOCK], percentile) for a in range(0, n_blocks, STEP)]
-        base, width, place, value, held, packed = (
-            np.concatenate(column) if parts else np.empty(0, kind)
-            for column, kind in zip(
-                zip(*parts, strict=True) if parts else [()] * 6,
-                (np.uint32, np.uint8, np.uint16, np.uint32, np.int64, np.uint8),
-                strict=True,
-            )
-        )
-        return cls(len(ids), base, width, place, value, np.concatenate([[0], np.cumsum(held)]).astype(np.int64), packed)
+        packer = Packer(percentile)
+        packer.add(ids)
+        return packer.blocks()
 
     @staticmethod
     def _pack_some(ids: np.ndarray, percentile: float) -> tuple[np.ndarray, ...]:
@@ -151,21 +147,53 @@ class Blocks:
         return (over + self.base[a:b, None]).ravel()
 
 
+class Packer:
+    """Takes ids as they come and holds them as packed blocks."""
+
+    def __init__(self, percentile: float = PERCENTILE):
+        self.percentile, self.n = percentile, 0
+        self.rest = np.empty(0, np.uint32)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, ids: np.ndarray) -> None:
+        self.n += len(ids)
+        ids = np.concatenate([self.rest, ids])
+        full = len(ids) // BLOCK * BLOCK
+        self._pack(ids[:full])
+        self.rest = ids[full:].copy()
+
+    def _pack(self, ids: np.ndarray) -> None:
+        for a in range(0, len(ids), STEP * BLOCK):
+            self.parts.append(Blocks._pack_some(ids[a : a + STEP * BLOCK], self.percentile))
+
+    def blocks(self) -> Blocks:
+        """All blocks, the last one of them perhaps in part; nothing can be added after it."""
+        self._pack(self.rest)
+        kinds = (np.uint32, np.uint8, np.uint16, np.uint32, np.int64, np.uint8)
+        columns = zip(*self.parts, strict=True) if self.parts else [()] * len(kinds)
+        base, width, place, value, held, packed = (
+            np.concatenate([*column, np.empty(0, kind)]).astype(kind) for column, kind in zip(columns, kinds, strict=True)
+        )
+        return Blocks(self.n, base, width, place, value, np.concatenate([[0], np.cumsum(held)]).astype(np.int64), packed)
+
+
 # --- segments -------------------------------------------------------------------------------
 
 
-def segment_bytes(shard: int, number: int, doc_ids: list, starts: np.ndarray, ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
+def segment_bytes(shard: int, number: int, doc_ids: list, starts: np.ndarray, blocks: Blocks) -> bytes:
     """A segment of documents whose ids begin at ``starts`` (one more than documents)."""
-    blocks = Blocks.pack(ids, percentile)
     null = np.array([d is None for d in doc_ids], np.uint8)
     named = np.array([d or 0 for d in doc_ids], "<i8")
-    header = struct.pack(HEADER, MAGIC, shard, number, len(doc_ids), len(ids), len(blocks.base), len(blocks.value), len(blocks.packed))
+    header = struct.pack(HEADER, MAGIC, shard, number, len(doc_ids), blocks.n, len(blocks.base), len(blocks.value), len(blocks.packed))
     arrays = [
         named, null, starts.astype("<i8"), blocks.base.astype("<u4"), blocks.width, blocks.starts.astype("<i8"),
         blocks.first.astype("<i8"), blocks.place.astype("<u2"), blocks.value.astype("<u4"), blocks.packed,
     ]
-    body = b"".join([header, *(a.tobytes() for a in arrays)])
-    return body + struct.pack("<I", crc32(body))
+    sections = [header, *(memoryview(np.ascontiguousarray(a)).cast("B") if a.size else b"" for a in arrays)]
+    check = 0
+    for piece in sections:
+        check = crc32(piece, check)
+    return b"".join([*sections, struct.pack("<I", check)])
 
 
 class Segment:
@@ -254,13 +282,15 @@ _ONE_WORD = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[^\x97\xb7])+|[0-9]+|[!-&(-/:-@\[
 _SEEN = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
 _WRITTEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 _SPACE_MARK = chr(_WRITTEN[0x20])
+#: The module that holds a worker's encoder.
+_WORKER = "_token_files_worker"
 
 
 class Encoder:
     """The library's ids of whole texts, with a piece between safe cuts encoded once."""
 
     #: Pieces that are remembered; then memory starts afresh.
-    HELD = 600_000
+    HELD = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
@@ -274,11 +304,15 @@ class Encoder:
 
     @classmethod
     def of_worker(cls, path: str) -> Encoder:
-        """The one of this Python worker, which goes from task to task."""
-        held = cls.__dict__.get("_held")
-        if held is None or held.path != path:
-            held = cls._held = cls(path)
-        return held
+        """The one of this Python worker, which goes from task to task.
+
+        Functions and classes reach a worker anew with every task, so it hangs on a
+        module of its own.
+        """
+        held = sys.modules.setdefault(_WORKER, ModuleType(_WORKER)).__dict__
+        if held.get("path") != path:
+            held.update(path=path, encoder=cls(path))
+        return held["encoder"]
 
     def _learn(self, words: list[bytes]) -> None:
         """Remembers the ids of pieces as packed 32-bit numbers.
@@ -341,16 +375,16 @@ class Encoder:
 def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit: int, percentile: float) -> Iterator[pa.RecordBatch]:
     encoder, shard, number, held = Encoder.of_worker(path), TaskContext.get().partitionId(), 0, 0
     doc_ids: list = []
-    parts: list[np.ndarray] = []
     sizes: list[np.ndarray] = []
+    packer = Packer(percentile)
 
     def closed() -> pa.RecordBatch:
-        nonlocal number, held
+        nonlocal number, held, packer
         starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        raw = segment_bytes(shard, number, doc_ids, starts, np.concatenate(parts), percentile)
-        number, held = number + 1, 0
-        for filled in (doc_ids, parts, sizes):
-            filled.clear()
+        raw = segment_bytes(shard, number, doc_ids, starts, packer.blocks())
+        number, held, packer = number + 1, 0, Packer(percentile)
+        doc_ids.clear()
+        sizes.clear()
         return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["value"])
 
     for batch in batches:
@@ -365,9 +399,9 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit:
                 passed = int(ends[a - 1]) if a else 0
                 b = min(len(names), int(np.searchsorted(ends, passed + limit - held, "left")) + 1)
                 doc_ids += names[a:b]
-                parts.append(ids[passed : ends[b - 1]])
+                packer.add(ids[passed : ends[b - 1]])
                 sizes.append(counts[a:b])
-                held += len(parts[-1])
+                held += int(ends[b - 1]) - passed
                 if held >= limit:
                     yield closed()
                 a = b
@@ -391,10 +425,23 @@ def write(
     ranged = told.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     pack = partial(_segments, path=tokenizer, end_id=end_id, limit=segment_ids, percentile=percentile)
     files = ranged.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
-    files.write.option("maxRecordsPerFile", 1).text(f"{folder}/data")
+    with _batches_of(docs.sparkSession, 500):
+        files.write.option("maxRecordsPerFile", 1).text(f"{folder}/data")
     _headers(docs.sparkSession, folder).write.parquet(f"{folder}/manifest")
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of that many texts or files go to a worker at a time, so that a batch stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{folder}/data").where(F.col("length") > 0)
 
@@ -469,4 +516,5 @@ def _placed(spark: SparkSession, folder: str, digest: bool) -> DataFrame:
 def file_report(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Writes the files and gives, read back, where each document lies and a CRC of its ids."""
     write(docs, folder, tokenizer)
-    return digests(docs.sparkSession, folder)
+    with _batches_of(docs.sparkSession, 1):
+        return stage(digests(docs.sparkSession, folder), "token-digests")

@@ -92,9 +92,25 @@ def test_blocks_round_trip_and_ranges():
                     assert np.array_equal(blocks.read(a, b), ids[a:b])
 
 
+def test_ids_that_come_in_parts():
+    """Packed as if they came at once."""
+    rng = np.random.default_rng(6)
+    ids = rng.integers(0, 50_257, 3000).astype(np.uint32)
+    for sizes in ([0, 1, 255, 256, 257, 2231], [3000], [0]):
+        packer = token_files.Packer()
+        at = 0
+        for size in sizes:
+            packer.add(ids[at : at + size])
+            at += size
+        found, whole = packer.blocks(), token_files.Blocks.pack(ids[:at])
+        for name in ("base", "width", "place", "value", "first", "packed", "starts"):
+            assert np.array_equal(getattr(found, name), getattr(whole, name))
+        assert np.array_equal(found.read(0, at), ids[:at])
+
+
 def test_documents_by_place_and_damage():
     ids = np.arange(1000, dtype=np.uint32)
-    raw = token_files.segment_bytes(3, 4, [9, None, 11], np.array([0, 10, 10, 1000]), ids)
+    raw = token_files.segment_bytes(3, 4, [9, None, 11], np.array([0, 10, 10, 1000]), token_files.Blocks.pack(ids))
     segment = token_files.Segment(raw + b"\n")
     assert (segment.shard, segment.number, segment.doc_ids.to_pylist()) == (3, 4, [9, None, 11])
     assert segment.ids(0).tolist() == list(range(10)) and len(segment.ids(1)) == 0 and segment.ids(2)[0] == 10
