@@ -2,8 +2,9 @@
 
 Rows belong to blocks by a digest of their text, so equal texts share a block and
 a shard. A block above ``SPLIT`` of a shard's capacity is cut into sub-blocks by
-more of the same digest. Only a text whose own copies weigh more than ``WHOLE`` of
-a capacity is dealt out by id; every other group of equal texts has one shard. Old
+more of the same digest. Only a text whose own copies weigh more than ``WHOLE``
+capacities, and so fit no shard, is dealt out by id; every other group of equal
+texts has one shard. Old
 shard sizes and new capacities make a transport problem: keeping bytes costs
 nothing, moving a byte costs one, and successive shortest paths give the flow that
 moves the fewest bytes. Each flow is then carried out with whole blocks, and only
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 BLOCKS = 4096
 #: A block above this part of the new capacity is cut into CUTS sub-blocks.
 SPLIT = 1 / 64
-#: A text whose copies exceed this part of the new capacity is cut into CUTS pieces.
-WHOLE = 1 / 2
+#: A text whose copies exceed so many new capacities is cut into CUTS pieces.
+WHOLE = 1
 CUTS = 1024
 #: What is placed as one: a block, a sub-block, or a piece of a heavy text.
 UNIT = ["block", "sub", "part"]
@@ -221,7 +222,7 @@ def _assigned(docs: DataFrame, old_shards: int, new_shards: int) -> DataFrame:
 def reshard(docs: DataFrame, old_shards: int = OLD_SHARDS, new_shards: int = NEW_SHARDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard.
 
-    Rows of equal texts share a shard unless they exceed ``WHOLE`` of its capacity.
+    Rows of equal texts share a shard unless they exceed ``WHOLE`` of its capacities.
     Sizes of the new shards differ by at most about one small block where the groups
     allow it; the law is ``bytes``. Slots count from 0 in each shard, block by block.
     An empty table gives no rows; null texts weigh one byte; repeated rows get slots

@@ -77,6 +77,27 @@ def test_pipeline(spark):
     assert sorted(map(str, QUERIES["pipeline"](spark, SF).collect())) == sorted(map(str, encoded.collect()))
 
 
+def test_pipeline_on_odd_rows(spark, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows, further columns and empty tables pass through every stage."""
+    import corpus_pipeline
+
+    model = corpus_pipeline.quality_rules.learn(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    for docs in (odd_docs, no_docs):
+        rows = docs.count()
+        good = corpus_pipeline.stage(corpus_pipeline.quality_rules.keep_good(docs, model), "t")
+        assert good.columns == docs.columns and good.count() <= rows
+        kept = docs
+        for name in ("exact dedup", "near dedup", "mixing"):
+            kept = corpus_pipeline.stage(stages[name](spark, kept, SF), "t")
+            assert kept.columns == docs.columns, name
+            texts = [r.text or "" for r in kept.select("text").collect()]
+            if name != "mixing":
+                assert len(texts) == len(set(texts)) and len(texts) <= rows
+        encoded = stages["byte bpe"](spark, kept, SF).collect()
+        assert len(encoded) == kept.count() and (rows > 0) == (len(encoded) > 0)
+
+
 def test_names():
     assert [n.split("_")[0] for n in QUERIES][:13] == [f"op{i}" for i in range(1, 14)]
     assert Path("/root/testdata").exists()

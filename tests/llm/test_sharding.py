@@ -84,12 +84,25 @@ def homes_of_groups(rows, spark, docs):
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
-def test_groups_below_half_a_shard_have_one_shard(spark, sf):
+def test_groups_up_to_a_whole_shard_have_one_shard(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = op6_resharding(spark, f"/root/testdata/{sf}").collect()
     groups = homes_of_groups(rows, spark, docs)
-    half = sum(s for s, _ in groups) / 16 / 2
-    assert not [g for g in groups if len(g[1]) > 1 and g[0] <= half]
+    whole = sum(s for s, _ in groups) / 16
+    assert not [g for g in groups if len(g[1]) > 1 and g[0] <= whole]
+
+
+@pytest.mark.parametrize("part", [0.55, 0.7, 0.97])
+def test_a_group_of_most_of_a_shard_stays_whole(spark, part):
+    """And all shards hold about the same all the same."""
+    copies = int(9000 * part / 16)
+    docs = spark.range(9000).selectExpr("id AS doc_id", f"CASE WHEN id < {copies} THEN 'copied text 0000' ELSE concat('some text ', 100000 + id) END AS text")
+    rows = sharding.reshard(docs).collect()
+    check(rows, docs.collect())
+    groups = homes_of_groups(rows, spark, docs)
+    assert max(groups)[0] == 17 * copies and all(len(shards) == 1 for _, shards in groups)
+    load = [sum(r.size for r in rows if r.shard == j) for j in range(16)]
+    assert max(load) / (sum(load) / 16) < 1.01
 
 
 def test_groups_next_to_hot_and_long_texts_stay_whole(spark):
