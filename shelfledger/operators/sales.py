@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from shelfledger.functions.stock import (
     count_total,
@@ -46,6 +47,34 @@ def sales_ledger(sales: DataFrame, product_id: int | None = None) -> DataFrame:
     return sales.where(of_product(product_id)).orderBy(F.desc("sold_at"), F.desc("id"))
 
 
+def ledger_page(sales: DataFrame, size: int, after: tuple | None = None, product_id: int | None = None) -> DataFrame:
+    """The next ``size`` rows of :func:`sales_ledger` behind the row ``after``, its (sold_at, id).
+
+    The time bound reaches the scan, and the rest is a top-n: no page sorts the
+    ledger. Ids are unique. Missing values come last, as in the whole listing.
+    """
+    rows = sales.where(of_product(product_id))
+    if after is not None:
+        time, key = after
+        behind = F.col("id").isNull() | (F.col("id") < F.lit(key)) if key is not None else F.lit(False)
+        undated = rows.where(F.col("sold_at").isNull())
+        if time is None:
+            rows = undated.where(behind)
+        else:
+            kind = sales.schema["sold_at"].dataType
+            # A literal of the column's own type, so that the bound can be pushed down.
+            moment = F.lit(str(time)).cast(kind) if kind == TimestampNTZType() else F.lit(time)
+            dated = rows.where((F.col("sold_at") <= moment) & ((F.col("sold_at") < moment) | behind))
+            rows = dated.unionByName(undated)
+    return rows.orderBy(F.desc("sold_at"), F.desc("id")).limit(size)
+
+
+def page_token(page: DataFrame) -> tuple | None:
+    """Where the page ends, for the one behind it; None for an empty page."""
+    last = page.select("sold_at", "id").tail(1)
+    return tuple(last[0]) if last else None
+
+
 def restock_history(restocks: DataFrame, product_id: int | None = None) -> DataFrame:
     return restocks.where(of_product(product_id)).orderBy(F.desc("restocked_at"), F.desc("id"))
 

@@ -400,6 +400,7 @@ ORACLE: dict[str, str] = {
     "sales_by_product": _with(SALES) + _PRODUCT_SALES,
     "sales_by_product_map": _with(SALES)
     + f"SELECT CAST(product_id AS VARCHAR) AS key, units_sold, revenue, cogs, transactions, profit FROM ({_PRODUCT_SALES}) x",
+    "sales_page": _with(SALES) + "SELECT * FROM sales ORDER BY sold_at DESC NULLS LAST, id DESC NULLS LAST LIMIT 500 OFFSET 1000",
     "sales_ledger": _with(SALES) + "SELECT * FROM sales",
     "ledger_by_product": _with(SALES) + "SELECT * FROM sales WHERE product_id = 17",
     "ledger_of_product_zero": _with(SALES, RESTOCKS)

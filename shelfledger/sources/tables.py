@@ -9,24 +9,10 @@ from shelfledger.schemas import TABLES
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One retail table from ``root/name`` with its declared schema.
-
-    A ledger written by :func:`append_rows` with ``month_of`` is partitioned by
-    month; the extra column lets a month filter skip whole folders.
-    """
+    """One retail table from ``root/name`` with its declared schema."""
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
 
-def append_rows(rows: DataFrame, path: str, month_of: str | None = None) -> None:
-    """Append ledger or register rows, by month of ``month_of`` when given."""
-    writer = rows
-    if month_of:
-        writer = rows.withColumn("month", F.date_format(month_of, "yyyy-MM"))
-        writer.write.mode("append").partitionBy("month").parquet(path)
-    else:
-        writer.write.mode("append").parquet(path)
-
-
 def seed_if_empty(target: DataFrame, seed: DataFrame) -> DataFrame:
     """``target``, or ``seed`` in the target's columns when it holds no row.
 

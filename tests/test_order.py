@@ -1,5 +1,6 @@
 """The order of the listings that promise one."""
 
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -31,3 +32,22 @@ def test_catalogue_and_members_by_name(spark):
     ):
         names = [(r.name, r.id) for r in rows]
         assert names == sorted(names)
+
+
+def test_pages_joined_are_the_listing(spark):
+    """Ties in time, missing times, and the bound in the scan."""
+    rows = [(f"s{i % 37:02d}-{i}", None if i % 11 == 0 else datetime(2024, 1, 1 + i % 9), i % 3) for i in range(200)]
+    stored = spark.createDataFrame(rows, "id string, sold_at timestamp_ntz, product_id long")
+    for product in (None, 1):
+        whole = [r.id for r in sales.sales_ledger(stored, product).collect()]
+        found, token = [], None
+        while True:
+            page = sales.ledger_page(stored, 23, token, product)
+            token = sales.page_token(page)
+            if token is None:
+                break
+            found += [r.id for r in page.collect()]
+        assert found == whole
+    lines = view.sales(spark, "/root/testdata/sf0.001")
+    plan = sales.ledger_page(lines, 5, (datetime(1996, 5, 5), "x"))._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(l_" in plan and "TakeOrderedAndProject" in plan
