@@ -7,6 +7,8 @@ cast, because a failing cast costs far more than a NULL one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,15 @@ _PLAIN_INT = "^[0-9]{1,15}$"
 _PLAIN_FLOAT = r"^[0-9]{1,15}(?:\.[0-9]{1,15})?$"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out a single time a row however often ``use`` names it.
+
+    A column that is named several times is written out as often, which costs as
+    many evaluations and makes methods too large for the JVM to compile.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def leading_int(text: Column) -> Column:
     """Integer at the start of the text (decimal or ``0x``), else NULL.
 
@@ -29,22 +40,26 @@ def leading_int(text: Column) -> Column:
     """
     # Most numbers are plain; one pattern finds the token of others, and the rest works on a few characters.
     text = text.cast("string")
-    token = empty_to_null(F.lower(F.regexp_extract(text, _INT, 1)))
-    digits = F.substring_index(token, "x", -1)
-    sign = F.when(token.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    nearest = F.when(sign < 0, F.lit(-_BIGGEST - 1)).otherwise(F.lit(_BIGGEST))
-    short = F.length(F.ltrim(digits, F.lit("0"))) <= 15
-    from_hex = F.when(short, F.conv(digits, 16, 10).try_cast("bigint") * sign).otherwise(nearest)
-    decimal = F.coalesce(token.try_cast("bigint"), nearest)
+
+    def read(token: Column) -> Column:
+        sign = F.when(token.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+        nearest = F.when(sign < 0, F.lit(-_BIGGEST - 1)).otherwise(F.lit(_BIGGEST))
+        digits = F.ltrim(F.substring_index(token, "x", -1), F.lit("0"))
+        from_hex = F.when(F.length(digits) <= 15, F.conv(F.substring_index(token, "x", -1), 16, 10).try_cast("bigint") * sign)
+        decimal = F.coalesce(token.try_cast("bigint"), nearest)
+        return F.when(token.contains("x"), from_hex.otherwise(nearest)).when(token != "", decimal)
+
     plain = F.when(text.rlike(_PLAIN_INT), text.try_cast("bigint"))
-    return F.coalesce(plain, F.when(token.contains("x"), from_hex).when(token.isNotNull(), decimal))
+    # The mark is the only letter whose case matters.
+    return F.coalesce(plain, once(F.translate(F.regexp_extract(text, _INT, 1), "X", "x"), read))
 
 
 def leading_float(text: Column) -> Column:
     """Floating number at the start of the text, else NULL."""
     text = text.cast("string")
     plain = F.when(text.rlike(_PLAIN_FLOAT), text.try_cast("double"))
-    return F.coalesce(plain, empty_to_null(F.regexp_extract(text, _FLOAT, 1)).try_cast("double"))
+    token = F.regexp_extract(text, _FLOAT, 1)
+    return F.coalesce(plain, once(token, lambda t: F.when(t != "", t.try_cast("double"))))
 
 
 def int_or(text: Column, default: int | None) -> Column:
@@ -86,7 +101,7 @@ def given(rows: DataFrame, name: str) -> Column:
         return is_truthy(value)
     kind, number = F.col(f"{name}_type"), plain_number(value, "double")
     typed = (
-        F.when(kind == "number", (number != 0) & ~F.isnan(number))
+        F.when(kind == "number", once(number, lambda x: (x != 0) & ~F.isnan(x)))
         .when(kind == "boolean", value == "true")
         .otherwise(value != "")
     )
@@ -95,7 +110,7 @@ def given(rows: DataFrame, name: str) -> Column:
 
 def plain_number(text: Column, kind: str) -> Column:
     """The whole text as a number, else NULL."""
-    return empty_to_null(F.trim(text)).try_cast(kind)
+    return once(F.trim(text), lambda t: F.when(t != "", t.try_cast(kind)))
 
 
 def as_text(value: Column) -> Column:

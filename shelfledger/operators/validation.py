@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfledger.functions.coerce import (
@@ -37,8 +37,15 @@ NO_PRODUCT_ON_PAGE = "Could not extract product info from this page."
 MOST_UNITS, MOST_MONEY = 10**12, 10.0**15
 
 
-def with_reason(rows: DataFrame, valid: Column, reason: str) -> DataFrame:
-    return rows.withColumn(REASON, F.when(valid, F.lit(None).cast("string")).otherwise(reason))
+def with_reason(rows: DataFrame, valid: Column, reason: str, fits: Column | None = None) -> DataFrame:
+    """Adds the reason of the rows that are not ``valid``, or whose numbers do not fit.
+
+    A generated column, so that a filter on it stays above: below, it would work out
+    every column that it hangs on once more.
+    """
+    late = F.lit(None).cast("string") if fits is None else F.when(~fits, F.lit(OUT_OF_RANGE))
+    found = F.when(valid, late).otherwise(F.lit(reason))
+    return rows.select(*[c for c in rows.columns if c != REASON], F.explode(F.array(found)).alias(REASON))
 
 
 def accepted(checked: DataFrame) -> DataFrame:
@@ -56,16 +63,10 @@ def in_range(rows: DataFrame, units: tuple[str, ...] = (), money: tuple[str, ...
     return reduce(lambda a, b: a & b, fits, F.lit(True))
 
 
-def with_range(checked: DataFrame, fits: Column) -> DataFrame:
-    """Adds the reason for numbers out of range where there is none yet."""
-    late = F.when(~fits, F.lit(OUT_OF_RANGE))
-    return checked.withColumn(REASON, F.coalesce(F.col(REASON), late))
-
-
 def check_named(rows: DataFrame) -> DataFrame:
     """Products and members need a name."""
-    checked = with_reason(rows, given(rows, "name"), NAME_REQUIRED)
-    return with_range(checked, in_range(rows, ("quantity", "member_qty"), ("price", "cost_price")))
+    fits = in_range(rows, ("quantity", "member_qty"), ("price", "cost_price"))
+    return with_reason(rows, given(rows, "name"), NAME_REQUIRED, fits)
 
 
 def check_sales(rows: DataFrame) -> DataFrame:
@@ -73,24 +74,23 @@ def check_sales(rows: DataFrame) -> DataFrame:
     complete = (
         given(rows, "product_name") & given(rows, "quantity_sold") & F.col("sale_price").isNotNull()
     )
-    checked = with_reason(rows, complete, MISSING_REQUIRED)
-    return with_range(checked, in_range(rows, ("quantity_sold",), ("sale_price", "cost_price")))
+    fits = in_range(rows, ("quantity_sold",), ("sale_price", "cost_price"))
+    return with_reason(rows, complete, MISSING_REQUIRED, fits)
 
 
 def check_restocks(rows: DataFrame) -> DataFrame:
     complete = given(rows, "product_id") & given(rows, "quantity_added")
-    checked = with_reason(rows, complete, MISSING_FIELDS)
-    return with_range(checked, in_range(rows, ("quantity_added", "member_qty"), ("cost_per_unit",)))
+    fits = in_range(rows, ("quantity_added", "member_qty"), ("cost_per_unit",))
+    return with_reason(rows, complete, MISSING_FIELDS, fits)
 
 
 def check_expenses(rows: DataFrame) -> DataFrame:
-    checked = with_reason(rows, given(rows, "amount"), AMOUNT_REQUIRED)
-    return with_range(checked, in_range(rows, money=("amount",)))
+    return with_reason(rows, given(rows, "amount"), AMOUNT_REQUIRED, in_range(rows, money=("amount",)))
 
 
 def check_edits(rows: DataFrame, sales: DataFrame) -> DataFrame:
     """An edit needs an existing sale and a price that rows can hold."""
-    return with_range(check_existing(rows, sales, "id", NOT_FOUND), in_range(rows, money=("sale_price",)))
+    return check_existing(rows, sales, "id", NOT_FOUND, in_range(rows, money=("sale_price",)))
 
 
 def check_voids(voids: DataFrame, recorded: DataFrame, stored: DataFrame) -> DataFrame:
@@ -114,10 +114,13 @@ def check_voids(voids: DataFrame, recorded: DataFrame, stored: DataFrame) -> Dat
     found = now.join(wanted, "sale_id", "left_semi").unionByName(before.join(wanted, "sale_id", "left_semi"))
     met = voids.join(found, "sale_id", "left")
     usable = F.coalesce(F.col("_stored") | (F.col("_since") < F.col("seq")), F.lit(False))
-    first = met.where(usable).groupBy("sale_id").agg(F.min("seq").alias("_first"))
-    marked = met.join(first, "sale_id", "left")
-    valid = F.coalesce(usable & (F.col("seq") == F.col("_first")), F.lit(False))
-    return with_reason(marked, valid, SALE_NOT_FOUND).drop("_since", "_stored", "_first")
+    # Of the voids that find their sale the first counts; all others stand alone, however many name the same.
+    marked = met.withColumn("_usable", usable)
+    alone = F.when(~F.col("_usable"), F.col("id"))
+    turn = Window.partitionBy("sale_id", "_usable", alone).orderBy(F.col("seq").asc_nulls_last())
+    valid = F.col("_usable") & F.col("seq").isNotNull() & (F.rank().over(turn) == 1)
+    placed = marked.withColumn("_valid", valid)
+    return with_reason(placed, F.col("_valid"), SALE_NOT_FOUND).drop("_since", "_stored", "_usable", "_valid")
 
 
 def check_imports(rows: DataFrame) -> DataFrame:
@@ -129,8 +132,10 @@ def check_extracted(rows: DataFrame) -> DataFrame:
     return with_reason(rows, is_truthy(F.col("name")), NO_PRODUCT_ON_PAGE)
 
 
-def check_existing(changes: DataFrame, existing: DataFrame, key: str, reason: str) -> DataFrame:
-    """Changes whose key is not among the existing rows are rejected.
+def check_existing(
+    changes: DataFrame, existing: DataFrame, key: str, reason: str, fits: Column | None = None
+) -> DataFrame:
+    """Changes whose key is not among the existing rows are rejected, and those whose numbers do not fit.
 
     The table is first cut down to the changed keys, so that it is not shuffled
     for a change set small enough to broadcast.
@@ -138,7 +143,7 @@ def check_existing(changes: DataFrame, existing: DataFrame, key: str, reason: st
     touched = existing.select(key).join(changes.select(key), key, "left_semi")
     known = touched.distinct().withColumn("_known", F.lit(True))
     marked = changes.join(known, key, "left")
-    return with_reason(marked, F.col("_known").isNotNull(), reason).drop("_known")
+    return with_reason(marked, F.col("_known").isNotNull(), reason, fits).drop("_known")
 
 
 def _moment(text: Column, now: Column | None) -> Column:
