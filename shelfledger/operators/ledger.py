@@ -53,6 +53,8 @@ _LINK = "_link"
 # in the same group, and the share otherwise.
 _TAKEN = {"_takes": "bigint", "_borrows": "boolean", "_share": "bigint"}
 _INPUTS = ["kind", "ref", "n", "member_id", "member_n", "unit_cost", *_TAKEN]
+# An opening event goes to the fold in columns that it has no other use for.
+_OPENS = {"quantity": "n", "member_qty": "member_n", "current_member": "member_id", "cost_price": "unit_cost", "stock": "ref"}
 # The average cost depends on the order of its roundings below this step.
 COST_STEP = 1e-6
 _STEPPED_BELOW = 1e9
@@ -177,9 +179,12 @@ def openings(products: DataFrame) -> DataFrame:
     )
 
 
-def _fold(rows: DataFrame, order: Sequence[str], history: bool) -> DataFrame:
+def _fold(rows: DataFrame, order: Sequence[str], keep: Sequence[str] | None) -> DataFrame:
     """Stream each sorted partition through the fold, one Arrow batch at a time.
 
+    With the columns to ``keep`` every event comes back with its history, else the
+    last state of each group. Only the columns that are read or kept go to Python.
+
     Rows of whole products come dealt by product, those of blocks are dealt here.
     No product's events are gathered in one place: the sort spills, and the fold
     holds one state and, for voids of the same batch, the shares of the sales.
@@ -189,16 +194,19 @@ def _fold(rows: DataFrame, order: Sequence[str], history: bool) -> DataFrame:
     first = (F.col("kind") != "open").cast("int")
     dealt = rows.repartition(*group) if BLOCK in rows.columns else rows
     placed = dealt.sortWithinPartitions(*group, first, *order)
-    if history:
-        kept = [c for c in placed.columns if c != _OPEN]
+    opening = {to: F.when(F.col("kind") == "open", F.col(_OPEN)[of]).otherwise(F.col(to)).alias(to) for of, to in _OPENS.items()}
+    read = lambda names: placed.select(*[opening.get(c, F.col(c)) for c in names])
+    if keep is not None:
+        kept = [*group, *[c for c in keep if c not in group]]
         schema = StructType([placed.schema[c] for c in kept] + HISTORY.fields)
-        return placed.mapInArrow(_history_of(group, kept), schema).where("kind <> 'open'")
+        sent = read([*kept, *[c for c in _INPUTS if c not in kept]])
+        return sent.mapInArrow(_history_of(group, kept), schema).where("kind <> 'open'")
     schema = StructType([placed.schema[c] for c in group] + FOLDED.fields)
-    return placed.select(*_read_columns(group), _OPEN).mapInArrow(_state_of(group), schema)
+    return read(_read_columns(group)).mapInArrow(_state_of(group), schema)
 
 
 def _read_columns(group: list[str]) -> list[str]:
-    """Columns the fold reads besides the opening state; blocks also mark linked sales."""
+    """Columns the fold reads; blocks also mark linked sales."""
     return [*group, *_INPUTS, *([_LINK] if BLOCK in group else [])]
 
 
@@ -214,7 +222,7 @@ class _Walk:
         self.stock = self.make_stock()
         self.shares = {}
 
-    def apply(self, kind, ref, n, member_id, member_n, unit_cost, takes, borrows, share, opening):
+    def apply(self, kind, ref, n, member_id, member_n, unit_cost, takes, borrows, share):
         """Member units moved and whether the event took effect."""
         stock = self.stock
         if kind == "sale":
@@ -231,13 +239,20 @@ class _Walk:
                 stock.hangs_on_start()
             stock.void(takes, share)
             return share, True
-        stock.open(*opening.values())
+        # See _OPENS.
+        stock.open(n, member_n, member_id, unit_cost, ref)
         return 0, True
 
 
 def _rows(batch: pa.RecordBatch, names: list[str]):
-    columns = [batch.column(batch.schema.get_field_index(name)).to_pylist() for name in names]
-    return zip(*columns)
+    return zip(*[_values(batch.column(batch.schema.get_field_index(name))) for name in names])
+
+
+def _values(column: pa.Array) -> list:
+    """The values as Python objects, None for NULL; the way over arrays is several times faster where it keeps them apart."""
+    if pa.types.is_floating(column.type):
+        return column.to_pylist()
+    return column.to_pandas(integer_object_nulls=True).tolist()
 
 
 def _history_of(group: list[str], kept: list[str]):
@@ -250,15 +265,14 @@ def _history_of(group: list[str], kept: list[str]):
             pa.float64(), pa.string(), pa.bool_(), pa.bool_(),
         ]
         for batch in batches:
-            out = [[] for _ in types]
-            push = [column.append for column in out]
-            for row in _rows(batch, [*group, *_INPUTS, _OPEN]):
+            out = []
+            for row in _rows(batch, [*group, *_INPUTS]):
                 if row[:width] != walk.group:
                     walk.enter(row[:width])
                 member, applied = walk.apply(*row[width:])
                 stock, sale = walk.stock, row[width] == "sale"
                 known = stock.known
-                values = (
+                out.append((
                     member if row[width] in ("sale", "void") else None,
                     (row[width + 2] or 0) - member if sale else None,
                     stock.quantity if known else None,
@@ -268,11 +282,10 @@ def _history_of(group: list[str], kept: list[str]):
                     stock.stock,
                     known and stock.quantity == 0 if sale else None,
                     applied,
-                )
-                for add, value in zip(push, values):
-                    add(value)
+                ))
             passed = [batch.column(batch.schema.get_field_index(name)) for name in kept]
-            computed = [pa.array(column, t) for column, t in zip(out, types)]
+            columns = zip(*out) if out else [[]] * len(types)
+            computed = [pa.array(column, t) for column, t in zip(columns, types)]
             names = kept + HISTORY.names
             yield pa.RecordBatch.from_arrays(passed + computed, names=names)
 
@@ -281,7 +294,7 @@ def _history_of(group: list[str], kept: list[str]):
 
 def _state_of(group: list[str]):
     width, event = len(group), len(group) + len(_INPUTS)
-    names = [*_read_columns(group), _OPEN]
+    names = _read_columns(group)
     types = [pa.int64(), pa.int32()][:width] + [
         pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(),
         pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.string(), pa.int64(),
@@ -309,7 +322,7 @@ def _state_of(group: list[str]):
                         done.append(final(walk))
                     walk.enter(row[:width])
                     started = True
-                moved, _ = walk.apply(*row[width:event], row[-1])
+                moved, _ = walk.apply(*row[width:event])
                 if width == 2 and row[event] and row[width] == "sale":
                     walk.stock.hangs_on_start()
                     done.append((*walk.group, *no_state, row[event], moved))
@@ -461,7 +474,7 @@ def _final_states(products: DataFrame, events: DataFrame, order: Sequence[str],
 
 def _folded_states(parts: _Parts, order: Sequence[str], hot_rows: int) -> DataFrame:
     names = [*_STATE_NAMES, "known", "touched"]
-    final = _fold(parts.folded.cold, order, history=False).select("product_id", *names)
+    final = _fold(parts.folded.cold, order, None).select("product_id", *names)
     if parts.folded.hot is None:
         return final
     _, settled = _settle_blocks(parts.folded, order, hot_rows)
@@ -472,20 +485,24 @@ def _folded_states(parts: _Parts, order: Sequence[str], hot_rows: int) -> DataFr
 
 
 def ledger_history(
-    products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS
+    products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS, keep: Sequence[str] | None = None
 ) -> DataFrame:
     """Every event with its member and own units and the product's state after it.
 
-    The state is NULL for an event whose product is unknown or NULL.
+    The state is NULL for an event whose product is unknown or NULL. ``keep`` names
+    the events' columns that are wanted, by default all; the others stay out of the fold.
     """
-    history = raw_history(products, events, order, hot_rows)
+    history = raw_history(products, events, order, hot_rows, keep)
     return history.withColumn("cost_price", shown_cost(F.col("cost_price")))
 
 
-def raw_history(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def raw_history(
+    products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int = HOT_ROWS, keep: Sequence[str] | None = None
+) -> DataFrame:
     """The same with unit costs as they were carried on."""
     parts = _split(products, events, order, hot_rows)
-    names = parts.typed.columns + HISTORY.names
+    kept = [c for c in parts.typed.columns if keep is None or c in {"product_id", "kind", *keep}]
+    names = kept + HISTORY.names
     moved = stock_scan.after_start(F.col("_start"))
     found = [loose_history(parts.typed)]
     if parts.regular is not None:
@@ -494,10 +511,10 @@ def raw_history(products: DataFrame, events: DataFrame, order: Sequence[str], ho
             maps.append(_scanned_blocks(parts, order, hot_rows))
         found += [m.where("kind <> 'open'").withColumns(moved) for m in maps]
     if parts.folded is not None:
-        found.append(_fold(parts.folded.cold, order, history=True))
+        found.append(_fold(parts.folded.cold, order, kept))
         if parts.folded.hot is not None:
             blocks, settled = _settle_blocks(parts.folded, order, hot_rows)
-            found.append(_fold(_started(blocks, settled), order, history=True))
+            found.append(_fold(_started(blocks, settled), order, kept))
     return _union(found, names)
 
 
@@ -549,7 +566,7 @@ def _settle_blocks(side: _Side, order: Sequence[str], hot_rows: int) -> tuple[Da
         todo = _started(current, starts)
         if stale is not None:
             todo = todo.join(stale, _BLOCK_KEY, "left_semi")
-        folded = stage(_fold(todo, order, history=False), "folded")
+        folded = stage(_fold(todo, order, None), "folded")
         if stale is not None:
             kept = results.join(stale, _BLOCK_KEY, "left_anti")
             folded = stage(kept.unionByName(folded), "folded")

@@ -30,17 +30,18 @@ def request_events(
 ) -> DataFrame:
     """Accepted requests as ledger events; ``seq`` gives their order of arrival.
 
-    ``voids`` are void requests as :func:`checked_voids` gives them.
+    ``voids`` are void requests as :func:`checked_voids` gives them. Staged, since
+    the ledger reads its events several times and raw text is read once.
     """
     sales = accepted_sales(sale_requests, now)
     restocks = check.normal_restocks(check.accepted(check.check_restocks(restock_requests)), now)
     events = merge_events(sale_events(sales), restock_events(restocks))
     if voids is None:
-        return events
+        return stage(events, "events")
     taken = check.accepted(voids).select(
         "product_id", "seq", F.lit("void").alias("kind"), F.col("sale_id").alias("ref"), "n", "member_n"
     )
-    return merge_events(events, taken)
+    return stage(merge_events(events, taken), "events")
 
 
 def checked_voids(
@@ -59,30 +60,32 @@ def without_voided(sales: DataFrame, voids: DataFrame) -> DataFrame:
     return sales.join(gone, "id", "left_anti").select(*sales.columns)
 
 
+_SHOWN = {"ref": "id", "n": "quantity_sold", "sale_cost": "cost_price"}
+_SALE_ROW = [
+    "id", "product_id", "product_name", "quantity_sold", "sale_price", "cost_price", "profit", "payment_method", "notes", "sold_at",
+    "member_id", "member_qty_sold", "sold_out",
+]
+
+
 def recorded_sales(
-    products: DataFrame, events: DataFrame, order: Sequence[str] = ("seq",)
+    products: DataFrame, events: DataFrame, order: Sequence[str] = ("seq",), columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Sale rows to append, with the member split and whether the sale emptied the stock.
 
     Price, notes and the other columns travel through the ledger with their
-    event, so nothing is joined back.
+    event, so nothing is joined back; ``columns`` names those that are wanted,
+    by default all.
     """
-    history = ledger_history(products, events, list(order))
-    return history.where("kind = 'sale'").select(
-        F.col("ref").alias("id"),
+    passed = ["ref", "product_name", "n", "sale_price", "sale_cost", "profit", "payment_method", "notes", "sold_at"]
+    history = ledger_history(products, events, list(order), keep=[c for c in passed if columns is None or _SHOWN.get(c, c) in columns])
+    sold = history.where("kind = 'sale'").select(
+        *[F.col(c).alias(_SHOWN.get(c, c)) for c in history.columns if c in passed],
         "product_id",
-        "product_name",
-        F.col("n").alias("quantity_sold"),
-        "sale_price",
-        F.col("sale_cost").alias("cost_price"),
-        "profit",
-        "payment_method",
-        "notes",
-        "sold_at",
         F.col("current_member").alias("member_id"),
         F.col("member_sold").alias("member_qty_sold"),
         "sold_out",
     )
+    return sold.select(*(columns or _SALE_ROW))
 
 
 def next_products(

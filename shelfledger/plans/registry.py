@@ -568,7 +568,7 @@ def ledger_state(spark, d):
 @query
 def ledger_history(spark, d):
     events = view.ledger_events(spark, d, voids=False)
-    history = ledger.ledger_history(view.products(spark, d), events, view.LEDGER_ORDER)
+    history = ledger.ledger_history(view.products(spark, d), events, view.LEDGER_ORDER, keep=_HISTORY)
     return history.select(*_HISTORY)
 
 
@@ -576,7 +576,7 @@ def ledger_history(spark, d):
 def ledger_void(spark, d):
     """Sales, restocks and voids."""
     events = view.ledger_events(spark, d)
-    history = ledger.ledger_history(view.products(spark, d), events, view.LEDGER_ORDER)
+    history = ledger.ledger_history(view.products(spark, d), events, view.LEDGER_ORDER, keep=_HISTORY)
     return history.select(*_HISTORY)
 
 
@@ -608,7 +608,7 @@ def ledger_hot_state(spark, d):
 @query
 def ledger_hot_void(spark, d):
     events = view.grouped_events(spark, d, SHELVES)
-    history = ledger.ledger_history(_shelves(spark, d), events, [*view.LEDGER_ORDER, "part"], _hot(spark, d))
+    history = ledger.ledger_history(_shelves(spark, d), events, [*view.LEDGER_ORDER, "part"], _hot(spark, d), ["part", *_HISTORY])
     return history.select("part", *_HISTORY)
 
 
@@ -691,8 +691,8 @@ def record_voids(spark, d):
     """The sale rows that are left after sales, restocks and voids: new ones and stored ones."""
     requests, voids = req.sale_requests(spark, d).where("seq.line_no <> 3"), _voids(spark, d)
     events = record.request_events(requests, req.restock_requests(spark, d), voids, F.lit(TODAY))
-    new = record.recorded_sales(view.products(spark, d), events)
     shown = ["id", "product_id", "quantity_sold", "member_qty_sold"]
+    new = record.recorded_sales(view.products(spark, d), events, columns=shown)
     left = record.without_voided(new, voids).select(*shown, F.lit("new").alias("origin"))
     stored = record.without_voided(view.sales(spark, d).where("line_no = 3"), voids)
     return left.unionByName(stored.select(*shown, F.lit("stored").alias("origin")))
