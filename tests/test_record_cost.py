@@ -11,6 +11,7 @@ from shelfledger.functions import coerce
 from shelfledger.operators import ledger
 from shelfledger.operators import validation as check
 from shelfledger.plans import record
+from shelfledger.sources.requests import product_requests
 
 #: Methods with more bytes are never compiled by the JVM.
 COMPILED = 8000
@@ -77,3 +78,15 @@ def test_first_void_of_a_sale_among_many_that_name_none(spark):
     assert {(r.sale_id, r.seq) for r in check.accepted(checked).collect()} == {("a", 5), ("s", 1)}
     assert checked.count() == voids.count()
     assert str(checked._jdf.queryExecution().optimizedPlan()).count("Join LeftOuter") == 1
+
+
+def test_requests_of_a_single_file_are_dealt_out(spark, tmp_path):
+    row = "id AS p_partkey, 'n' AS p_name, 'Brand#2' AS p_brand, 'SMALL' AS p_type, CAST(id % 50 AS INT) AS p_size, 1.5D AS p_retailprice"
+    spark.range(1000).selectExpr(*row.split(", ")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    keep = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in product_requests(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", keep)
+    assert sum(sizes) == 2000 and max(sizes) < 1000
