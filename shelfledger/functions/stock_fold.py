@@ -44,13 +44,18 @@ class Stock:
         """Own units go first; returns the member units sold."""
         if not self.known:
             return 0
-        member_units = 0
+        # Conditions in place of min and max: this runs once an event.
+        quantity, held, member_units = self.quantity, self.member_qty, 0
         if self.member_id:
-            own = max(0, self.quantity - self.member_qty)
-            member_units = max(0, units - min(units, own))
-        self.quantity = max(0, self.quantity - units)
-        self.member_qty = max(0, self.member_qty - member_units)
-        self.stock = band(self.quantity, False)
+            own = quantity - held
+            member_units = units if own <= 0 else units - own
+            if member_units < 0 or units <= 0:
+                member_units = 0
+        quantity -= units
+        held -= member_units
+        self.quantity = quantity = quantity if quantity > 0 else 0
+        self.member_qty = held if held > 0 else 0
+        self.stock = IN if quantity > LOW_LIMIT else LOW if quantity else OUT
         return member_units
 
     def restock(self, units: int, member_units: int, member_id, unit_cost) -> None:
@@ -109,12 +114,12 @@ class TracedStock(Stock):
     def sell(self, units):
         if not 0 <= self.member_qty <= self.quantity:
             self.exact = False
-        member_units = super().sell(units)
+        member_units = Stock.sell(self, units)
         if self.known:
             self.touched = True
-            if self.member_id:
-                # Own units go first, so the member keeps what the rest leaves room for.
-                self.cap = min(self.cap, self.quantity)
+            # Own units go first, so the member keeps what the rest leaves room for.
+            if self.member_id and self.quantity < self.cap:
+                self.cap = self.quantity
         return member_units
 
     def restock(self, units, member_units, member_id, unit_cost):

@@ -22,6 +22,7 @@ from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
@@ -52,7 +53,7 @@ _LINK = "_link"
 # What a void takes back: the units, whether the member share is that of a sale
 # in the same group, and the share otherwise.
 _TAKEN = {"_takes": "bigint", "_borrows": "boolean", "_share": "bigint"}
-_INPUTS = ["kind", "ref", "n", "member_id", "member_n", "unit_cost", *_TAKEN]
+_EVENT = ["kind", "ref", "n", "member_id", "member_n", "unit_cost"]
 # An opening event goes to the fold in columns that it has no other use for.
 _OPENS = {"quantity": "n", "member_qty": "member_n", "current_member": "member_id", "cost_price": "unit_cost", "stock": "ref"}
 # The average cost depends on the order of its roundings below this step.
@@ -189,6 +190,9 @@ def _fold(rows: DataFrame, order: Sequence[str], keep: Sequence[str] | None) ->
     No product's events are gathered in one place: the sort spills, and the fold
     holds one state and, for voids of the same batch, the shares of the sales.
     Products are hot beyond ``HOT_ROWS`` events, which bounds the latter.
+
+    The fold of a whole product links its voids as it meets them, by the rule of
+    :func:`link_voids`; voids of blocks come linked.
     """
     group = ["product_id", BLOCK] if BLOCK in rows.columns else ["product_id"]
     first = (F.col("kind") != "open").cast("int")
@@ -199,19 +203,24 @@ def _fold(rows: DataFrame, order: Sequence[str], keep: Sequence[str] | None) ->
     if keep is not None:
         kept = [*group, *[c for c in keep if c not in group]]
         schema = StructType([placed.schema[c] for c in kept] + HISTORY.fields)
-        sent = read([*kept, *[c for c in _INPUTS if c not in kept]])
+        sent = read([*kept, *[c for c in _inputs(group) if c not in kept]])
         return sent.mapInArrow(_history_of(group, kept), schema).where("kind <> 'open'")
     schema = StructType([placed.schema[c] for c in group] + FOLDED.fields)
     return read(_read_columns(group)).mapInArrow(_state_of(group), schema)
 
 
+def _inputs(group: list[str]) -> list[str]:
+    """Columns of an event that the fold reads; those of blocks say what a void takes back."""
+    return [*_EVENT, *(_TAKEN if BLOCK in group else [])]
+
+
 def _read_columns(group: list[str]) -> list[str]:
     """Columns the fold reads; blocks also mark linked sales."""
-    return [*group, *_INPUTS, *([_LINK] if BLOCK in group else [])]
+    return [*group, *_inputs(group), *([_LINK] if BLOCK in group else [])]
 
 
 class _Walk:
-    """Applies events to the stock of the current product."""
+    """Applies events of blocks, whose voids are linked, to the stock of the current block."""
 
     def __init__(self, make_stock):
         self.make_stock = make_stock
@@ -244,57 +253,102 @@ class _Walk:
         return 0, True
 
 
+class _LinkingWalk(_Walk):
+    """Applies events of whole products and finds what each void takes back.
+
+    ``shares`` holds the units and the member share of each sale that stands, None
+    for one that was taken back.
+    """
+
+    def apply(self, kind, ref, n, member_id, member_n, unit_cost):
+        stock = self.stock
+        if kind == "sale":
+            units = n or 0
+            sold = stock.sell(units)
+            self.shares[ref] = (units, sold)
+            return sold, True
+        if kind == "restock":
+            stock.restock(n or 0, member_n or 0, member_id, unit_cost)
+            return 0, True
+        if kind == "void":
+            # Before any sale the first void that carries units takes effect.
+            taken = None if ref is None else self.shares.get(ref, None if n is None else (n, member_n or 0))
+            if taken is None:
+                return 0, False
+            self.shares[ref] = None
+            stock.void(*taken)
+            return taken[1], True
+        # See _OPENS.
+        stock.open(n, member_n, member_id, unit_cost, ref)
+        return 0, True
+
+
+def _walk(group: list[str], make_stock) -> _Walk:
+    return (_Walk if BLOCK in group else _LinkingWalk)(make_stock)
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
 def _rows(batch: pa.RecordBatch, names: list[str]):
-    return zip(*[_values(batch.column(batch.schema.get_field_index(name))) for name in names])
+    return zip(*[_values(_column(batch, name)) for name in names])
 
 
 def _values(column: pa.Array) -> list:
-    """The values as Python objects, None for NULL; the way over arrays is several times faster where it keeps them apart."""
+    """The values as Python objects, None for NULL; the way over arrays is several times faster."""
+    if column.null_count == len(column):
+        return [None] * len(column)
     if pa.types.is_floating(column.type):
-        return column.to_pylist()
-    return column.to_pandas(integer_object_nulls=True).tolist()
+        values = column.to_numpy(zero_copy_only=False)
+        if column.null_count:
+            values = values.astype(object)
+            values[column.is_null().to_numpy(zero_copy_only=False)] = None
+        return values.tolist()
+    return column.to_pandas(integer_object_nulls=True, deduplicate_objects=False).tolist()
 
 
 def _history_of(group: list[str], kept: list[str]):
-    width = len(group)
+    inputs = _inputs(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = _Walk(Stock)
-        types = [
-            pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-            pa.float64(), pa.string(), pa.bool_(), pa.bool_(),
-        ]
+        walk = _walk(group, Stock)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_()]
         for batch in batches:
-            out = []
-            for row in _rows(batch, [*group, *_INPUTS]):
-                if row[:width] != walk.group:
-                    walk.enter(row[:width])
-                member, applied = walk.apply(*row[width:])
-                stock, sale = walk.stock, row[width] == "sale"
+            columns = [[] for _ in types]
+            to_moved, to_quantity, to_held, to_member, to_cost, to_band, to_applied = [c.append for c in columns]
+            for key, event in zip(_rows(batch, group), _rows(batch, inputs)):
+                if key != walk.group:
+                    walk.enter(key)
+                    stock, apply = walk.stock, walk.apply
+                moved, applied = apply(*event)
                 known = stock.known
-                out.append((
-                    member if row[width] in ("sale", "void") else None,
-                    (row[width + 2] or 0) - member if sale else None,
-                    stock.quantity if known else None,
-                    stock.member_qty if known else None,
-                    stock.member_id,
-                    stock.cost,
-                    stock.stock,
-                    known and stock.quantity == 0 if sale else None,
-                    applied,
-                ))
-            passed = [batch.column(batch.schema.get_field_index(name)) for name in kept]
-            columns = zip(*out) if out else [[]] * len(types)
-            computed = [pa.array(column, t) for column, t in zip(columns, types)]
-            names = kept + HISTORY.names
-            yield pa.RecordBatch.from_arrays(passed + computed, names=names)
+                to_moved(moved)
+                to_quantity(stock.quantity if known else None)
+                to_held(stock.member_qty if known else None)
+                to_member(stock.member_id)
+                to_cost(stock.cost)
+                to_band(stock.stock)
+                to_applied(applied)
+            moved, quantity, *state, applied = [pa.array(c, t) for c, t in zip(columns, types)]
+            kind = _column(batch, "kind")
+            sale, none = pc.equal(kind, "sale"), pa.scalar(None, pa.int64())
+            computed = {
+                "member_sold": pc.if_else(pc.or_(sale, pc.equal(kind, "void")), moved, none),
+                "owner_sold": pc.if_else(sale, pc.subtract(pc.fill_null(_column(batch, "n"), 0), moved), none),
+                "quantity": quantity,
+                **dict(zip(["member_qty", "current_member", "cost_price", "stock"], state)),
+                "sold_out": pc.if_else(sale, pc.fill_null(pc.equal(quantity, 0), False), pa.scalar(None, pa.bool_())),
+                "applied": applied,
+            }
+            passed = [_column(batch, name) for name in kept]
+            yield pa.RecordBatch.from_arrays(passed + [computed[c] for c in HISTORY.names], names=kept + HISTORY.names)
 
     return run
 
 
 def _state_of(group: list[str]):
-    width, event = len(group), len(group) + len(_INPUTS)
-    names = _read_columns(group)
+    width, inputs = len(group), _inputs(group)
     types = [pa.int64(), pa.int32()][:width] + [
         pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(),
         pa.bool_(), pa.bool_(), pa.float64(), pa.float64(), pa.string(), pa.int64(),
@@ -313,19 +367,20 @@ def _state_of(group: list[str]):
         return pa.RecordBatch.from_arrays(arrays, names=[*group, *FOLDED.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, started = _Walk(TracedStock), False
+        walk, started = _walk(group, TracedStock), False
         for batch in batches:
             done = []
-            for row in _rows(batch, names):
-                if row[:width] != walk.group:
+            links = _values(_column(batch, _LINK)) if width == 2 else [None] * len(batch)
+            for key, event, link in zip(_rows(batch, group), _rows(batch, inputs), links):
+                if key != walk.group:
                     if started:
                         done.append(final(walk))
-                    walk.enter(row[:width])
-                    started = True
-                moved, _ = walk.apply(*row[width:event])
-                if width == 2 and row[event] and row[width] == "sale":
+                    walk.enter(key)
+                    apply, started = walk.apply, True
+                moved, _ = apply(*event)
+                if link and event[0] == "sale":
                     walk.stock.hangs_on_start()
-                    done.append((*walk.group, *no_state, row[event], moved))
+                    done.append((*walk.group, *no_state, link, moved))
             yield table(done)
         if started:
             yield table([final(walk)])
@@ -394,25 +449,25 @@ def _split(products: DataFrame, events: DataFrame, order: Sequence[str], hot_row
     regular, to_fold, (n_folded, rows, n_rows, n_to_fold, costs) = totals[:3], totals[3:6], totals[6:]
     largest = (rows + 1, costs)
 
-    def split(rows: DataFrame, opened: DataFrame, wanted: Column, n_hot: int, n_rows: int, voids: int) -> _Side:
+    def split(rows: DataFrame, opened: DataFrame, wanted: Column, n_hot: int, n_rows: int, voids: int, scan: bool = False) -> _Side:
         parted = split_counted(rows, "product_id", Counts(counted.where(hot & wanted).select("_key"), n_hot, n_rows))
         nothing = {name: F.lit(None).cast(kind) for name, kind in _TAKEN.items()}
-        # A shuffle on the product serves the links of voids and the fold or scan.
+        # A shuffle on the product serves the links of voids and the scan; the fold links them itself.
         dealt = parted.cold.unionByName(parted.cold_of(opened, "product_id"), allowMissingColumns=True).repartition("product_id")
-        cold = link_voids_here(dealt, order) if voids else dealt.withColumns(nothing)
+        cold = link_voids_here(dealt, order) if voids and scan else dealt.withColumns(nothing)
         if parted.hot is None:
             return _Side(cold, None, None, 0)
         linked = link_voids(parted.hot, order) if voids else parted.hot.withColumns(nothing)
         return _Side(cold, linked, parted.hot_of(opened, "product_id"), n_rows)
 
     if not n_folded:
-        return _Parts(typed, split(owned, opened, ~folded, *regular), None, largest)
+        return _Parts(typed, split(owned, opened, ~folded, *regular, scan=True), None, largest)
     if n_to_fold * MOSTLY_FOLDED > n_rows:
         every = [a + b for a, b in zip(regular, to_fold, strict=True)]
         return _Parts(typed, None, split(owned, opened, F.lit(True), *every), largest)
     odd = of_keys(Counts(counted.where(folded).select("_key"), n_folded, 0))
     both = [[odd(rows, "product_id", how) for rows in (owned, opened)] for how in ("left_anti", "left_semi")]
-    return _Parts(typed, split(*both[0], ~folded, *regular), split(*both[1], folded, *to_fold), largest)
+    return _Parts(typed, split(*both[0], ~folded, *regular, scan=True), split(*both[1], folded, *to_fold), largest)
 
 
 def _scanned(parts: _Parts, order: Sequence[str]) -> DataFrame:
