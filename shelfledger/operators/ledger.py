@@ -423,9 +423,15 @@ class _Parts(NamedTuple):
     largest: tuple[int, int]
 
 
-def _split(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int) -> _Parts:
-    """Events with their voids linked, dealt by what can be done with their product."""
+def _split(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int, states: bool = False) -> _Parts:
+    """Events with their voids linked, dealt by what can be done with their product.
+
+    For ``states`` alone hot products are folded: a block then gives one row, which the
+    fold finds in one walk, where windows would carry maps along on every row.
+    """
     typed, opened = typed_events(events), openings(products)
+    if states:
+        typed = typed.select(*dict.fromkeys(["product_id", *_EVENT, *order]))
     owned = typed.where(F.col("product_id").isNotNull())
     read = ["product_id", "kind", "n", "member_id", "member_n", "unit_cost"]
     every = opened.unionByName(owned.select(*read), allowMissingColumns=True)
@@ -437,7 +443,8 @@ def _split(products: DataFrame, events: DataFrame, order: Sequence[str], hot_row
         (stock_scan.irregular() | (F.count_if(~event) > 1)).alias("_folded"),
     )
     counted = stage(counted, "key-counts")
-    hot, folded = F.col("_rows") > hot_rows, F.col("_folded")
+    hot = F.col("_rows") > hot_rows
+    folded = F.col("_folded") | (hot & F.lit(states))
     void = lambda of: F.sum(F.when(of, F.col("_voids")))
     totals = counted.agg(
         F.count_if(hot & ~folded), F.sum(F.when(hot & ~folded, F.col("_rows"))), void(~folded),
@@ -448,6 +455,10 @@ def _split(products: DataFrame, events: DataFrame, order: Sequence[str], hot_row
     totals = [x or 0 for x in totals]
     regular, to_fold, (n_folded, rows, n_rows, n_to_fold, costs) = totals[:3], totals[3:6], totals[6:]
     largest = (rows + 1, costs)
+    if states and not regular[2] + to_fold[2]:
+        # Only voids ask which sale they name.
+        typed = typed.withColumn("ref", F.lit(None).cast("string"))
+        owned = typed.where(F.col("product_id").isNotNull())
 
     def split(rows: DataFrame, opened: DataFrame, wanted: Column, n_hot: int, n_rows: int, voids: int, scan: bool = False) -> _Side:
         parted = split_counted(rows, "product_id", Counts(counted.where(hot & wanted).select("_key"), n_hot, n_rows))
@@ -498,7 +509,7 @@ def changed_products(
 
 
 def _final_states(products: DataFrame, events: DataFrame, order: Sequence[str], hot_rows: int) -> DataFrame:
-    parts = _split(products, events, order, hot_rows)
+    parts = _split(products, events, order, hot_rows, states=True)
     names = [*_STATE_NAMES, "known", "touched"]
     start = F.col("_start")
 
@@ -509,10 +520,6 @@ def _final_states(products: DataFrame, events: DataFrame, order: Sequence[str],
     found = []
     if parts.regular is not None:
         found.append(states(stock_scan.last_of(_scanned(parts, order), ["product_id"], order)))
-        if parts.regular.hot is not None:
-            ends = states(stock_scan.last_of(_scanned_blocks(parts, order, hot_rows), _BLOCK_KEY, order))
-            last = ends.groupBy("product_id").agg(F.max_by(F.struct(*names), BLOCK).alias("_last"))
-            found.append(last.select("product_id", "_last.*"))
     if parts.folded is not None:
         found.append(_folded_states(parts, order, hot_rows))
     return _union(found, ["product_id", *names]).select(

@@ -1,10 +1,11 @@
-"""What the ledger's passes cost: voids are linked in the fold's own walk."""
+"""What the ledger's passes cost: voids are linked in the fold's own walk, hot states need no maps on every row."""
 
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from shelfledger.operators import ledger
+from shelfledger.operators import ledger, stock_scan
 
 SHELF = "id bigint, quantity bigint, member_id bigint, member_qty bigint, cost_price double, stock string"
 EVENT = "product_id bigint, seq bigint, kind string, ref string, n bigint, member_id bigint, member_n bigint, unit_cost double"
@@ -47,3 +48,23 @@ def test_the_fold_links_voids_by_the_rule(spark, shelf, seed):
     hot = ledger.ledger_history(shelf, events, ["seq"], hot_rows=20)
     by_seq = lambda df: sorted(df.select("seq", *[c for c in df.columns if c != "seq"]).collect())
     assert [str(r) for r in by_seq(history)] == [str(r) for r in by_seq(hot)]
+
+
+def test_states_of_hot_products_carry_no_maps_and_no_references(spark, shelf, monkeypatch):
+    events = dealt(spark, 5, ["sale", "sale", "restock"], members=False).withColumn("ref", F.concat_ws("-", "ref", "seq"))
+    events = events.withColumn("notes", F.lit("long text"))
+    cold = ledger.ledger_state(shelf, events, ["seq"])
+    cut, seen = ledger.cut_blocks, []
+
+    def watch(df, *args):
+        seen.append(plan_of(df))
+        return cut(df, *args)
+
+    def no_maps(*args):
+        raise AssertionError("a map on every row of a block")
+
+    monkeypatch.setattr(ledger, "cut_blocks", watch)
+    monkeypatch.setattr(stock_scan, "scan_blocks", no_maps)
+    hot = ledger.ledger_state(shelf, events, ["seq"], hot_rows=20)
+    assert sorted(hot.collect()) == sorted(cold.collect())
+    assert len(seen) == 1 and "concat_ws" not in seen[0] and "long text" not in seen[0]
