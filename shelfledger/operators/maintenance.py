@@ -44,15 +44,24 @@ def overwrite(
 
     A changed value may be NULL, so a flag and not the value says what was hit.
     """
-    last = latest(changes, key, order).select(
+    joined = table.join(last_values(changes, columns, key, order), key, "left")
+    return overwritten(joined, table.columns, columns)
+
+
+def last_values(changes: DataFrame, columns: Sequence[str], key: str = "id", order: Sequence[str] = ("seq",)) -> DataFrame:
+    """What :func:`overwrite` puts beside the rows of a table, one row per key."""
+    return latest(changes, key, order).select(
         F.col(key), F.struct(*columns).alias("_new"), F.lit(True).alias("_hit")
     )
+
+
+def overwritten(joined: DataFrame, names: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The columns ``names`` of rows beside their :func:`last_values`, with these in place."""
     hit = F.col("_hit").isNotNull()
-    joined = table.join(last, key, "left")
     return joined.select(
         *[
             F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
-            for c in table.columns
+            for c in names
         ]
     )
 
@@ -96,6 +105,11 @@ def edit_sales(sales: DataFrame, edits: DataFrame, order: Sequence[str] = ("seq"
     of an edited sale is price - cost x quantity, with the price not multiplied;
     ``profit_line`` holds (price - cost) x quantity beside it.
     """
+    return edited_sales(sales.join(last_edits(edits, order), "id", "left"), sales.columns)
+
+
+def last_edits(edits: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """What the edits of each sale come to, one row per sale."""
     sequence = F.struct(*order)
     price = F.nullif(float_or(F.col("sale_price"), None), F.lit(0.0))
     payment = text_or(F.col("payment_method"), None)
@@ -105,13 +119,16 @@ def edit_sales(sales: DataFrame, edits: DataFrame, order: Sequence[str] = ("seq"
         return F.max_by(value, F.when(value.isNotNull(), sequence))
 
     # Each field keeps its own last usable value, as a run of edits would leave it.
-    last = edits.groupBy("id").agg(
+    return edits.groupBy("id").agg(
         last_given(price).alias("_price"),
         last_given(payment).alias("_payment"),
         last_given(notes).alias("_notes"),
         F.lit(True).alias("_hit"),
     )
-    joined = sales.join(last, "id", "left")
+
+
+def edited_sales(joined: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns ``names`` of sales beside their :func:`last_edits`, edited, and ``profit_line``."""
     new_price = F.coalesce("_price", F.col("sale_price").cast("double"))
     unit_cost = F.coalesce(F.col("cost_price").cast("double"), F.lit(0.0))
     line = (new_price - unit_cost) * F.col("quantity_sold")
@@ -123,6 +140,6 @@ def edit_sales(sales: DataFrame, edits: DataFrame, order: Sequence[str] = ("seq"
         "notes": F.coalesce(F.col("_notes"), F.col("notes")),
     }
     return joined.select(
-        *[edited[c].alias(c) if c in edited else F.col(c) for c in sales.columns],
+        *[edited[c].alias(c) if c in edited else F.col(c) for c in names],
         line.alias("profit_line"),
     )

@@ -401,7 +401,7 @@ def sale_edit_stored(spark, d):
     edits = stage(check.accepted(check.check_edits(req.sale_edits(spark, d), stored)), "edits")
     # The table has the types and the column that an edit gives.
     table = _stored(maintenance.edit_sales(stored, edits.where("false")), "sales")
-    table.rewrite(edits.select("id"), lambda rows: maintenance.edit_sales(rows.drop("profit_line"), edits))
+    table.merge(stage(maintenance.last_edits(edits), "last-edits"), lambda rows: maintenance.edited_sales(rows, stored.columns))
     return table.read().select(
         "id", "sale_price", "cost_price", "quantity_sold", "payment_method", "notes", "profit", "profit_line"
     )

@@ -13,6 +13,7 @@ versions stay, for readers that began on them.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
@@ -22,9 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfledger.operators import maintenance
+from shelfledger.operators.ordered import ordered_window, up_to_here
 from shelfledger.session import stage
 
 _MANIFEST = "file string"
+#: Rows of a file at most, about: a task sorts the rows of one file, in memory.
+FILE_ROWS = 1_000_000
 
 
 class Change(NamedTuple):
@@ -42,8 +46,8 @@ class KeyedTable:
         self.spark, self.path, self.schema, self.key = spark, path, schema, key
 
     def create(self, rows: DataFrame, files: int) -> Change:
-        """Version 0, in about ``files`` files by ranges of the key."""
-        return self._commit(0, [], self._write(rows, files))
+        """Version 0, in about ``files`` files by ranges of the key, more where they would be large."""
+        return self._commit(0, [], self._write(rows, max(files, math.ceil(rows.count() / FILE_ROWS))))
 
     def version(self) -> int:
         return self._manifests().agg(F.max("version")).first()[0]
@@ -78,6 +82,27 @@ class KeyedTable:
             added += self._write(inserts, share)
         return self._commit(version + 1, sorted(set(listed) - set(hit)), added, hit)
 
+    def merge(self, changes: DataFrame, change: Callable[[DataFrame], DataFrame]) -> Change:
+        """The next version: ``change`` applied to the rows of the files hit, with the columns of ``changes`` beside them.
+
+        ``changes`` has one row per key; its columns are NULL on rows of other keys, and
+        keys that the table does not hold are ignored. Rows and changes go to the ranges
+        of the new files together, so that the table is shuffled once and not joined first.
+        """
+        version = self.version()
+        listed = self.files(version)
+        hit = sorted(r.file for r in self.find(changes).select("file").distinct().collect())
+        if not hit:
+            return self._commit(version + 1, listed, [])
+        rows = self._rows(hit).withColumn("_row", F.lit(True))
+        beside = F.struct(*[c for c in changes.columns if c != self.key]).alias("_change")
+        both = rows.unionByName(changes.where(F.col(self.key).isNotNull()).select(self.key, beside, F.lit(False).alias("_row")), allowMissingColumns=True)
+        placed = both.repartitionByRange(len(hit), self.key).sortWithinPartitions(self.key, "_row")
+        # A change lies in front of its row.
+        met = F.first("_change", ignorenulls=True).over(up_to_here(ordered_window(self.key, ["_row"])))
+        merged = change(placed.withColumn("_change", met).where("_row").select(*self.schema.names, "_change.*"))
+        return self._commit(version + 1, sorted(set(listed) - set(hit)), self._store(merged), hit)
+
     def upsert(self, changes: DataFrame, order: Sequence[str] = ("seq",)) -> Change:
         """Insert or replace by key; the last write wins."""
         last = stage(maintenance.latest(changes, self.key, order).select(*self.schema.names), "upserts")
@@ -91,7 +116,8 @@ class KeyedTable:
 
     def overwrite(self, changes: DataFrame, columns: Sequence[str], order: Sequence[str] = ("seq",)) -> Change:
         """Replace ``columns`` of the rows whose key has a change; other keys are ignored."""
-        return self.rewrite(changes, lambda rows: maintenance.overwrite(rows, changes, columns, self.key, order))
+        last = stage(maintenance.last_values(changes, columns, self.key, order), "overwrites")
+        return self.merge(last, lambda rows: maintenance.overwritten(rows, self.schema.names, columns))
 
     def delete(self, removed: DataFrame) -> Change:
         return self.rewrite(removed, lambda rows: maintenance.delete(rows, removed, self.key))
@@ -102,9 +128,11 @@ class KeyedTable:
         return self.spark.read.schema(self.schema).parquet(*files)
 
     def _write(self, rows: DataFrame, files: int) -> list[str]:
+        return self._store(rows.select(*self.schema.names).repartitionByRange(max(1, files), self.key).sortWithinPartitions(self.key))
+
+    def _store(self, placed: DataFrame) -> list[str]:
         where = f"{self.path}/data/{uuid.uuid4().hex}"
-        placed = rows.select(*self.schema.names).repartitionByRange(max(1, files), self.key).sortWithinPartitions(self.key)
-        placed.write.parquet(where)
+        placed.select(*self.schema.names).write.parquet(where)
         made = self.spark.read.schema(self.schema).parquet(where).select("_metadata.file_path").distinct()
         return sorted(r.file_path for r in made.collect())
 
