@@ -31,6 +31,7 @@ from shelfledger.functions.stock_fold import Stock, TracedStock
 from shelfledger.operators import stock_scan
 from shelfledger.operators.ordered import (
     BLOCK,
+    BROADCAST_KEYS,
     HOT_ROWS,
     Counts,
     before_here,
@@ -62,6 +63,8 @@ _STEPPED_BELOW = 1e9
 # One event in so many of a product that needs the fold, and all are folded: a
 # second way beside it would cost more than it saves.
 MOSTLY_FOLDED = 4
+# One void in so many events, and all sales are shuffled to meet them.
+MANY_VOIDS = 20
 
 
 def restock_events(restocks: DataFrame) -> DataFrame:
@@ -114,51 +117,69 @@ def link_voids(typed: DataFrame, order: Sequence[str]) -> DataFrame:
     before any sale the first void that carries units does, with those. All
     later voids of the same sale, and voids that name no sale, have no effect.
     """
-    key = ["product_id", "ref"]
-    void, named = F.col("kind") == "void", F.col("product_id").isNotNull() & F.col("ref").isNotNull()
-    nothing = {name: F.lit(None).cast(kind) for name, kind in _TAKEN.items()}
-    voids = typed.where(void & named)
-    sold = typed.where("kind = 'sale'").join(voids.select(*key), key, "left_semi").select(*typed.columns)
+    linked = _linked(typed, order)
+    rest = typed.where(~_named_void()).withColumns(_nothing())
+    return rest.unionByName(linked.select(*rest.columns))
+
+
+def _nothing() -> dict[str, Column]:
+    return {name: F.lit(None).cast(kind) for name, kind in _TAKEN.items()}
+
+
+def _named_void() -> Column:
+    return F.coalesce((F.col("kind") == "void") & F.col("product_id").isNotNull() & F.col("ref").isNotNull(), F.lit(False))
+
+
+def _linked(typed: DataFrame, order: Sequence[str], sale: Column | None = None, many: bool = False) -> DataFrame:
+    """The voids that name a sale, with what they take back.
+
+    ``_sale`` is what the column ``sale`` gives for the sale that a void comes after.
+    With ``many`` voids all sales meet them in one shuffle, which costs less than to
+    find those that are named first.
+    """
+    key, sold = ["product_id", "ref"], F.col("kind") == "sale"
+    voids, sales = typed.where(_named_void()), typed.where(sold & F.col("product_id").isNotNull() & F.col("ref").isNotNull())
+    if not many:
+        sales = sales.join(voids.select(*key), key, "left_semi").select(*typed.columns)
     here = up_to_here(Window.partitionBy(*key).orderBy(*order))
-    units = F.when(F.col("kind") == "sale", F.coalesce("n", F.lit(0)))
-    met = voids.unionByName(sold).withColumns(
-        {"_sales": F.count(units).over(here), "_units": F.last(units, ignorenulls=True).over(here)}
-    )
-    usable = void & ((F.col("_sales") > 0) | F.col("n").isNotNull())
-    turn = up_to_here(Window.partitionBy(*key, "_sales").orderBy(*order))
-    first = usable & (F.count_if(usable).over(turn) == 1)
-    linked = met.withColumn("_first", first).where(void).withColumns(
+    units = F.when(sold, F.coalesce("n", F.lit(0)))
+    met = voids.unionByName(sales).withColumns(
         {
-            "_takes": F.when(F.col("_first"), F.coalesce("_units", "n")),
-            "_borrows": F.col("_first") & (F.col("_sales") > 0),
-            "_share": F.when(F.col("_first") & (F.col("_sales") == 0), F.coalesce("member_n", F.lit(0))),
+            "_sales": F.count(units).over(here),
+            "_units": F.last(units, ignorenulls=True).over(here),
+            "_sale": F.lit(None) if sale is None else F.last(F.when(sold, sale), ignorenulls=True).over(here),
         }
     )
-    rest = typed.where(~F.coalesce(void & named, F.lit(False))).withColumns(nothing)
-    return rest.unionByName(linked.select(*rest.columns))
+    return _first_voids(met, here).where("kind = 'void'").withColumn("_borrows", F.coalesce("_borrows", F.lit(False)))
 
 
-def link_voids_here(dealt: DataFrame, order: Sequence[str]) -> DataFrame:
-    """:func:`link_voids` for rows that are dealt by product already: no further shuffle."""
-    named = F.col("product_id").isNotNull() & F.col("ref").isNotNull()
-    sale, void = F.col("kind") == "sale", F.col("kind") == "void"
-    here = up_to_here(Window.partitionBy("product_id", "ref").orderBy(*order))
-    units = F.when(sale, F.coalesce("n", F.lit(0)))
-    met = dealt.withColumns({"_sales": F.count(units).over(here), "_units": F.last(units, ignorenulls=True).over(here)})
-    usable = F.coalesce(void & named & ((F.col("_sales") > 0) | F.col("n").isNotNull()), F.lit(False))
+def _first_voids(met: DataFrame, here) -> DataFrame:
+    """What the voids take back, of which only the first since the last sale takes effect.
+
+    ``_sales`` and ``_units`` are of the sales up to a row by the window ``here``.
+    """
+    named, sold = _named_void(), F.col("kind") == "sale"
+    usable = F.coalesce(named & ((F.col("_sales") > 0) | F.col("n").isNotNull()), F.lit(False))
     turns = met.withColumn("_turns", F.count_if(usable).over(here))
-    # Voids since the last sale: only the first takes effect.
-    spent = F.coalesce(F.last(F.when(sale, F.col("_turns")), ignorenulls=True).over(here), F.lit(0))
+    spent = F.coalesce(F.last(F.when(sold, F.col("_turns")), ignorenulls=True).over(here), F.lit(0))
     first = turns.withColumn("_first", usable & (F.col("_turns") - spent == 1))
     return first.withColumns(
         {
             "_takes": F.when(F.col("_first"), F.coalesce("_units", "n")),
-            "_borrows": F.when(void & named, F.col("_first") & (F.col("_sales") > 0)),
+            "_borrows": F.when(named, F.col("_first") & (F.col("_sales") > 0)),
             "_share": F.when(F.col("_first") & (F.col("_sales") == 0), F.coalesce("member_n", F.lit(0))),
         }
     ).drop("_sales", "_units", "_turns", "_first")
 
 
+def link_voids_here(dealt: DataFrame, order: Sequence[str]) -> DataFrame:
+    """:func:`link_voids` for rows that are dealt by product already: no further shuffle."""
+    here = up_to_here(Window.partitionBy("product_id", "ref").orderBy(*order))
+    units = F.when(F.col("kind") == "sale", F.coalesce("n", F.lit(0)))
+    met = dealt.withColumns({"_sales": F.count(units).over(here), "_units": F.last(units, ignorenulls=True).over(here)})
+    return _first_voids(met, here)
+
+
 def shown_cost(cost: Column) -> Column:
     """A unit cost at :data:`COST_STEP`; larger ones have no digits below it worth keeping."""
     stepped = F.floor(cost / COST_STEP + 0.5) * COST_STEP
@@ -403,12 +424,16 @@ def typed_events(events: DataFrame) -> DataFrame:
 
 
 class _Side(NamedTuple):
-    """Events and openings of ordinary products, dealt by product; events and openings of hot ones."""
+    """Events and openings of ordinary products, dealt by product; events and openings of hot ones.
+
+    Voids of hot products are not linked yet; ``voids`` bounds their number.
+    """
 
     cold: DataFrame
     hot: DataFrame | None
     hot_opened: DataFrame | None
     hot_rows: int
+    voids: int
 
 
 class _Parts(NamedTuple):
@@ -462,14 +487,12 @@ def _split(products: DataFrame, events: DataFrame, order: Sequence[str], hot_row
 
     def split(rows: DataFrame, opened: DataFrame, wanted: Column, n_hot: int, n_rows: int, voids: int, scan: bool = False) -> _Side:
         parted = split_counted(rows, "product_id", Counts(counted.where(hot & wanted).select("_key"), n_hot, n_rows))
-        nothing = {name: F.lit(None).cast(kind) for name, kind in _TAKEN.items()}
         # A shuffle on the product serves the links of voids and the scan; the fold links them itself.
         dealt = parted.cold.unionByName(parted.cold_of(opened, "product_id"), allowMissingColumns=True).repartition("product_id")
-        cold = link_voids_here(dealt, order) if voids and scan else dealt.withColumns(nothing)
+        cold = link_voids_here(dealt, order) if voids and scan else dealt.withColumns(_nothing())
         if parted.hot is None:
-            return _Side(cold, None, None, 0)
-        linked = link_voids(parted.hot, order) if voids else parted.hot.withColumns(nothing)
-        return _Side(cold, linked, parted.hot_of(opened, "product_id"), n_rows)
+            return _Side(cold, None, None, 0, 0)
+        return _Side(cold, parted.hot, parted.hot_of(opened, "product_id"), n_rows, voids)
 
     if not n_folded:
         return _Parts(typed, split(owned, opened, ~folded, *regular, scan=True), None, largest)
@@ -488,8 +511,10 @@ def _scanned(parts: _Parts, order: Sequence[str]) -> DataFrame:
 
 def _scanned_blocks(parts: _Parts, order: Sequence[str], hot_rows: int) -> DataFrame:
     """The same for the blocks of hot products."""
-    blocks = cut_blocks(parts.regular.hot, parts.regular.hot_rows, "product_id", order, hot_rows)
-    starts = _first_starts(blocks, parts.regular.hot_opened, order, guess=False)
+    side = parts.regular
+    linked = link_voids(side.hot, order) if side.voids else side.hot.withColumns(_nothing())
+    blocks = cut_blocks(linked, side.hot_rows, "product_id", order, hot_rows)
+    starts = _first_starts(blocks, side.hot_opened, order, guess=False)
     return stock_scan.scan_blocks(blocks, starts, order)
 
 
@@ -539,7 +564,7 @@ def _folded_states(parts: _Parts, order: Sequence[str], hot_rows: int) -> DataFr
     final = _fold(parts.folded.cold, order, None).select("product_id", *names)
     if parts.folded.hot is None:
         return final
-    _, settled = _settle_blocks(parts.folded, order, hot_rows)
+    _, settled = _settle_blocks(parts.folded, order, hot_rows, ends=True)
     touched = F.bool_or("_end.touched").alias("touched")
     last = settled.groupBy("product_id").agg(F.max_by("_end", BLOCK).alias("_last"), touched)
     kept = [F.col("_last")[c].alias(c) for c in names[:-1]]
@@ -575,7 +600,7 @@ def raw_history(
     if parts.folded is not None:
         found.append(_fold(parts.folded.cold, order, kept))
         if parts.folded.hot is not None:
-            blocks, settled = _settle_blocks(parts.folded, order, hot_rows)
+            blocks, settled = _settle_blocks(parts.folded, order, hot_rows, ends=False)
             found.append(_fold(_started(blocks, settled), order, kept))
     return _union(found, names)
 
@@ -607,8 +632,8 @@ def _started(blocks: DataFrame, starts: DataFrame) -> DataFrame:
     return blocks.unionByName(opened, allowMissingColumns=True)
 
 
-def _settle_blocks(side: _Side, order: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of the hot products, and the state each block starts and ends in.
+def _settle_blocks(side: _Side, order: Sequence[str], hot_rows: int, ends: bool) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the hot products, and the state each block starts and, with ``ends``, ends in.
 
     Quantity and member are exact at once, from block totals. Member quantity
     and cost start from a guess, and all blocks are folded side by side. The
@@ -617,17 +642,18 @@ def _settle_blocks(side: _Side, order: Sequence[str], hot_rows: int) -> tuple[Da
     walk over these, a small row per block, gives every start; no block is
     folded again for a wrong guess. Only a block that takes back sales folds
     again when its start or a share from another block has changed, since a
-    share is no such function; that is repeated until nothing changes.
+    share is no such function; that is repeated until nothing changes. Without
+    ``ends`` a product's last block is not folded here, for nothing hangs on it.
     """
     cut = cut_blocks(side.hot, side.hot_rows, "product_id", order, hot_rows)
-    blocks, crossing = _link_blocks(cut, order)
+    blocks, crossing = _link_blocks(cut, order, side.voids * MANY_VOIDS > side.hot_rows) if side.voids else (cut.withColumns({**_nothing(), _LINK: F.lit(None).cast("string")}), None)
     starts = stage(_first_starts(blocks, side.hot_opened, order), "starts")
-    shares = stale = results = None
+    inner = None if ends else stage(_but_last(starts), "inner")
+    shares = stale = results = found = None
     while True:
-        current = _with_shares(blocks, shares)
-        todo = _started(current, starts)
-        if stale is not None:
-            todo = todo.join(stale, _BLOCK_KEY, "left_semi")
+        todo, only = _started(_with_shares(blocks, shares), starts), inner if stale is None else stale
+        if only is not None:
+            todo = todo.join(only, _BLOCK_KEY, "left_semi")
         folded = stage(_fold(todo, order, None), "folded")
         if stale is not None:
             kept = results.join(stale, _BLOCK_KEY, "left_anti")
@@ -638,15 +664,23 @@ def _settle_blocks(side: _Side, order: Sequence[str], hot_rows: int) -> tuple[Da
         if crossing is not None:
             found = stage(_shares_of(results), "shares")
             wrong = wrong.union(_with_wrong_share(crossing, found, shares)).distinct()
+        if inner is not None:
+            wrong = wrong.join(inner, _BLOCK_KEY, "left_semi")
         stale = stage(wrong, "stale")
         if stale.isEmpty():
-            return current, settled
+            return _with_shares(blocks, found), settled
         # Starts of the blocks that stay are those they were folded from.
         starts = _next_starts(starts, settled, stale)
         if crossing is not None:
             shares = found
 
 
+def _but_last(starts: DataFrame) -> DataFrame:
+    """The blocks that another block of their product follows."""
+    last = F.max(BLOCK).over(Window.partitionBy("product_id"))
+    return starts.withColumn("_last", last).where(F.col(BLOCK) < F.col("_last")).select(*_BLOCK_KEY)
+
+
 def _next_starts(starts: DataFrame, settled: DataFrame, stale: DataFrame) -> DataFrame:
     kept = starts.join(stale, _BLOCK_KEY, "left_anti")
     again = settled.join(stale, _BLOCK_KEY, "left_semi").select(*starts.columns)
@@ -668,44 +702,46 @@ def _with_wrong_share(crossing: DataFrame, found: DataFrame, used: DataFrame | N
     return joined.where(F.coalesce("_found", F.lit(0)) != before).select(*_BLOCK_KEY).distinct()
 
 
-def _link_blocks(blocks: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """Name the sales whose void lies in another block, on both rows.
+def _link_blocks(blocks: DataFrame, order: Sequence[str], many: bool) -> tuple[DataFrame, DataFrame | None]:
+    """:func:`link_voids` for blocks, which names the sales whose void lies in another block, on both rows.
 
     The second result is the product, link and block of those voids, or None
     without any. Sales and voids meet under (product, ref), which spreads a hot
     product.
     """
-    unlinked = F.lit(None).cast("string")
-    if blocks.where("_borrows").isEmpty():
-        return blocks.withColumn(_LINK, unlinked), None
-    key, place = ["product_id", "ref"], F.struct(*order)
-    named = blocks.where("_borrows").select(*key)
-    here = up_to_here(Window.partitionBy(*key).orderBy(*order))
-    sale = F.when(F.col("kind") == "sale", F.struct(place.alias("at"), F.col(BLOCK).alias("block")))
-    apart = (
-        blocks.where("kind = 'sale' OR _borrows")
-        .join(named, key, "left_semi")
-        .withColumn("_sale", F.last(sale, ignorenulls=True).over(here))
-        .where(F.col("_borrows") & (F.col("_sale.block") != F.col(BLOCK)))
-        .select(*key, place.alias("_at"), "_sale", BLOCK, F.to_json(F.struct("ref", "_sale.at")).alias(_LINK))
-    )
-    apart = stage(apart, "links")
-    ends = F.explode(F.array("_at", "_sale.at"))
-    marks = apart.select(*key, _LINK, ends.alias("_place"))
-    marked = blocks.withColumn("_place", place).join(marks, [*key, "_place"], "left")
-    own = F.coalesce(F.col("_borrows") & F.col(_LINK).isNull(), F.lit(False))
-    linked = stage(marked.withColumn("_borrows", own).select(*blocks.columns, _LINK), "linked")
+    place = F.struct(*order)
+    met = _linked(blocks, order, F.struct(place.alias("at"), F.col(BLOCK).alias("block")), many)
+    away = F.col("_borrows") & (F.col("_sale.block") != F.col(BLOCK))
+    link = F.when(away, F.to_json(F.struct("ref", "_sale.at"))).alias(_LINK)
+    own = (F.col("_borrows") & ~F.coalesce(away, F.lit(False))).alias("_borrows")
+    taken = ["_takes", own, "_share", link, F.col("_sale.at").alias("_at")]
+    voids = stage(met.select(*blocks.columns, *taken), "linked-voids")
+    apart = voids.where(F.col(_LINK).isNotNull())
+    count = apart.count()
+    names = [*blocks.columns, *_TAKEN, _LINK]
+    rest = blocks.where(~_named_void()).withColumns(_nothing())
+    if not count:
+        return rest.withColumn(_LINK, F.lit(None).cast("string")).unionByName(voids.select(*names)), None
+    # Like the keys of hot products, in one piece to every task unless they are very many.
+    marks = apart.select("product_id", "ref", F.col("_at").alias("_place"), _LINK)
+    marks = F.broadcast(marks) if count <= BROADCAST_KEYS else marks
+    sale = F.col("kind") == "sale"
+    marked = rest.withColumn("_place", F.when(sale, place)).join(marks, ["product_id", "ref", "_place"], "left")
+    linked = stage(marked.select(*names).unionByName(voids.select(*names)), "linked")
     return linked, apart.select("product_id", _LINK, BLOCK)
 
 
+def _linked_void() -> Column:
+    return F.col(_LINK).isNotNull() & (F.col("kind") == "void")
+
+
 def _with_shares(blocks: DataFrame, shares: DataFrame | None) -> DataFrame:
-    """Put the member units found for a sale on its void in another block."""
-    linked_void = F.col(_LINK).isNotNull() & (F.col("kind") == "void")
+    """Put the member units found for a sale on its void in another block; other rows pass by the join."""
     if shares is None:
-        return blocks.withColumn("_share", F.when(linked_void, F.lit(0)).otherwise(F.col("_share")))
-    joined = blocks.join(shares, ["product_id", _LINK], "left")
-    share = F.when(linked_void, F.coalesce("_found", F.lit(0))).otherwise(F.col("_share"))
-    return joined.withColumn("_share", share).select(*blocks.columns)
+        return blocks.withColumn("_share", F.when(_linked_void(), F.lit(0)).otherwise(F.col("_share")))
+    joined = blocks.where(_linked_void()).join(shares, ["product_id", _LINK], "left")
+    found = joined.withColumn("_share", F.coalesce("_found", F.lit(0)).cast("bigint")).select(*blocks.columns)
+    return blocks.where(~_linked_void()).unionByName(found)
 
 
 def _signed_units():
@@ -775,10 +811,11 @@ def _first_starts(blocks: DataFrame, opened: DataFrame, order: Sequence[str], gu
 def _hand_over(starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Start and end of every block, one small row per block, walked in order within a product.
 
-    ``_again`` marks a block whose end its map does not give for this start.
+    ``_again`` marks a block whose end its map does not give for this start. A last
+    block may come without an end.
     """
     end = ends.select("product_id", BLOCK, F.struct(*_FINAL_NAMES).alias("_end"))
-    rows = starts.join(end, ["product_id", BLOCK]).select(
+    rows = starts.join(end, ["product_id", BLOCK], "left").select(
         "product_id", BLOCK, *_STATE_NAMES, "_end"
     )
     again = StructField("_again", BooleanType())
@@ -790,8 +827,12 @@ def _hand_over(starts: DataFrame, ends: DataFrame) -> DataFrame:
             used = {name: row[name] for name in _STATE_NAMES}
             # Quantity and member of the first guess are exact.
             start = used if carried is None else {**used, **carried}
-            end, again = _expected_end(row["_end"], used, start)
+            end, again = row["_end"], False
+            if end is not None:
+                end, again = _expected_end(end, used, start)
             out.append({**row, **start, "_end": end, "_again": again})
+            if end is None:
+                break
             carried = {name: end[name] for name in ("member_qty", "cost_price", "stock")}
         fields = [group.schema.field(name) for name in names]
         return pa.Table.from_pylist(out, schema=pa.schema([*fields, ("_again", pa.bool_())]))

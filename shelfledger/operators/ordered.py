@@ -88,10 +88,11 @@ def cut_blocks(
     """Adds a block number that grows with the order inside each key.
 
     A block is one range partition, of about ``block_rows`` rows whatever the
-    keys are. The result is staged: a second run could draw other bounds.
+    keys are. The result is staged: a second run could draw other bounds. It is
+    staged in order, since later sorts of the same rows then meet sorted runs.
     """
     parts = max(1, math.ceil(rows / block_rows))
-    ranged = df.repartitionByRange(parts, key, *order)
+    ranged = df.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order)
     return stage(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 

@@ -68,3 +68,19 @@ def test_states_of_hot_products_carry_no_maps_and_no_references(spark, shelf, mo
     hot = ledger.ledger_state(shelf, events, ["seq"], hot_rows=20)
     assert sorted(hot.collect()) == sorted(cold.collect())
     assert len(seen) == 1 and "concat_ws" not in seen[0] and "long text" not in seen[0]
+
+
+def test_history_folds_no_last_block_twice(spark, shelf, monkeypatch):
+    events = dealt(spark, 9, ["sale", "sale", "restock", "void"])
+    hand, seen = ledger._hand_over, []
+
+    def watch(starts, ends):
+        seen.append(({tuple(r) for r in starts.select("product_id", ledger.BLOCK).collect()}, {tuple(r) for r in ends.select("product_id", ledger.BLOCK).collect()}))
+        return hand(starts, ends)
+
+    monkeypatch.setattr(ledger, "_hand_over", watch)
+    cold = ledger.ledger_history(shelf, events, ["seq"])
+    hot = ledger.ledger_history(shelf, events, ["seq"], hot_rows=20)
+    assert sorted(map(str, hot.select(*cold.columns).collect())) == sorted(map(str, cold.collect()))
+    last = {product: max(b for p, b in seen[0][0] if p == product) for product, _ in seen[0][0]}
+    assert seen and all(ends == starts - set(last.items()) for starts, ends in seen)
