@@ -41,7 +41,8 @@ def stored_voids(events: DataFrame, history: DataFrame, order: Sequence[str]) ->
 
     A sale that was taken back since has none to give. A void that finds neither
     sale nor void keeps the units it came with. Of the history, only rows that a
-    void names go into the join.
+    void names go into the join. The voids are staged: their readers search the
+    history once.
     """
     key, void = ["product_id", "ref"], F.col("kind") == "void"
     place = F.struct(_PLACED, *order)
@@ -55,7 +56,8 @@ def stored_voids(events: DataFrame, history: DataFrame, order: Sequence[str]) ->
     )
     share = lambda mine, stored: F.when(F.col("_told"), F.when(F.col("_stands"), F.col("_sale")[stored])).otherwise(F.col(mine))
     resolved = voids.join(told, key, "left").withColumns({"n": share("n", "n"), "member_n": share("member_n", "member_sold")})
-    return events.where(~void | void.isNull()).unionByName(resolved.select(*events.columns))
+    told_voids = stage(resolved.select(*events.columns), "stored-voids")
+    return events.where(~void | void.isNull()).unionByName(told_voids)
 
 
 def ledger_step(
