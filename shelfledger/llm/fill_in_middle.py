@@ -13,23 +13,26 @@ be cut at its marks again.
 
 A null or empty text gives an empty plain output. A null id draws like an empty
 one; repeated rows give equal samples. Columns besides doc_id and text are not
-read. A text of any length is handled whole; a task holds a few MB of texts at a
-time, or one text.
+read. Bytes that are not UTF-8 stay as they are; one that continues no code point
+belongs to what lies before it. A text of any length is handled whole; a worker
+holds a few MB of texts at a time, or one text, of which classes and matrix take
+about twice its bytes.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
-from itertools import permutations, product
+from itertools import pairwise, permutations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfledger.llm.columns import BLANK, bytes_of, pieces
+from shelfledger.session import small_batches, stage
 
 #: Marks before prefix, suffix and middle.
 MARKS = ("<P>", "<S>", "<M>")
@@ -45,29 +48,42 @@ UNITS = {
     "line": tuple(c for c in range(8) if c & LINE),
 }
 
+#: Bytes or symbols that are worked on at a time, a multiple of 64.
+BLOCK = 1 << 20
+
 SAMPLES = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
 
 
 def classes(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     """The class of every byte of all texts."""
-    first = np.zeros(len(data), bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
-    after = lambda marked: first | np.concatenate([[False], marked[:-1]])[: len(data)]
-    blank = BLANK[data]
-    word = ~blank & after(blank)
-    line = after(data == 0x0A)
-    return ((data & 0xC0) != 0x80) * np.uint8(POINT) + word * np.uint8(WORD) + line * np.uint8(LINE)
+    out = np.empty(len(data), np.uint8)
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    for a in range(0, len(data), BLOCK):
+        here = data[a : a + BLOCK]
+        before = np.concatenate([data[a - 1 : a] if a else here[:1], here[:-1]])
+        first = np.zeros(len(here), bool)
+        first[starts[np.searchsorted(starts, a) : np.searchsorted(starts, a + len(here))] - a] = True
+        word = ~BLANK[here] & (first | BLANK[before])
+        line = first | (before == 0x0A)
+        out[a : a + BLOCK] = ((here & 0xC0) != 0x80) * np.uint8(POINT) + word * np.uint8(WORD) + line * np.uint8(LINE)
+    return out
 
 
 class Bits:
     """A bit vector that counts its ones before any place."""
 
-    def __init__(self, bits: np.ndarray):
-        packed = np.zeros(len(bits) // 64 * 8 + 8, np.uint8)
+    def __init__(self, size: int):
+        self.packed = np.zeros(size // 64 * 8 + 8, np.uint8)
+
+    def put(self, at: int, bits: np.ndarray) -> None:
+        """Sets the bits from ``at`` on, a multiple of 8."""
         held = np.packbits(bits, bitorder="little")
-        packed[: len(held)] = held
-        self.words = packed.view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+        self.packed[at // 8 : at // 8 + len(held)] = held
+
+    def close(self) -> None:
+        self.words = self.packed.view("<u8")
+        self.before = np.zeros(len(self.words) + 1, np.int64)
+        np.cumsum(np.bitwise_count(self.words), out=self.before[1:])
 
     def rank(self, at: np.ndarray) -> np.ndarray:
         word, bit = at >> 6, (at & 63).astype(np.uint64)
@@ -81,9 +97,26 @@ class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, bits: int):
         self.levels = []
         for shift in reversed(range(bits)):
-            bit = (symbols >> shift) & 1 == 1
-            self.levels.append((shift, Bits(bit), int(len(bit) - bit.sum())))
-            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+            ones = Bits(len(symbols))
+            for a in range(0, len(symbols), BLOCK):
+                ones.put(a, symbols[a : a + BLOCK] >> shift & 1)
+            ones.close()
+            zeros = int(len(symbols) - ones.before[-1])
+            self.levels.append((shift, ones, zeros))
+            if shift:
+                symbols = self._parted(symbols, shift, zeros)
+
+    @staticmethod
+    def _parted(symbols: np.ndarray, shift: int, zeros: int) -> np.ndarray:
+        """The symbols without the bit, then those with it, both in their order."""
+        out, z, o = np.empty_like(symbols), 0, zeros
+        for a in range(0, len(symbols), BLOCK):
+            here = symbols[a : a + BLOCK]
+            bit = here >> shift & 1 == 1
+            n = len(here) - int(bit.sum())
+            out[z : z + n], out[o : o + len(here) - n] = here[~bit], here[bit]
+            z, o = z + n, o + len(here) - n
+        return out
 
     def rank(self, symbol: int, at: np.ndarray) -> np.ndarray:
         """How many of the first ``at`` symbols are ``symbol``."""
@@ -128,11 +161,42 @@ def cut(texts: pa.Array, first: np.ndarray, second: np.ndarray, unit: str) -> di
     return out
 
 
-def _arranged(text: bytes, a: int, b: int, form: str, marks: tuple[bytes, ...]) -> bytes:
+def _arranged(text: memoryview, a: int, b: int, form: str, marks: tuple[bytes, ...]) -> tuple[bytes | memoryview, ...]:
+    """The parts of an output in their order."""
+    if form == PLAIN:
+        return (text,)
     p, s, m = marks
     if form == PSM:
-        return b"".join((p, text[:a], s, text[b:], m, text[a:b]))
-    return b"".join((s, text[b:], p, text[:a], m, text[a:b]))
+        return p, text[:a], s, text[b:], m, text[a:b]
+    return s, text[b:], p, text[:a], m, text[a:b]
+
+
+def _samples(ids: pa.Array, texts: pa.Array, draws: list[np.ndarray], unit: str, marks: tuple[bytes, ...], fim: int, spm: int) -> pa.RecordBatch:
+    found = cut(texts, draws[0], draws[1], unit)
+    offsets, data = bytes_of(texts)
+    plain = (np.diff(offsets) == 0) | (draws[2] % 100 >= fim)
+    for mark in marks:
+        plain |= pc.match_substring(texts.cast(pa.large_binary()), mark).fill_null(False).to_numpy(zero_copy_only=False)
+    forms = np.where(plain, PLAIN, np.where(draws[3] % 100 < spm, SPM, PSM))
+    whole, begin = memoryview(data), offsets.tolist()
+    parts = [
+        part
+        for (a, b), prefix, middle, form in zip(pairwise(begin), found["prefix"].tolist(), found["middle"].tolist(), forms.tolist(), strict=True)
+        for part in _arranged(whole[a:b], prefix, middle, form, marks)
+    ]
+    lengths = np.diff(offsets) + np.where(plain, 0, sum(map(len, marks)))
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    # Put together as bytes: Arrow's cast would end the job at a text that is not UTF-8.
+    output = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(parts))])
+    return pa.RecordBatch.from_arrays(
+        [
+            ids, pa.array(found["n"]), pa.array(forms.tolist(), pa.string()),
+            pa.array(found["prefix_points"], mask=plain),
+            pa.array(found["middle_points"] - found["prefix_points"], mask=plain),
+            output,
+        ],
+        names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"],
+    )
 
 
 def _sample(batches: Iterator[pa.RecordBatch], unit: str, marks: tuple[str, ...], fim: int, spm: int) -> Iterator[pa.RecordBatch]:
@@ -140,28 +204,10 @@ def _sample(batches: Iterator[pa.RecordBatch], unit: str, marks: tuple[str, ...]
     for batch in batches:
         at = 0
         for texts in pieces(batch.column(1)):
-            draws = [batch.column(2 + k).slice(at, len(texts)).to_numpy() for k in range(4)]
-            ids = batch.column(0).slice(at, len(texts))
+            ids, *draws = (batch.column(k).slice(at, len(texts)) for k in (0, 2, 3, 4, 5))
             at += len(texts)
-            found = cut(texts, draws[0], draws[1], unit)
-            raw = texts.cast(pa.large_binary()).fill_null(b"").to_pylist()
-            marked = np.array([any(m in text for m in coded) for text in raw], bool)
-            empty = np.array([not text for text in raw], bool)
-            plain = empty | marked | (draws[2] % 100 >= fim)
-            forms = np.where(plain, PLAIN, np.where(draws[3] % 100 < spm, SPM, PSM)).tolist()
-            output = [
-                text if form == PLAIN else _arranged(text, a, b, form, coded)
-                for text, a, b, form in zip(raw, found["prefix"].tolist(), found["middle"].tolist(), forms, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids, pa.array(found["n"]), pa.array(forms, pa.string()),
-                    pa.array(found["prefix_points"], mask=plain),
-                    pa.array(found["middle_points"] - found["prefix_points"], mask=plain),
-                    pa.array(output, pa.binary()).cast(pa.string()),
-                ],
-                names=["doc_id", "n", "form", "prefix_chars", "middle_chars", "output"],
-            )
+            yield _samples(ids, texts, [d.to_numpy() for d in draws], unit, coded, fim, spm)
+        texts = batch = None  # not held while the next one comes
 
 
 def _checked(marks: tuple[str, str, str]) -> tuple[str, str, str]:
@@ -187,7 +233,8 @@ def transform(
 
     ``n`` counts the text's units (``point``, ``word`` or ``line``); lengths are code
     points, null for a plain sample. Of all texts that can be cut, ``fim_percent`` in
-    a hundred are, of these ``spm_percent`` as ``spm``.
+    a hundred are, of these ``spm_percent`` as ``spm``. Write long texts within
+    ``session.small_batches``; otherwise a task holds batches of the session's size.
     """
     doc_id = F.col("doc_id").cast("long")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
@@ -199,16 +246,23 @@ def transform(
 
 def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:
     """The text that an output was made from."""
-    parts = F.split(output, "|".join(re.escape(m) for m in _checked(marks)), 4)
-    prefix = F.when(form == PSM, parts[1]).otherwise(parts[2])
-    suffix = F.when(form == PSM, parts[2]).otherwise(parts[1])
-    return F.when(form == PLAIN, output).otherwise(F.concat(prefix, parts[3], suffix))
+    p, s, m = _checked(marks)
+    # Each mark is there once. Spark looks for it in the bytes; a pattern would need the text as a Java string.
+    between = lambda a, b: F.substring_index(F.substring_index(output, b, 1), a, -1)
+    prefix = F.when(form == PSM, between(p, s)).otherwise(between(p, m))
+    suffix = F.when(form == PSM, between(s, m)).otherwise(between(s, p))
+    return F.when(form == PLAIN, output).otherwise(F.concat(prefix, F.substring_index(output, m, -1), suffix))
 
 
 def sample_report(docs: DataFrame) -> DataFrame:
-    """Cuts of every document with digests of its output and of the text rebuilt from it."""
-    return transform(docs).select(
+    """Cuts of every document with digests of its output and of the text rebuilt from it.
+
+    The rows are staged, as texts go to the workers in small batches.
+    """
+    report = transform(docs).select(
         "doc_id", "n", "form", "prefix_chars", "middle_chars",
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+    with small_batches(docs.sparkSession):
+        return stage(report, "fill-in-middle")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark import cloudpickle
@@ -71,3 +73,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions within read long texts and send them to Python a few MB, or one text, at a time.
+
+    With Spark's own sizes a task holds 4096 rows of a file on the heap, in a buffer
+    that doubles, and outside it an Arrow batch of 64 MB in buffers that grow to 192 MB.
+    Texts of 100 KB in one large row group then end a JVM of 2 tasks and 1.8 GB.
+    """
+    held = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "16"}
+    before = {name: spark.conf.get(name) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -1,7 +1,12 @@
 import hashlib
+import subprocess
+import sys
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +107,79 @@ def test_shares_follow_parameters(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', 20) AS text")
     forms = {r.form: r["count"] for r in fim.transform(docs, "word", fim_percent=50, spm_percent=50).groupBy("form").count().collect()}
     assert abs(forms["plain"] - 2000) < 200 and abs(forms["psm"] - 1000) < 150 and abs(forms["spm"] - 1000) < 150
+
+
+def test_bytes_that_are_not_utf8_stay(spark):
+    raw = [b"ab\xff\xfecd efg" * 3, b"\xe6\xbc", b"\x80\x80 abc", b"plain text", b"a\xed\xa0\x80b", b"\xf0\x9f\x99" * 4, b"caf\xe9 cr\xe8me"]
+    docs = spark.createDataFrame(list(enumerate(raw)), "doc_id long, raw binary").selectExpr("doc_id", "CAST(raw AS string) AS text")
+    got = {r.doc_id: r for r in fim.sample_report(docs).collect()}
+    assert {r.form for r in got.values()} > {"plain"}
+    for i, text in enumerate(raw):
+        assert got[i].restored_sha256 == hashlib.sha256(text).hexdigest()
+        assert got[i].n == sum(b & 0xC0 != 0x80 for b in text)
+
+
+SMALL_HEAP = """
+import sys
+from shelfledger.llm import fill_in_middle
+from shelfledger.session import build_session, ship_package
+ship_package()
+folder = sys.argv[1]
+spark = build_session("small heap", "local[2]", spark__driver__memory="512m", spark__checkpoint__dir=folder + "/shared")
+fill_in_middle.sample_report(spark.read.parquet(folder + "/docs.parquet")).write.parquet(folder + "/out")
+"""
+
+
+def test_long_texts_of_a_row_group_in_a_small_heap(spark, tmp_path):
+    texts = [f"{i} " + "é🙂 word\nline\t" * 5000 for i in range(3000)]  # 100 KB each
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": texts}), tmp_path / "docs.parquet", use_dictionary=False)
+    run = subprocess.run(
+        [sys.executable, "-c", SMALL_HEAP, str(tmp_path)], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=600
+    )
+    assert run.returncode == 0, run.stderr[-3000:]
+    got = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        n, form, p, m, out = by_hand(i, text)
+        g = got[i]
+        assert (g.n, g.form, g.prefix_chars, g.middle_chars) == (n, form, p, m)
+        assert g.output_sha256 == hashlib.sha256(out.encode()).hexdigest()
+        assert g.restored_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_batches_are_small_only_while_the_report_is_made(spark, odd_docs, monkeypatch):
+    names = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    before, during, staged = [spark.conf.get(k) for k in names], [], fim.stage
+
+    def seen(*args):
+        during.extend(int(spark.conf.get(k)) for k in names)
+        return staged(*args)
+
+    monkeypatch.setattr(fim, "stage", seen)
+    fim.sample_report(odd_docs)
+    assert during[0] <= 4 << 20 and during[1] <= 16
+    assert [spark.conf.get(k) for k in names] == before
+
+
+def test_a_long_text_is_cut_within_four_times_its_bytes():
+    text = "é🙂 word\nline\t" * 1_000_000
+    texts, draw = pa.array([text]), np.array([1 << 20])
+    size = len(text.encode())
+    tracemalloc.start()
+    got = fim.cut(texts, draw, draw * 9, "point")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * size
+    assert [got[k][0] for k in ("n", "prefix_points", "middle_points")] == [len(text), 1 << 20, 9 << 20]
+    assert got["prefix"][0] == len(text[: 1 << 20].encode())
+
+
+@pytest.mark.parametrize("unit", ["point", "word", "line"])
+def test_blocks_do_not_change_cuts(unit, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = pa.array(["".join(rng.choice(list("ab \n\té🙂"), k)) for k in rng.integers(0, 300, 60)])
+    draws = rng.integers(0, 1 << 32, (2, len(texts)))
+    whole = fim.cut(texts, *draws, unit)
+    monkeypatch.setattr(fim, "BLOCK", 64)
+    parted = fim.cut(texts, *draws, unit)
+    assert {k: v.tolist() for k, v in parted.items()} == {k: v.tolist() for k, v in whole.items()}
