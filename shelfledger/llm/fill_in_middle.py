@@ -21,7 +21,8 @@ about twice its bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import pairwise, permutations, product
 
@@ -52,6 +53,7 @@ UNITS = {
 BLOCK = 1 << 20
 
 SAMPLES = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string"
+REPORT = SAMPLES.removesuffix("output string") + "output_sha256 string, restored_sha256 string"
 
 
 def classes(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -210,6 +212,40 @@ def _sample(batches: Iterator[pa.RecordBatch], unit: str, marks: tuple[str, ...]
         texts = batch = None  # not held while the next one comes
 
 
+def _finished(
+    batches: Iterator[pa.RecordBatch], sample: Callable[..., Iterator[pa.RecordBatch]], finish: Callable[[pa.RecordBatch], pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    return map(finish, sample(batches))
+
+
+def _restored(output: memoryview, form: str, at: tuple[int, ...], marks: tuple[bytes, ...]) -> tuple[memoryview, ...]:
+    """The parts of the text that an output was made from, in their order; ``at`` is where the marks begin."""
+    if form == PLAIN:
+        return (output,)
+    (p, s, m), (prefix, suffix, middle) = at, (a + len(mark) for a, mark in zip(at, marks, strict=True))
+    if form == PSM:
+        return output[prefix:s], output[middle:], output[suffix:m]
+    return output[prefix:m], output[middle:], output[suffix:p]
+
+
+def _digests(samples: pa.RecordBatch, marks: tuple[str, ...]) -> pa.RecordBatch:
+    """Samples with digests in place of their outputs."""
+    coded = tuple(m.encode() for m in marks)
+    outputs = samples.column("output")
+    offsets, data = bytes_of(outputs)
+    whole, forms = memoryview(data), samples.column("form").to_pylist()
+    places = zip(*(pc.find_substring(outputs, mark).to_pylist() for mark in coded), strict=True)
+    made, back = [], []
+    for (a, b), form, at in zip(pairwise(offsets.tolist()), forms, places, strict=True):
+        made.append(hashlib.sha256(whole[a:b]).hexdigest())
+        text = hashlib.sha256()
+        for part in _restored(whole[a:b], form, at, coded):
+            text.update(part)
+        back.append(text.hexdigest())
+    kept = samples.drop_columns(["output"])
+    return kept.append_column("output_sha256", pa.array(made, pa.string())).append_column("restored_sha256", pa.array(back, pa.string()))
+
+
 def _checked(marks: tuple[str, str, str]) -> tuple[str, str, str]:
     """Marks that stay apart from each other and from any text without them."""
     for a, b in permutations(marks, 2):
@@ -228,6 +264,8 @@ def transform(
     fim_percent: int = FIM_PERCENT,
     spm_percent: int = SPM_PERCENT,
     seed: int = SEED,
+    finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    columns: str = SAMPLES,
 ) -> DataFrame:
     """One sample per row of ``docs``: doc_id, n, form, prefix_chars, middle_chars, output.
 
@@ -235,13 +273,16 @@ def transform(
     points, null for a plain sample. Of all texts that can be cut, ``fim_percent`` in
     a hundred are, of these ``spm_percent`` as ``spm``. Write long texts within
     ``session.small_batches``; otherwise a task holds batches of the session's size.
+
+    ``finish`` makes rows of ``columns`` from each batch of samples in the worker, so
+    that Spark need not copy outputs which a caller only reads.
     """
     doc_id = F.col("doc_id").cast("long")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
     draws = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"draw{k}") for k in range(4)]
     rows = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *draws)
     sample = partial(_sample, unit=unit, marks=_checked(marks), fim=fim_percent, spm=spm_percent)
-    return rows.mapInArrow(sample, SAMPLES)
+    return rows.mapInArrow(partial(_finished, sample=sample, finish=finish) if finish else sample, columns)
 
 
 def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:
@@ -254,15 +295,11 @@ def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS)
     return F.when(form == PLAIN, output).otherwise(F.concat(prefix, F.substring_index(output, m, -1), suffix))
 
 
-def sample_report(docs: DataFrame) -> DataFrame:
+def sample_report(docs: DataFrame, marks: tuple[str, str, str] = MARKS) -> DataFrame:
     """Cuts of every document with digests of its output and of the text rebuilt from it.
 
     The rows are staged, as texts go to the workers in small batches.
     """
-    report = transform(docs).select(
-        "doc_id", "n", "form", "prefix_chars", "middle_chars",
-        F.sha2("output", 256).alias("output_sha256"),
-        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
-    )
+    report = transform(docs, marks=marks, finish=partial(_digests, marks=marks), columns=REPORT)
     with small_batches(docs.sparkSession):
         return stage(report, "fill-in-middle")

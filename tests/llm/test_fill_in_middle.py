@@ -183,3 +183,15 @@ def test_blocks_do_not_change_cuts(unit, monkeypatch):
     monkeypatch.setattr(fim, "BLOCK", 64)
     parted = fim.cut(texts, *draws, unit)
     assert {k: v.tolist() for k, v in parted.items()} == {k: v.tolist() for k, v in whole.items()}
+
+
+@pytest.mark.parametrize("marks", [fim.MARKS, ("<|fim_prefix|>", "[é]", "#")])
+def test_report_digests_the_outputs(spark, odd_docs, marks):
+    more = spark.createDataFrame([(i, "é🙂 <word\nP> line\r\n\tx " * (i % 7)) for i in range(100, 200)], "doc_id long, text string")
+    docs = odd_docs.select("doc_id", "text").union(more)
+    samples = fim.transform(docs, marks=marks)
+    back = fim.restored(F.col("output"), F.col("form"), marks)
+    digests = samples.withColumn("restored_sha256", F.sha2(back, 256)).withColumn("output_sha256", F.sha2("output", 256))
+    got = fim.sample_report(docs, marks)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, digests.select(*got.columns).collect()))
+    assert {r.form for r in got.collect()} == {"plain", "psm", "spm"}
